@@ -2,43 +2,34 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def two_sided_t_tail(t: Column, df: Column) -> Column:
-    """P(|T| > |t|) for whole-numbered degrees of freedom.
+def two_sided_t_tail(t: str, df: str) -> Column:
+    """P(|T| > |t|) for whole-numbered degrees of freedom; both arguments name columns.
 
     Finite trigonometric series of Abramowitz and Stegun 26.7.3 and 26.7.4. The
     number of terms is df / 2, so it suits series of at most some hundred rows.
     Below about 1e-15 the result loses its digits.
     """
-    odd = df % 2 == 1
-    theta = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
-    cos, sin = F.cos(theta), F.sin(theta)
-    terms = F.floor(df / 2).cast("int")
-
-    def add_term(acc: Column, k: Column) -> Column:
-        ratio = F.when(odd, (2 * k - 2) / (2 * k - 1)).otherwise((2 * k - 3) / (2 * k - 2))
-        first = F.when(odd, cos).otherwise(F.lit(1.0))
-        term = F.when(k == 1, first).otherwise(acc["term"] * ratio * cos * cos)
-        return F.struct((acc["total"] + term).alias("total"), term.alias("term"))
-
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(terms, F.lit(1))),
-        F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("term")),
-        add_term,
-        lambda acc: acc["total"],
-    )
-    series = F.when(terms >= 1, series).otherwise(F.lit(0.0))
-    inside = F.when(odd, (theta + sin * series) * (2.0 / math.pi)).otherwise(sin * series)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - inside))
+    odd = f"({df} % 2 = 1)"
+    theta = f"atan(abs({t}) / sqrt(CAST({df} AS DOUBLE)))"
+    first = f"IF({odd}, cos({theta}), 1D)"
+    ratio = f"IF({odd}, (2 * k - 2) / (2 * k - 1), (2 * k - 3) / (2 * k - 2))"
+    term = f"IF(k = 1, {first}, acc.term * {ratio} * pow(cos({theta}), 2))"
+    series = f"""aggregate(
+        sequence(1, greatest(1, CAST({df} DIV 2 AS INT))),
+        named_struct('total', 0D, 'term', 0D),
+        (acc, k) -> named_struct('total', acc.total + {term}, 'term', {term}),
+        acc -> acc.total)"""
+    series = f"IF({df} >= 2, {series}, 0D)"
+    inside = f"IF({odd}, ({theta} + sin({theta}) * {series}) * 2 / pi(), sin({theta}) * {series})"
+    return F.expr(f"greatest(0D, least(1D, 1D - {inside}))")
 
 
 def fit_moments(x: Column, y: Column) -> list[Column]:
-    """Aggregates from which `fit_columns` derives a fit; all combine map-side."""
+    """Aggregates from which `with_fit` derives a fit; all combine map-side."""
     return [
         F.count(F.lit(1)).alias("n_obs"),
         F.count(y).alias("_n_y"),
@@ -52,33 +43,30 @@ def fit_moments(x: Column, y: Column) -> list[Column]:
     ]
 
 
-def fit_columns() -> dict[str, Column]:
-    """Slope, intercept at the smallest x, standard error and p-value.
+def with_fit(moments: DataFrame) -> DataFrame:
+    """Adds slope, intercept at the smallest x, standard error and p-value.
 
-    A missing y anywhere in the group leaves all four null.
+    A missing y anywhere in the group leaves all four null. Two rows fit exactly:
+    their error is 0, and p is 0 unless the line is flat.
     """
-    c = F.col
-    df = c("n_obs") - 2
-    complete = c("_n_y") == c("n_obs")
-    slope = F.when(complete, F.try_divide(c("_sxy"), c("_sxx")))
-    r = F.when(c("_syy") == 0, F.lit(0.0)).otherwise(
-        F.try_divide(c("_sxy"), F.sqrt(c("_sxx") * c("_syy")))
-    )
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
-    variance = F.try_divide((1 - r * r) * c("_syy"), c("_sxx"))
-    se = F.when(df > 0, F.sqrt(F.try_divide(variance, df.cast("double")))).when(
-        df == 0, F.lit(0.0)
-    )
-    t = F.abs(r) * F.sqrt(F.try_divide(df.cast("double"), (1 - r) * (1 + r)))
+    steps = {
+        "_df": "n_obs - 2",
+        "_fits": "_n_y = n_obs AND _sxx > 0",
+        "slope": "IF(_n_y = n_obs, try_divide(_sxy, _sxx), NULL)",
+        "_r": "IF(_syy = 0, 0D, greatest(-1D, least(1D, try_divide(_sxy, sqrt(_sxx * _syy)))))",
+    }
+    later = {
+        "intercept": "_y_mean + slope * (_x_min - _x_mean)",
+        "se": "CASE WHEN NOT _fits THEN NULL WHEN _df = 0 THEN 0D "
+        "ELSE sqrt(try_divide((1 - _r * _r) * _syy, _sxx * _df)) END",
+        "_t": "abs(_r) * sqrt(try_divide(CAST(_df AS DOUBLE), (1 - _r) * (1 + _r)))",
+    }
+    fitted = moments.withColumns({n: F.expr(e) for n, e in steps.items()})
+    fitted = fitted.withColumns({n: F.expr(e) for n, e in later.items()})
     p = (
-        F.when(c("_syy") == 0, F.lit(1.0))
-        .when((df == 0) | (F.abs(r) == 1), F.lit(0.0))
-        .otherwise(two_sided_t_tail(t, df))
+        F.when(F.expr("NOT _fits"), None)
+        .when(F.expr("_syy = 0"), 1.0)
+        .when(F.expr("_df = 0 OR abs(_r) = 1"), 0.0)
+        .otherwise(two_sided_t_tail("_t", "_df"))
     )
-    fitted = complete & (c("_sxx") > 0)
-    return {
-        "slope": slope,
-        "intercept": c("_y_mean") + slope * (c("_x_min") - c("_x_mean")),
-        "se": F.when(fitted, se),
-        "p_value": F.when(fitted, p),
-    }
+    return fitted.withColumn("p_value", p)

@@ -106,34 +106,42 @@ def person_months(
     """
     start, end, dob = F.col("start_date"), F.col("end_date"), F.col("dob")
     last = month_number(end) - month_number(start)
-    months = F.when(F.add_months(start, last) <= end, last + 1).otherwise(last)
-
-    # A person without a date of birth belongs to the last band throughout.
-    edges: list[Column] = [F.lit(0)]
-    for _, upper in bands[:-1]:
+    spans = follow.select(
+        *strata,
+        "start_date",
+        "dob",
+        month_number(start).alias("first"),
+        F.when(F.add_months(start, last) <= end, last + 1).otherwise(last).alias("months"),
+    ).where(F.col("months") > 0)
+
+    # Month in which each band is entered; without a date of birth the last band
+    # holds throughout.
+    labels = [label for label, _ in bands]
+    entered = {"enter_0": F.lit(0)}
+    for i, (_, upper) in enumerate(bands[:-1], 1):
         birthday = F.date_add(dob, math.ceil(upper * DAYS_PER_YEAR))
-        edges.append(F.least(F.coalesce(_months_until(start, birthday), F.lit(0)), months))
-    edges.append(months)
-
-    first = month_number(start)
-    steps = []
-    for (label, _), enter, leave in zip(bands, edges[:-1], edges[1:]):
-        for edge, step in ((enter, 1), (leave, -1)):
-            steps.append(
-                F.when(
-                    enter < leave,
-                    F.struct(
-                        F.lit(label).alias("age_gp"),
-                        (first + edge).alias("ym"),
-                        F.lit(step).cast("long").alias("step"),
-                    ),
-                )
+        reached = F.coalesce(_months_until(start, birthday), F.lit(0))
+        entered[f"enter_{i}"] = F.least(reached, F.col("months"))
+    runs = spans.select(*strata, "first", "months", *[c.alias(n) for n, c in entered.items()])
+    edges = [F.col(n) for n in entered] + [F.col("months")]
+    runs = runs.select(
+        *strata,
+        "first",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(b).alias("age_gp"), e.alias("enter"), l.alias("leave"))
+                    for b, e, l in zip(labels, edges[:-1], edges[1:])
+                ]
             )
+        ),
+    ).where(F.col("enter") < F.col("leave"))
+    steps = F.array(
+        F.struct((F.col("first") + F.col("enter")).alias("ym"), F.lit(1).alias("step")),
+        F.struct((F.col("first") + F.col("leave")).alias("ym"), F.lit(-1).alias("step")),
+    )
     changes = (
-        follow.where(months > 0)
-        .select(*strata, F.explode(F.array(*steps)).alias("s"))
-        .where(F.col("s").isNotNull())
-        .select(*strata, "s.*")
+        runs.select(*strata, "age_gp", F.inline(steps))
         .groupBy(*strata, "age_gp", "ym")
         .agg(F.sum("step").alias("step"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions.dates import day_literal, month_number
 from ..functions.fixed_values import COUNT_FIRST_MONTH, PERIOD_BREAKS, PERIOD_LABELS
-from ..functions.stats import fit_columns, fit_moments
+from ..functions.stats import fit_moments, with_fit
 
 PERIOD = "covid_period"
 
@@ -74,12 +74,7 @@ def _fits(series: DataFrame, keys: Sequence[str], min_rows: int, y: str) -> Data
     # The slope does not depend on where the months start counting, so the fit
     # needs one aggregation and no window for the month index.
     moments = fit_moments(month_number(F.col("year_mo")).cast("double"), F.col(y))
-    return (
-        series.groupBy(*keys, PERIOD)
-        .agg(*moments)
-        .where(F.col("n_obs") >= min_rows)
-        .withColumns(fit_columns())
-    )
+    return with_fit(series.groupBy(*keys, PERIOD).agg(*moments).where(F.col("n_obs") >= min_rows))
 
 
 def trend_coefficients(

@@ -121,6 +121,7 @@ def area_parts(spark: SparkSession, sf: str) -> list[str]:
     (
         star.small_areas(spark, sf)
         .join(nation, "area")
+        .select("lsoa", "area", "area_code", "region")
         .write.partitionBy("region")
         .option("header", True)
         .csv(path)

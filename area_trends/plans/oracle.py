@@ -292,10 +292,10 @@ def _rounded(*names: str) -> str:
 _WIDE = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM", "low": "5-LOW"}
 
 BODIES = {
-    "age_band_open_counts": f"""
+    "age_band_open": f"""
 SELECT {_band(_age('event_date', 'dob'))} AS age_gp, count(*) AS n_events
 FROM event JOIN person USING (pid) GROUP BY 1""",
-    "age_band_closed_counts": f"""
+    "age_band_closed": f"""
 SELECT CASE WHEN age >= 18 AND age <= 39 THEN '18-39' WHEN age >= 40 AND age <= 59 THEN '40-59'
             WHEN age >= 60 AND age <= 79 THEN '60-79' WHEN age >= 80 THEN '80+' ELSE 'Unknown' END AS age_gp,
        count(*) AS n_events

@@ -7,14 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bands import age_band_closed, age_band_open, age_years
+from ..functions import bands
 from ..functions.dates import months_between_first_days
 from ..functions.fixed_values import EUROPEAN_WEIGHTS, MI_CODES, STROKE_CODES, STROKE_SUBTYPES
 from ..operators import cohort as co
 from ..operators import codelists as cl
 from ..operators import compare, denominators, matrices, rates, trends
 from ..operators import events as ev
-from ..operators.joins import lookup_join
 from ..sources import files, tables
 from . import derived, pipelines, star
 
@@ -38,7 +37,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def _ages(spark, sf):
-    age = age_years(F.col("event_date"), F.col("dob"))
+    age = bands.age_years(F.col("event_date"), F.col("dob"))
     daily = rates.person_day_counts(star.events(spark, sf))
     return daily.join(star.cohort(spark, sf), "pid").withColumn("age", age)
 
@@ -48,13 +47,13 @@ def _band_totals(ages, band):
 
 
 @query
-def age_band_open_counts(spark, sf):
-    return _band_totals(_ages(spark, sf), age_band_open(F.col("age")))
+def age_band_open(spark, sf):
+    return _band_totals(_ages(spark, sf), bands.age_band_open(F.col("age")))
 
 
 @query
-def age_band_closed_counts(spark, sf):
-    return _band_totals(_ages(spark, sf), age_band_closed(F.col("age")))
+def age_band_closed(spark, sf):
+    return _band_totals(_ages(spark, sf), bands.age_band_closed(F.col("age")))
 
 
 @query
@@ -263,17 +262,20 @@ def registry_counts(spark, sf):
     )
 
 
+def _coded(spark, sf):
+    codes = _codelist(spark, sf).where(F.col("rf") == "BP").select("code")
+    records = star.records(spark, sf, codes)
+    return ev.coded_events(records, star.cohort(spark, sf), codes, "1996-01-01")
+
+
 @query
 def coded_events(spark, sf):
-    codes = _codelist(spark, sf).where(F.col("rf") == "BP").select("code")
-    return ev.coded_events(star.records(spark, sf), star.cohort(spark, sf), codes, "1996-01-01")
+    return _coded(spark, sf)
 
 
 @query
 def coded_monthly(spark, sf):
-    codes = _codelist(spark, sf).where(F.col("rf") == "BP").select("code")
-    found = ev.coded_events(star.records(spark, sf), star.cohort(spark, sf), codes, "1996-01-01")
-    return rates.monthly_counts(found)
+    return rates.monthly_counts(_coded(spark, sf))
 
 
 @query
@@ -321,11 +323,9 @@ def cause_specific_deaths(spark, sf):
 
 
 def _measures(spark, sf, band_at="index"):
+    codes = _codelist(spark, sf).select("code", "rf")
     return ev.measure_records(
-        star.records(spark, sf),
-        _codelist(spark, sf).select("code", "rf"),
-        _follow(spark, sf),
-        band_at=band_at,
+        star.records(spark, sf, codes), codes, _follow(spark, sf), band_at=band_at
     )
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bands import age_band_open, age_years
-from ..functions.dates import month_start
 from ..functions.fixed_values import BAND_LABELS
+from ..operators.joins import lookup_join
 
 FIRST_YEAR, LAST_YEAR, PROJECTED_YEAR = 1995, 2000, 2001
 FIRST_MONTH, LAST_MONTH, SERIES_FROM = "1995-04-01", "2001-06-01", "1995-07-01"
@@ -38,35 +38,40 @@ MEASURE_EXCLUDED = {"Brand#1": "small"}
 AREA_CODES = tuple(f"A{n:02d}" for n in range(20))
 
 
+# Declared, so that opening a table starts no job to infer its schema.
+SCHEMAS = {
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+    "c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+    "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+    "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def persons_without_area(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.col("c_custkey")
-    decile = F.when(key % 97 != 0, (key % 10 + 1).cast("int"))
-    prefix = F.when(key % 53 == 0, "W01").otherwise("E01")
-    segment = F.col("c_mktsegment")
-    return table(spark, sf, "customer").select(
-        key.alias("pid"),
-        F.date_add(F.lit(dt.date(1915, 1, 1)), ((key * 7919) % 25000).cast("int")).alias("dob"),
-        F.when(key % 41 != 0, F.when(key % 2 == 0, "M").otherwise("F")).alias("sex"),
-        F.when(segment == "MACHINERY", "Other ethnic group")
-        .when(segment != "BUILDING", segment)
-        .alias("ethnicity"),
-        decile.alias("imd10"),
-        F.floor((decile + 1) / 2).cast("int").alias("imd5"),
-        F.when(
-            key % 13 == 0,
-            F.date_add(F.lit(dt.date(1996, 1, 1)), ((key * 31) % 2500).cast("int")),
-        ).alias("dod"),
-        F.concat(
-            prefix,
-            F.lpad(F.col("c_nationkey").cast("string"), 2, "0"),
-            F.lpad((key % 40).cast("string"), 3, "0"),
-        ).alias("lsoa"),
-        F.when(key % 7 != 0, 1).otherwise(0).alias("in_gp"),
-        F.col("c_nationkey"),
+    return table(spark, sf, "customer").selectExpr(
+        "c_custkey AS pid",
+        "date_add(DATE'1915-01-01', CAST(c_custkey * 7919 % 25000 AS INT)) AS dob",
+        "CASE WHEN c_custkey % 41 <> 0 THEN IF(c_custkey % 2 = 0, 'M', 'F') END AS sex",
+        "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Other ethnic group' "
+        "WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS ethnicity",
+        "CASE WHEN c_custkey % 97 <> 0 THEN CAST(c_custkey % 10 + 1 AS INT) END AS imd10",
+        "CASE WHEN c_custkey % 97 <> 0 THEN CAST((c_custkey % 10 + 2) DIV 2 AS INT) END AS imd5",
+        "CASE WHEN c_custkey % 13 = 0 "
+        "THEN date_add(DATE'1996-01-01', CAST(c_custkey * 31 % 2500 AS INT)) END AS dod",
+        "IF(c_custkey % 53 = 0, 'W01', 'E01') || lpad(CAST(c_nationkey AS STRING), 2, '0') "
+        "|| lpad(CAST(c_custkey % 40 AS STRING), 3, '0') AS lsoa",
+        "IF(c_custkey % 7 <> 0, 1, 0) AS in_gp",
+        "c_nationkey",
     )
 
 
@@ -89,8 +94,7 @@ def cohort(spark: SparkSession, sf: str) -> DataFrame:
 
 def small_areas(spark: SparkSession, sf: str) -> DataFrame:
     """Small area -> area with repeated rows, as an address file would hold them."""
-    code = F.concat(F.lit("A"), F.lpad(F.substring("lsoa", 4, 2), 2, "0"))
-    return persons(spark, sf).select("lsoa", "area", code.alias("area_code"))
+    return persons(spark, sf).selectExpr("lsoa", "area", "'A' || substring(lsoa, 4, 2) AS area_code")
 
 
 def events(
@@ -104,14 +108,13 @@ def events(
     if before is not None:
         end = dt.datetime.fromisoformat(before)
         orders = orders.where(F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz"))
-    day = F.col("o_orderdate").cast("date")
-    return orders.select(
-        F.col("o_orderkey").alias("event_id"),
-        F.col("o_custkey").alias("pid"),
-        day.alias("event_date"),
-        month_start(day).alias("event_mo"),
-        F.col("o_orderpriority").alias("category"),
-        F.col("o_orderstatus").alias("archived_on"),
+    return orders.selectExpr(
+        "o_orderkey AS event_id",
+        "o_custkey AS pid",
+        "CAST(o_orderdate AS DATE) AS event_date",
+        "trunc(CAST(o_orderdate AS DATE), 'month') AS event_mo",
+        "o_orderpriority AS category",
+        "o_orderstatus AS archived_on",
     )
 
 
@@ -119,77 +122,66 @@ def admissions(
     spark: SparkSession, sf: str, after: str | None = None, before: str | None = None
 ) -> DataFrame:
     """Events with a joined list of 3-character codes and one 4-character code."""
-    stroke = F.concat(F.lit("I"), (F.col("event_id") % 7 + 60).cast("string"))
-    other = F.concat(F.lit("I"), (F.col("pid") % 5 + 20).cast("string"))
-    return events(spark, sf, after, before).select(
+    return events(spark, sf, after, before).selectExpr(
         "event_id",
         "pid",
         "event_date",
-        F.concat_ws(",", stroke, other, "archived_on").alias("code_concat"),
-        F.concat(stroke, (F.col("pid") % 10).cast("string")).alias("code4"),
+        "concat_ws(',', 'I' || (event_id % 7 + 60), 'I' || (pid % 5 + 20), archived_on) AS code_concat",
+        "'I' || (event_id % 7 + 60) || (pid % 10) AS code4",
     )
 
 
-def records(spark: SparkSession, sf: str) -> DataFrame:
-    """One dated, coded record per order line, with a value that is missing at times."""
-    lines = table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("event_id"),
-        F.col("l_linenumber").alias("line"),
-        F.col("l_shipdate").cast("date").alias("event_date"),
-        F.col("l_partkey").alias("code"),
-        F.when(F.col("l_quantity") <= 45, F.col("l_quantity")).alias("value"),
-    )
-    owner = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("pid")
+def records(spark: SparkSession, sf: str, codes: DataFrame | None = None) -> DataFrame:
+    """One dated, coded record per order line, with a value that is missing at times.
+
+    `codes` (a column `code`) keeps only the records that carry one of them: a
+    broadcast before the person is looked up, so the other lines are not shuffled.
+    """
+    lines = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS event_id",
+        "l_linenumber AS line",
+        "CAST(l_shipdate AS DATE) AS event_date",
+        "l_partkey AS code",
+        "IF(l_quantity <= 45, l_quantity, NULL) AS value",
     )
+    if codes is not None:
+        lines = lookup_join(lines, codes.select("code"), "code", "left_semi")
+    owner = table(spark, sf, "orders").selectExpr("o_orderkey AS event_id", "o_custkey AS pid")
     return lines.join(owner, "event_id")
 
 
 def parts_as_codes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(
-        F.col("p_partkey").alias("code"),
-        F.col("p_brand").alias("cluster"),
-        F.col("p_name").alias("description"),
+    return table(spark, sf, "part").selectExpr(
+        "p_partkey AS code", "p_brand AS cluster", "p_name AS description"
     )
 
 
 def drug_categories(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(
-        F.col("p_partkey").alias("code"), F.col("p_type").alias("category")
-    )
+    return table(spark, sf, "part").selectExpr("p_partkey AS code", "p_type AS category")
 
 
 def deaths(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as registered deaths: date as text and an underlying cause."""
-    return table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("pid"),
-        F.date_format("o_orderdate", "yyyyMMdd").alias("reg_dod"),
-        F.concat(
-            F.lit("Brand#"),
-            (F.col("o_orderkey") % 25 + 1).cast("string"),
-            F.lit("/"),
-            (F.col("o_custkey") * 7 % 50 + 1).cast("string"),
-        ).alias("cause"),
+    return table(spark, sf, "orders").selectExpr(
+        "o_custkey AS pid",
+        "date_format(o_orderdate, 'yyyyMMdd') AS reg_dod",
+        "'Brand#' || (o_orderkey % 25 + 1) || '/' || (o_custkey * 7 % 50 + 1) AS cause",
     )
 
 
 def cause_codes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(
-        F.col("p_type").alias("code"),
-        F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("cause"),
-        F.col("p_name").alias("description"),
+    return table(spark, sf, "part").selectExpr(
+        "p_type AS code", "p_brand || '/' || p_size AS cause", "p_name AS description"
     )
 
 
 def adults_by_year(spark: SparkSession, sf: str) -> DataFrame:
     """Every person in each year of the history, with the age at mid-year."""
-    years = F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR))
-    mid_year = F.make_date("year", F.lit(6), F.lit(1))
     return (
         persons(spark, sf)
-        .select("area", "dob", F.explode(years).alias("year"))
-        .withColumn("age", age_years(mid_year, F.col("dob")))
-        .where(F.col("age") >= 18)
+        .selectExpr("area", "dob", f"explode(sequence({FIRST_YEAR}, {LAST_YEAR})) AS year")
+        .withColumn("age", age_years(F.expr("make_date(year, 6, 1)"), F.col("dob")))
+        .where("age >= 18")
     )
 
 
@@ -202,13 +194,8 @@ def population_history(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("area", "year")
         .agg(*[F.count_if(F.col("band") == b).alias(b) for b in BAND_LABELS])
     )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(b).alias("age_gp"),
-                (F.col(f"`{b}`") * 100 + 50 + 10 * i).cast("double").alias("population"),
-            )
-            for i, b in enumerate(BAND_LABELS, 1)
-        ]
+    cells = ", ".join(
+        f"'{b}', CAST(`{b}` * 100 + {50 + 10 * i} AS DOUBLE)" for i, b in enumerate(BAND_LABELS, 1)
     )
-    return counted.select("area", "year", F.inline(cells))
+    stacked = f"stack({len(BAND_LABELS)}, {cells}) AS (age_gp, population)"
+    return counted.selectExpr("area", "year", stacked)

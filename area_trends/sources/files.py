@@ -14,15 +14,19 @@ from ..operators.codelists import literal_map
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
-    """CSV parts with a header; blank text is '' and not null."""
-    df = spark.read.schema(schema).option("header", True).csv(paths)
+    """CSV parts with a header; blank text is '' and not null.
+
+    The header must name the columns of the schema in its order, or Spark raises.
+    """
+    df = spark.read.schema(schema).option("enforceSchema", False).option("header", True).csv(paths)
     text = [name for name, kind in df.dtypes if kind == "string"]
     return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in text})
 
 
 def read_tsv(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
     """Tab-separated code lists with a header; blanks around text are removed."""
-    df = spark.read.schema(schema).option("header", True).option("sep", "\t").csv(paths)
+    reader = spark.read.schema(schema).option("enforceSchema", False).option("header", True)
+    df = reader.option("sep", "\t").csv(paths)
     return df.withColumns({name: F.trim(name) for name, kind in df.dtypes if kind == "string"})
 
 
@@ -83,7 +87,7 @@ def population_blocks(spark: SparkSession, paths: str | Sequence[str], trailing:
     Files are read whole, as their lines depend on their order: an export is one
     small file, and many exports run in parallel.
     """
-    lines = spark.read.option("wholetext", True).text(paths).select(
+    lines = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n"))
     )
     rows = lines.where(F.col("pos") > 0).select("file", "pos", _fields(F.col("col")).alias("f"))
