@@ -1,0 +1,197 @@
+import pytest
+from helpers import d, plan_of, rows
+from pyspark.sql import functions as F
+
+from area_trends.functions.fixed_values import STROKE_SUBTYPES
+from area_trends.operators import codelists as cl
+from area_trends.operators import events as ev
+from area_trends.operators.compare import reconcile
+
+
+def _cohort(spark, *pids):
+    return spark.createDataFrame([(p, "X") for p in pids], "pid long, area string")
+
+
+def test_match_codes_compares_as_they_stand(spark):
+    df = spark.createDataFrame([(1, "I63,I10, I64,,"), (2, "I10"), (3, None)], "pid long, codes string")
+    codes = ("I61", "I63", "I64")
+    assert rows(ev.match_codes(df, "codes", codes), "pid", "code") == [(1, "I63")]
+    assert rows(ev.match_codes(df, "codes", codes, trim=True), "pid", "code") == [(1, "I63"), (1, "I64")]
+
+
+def test_match_outcomes_in_one_scan(spark):
+    df = spark.createDataFrame([(1, "I63,I21"), (2, "I22"), (3, "J45")], "pid long, codes string")
+    found = ev.match_outcomes(df, "codes", {"stroke": ("I61", "I63"), "mi": ("I21", "I22")})
+    assert rows(found, "pid", "outcome") == [(1, "mi"), (1, "stroke"), (2, "mi")]
+    assert plan_of(found).count("Scan") == 1
+
+
+def test_first_event_breaks_ties(spark):
+    df = spark.createDataFrame(
+        [(1, 10, d("2020-05-02")), (1, 12, d("2020-01-01")), (1, 11, d("2020-01-01")), (2, 13, d("2020-03-03"))],
+        "pid long, event_id long, event_date date",
+    )
+    first = ev.first_event(df, ("pid",), ("event_date", "event_id"))
+    assert rows(first, "pid", "event_id") == [(1, 11), (2, 13)]
+
+
+def test_first_event_ranks_before_the_shuffle(spark):
+    df = spark.range(100).selectExpr("id % 3 AS pid", "id AS event_date")
+    plan = plan_of(ev.first_event(df))
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_incident_by_category_drops_the_early_after_ranking(spark):
+    records = spark.createDataFrame(
+        [(1, "a", d("2016-05-01")), (1, "a", d("2018-01-09")), (1, "b", d("2017-03-04")), (2, "z", d("2018-01-01"))],
+        "pid long, code string, event_date date",
+    )
+    drugs = spark.createDataFrame([("a", "lipid"), ("b", "doac")], "code string, category string")
+    found = ev.incident_by_category(records, drugs, "code", "2017-01-01")
+    assert rows(found, "pid", "category", "event_mo") == [(1, "doac", d("2017-03-01"))]
+
+
+REGISTRY = [
+    (1, "2018-04-30"), (1, "2018-05-01"), (1, "2018-05-01"), (1, "2018-05-20"), (2, "2024-10-31"),
+    (2, "2024-11-01"), (None, "2020-01-01"), (9, "2020-01-01"),
+]
+
+
+def _registry(spark):
+    return spark.createDataFrame([(p, d(x)) for p, x in REGISTRY], "pid long, event_date date")
+
+
+def test_registry_range_and_dedupe(spark):
+    cohort = _cohort(spark, 1, 2)
+    limits = ("2018-04-30", "2024-11-01")
+    by_day = ev.registry_events(_registry(spark), cohort, *limits)
+    assert rows(by_day, "pid", "event_date") == [
+        (1, d("2018-05-01")), (1, d("2018-05-20")), (2, d("2024-10-31")),
+    ]
+    by_month = ev.registry_events(_registry(spark), cohort, *limits, dedupe="month")
+    assert rows(by_month, "pid", "event_date") == [(1, d("2018-05-01")), (2, d("2024-10-31"))]
+    every = ev.registry_events(_registry(spark), cohort, *limits, dedupe=None)
+    assert every.count() == 4
+    with pytest.raises(ValueError):
+        ev.registry_events(_registry(spark), cohort, *limits, dedupe="week")
+
+
+@pytest.mark.parametrize("dedupe", ["day", "month", None])
+def test_registry_counts_equal_counting_rows(spark, dedupe):
+    cohort = _cohort(spark, 1, 2)
+    limits = ("2018-04-30", "2024-11-01")
+    direct = ev.registry_events(_registry(spark), cohort, *limits, dedupe=dedupe)
+    direct = direct.groupBy("event_mo").agg(F.count(F.lit(1)).alias("count"))
+    counted = ev.registry_counts(_registry(spark), cohort, *limits, dedupe=dedupe)
+    assert rows(counted, "event_mo", "count") == rows(direct, "event_mo", "count")
+
+
+def test_deaths_and_causes(spark):
+    deaths = spark.createDataFrame(
+        [(1, "20171231", "I21"), (1, "20180101", "I21"), (2, "20180215", "J45"), (3, "20180215", "I21")],
+        "pid long, reg_dod string, cause string",
+    )
+    found = ev.registered_deaths(deaths, _cohort(spark, 1, 2), "20180101")
+    assert rows(found, "pid", "event_year", "event_mo", "event_date") == [
+        (1, "2018", d("2018-01-01"), d("2018-01-01")),
+        (2, "2018", d("2018-02-01"), d("2018-02-15")),
+    ]
+    icd = spark.createDataFrame(
+        [("I21.0", "I21", "b"), ("I21.9", "I21", "a"), ("J45", "J45", "c")],
+        "code string, cause string, description string",
+    )
+    causes = ev.chapter_codes(icd, "I")
+    assert rows(causes, "cause", "description") == [("I21", "a")]
+    assert rows(ev.cause_specific(found, causes), "pid", "description") == [(1, "a")]
+
+
+def test_coded_events_one_per_person_and_month(spark):
+    records = spark.createDataFrame(
+        [(1, d("2019-01-09"), "b"), (1, d("2019-01-03"), "a"), (1, d("2018-12-31"), "a"),
+         (1, d("2019-02-01"), "x"), (7, d("2019-02-01"), "a")],
+        "pid long, event_date date, code string",
+    )
+    codes = spark.createDataFrame([("a",), ("b",)], "code string")
+    found = ev.coded_events(records, _cohort(spark, 1), codes, "2019-01-01")
+    assert rows(found, "pid", "event_mo", "event_date", "code") == [
+        (1, d("2019-01-01"), d("2019-01-03"), "a")
+    ]
+
+
+def _follow(spark):
+    return spark.createDataFrame(
+        [(1, d("1980-01-01"), d("2019-01-01"), d("2021-01-01"), "E01A", "M", "A", "40-59")],
+        "pid long, dob date, start_date date, end_date date, lsoa string, sex string, "
+        "ethnicity string, age_gp string",
+    )
+
+
+def test_measure_records(spark):
+    records = spark.createDataFrame(
+        [(1, d("2019-05-05"), "w", None), (1, d("2019-05-05"), "s", None), (1, d("2019-05-06"), "w", 70.0),
+         (1, d("2019-05-06"), "w", 71.0), (1, d("2018-12-31"), "w", 70.0), (1, d("2021-01-01"), "w", 70.0)],
+        "pid long, event_date date, code string, value double",
+    )
+    codes = spark.createDataFrame([("w", "BMI"), ("s", "Smoking")], "code string, rf string")
+    found = ev.measure_records(records, codes, _follow(spark))
+    assert rows(found, "rf", "event_date", "age_gp") == [
+        ("BMI", d("2019-05-06"), "40-59"),
+        ("BMI", d("2021-01-01"), "40-59"),
+        ("Smoking", d("2019-05-05"), "40-59"),
+    ]
+    then = ev.measure_records(records, codes, _follow(spark), band_at="event")
+    assert ("BMI", d("2019-05-06"), "18-39") in rows(then, "rf", "event_date", "age_gp")
+    counts = ev.measure_counts(found)
+    trend = ev.measure_trend(found)
+    summed = counts.groupBy("test_mo", "rf").agg(F.sum("count").alias("total_count"))
+    assert rows(trend, "test_mo", "rf", "total_count") == rows(summed, "test_mo", "rf", "total_count")
+    order = ev.measure_order(trend).collect()
+    assert [(r["rf"], r["position"]) for r in order] == [("BMI", 1), ("Smoking", 2)]
+
+
+def test_latest_per_year(spark):
+    df = spark.createDataFrame(
+        [(1, 1, d("2019-01-01")), (1, 2, d("2019-12-01")), (1, 3, d("2020-02-01"))],
+        "pid long, event_id long, event_date date",
+    )
+    assert rows(ev.latest_per_year(df, tie=("event_id",)), "pid", "event_year", "event_id") == [
+        (1, 2019, 2), (1, 2020, 3),
+    ]
+
+
+def test_codelists(spark):
+    df = spark.createDataFrame(
+        [("B", "1", "Child weight"), ("B", "2", "Weight"), ("S", "3", "Child smoker"), ("Z", "4", "x"),
+         ("B", "5", None)],
+        "cluster string, code string, description string",
+    )
+    found = cl.codelist(df, {"B": "BMI", "S": "Smoking"}, {"B": "Child"})
+    assert rows(found, "code", "rf") == [("2", "BMI"), ("3", "Smoking")]
+    sizes = cl.cluster_sizes(df).collect()
+    assert [(r["cluster"], r["n_codes"]) for r in sizes] == [("B", 3), ("S", 1), ("Z", 1)]
+
+
+def test_merge_and_exclude_codes(spark):
+    a = spark.createDataFrame([("1", "b"), ("2", "c")], "code string, term string")
+    b = spark.createDataFrame([("1", "a"), ("3", "d")], "Code string, Description string")
+    assert rows(cl.merge_codelists(a, b), "code", "description") == [("1", "a"), ("2", "c"), ("3", "d")]
+    df = spark.createDataFrame(
+        [("C", "1", "Average"), ("C", "2", "Plain"), ("C", "3", "Plain"), ("A", "3", "Plain"), ("C", "2", "Plain")],
+        "cluster string, code string, description string",
+    )
+    assert rows(cl.codes_excluded(df, "C", "A", ("Average",)), "code") == [("2",)]
+
+
+def test_subtypes(spark):
+    df = spark.createDataFrame([("I63", "ischaemic "), ("I60", "haemorrhagic")], "code string, subtype string")
+    assert rows(cl.subtype_codes(df), "code", "subtype") == [("I60", "haemorrhagic"), ("I63", "ischaemic")]
+    codes = spark.createDataFrame([("I638",), ("I637",), ("I64",)], "code string")
+    found = codes.select("code", cl.subtype_of(F.col("code"), STROKE_SUBTYPES).alias("s"))
+    assert rows(found, "code", "s") == [("I637", None), ("I638", "ischaemic"), ("I64", "unspecified")]
+
+
+def test_reconcile(spark):
+    a = spark.createDataFrame([("Jan", 5), ("Feb", 3)], "event_mo string, count long")
+    b = spark.createDataFrame([("Feb", 1), ("Mar", 2)], "event_mo string, count long")
+    found = reconcile(a, b, "a", "b")
+    assert rows(found, "event_mo", "a_count", "b_count", "diff") == [("Feb", 3, 1, 2)]

@@ -1,0 +1,121 @@
+from helpers import d, plan_of, rows
+from pyspark.sql import functions as F
+
+from area_trends.operators import events as ev
+from area_trends.operators import joins
+from area_trends.operators.rates import person_day_counts
+
+
+def _facts(spark):
+    """Every third row holds the key 7, some hold none."""
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 != 1, F.col("id") % 400)
+    return spark.range(6000).select("id", key.cast("long").alias("key"))
+
+
+def _lookup(spark):
+    return spark.range(0, 400, 2).selectExpr("id AS key", "CONCAT('n', id) AS name").unionByName(
+        spark.range(1).selectExpr("7L AS key", "'hot' AS name")
+    )
+
+
+def test_table_bytes_grows_with_text(spark):
+    small = spark.createDataFrame([("a", 1), (None, 2)], "t string, n long")
+    large = spark.createDataFrame([("a" * 1000, 1), (None, 2)], "t string, n long")
+    assert joins.table_bytes(large) - joins.table_bytes(small) == 999
+    assert joins.table_bytes(small.where("n > 9")) == 0
+
+
+def test_small_lookup_is_broadcast_and_large_is_not(spark):
+    facts, lookup = _facts(spark), _lookup(spark)
+    small = joins.lookup_join(facts, lookup, "key")
+    assert "BroadcastHashJoin" in plan_of(small) and "LeftAnti" not in plan_of(small)
+    large = joins.lookup_join(facts, lookup, "key", max_bytes=0)
+    assert "LeftAnti" in plan_of(large)
+    assert rows(large, "id", "key", "name") == rows(small, "id", "key", "name")
+
+
+def test_hot_key_join_equals_plain_join(spark):
+    facts, lookup = _facts(spark), _lookup(spark)
+    for how in ("inner", "left_semi"):
+        plain = facts.join(lookup, "key", how)
+        for share in (0.1, 0.0001, 1.0):
+            found = joins.hot_key_join(facts, lookup, "key", how, share)
+            assert rows(found, *plain.columns) == rows(plain, *plain.columns), (how, share)
+
+
+def test_hot_key_join_keeps_all_copies_of_a_code(spark):
+    """A code in two clusters gives two rows, in both branches."""
+    lookup = _lookup(spark).unionByName(_lookup(spark).withColumn("name", F.lit("again")))
+    plain = _facts(spark).join(lookup, "key")
+    found = joins.hot_key_join(_facts(spark), lookup, "key", share=0.1)
+    assert rows(found, "id", "name") == rows(plain, "id", "name")
+
+
+def test_hot_rows_do_not_pass_the_shuffle(spark):
+    """No task of the shuffle join gets the frequent key."""
+    facts, lookup = _facts(spark), _lookup(spark)
+    hot = facts.groupBy("key").count().where("count > 600")
+    assert rows(hot, "key") == [(7,)]
+    found = joins.hot_key_join(facts, lookup.where("key <> 7"), "key", share=0.1)
+    assert found.where("key = 7").count() == 0
+    anti = plan_of(joins.hot_key_join(facts, lookup, "key", share=0.1))
+    assert "LeftAnti" in anti
+
+
+def _hot_person(spark, n):
+    """One person holds a third of all events."""
+    return spark.range(n).selectExpr(
+        "id AS event_id",
+        "IF(id % 3 = 0, 1L, id) AS pid",
+        "date_add(DATE'2019-01-01', CAST(id % 700 AS INT)) AS event_date",
+    ).withColumn("event_mo", F.trunc("event_date", "month"))
+
+
+def test_hot_person_is_reduced_before_the_join(spark):
+    daily = person_day_counts(_hot_person(spark, 30000))
+    assert daily.where("pid = 1").count() <= 700
+    assert daily.agg(F.sum("n")).first()[0] == 30000
+    plan = plan_of(daily)
+    assert "partial_count" in plan  # combined within each task, before the exchange
+    first = ev.first_event(_hot_person(spark, 30000), ("pid",), ("event_date", "event_id"))
+    assert first.where("pid = 1").count() == 1
+
+
+def test_adaptive_execution_splits_a_hot_person(spark):
+    """Rows that leave a person join one by one: the frequent person's partition is split."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    deaths = _hot_person(spark, 60000).selectExpr(
+        "pid", "date_format(event_date, 'yyyyMMdd') AS reg_dod", "CAST(event_id AS STRING) AS cause"
+    ).repartition(8)
+    people = spark.range(60000).selectExpr("id AS pid", "id % 5 AS area")
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = ev.registered_deaths(deaths, people, "20190101")
+        assert len(found.collect()) == 60000
+        assert "skew=true" in plan_of(found)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_measures_of_a_hot_person(spark):
+    """Repeated records of one person and day collapse before the person join."""
+    records = spark.range(9000).selectExpr(
+        "IF(id % 3 = 0, 1L, id) AS pid", "DATE'2020-01-05' AS event_date", "'w' AS code", "1D AS value"
+    )
+    codes = spark.createDataFrame([("w", "BMI")], "code string, rf string")
+    follow = spark.range(9000).selectExpr(
+        "id AS pid", "DATE'1980-01-01' AS dob", "DATE'2019-01-01' AS start_date",
+        "DATE'2021-01-01' AS end_date", "'E' AS lsoa", "'M' AS sex", "'A' AS ethnicity", "'x' AS age_gp",
+    )
+    found = ev.measure_records(records, codes, follow)
+    assert found.count() == records.select("pid").distinct().count()
+    assert rows(found.where("pid = 1"), "event_date") == [(d("2020-01-05"),)]

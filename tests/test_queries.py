@@ -1,0 +1,45 @@
+"""Every registered query: plan and result against its SQL twin."""
+
+import pytest
+from compare import duckdb_connection, duckdb_table, spark_table
+from helpers import plan_of
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return duckdb_connection(SF)
+
+
+def test_every_query_has_a_twin():
+    assert QUERIES.keys() == ORACLE.keys()
+
+
+def test_flagship(spark):
+    found = entry.entry(spark)
+    assert found.columns == ["area", "year_mo", "age_standardised_rate"]
+    assert found.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, duck, name):
+    found = QUERIES[name](spark, SF)
+    plan = plan_of(found)
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        assert node not in plan
+    assert spark_table(found) == duckdb_table(duck, ORACLE[name])
+
+
+def test_dates_reach_the_scan(spark):
+    plan = plan_of(QUERIES["incident_event"](spark, SF))
+    scan = next(line for line in plan.splitlines() if "o_orderdate" in line and "FileScan" in line)
+    assert "GreaterThanOrEqual(o_orderdate,1995-02-01" in scan and "LessThan(o_orderdate," in scan
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in scan
+
+
+def test_one_scan_for_all_clusters(spark):
+    assert plan_of(QUERIES["codelist_clusters"](spark, SF)).count("FileScan") == 1
