@@ -58,44 +58,53 @@ def match_outcomes(
     return matched.withColumn("outcome", literal_map(outcome_of, F.col("code")))
 
 
+def _extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str], pick) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    row = F.struct(*[F.col(f"`{c}`") for c in (*order, *rest)])
+    found = df.groupBy(*keys).agg(pick(row).alias("_row"))
+    return found.select(*keys, "_row.*").select(*[f"`{c}`" for c in df.columns])
+
+
 def first_event(
     df: DataFrame, keys: Sequence[str] = ("pid",), order: Sequence[str] = ("event_date",)
 ) -> DataFrame:
-    """The first row per key. `order` should end in a tie-break column.
+    """The first row per key; ties go to the smaller remaining columns, left to right.
 
-    Spark ranks within each task before the shuffle, so at most one row per key
-    and task is sent.
+    A minimum over whole rows: tasks reduce their input to one row per key before
+    the shuffle, however many rows a key has. Select the needed columns first, as
+    every column takes part in the comparison.
     """
-    window = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
+    return _extreme(df, keys, order, F.min)
 
 
-def latest_per_year(
-    df: DataFrame, date: str = "event_date", tie: Sequence[str] = ()
-) -> DataFrame:
-    """The latest row per person and calendar year."""
-    dated = df.withColumn("event_year", F.year(date))
-    window = W.partitionBy("pid", "event_year").orderBy(F.desc(date), *tie)
-    return dated.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
+def latest_per_year(df: DataFrame, date: str = "event_date") -> DataFrame:
+    """The latest row per person and calendar year; ties go to the larger other columns."""
+    return _extreme(df.withColumn("event_year", F.year(date)), ("pid", "event_year"), (date,), F.max)
 
 
-def incident_by_category(
-    records: DataFrame,
-    categories: DataFrame,
-    code: str,
-    since: str | None = None,
-    tie: Sequence[str] = (),
+def first_per_category(
+    labelled: DataFrame, since: str | None = None, order: Sequence[str] = ("event_date",)
 ) -> DataFrame:
     """First record per person and category; months before `since` are dropped afterwards.
 
     A person whose first record is earlier than `since` is not incident later.
     """
-    labelled = lookup_join(records, categories, code)
-    first = first_event(labelled, ("pid", "category"), ("event_date", *tie))
+    first = first_event(labelled, ("pid", "category"), order)
     first = first.withColumn("event_mo", month_start(F.col("event_date")))
     return first if since is None else first.where(F.col("event_mo") >= day_literal(since))
 
 
+def incident_by_category(
+    records: DataFrame,
+    categories: DataFrame,
+    code: str,
+    since: str | None = None,
+    order: Sequence[str] = ("event_date",),
+) -> DataFrame:
+    """`first_per_category` of records that get their category from a code list."""
+    return first_per_category(lookup_join(records, categories, code), since, order)
+
+
 def registry_events(
     records: DataFrame,
     cohort: DataFrame,

@@ -364,7 +364,7 @@ JOIN (SELECT event_mo, count(*) AS n FROM (
         WHERE {_inside('event_date', star.AFTER)}) GROUP BY 1) b ON a.event_mo = b.event_mo""",
     "latest_per_year": """
 SELECT pid, CAST(year(event_date) AS INTEGER) AS event_year, event_id, event_date FROM event
-QUALIFY row_number() OVER (PARTITION BY pid, year(event_date) ORDER BY event_date DESC, event_id) = 1""",
+QUALIFY row_number() OVER (PARTITION BY pid, year(event_date) ORDER BY event_date DESC, event_id DESC) = 1""",
     "deaths_monthly": "SELECT event_mo, count(*) AS count FROM death GROUP BY 1",
     "deaths_yearly": "SELECT event_year, count(*) AS count FROM cardiac_death GROUP BY 1",
     "cause_specific_deaths": """

@@ -212,29 +212,23 @@ def incident_event(spark, sf):
     return _incident(spark, sf).select("pid", "event_id", "event_date", "event_mo", "area", "dob")
 
 
+def _medication(spark, sf):
+    """First order line per person and drug category, with the person's area."""
+    lines = star.records(spark, sf, star.drug_categories(spark, sf)).drop("value")
+    first = ev.first_per_category(lines, "1996-01-01", ("event_date", "event_id", "line"))
+    return first.join(star.cohort(spark, sf).select("pid", "area"), "pid")
+
+
 @query
 def incident_by_category(spark, sf):
-    return ev.incident_by_category(
-        star.records(spark, sf).drop("value"),
-        star.drug_categories(spark, sf),
-        "code",
-        "1996-01-01",
-        ("event_id", "line"),
-    ).join(star.cohort(spark, sf).select("pid", "area"), "pid").select(
+    return _medication(spark, sf).select(
         "pid", "category", "area", "event_id", "line", "event_date", "event_mo"
     )
 
 
 @query
 def category_counts(spark, sf):
-    first = ev.incident_by_category(
-        star.records(spark, sf).drop("value"),
-        star.drug_categories(spark, sf),
-        "code",
-        "1996-01-01",
-        ("event_id", "line"),
-    ).join(star.cohort(spark, sf).select("pid", "area"), "pid")
-    return rates.monthly_counts(first, ("category", "area", "event_mo"))
+    return rates.monthly_counts(_medication(spark, sf), ("category", "area", "event_mo"))
 
 
 @query
@@ -287,7 +281,8 @@ def reconcile_monthly(spark, sf):
 
 @query
 def latest_per_year(spark, sf):
-    return ev.latest_per_year(star.events(spark, sf), tie=("event_id",)).select(
+    events = star.events(spark, sf).select("pid", "event_date", "event_id")
+    return ev.latest_per_year(events).select(
         "pid", "event_year", "event_id", "event_date"
     )
 
@@ -325,7 +320,10 @@ def cause_specific_deaths(spark, sf):
 def _measures(spark, sf, band_at="index"):
     codes = _codelist(spark, sf).select("code", "rf")
     return ev.measure_records(
-        star.records(spark, sf, codes), codes, _follow(spark, sf), band_at=band_at
+        star.records(spark, sf, codes.select("code").distinct()),
+        codes,
+        _follow(spark, sf),
+        band_at=band_at,
     )
 
 

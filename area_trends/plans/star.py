@@ -134,8 +134,8 @@ def admissions(
 def records(spark: SparkSession, sf: str, codes: DataFrame | None = None) -> DataFrame:
     """One dated, coded record per order line, with a value that is missing at times.
 
-    `codes` (a column `code`) keeps only the records that carry one of them: a
-    broadcast before the person is looked up, so the other lines are not shuffled.
+    `codes` keeps only the records whose `code` it holds and adds its other
+    columns, before the person is looked up: the other lines are not shuffled.
     """
     lines = table(spark, sf, "lineitem").selectExpr(
         "l_orderkey AS event_id",
@@ -145,7 +145,8 @@ def records(spark: SparkSession, sf: str, codes: DataFrame | None = None) -> Dat
         "IF(l_quantity <= 45, l_quantity, NULL) AS value",
     )
     if codes is not None:
-        lines = lookup_join(lines, codes.select("code"), "code", "left_semi")
+        how = "left_semi" if codes.columns == ["code"] else "inner"
+        lines = lookup_join(lines, codes, "code", how)
     owner = table(spark, sf, "orders").selectExpr("o_orderkey AS event_id", "o_custkey AS pid")
     return lines.join(owner, "event_id")
 
