@@ -189,8 +189,13 @@ def coded_events(
     since: str | None = None,
 ) -> DataFrame:
     """The first listed record per cohort person and month, from month `since` on."""
-    rows = lookup_join(records.select("pid", "event_date", "code"), codes, "code")
-    rows = rows.withColumn("event_mo", month_start(F.col("event_date")))
+    rows = records.select("pid", "event_date", "code")
+    return first_per_month(lookup_join(rows, codes, "code"), cohort, since)
+
+
+def first_per_month(listed: DataFrame, cohort: DataFrame, since: str | None = None) -> DataFrame:
+    """`coded_events` of records that are known to be listed."""
+    rows = listed.withColumn("event_mo", month_start(F.col("event_date")))
     if since is not None:
         # The first test follows from the second and can reach the scan.
         floor = day_literal(since)
@@ -213,8 +218,21 @@ def measure_records(
     A record without value counts only for `value_optional` measures. The band is
     the cohort's own (`index`) or that of the age on the day (`event`).
     """
-    rows = lookup_join(records.select("pid", "event_date", "code", "value"), codes, "code")
-    rows = rows.where(F.col("value").isNotNull() | F.col("rf").isin(list(value_optional)))
+    rows = records.select("pid", "event_date", "code", "value")
+    labelled = lookup_join(rows, codes.select("code", "rf"), "code")
+    return followed_measures(labelled, follow, value_optional, band_at)
+
+
+def followed_measures(
+    labelled: DataFrame,
+    follow: DataFrame,
+    value_optional: Sequence[str] = VALUE_OPTIONAL,
+    band_at: str = "index",
+) -> DataFrame:
+    """`measure_records` of records that carry their measure `rf`."""
+    if band_at not in ("index", "event"):
+        raise ValueError(f"unknown band_at: {band_at}")
+    rows = labelled.where(F.col("value").isNotNull() | F.col("rf").isin(list(value_optional)))
     rows = rows.select("pid", "rf", "event_date").distinct()
     joined = rows.join(follow, "pid").where(
         F.col("event_date").between(F.col("start_date"), F.col("end_date"))

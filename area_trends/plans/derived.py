@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import POPULATION_AGE_BANDS
-from ..sources.tables import materialise, save_csv, scratch_folder
+from ..sources.tables import save_csv, scratch_folder
 from . import star
 
 AGE_LABELS = tuple(POPULATION_AGE_BANDS)
@@ -42,19 +42,13 @@ def yearly_files(spark: SparkSession, sf: str) -> list[str]:
     counts = label_counts(spark, sf)
     total = counts.groupBy("year", "area").agg(F.sum("n").alias("n"))
     both = counts.unionByName(total.withColumn("Age", F.lit("All ages")))
-    wide = materialise(
-        both.groupBy("year", "Age")
-        .pivot("area", list(AREAS))
-        .agg(F.sum("n"))
-        .select("year", "Age", *[_text(F.col(a)).alias(a) for a in AREAS]),
-        "yearly",
-    )
-    base = scratch_folder(spark, "population")
-    paths = []
-    for year in range(star.FIRST_YEAR, star.LAST_YEAR + 1):
-        paths.append(f"{base}/pop_{year}.csv")
-        save_csv(wide.where(F.col("year") == year).drop("year"), paths[-1])
-    return paths
+    wide = both.groupBy("year", "Age").pivot("area", list(AREAS)).agg(F.sum("n"))
+    wide = wide.select("year", "Age", *[_text(F.col(a)).alias(a) for a in AREAS])
+    path = scratch_folder(spark, "population")
+    name = F.format_string("pop_%d.csv", "year")
+    wide.withColumn("file", name).drop("year").write.partitionBy("file").option("header", True).csv(path)
+    years = range(star.FIRST_YEAR, star.LAST_YEAR + 1)
+    return [f"{path}/file=pop_{year}.csv" for year in years]
 
 
 def block_files(spark: SparkSession, sf: str) -> str:

@@ -258,8 +258,8 @@ def registry_counts(spark, sf):
 
 def _coded(spark, sf):
     codes = _codelist(spark, sf).where(F.col("rf") == "BP").select("code")
-    records = star.records(spark, sf, codes)
-    return ev.coded_events(records, star.cohort(spark, sf), codes, "1996-01-01")
+    listed = star.records(spark, sf, codes).select("pid", "event_date", "code")
+    return ev.first_per_month(listed, star.cohort(spark, sf), "1996-01-01")
 
 
 @query
@@ -287,14 +287,17 @@ def latest_per_year(spark, sf):
     )
 
 
-def _deaths(spark, sf):
+def _deaths(spark, sf, causes=None):
+    deaths = star.deaths(spark, sf)
+    if causes is not None:
+        # The causes are few, so they are looked up before the join on the person.
+        deaths = ev.cause_specific(deaths, causes)
     people = star.cohort(spark, sf).select("pid", "area", "dob")
-    return ev.registered_deaths(star.deaths(spark, sf), people, "19960101")
+    return ev.registered_deaths(deaths, people, "19960101")
 
 
 def _cause_specific(spark, sf):
-    causes = ev.chapter_codes(star.cause_codes(spark, sf), "S")
-    return ev.cause_specific(_deaths(spark, sf), causes)
+    return _deaths(spark, sf, ev.chapter_codes(star.cause_codes(spark, sf), "S"))
 
 
 @query
@@ -318,13 +321,8 @@ def cause_specific_deaths(spark, sf):
 
 
 def _measures(spark, sf, band_at="index"):
-    codes = _codelist(spark, sf).select("code", "rf")
-    return ev.measure_records(
-        star.records(spark, sf, codes.select("code").distinct()),
-        codes,
-        _follow(spark, sf),
-        band_at=band_at,
-    )
+    labelled = star.records(spark, sf, _codelist(spark, sf).select("code", "rf"))
+    return ev.followed_measures(labelled, _follow(spark, sf), band_at=band_at)
 
 
 @query
