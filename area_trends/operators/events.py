@@ -105,6 +105,22 @@ def incident_by_category(
     return first_per_category(lookup_join(records, categories, code), since, order)
 
 
+def _registry_rows(
+    records: DataFrame, after: str | None, before: str | None, dedupe: str | None
+) -> DataFrame:
+    """Rows with a person inside the range, deduplicated, before any join."""
+    if dedupe not in ("day", "month", None):
+        raise ValueError(f"unknown dedupe: {dedupe}")
+    rows = records.where(F.col("pid").isNotNull())
+    rows = rows.where(in_open_range(F.col("event_date"), after, before))
+    rows = rows.select("pid", "event_date").withColumn("event_mo", month_start(F.col("event_date")))
+    if dedupe == "day":
+        return rows.distinct()
+    if dedupe == "month":
+        return rows.groupBy("pid", "event_mo").agg(F.min("event_date").alias("event_date"))
+    return rows
+
+
 def registry_events(
     records: DataFrame,
     cohort: DataFrame,
@@ -117,16 +133,7 @@ def registry_events(
     `dedupe` keeps one row per person and day, one per person and month (its
     first day), or, with None, every row.
     """
-    rows = records.where(F.col("pid").isNotNull())
-    rows = rows.where(in_open_range(F.col("event_date"), after, before))
-    rows = rows.select("pid", "event_date").withColumn("event_mo", month_start(F.col("event_date")))
-    if dedupe == "day":
-        rows = rows.distinct()
-    elif dedupe == "month":
-        rows = rows.groupBy("pid", "event_mo").agg(F.min("event_date").alias("event_date"))
-    elif dedupe is not None:
-        raise ValueError(f"unknown dedupe: {dedupe}")
-    return rows.join(cohort, "pid")
+    return _registry_rows(records, after, before, dedupe).join(cohort, "pid")
 
 
 def registry_counts(
@@ -139,16 +146,10 @@ def registry_counts(
     """Monthly count of `registry_events`, without joining single rows.
 
     Rows are counted per person and month first, so the join and the second sum
-    see at most one row per person and month.
+    see at most one row per person and month. The cohort holds a person once.
     """
-    rows = records.where(F.col("pid").isNotNull())
-    rows = rows.where(in_open_range(F.col("event_date"), after, before))
-    rows = rows.select("pid", "event_date").withColumn("event_mo", month_start(F.col("event_date")))
-    if dedupe == "day":
-        rows = rows.distinct()
+    rows = _registry_rows(records, after, before, dedupe)
     per_person = rows.groupBy("pid", "event_mo").agg(F.count(F.lit(1)).alias("n"))
-    if dedupe == "month":
-        per_person = per_person.withColumn("n", F.lit(1).cast("long"))
     kept = per_person.join(cohort.select("pid"), "pid", "left_semi")
     return kept.groupBy("event_mo").agg(F.sum("n").alias("count"))
 

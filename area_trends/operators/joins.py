@@ -51,7 +51,8 @@ def hot_key_join(
     Keys above that share are counted exactly. There are at most 1 / share of
     them, so their lookup rows are broadcast and their facts stay where they are;
     all other keys go through an ordinary shuffle join. The counts are exact, so
-    both branches agree on which keys are hot when a task is run again.
+    both branches agree on which keys are hot when a task is run again. The facts
+    are read three times; materialise them first if they are costly to compute.
     """
     if how not in ("inner", "left_semi"):
         raise ValueError(f"unsupported join type: {how}")

@@ -13,14 +13,19 @@ from ..functions.fixed_values import POPULATION_AGE_BANDS
 from ..operators.codelists import literal_map
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
+def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str | None = None) -> DataFrame:
     """CSV parts with a header; blank text is '' and not null.
 
     The header must name the columns of the schema in its order, or Spark raises.
+    Without a schema Spark reads the files once more to infer the types.
     """
-    df = spark.read.schema(schema).option("enforceSchema", False).option("header", True).csv(paths)
+    reader = spark.read.option("header", True)
+    if schema is None:
+        df = reader.option("inferSchema", True).csv(paths)
+    else:
+        df = reader.schema(schema).option("enforceSchema", False).csv(paths)
     text = [name for name, kind in df.dtypes if kind == "string"]
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in text})
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in text})
 
 
 def read_tsv(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,27 @@ def snapshot(df: DataFrame, value: str, column: str = "archived_on", prefix: boo
     return df.where(held.startswith(value) if prefix else held == value)
 
 
-def save_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes a Parquet table, replacing an older one, and returns it re-read."""
+def save_table(
+    df: DataFrame,
+    name: str,
+    path: str | None = None,
+    partition_by: Sequence[str] = (),
+    bucket_by: str | None = None,
+    buckets: int = 0,
+) -> DataFrame:
+    """Writes a Parquet table, replacing an older one, and returns it re-read.
+
+    `partition_by` makes one folder per value (for snapshots); `bucket_by` with
+    `buckets` lays rows out by a key, so that later joins and groups on it, between
+    tables with equally many buckets, need no shuffle.
+    """
     writer = df.write.format("parquet").mode("overwrite")
     if path is not None:
         writer = writer.option("path", path)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    if bucket_by is not None:
+        writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
     writer.saveAsTable(name)
     return df.sparkSession.table(name)
 

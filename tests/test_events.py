@@ -78,8 +78,9 @@ def test_registry_range_and_dedupe(spark):
     assert rows(by_month, "pid", "event_date") == [(1, d("2018-05-01")), (2, d("2024-10-31"))]
     every = ev.registry_events(_registry(spark), cohort, *limits, dedupe=None)
     assert every.count() == 4
-    with pytest.raises(ValueError):
-        ev.registry_events(_registry(spark), cohort, *limits, dedupe="week")
+    for count in (ev.registry_events, ev.registry_counts):
+        with pytest.raises(ValueError):
+            count(_registry(spark), cohort, *limits, dedupe="week")
 
 
 @pytest.mark.parametrize("dedupe", ["day", "month", None])

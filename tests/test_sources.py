@@ -11,6 +11,13 @@ def test_csv_blanks_are_text(spark, tmp_path):
     assert rows(found, "code", "term", "n") == [("", "x", None), ("1", "", 5), ("2", "p, q", 6)]
 
 
+def test_csv_types_can_be_inferred(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("code,n\nx,5\n,6\n")
+    found = files.read_csv(spark, str(tmp_path / "a.csv"))
+    assert found.dtypes == [("code", "string"), ("n", "int")]
+    assert rows(found, "code", "n") == [("", 6), ("x", 5)]
+
+
 def test_csv_header_must_match(spark, tmp_path):
     (tmp_path / "a.csv").write_text("term,code\n1,2\n")
     with pytest.raises(Exception, match="(?i)header"):
@@ -96,6 +103,23 @@ def test_tables_and_sinks(spark, tmp_path):
     assert files.read_csv(spark, str(tmp_path / "csv"), "id long, text string").count() == 5
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = spark.range(100).selectExpr("id % 10 AS pid", "id AS event_id")
+        b = spark.range(10).selectExpr("id AS pid", "id AS area")
+        for name, df in (("area_trends_a", a), ("area_trends_b", b)):
+            tables.save_table(df, name, str(tmp_path / name), bucket_by="pid", buckets=4)
+        joined = spark.table("area_trends_a").join(spark.table("area_trends_b"), "pid")
+        assert joined.count() == 100
+        assert "Exchange" not in plan_of(joined)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("area_trends_a", "area_trends_b"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_materialise_uses_the_checkpoint_folder(spark):
     df = spark.range(5).selectExpr("id", "id % 2 = 0 AS even")
     stored = tables.materialise(df, "even")
