@@ -47,15 +47,17 @@ def merge_codelists(*lists: DataFrame) -> DataFrame:
 def codes_excluded(
     df: DataFrame,
     cluster: str,
-    other_cluster: str,
+    other_cluster: str | None = None,
     texts: Sequence[str] = (),
 ) -> DataFrame:
-    """Codes of one cluster that the other lacks and whose description holds none of `texts`."""
+    """Codes of one cluster, without those of another and those whose description holds a text."""
     kept = df.where(F.col("cluster") == cluster)
     for text in texts:
         kept = kept.where(~F.col("description").contains(text))
-    other = df.where(F.col("cluster") == other_cluster).select("code")
-    return kept.join(other, "code", "left_anti").select("code", "description").dropDuplicates()
+    if other_cluster is not None:
+        other = df.where(F.col("cluster") == other_cluster).select("code")
+        kept = kept.join(other, "code", "left_anti")
+    return kept.select("code", "description").dropDuplicates()
 
 
 def cluster_sizes(df: DataFrame, keys: Sequence[str] = ("cluster",)) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_from_text, in_open_range, month_start
@@ -14,12 +14,15 @@ from ..functions.fixed_values import (
     MEASURE_EXCLUDED_TEXT,
     MERSEY_AREA_CODES,
     MI_CODES,
+    POPULATION_AGE_BANDS,
     STROKE_CODES,
 )
 from ..operators import cohort as co
 from ..operators import codelists as cl
 from ..operators import events as ev
+from ..operators.denominators import population_summary
 from ..operators.rates import age_standardise, area_deprivation, attach_deprivation, band_counts
+from ..sources import files
 from ..sources.tables import snapshot
 from .pipelines import incident_events, projected_population
 
@@ -213,6 +216,26 @@ def risk_factors(
 # ---- rates
 
 
+def population_from_exports(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    area_codes: Mapping[str, str] = LONDON_AREA_CODES,
+) -> DataFrame:
+    """Population per year, band and area from export files with a block per year."""
+    blocks = files.population_blocks(spark, paths)
+    band = cl.literal_map(POPULATION_AGE_BANDS, F.col("age"))
+    return population_summary(blocks.withColumn("age_gp", band), area_codes)
+
+
+def population_from_yearly_files(
+    spark: SparkSession,
+    paths: Sequence[str],
+    area_codes: Mapping[str, str] = MERSEY_AREA_CODES,
+) -> DataFrame:
+    """Population per year, band and area from one file per year."""
+    return population_summary(files.population_long(spark, paths), area_codes)
+
+
 def population(history: DataFrame) -> DataFrame:
     """Monthly denominators from rows (year as yyyy-MM-dd, age_gp, lad, population), with 2024 projected."""
     return projected_population(

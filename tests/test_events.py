@@ -187,6 +187,7 @@ def test_merge_and_exclude_codes(spark):
         "cluster string, code string, description string",
     )
     assert rows(cl.codes_excluded(df, "C", "A", ("Average",)), "code") == [("2",)]
+    assert rows(cl.codes_excluded(df, "C"), "code") == [("1",), ("2",), ("3",)]
 
 
 def test_subtypes(spark):

@@ -175,3 +175,18 @@ def test_rates_to_trends(spark, cohort):
     assert first["age_standardised_rate"] == pytest.approx(100 * 0.21385191984090562)
     series = pipelines.chart_series(rate, ("area_label",))
     assert series.where("covid_period = 'Pre-COVID'").count() == 14
+
+
+def test_population_files(spark, tmp_path):
+    block = '"Date :",{y}\n"lad","Age"\n"local authority","Age 18","Aged 20-24","All"\n"Barnet","1,000",{n},9\n{end}'
+    text = '"Population"\n' + block.format(y=2018, n=20, end='"a"\n"b"\n') + block.format(y=2019, n=30, end="")
+    (tmp_path / "export.csv").write_text(text)
+    found = studies.population_from_exports(spark, str(tmp_path / "export.csv"))
+    assert rows(found, "year", "age_gp", "area", "area_code", "population") == [
+        (2018, "18-39", "Barnet", "E09000003", 1020.0), (2019, "18-39", "Barnet", "E09000003", 1030.0),
+    ]
+    next_year = pipelines.projected_population(found, 2020).where("year_mo = DATE'2020-05-01'")
+    assert rows(next_year, "`18-39`", "`80+`") == [(1040.0, None)]
+    (tmp_path / "pop_2018.csv").write_text("Age,Halton\nAge 18,5\nAged 20-24,6\n")
+    found = studies.population_from_yearly_files(spark, [str(tmp_path / "pop_2018.csv")])
+    assert rows(found, "year", "age_gp", "area_code", "population") == [(2018, "18-39", "E06000006", 11.0)]
