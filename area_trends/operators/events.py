@@ -18,7 +18,7 @@ from ..functions.bands import age_band_open, age_years
 from ..functions.dates import day_from_text, day_literal, in_open_range, month_start
 from ..functions.fixed_values import VALUE_OPTIONAL
 from .codelists import literal_map
-from .joins import lookup_join
+from .joins import lookup_join, person_join
 
 
 def _mentions(text: Column, codes: Sequence[str]) -> Column:
@@ -127,13 +127,14 @@ def registry_events(
     after: str | None = None,
     before: str | None = None,
     dedupe: str | None = "day",
+    split_hot: bool = False,
 ) -> DataFrame:
     """Registry rows of the cohort with their month, inside an open date range.
 
     `dedupe` keeps one row per person and day, one per person and month (its
-    first day), or, with None, every row.
+    first day), or, with None, every row; see `person_join` for `split_hot`.
     """
-    return _registry_rows(records, after, before, dedupe).join(cohort, "pid")
+    return person_join(_registry_rows(records, after, before, dedupe), cohort, split_hot)
 
 
 def registry_counts(
@@ -159,11 +160,12 @@ def registered_deaths(
     cohort: DataFrame,
     since: str,
     date_text: str = "reg_dod",
+    split_hot: bool = False,
 ) -> DataFrame:
     """Deaths of the cohort since a day given, like the column, as yyyyMMdd text."""
     text = F.col(date_text)
     rows = deaths.where(text >= since)
-    return rows.join(cohort, "pid").withColumns(
+    return person_join(rows, cohort, split_hot).withColumns(
         {
             "event_year": F.substring(text, 1, 4),
             "event_mo": month_start(day_from_text(text)),

@@ -63,3 +63,13 @@ def hot_key_join(
     hot_rows = facts.join(F.broadcast(hot_lookup), on, how)
     other_rows = facts.join(F.broadcast(hot), on, "left_anti").join(lookup, on, how)
     return hot_rows.unionByName(other_rows)
+
+
+def person_join(facts: DataFrame, persons: DataFrame, split_hot: bool = False) -> DataFrame:
+    """Joins single facts to persons, for results that keep every fact.
+
+    Nothing after this join needs the facts arranged by person, so adaptive
+    execution may split a frequent person's partition. `split_hot` does the same
+    without it: frequent persons, one row each, are broadcast to their facts.
+    """
+    return hot_key_join(facts, persons, "pid") if split_hot else facts.join(persons, "pid")

@@ -106,6 +106,18 @@ def test_adaptive_execution_splits_a_hot_person(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_hot_person_can_be_split_explicitly(spark):
+    deaths = _hot_person(spark, 6000).selectExpr(
+        "pid", "date_format(event_date, 'yyyyMMdd') AS reg_dod", "CAST(event_id AS STRING) AS cause"
+    )
+    people = spark.range(6000).selectExpr("id AS pid", "id % 5 AS area")
+    plain = ev.registered_deaths(deaths, people, "20190101")
+    split = ev.registered_deaths(deaths, people, "20190101", split_hot=True)
+    assert split.columns == plain.columns
+    assert rows(split, *plain.columns) == rows(plain, *plain.columns)
+    assert "LeftAnti" in plan_of(split) and "LeftAnti" not in plan_of(plain)
+
+
 def test_measures_of_a_hot_person(spark):
     """Repeated records of one person and day collapse before the person join."""
     records = spark.range(9000).selectExpr(
