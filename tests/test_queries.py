@@ -5,9 +5,10 @@ from compare import duckdb_connection, duckdb_table, spark_table
 from helpers import plan_of
 
 import __spark_entry__ as entry
+from area_trends.plans.oracle import ORACLE
+from area_trends.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +18,8 @@ def duck():
 
 def test_every_query_has_a_twin():
     assert QUERIES.keys() == ORACLE.keys()
+    assert QUERIES.items() <= entry.queries().items()
+    assert ORACLE.items() <= entry.oracle_sql().items()
 
 
 def test_flagship(spark):
