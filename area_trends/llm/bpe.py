@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable
 
 import numpy as np
+import regex
 
 #: Fixed value: the published pre-token pattern of the byte-level vocabularies.
 PRE_TOKENS = (
@@ -21,6 +23,34 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Parts:
+    """Cuts a text into parts whose tokens do not depend on what stands beside them.
+
+    A space without white space on both sides always starts a pre-token, so a text is cut
+    there; a text with other runs of white space is cut into its pre-tokens. Special
+    strings are parts of their own.
+    """
+
+    def __init__(self, special: Iterable[str] = ()):
+        self.pattern = regex.compile(PRE_TOKENS)
+        self.odd_space = re.compile(r"\s \s")
+        self.special = set(special)
+        longest_first = sorted(map(re.escape, self.special), key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(longest_first) or '(?!)'})")
+
+    def of(self, text: str) -> list[str]:
+        """The parts in order; joined they are the text."""
+        if len(self.special) and (segments := self.cut.split(text))[1:]:
+            return [p for s in segments for p in ([s] if s in self.special else self.plain(s))]
+        return self.plain(text)
+
+    def plain(self, text: str) -> list[str]:
+        if self.odd_space.search(text):
+            return self.pattern.findall(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + p for p in rest]]
+
+
 class Merges:
     """The merge rules of a `tokenizers` file as arrays.
 

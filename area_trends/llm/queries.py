@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from area_trends.llm.pieces import piece_digests
 from area_trends.llm.token_counts import token_counts
+from area_trends.llm.token_files import token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +24,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in ORC files, described from what was written."""
+    return token_files(documents(spark, sf_dir), BYTE_BPE)
+
+
+def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to pieces and decoded again."""
+    return piece_digests(documents(spark, sf_dir), PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op9_token_files": op9_token_files,
+    "op10_piece_coding": op10_piece_coding,
 }
 
 ORACLE: dict[str, str] = {}

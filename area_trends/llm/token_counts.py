@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,49 +17,33 @@ SLICE_BYTES = 16_000_000
 
 
 class Counter:
-    """Counts tokens of texts; words met before are looked up.
+    """Counts tokens of texts; parts met before are looked up.
 
-    A space that has no white space on both sides always starts a pre-token, so the
-    parts between such spaces are counted alone and their counts kept, up to
-    `max_cached` parts, after which the store starts anew.
+    Up to `max_cached` parts are kept, after which the store starts anew.
     """
 
     def __init__(self, path: str, max_cached: int = MAX_CACHED):
         self.merges = bpe.Merges(path)
-        self.pattern = regex.compile(bpe.PRE_TOKENS)
-        self.odd_space = re.compile(r"\s \s")
-        self.special = [re.escape(t) for t in self.merges.special]
-        self.special = re.compile("|".join(sorted(self.special, key=len, reverse=True)) or "(?!)")
+        self.parts = bpe.Parts(self.merges.special)
         self.known: dict[str, int] = {}
         self.max_cached = max_cached
 
-    def parts(self, text: str) -> list[str]:
-        """Parts of a text that merge independently; all but the first start at a space."""
-        if self.odd_space.search(text):
-            return self.pattern.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
-
     def learn(self, parts: list[str]) -> None:
         """Adds the counts of new parts."""
-        pieces = [self.pattern.findall(p) for p in parts]
+        pieces = [self.parts.pattern.findall(p) for p in parts]
         distinct = list(set().union(*pieces))
         count = dict(zip(distinct, bpe.count_symbols(distinct, self.merges).tolist(), strict=True))
         self.known.update((p, sum(map(count.__getitem__, x))) for p, x in zip(parts, pieces, strict=True))
+        self.known.update(dict.fromkeys(self.parts.special, 1))
 
     def count(self, values: list[str]) -> list[int]:
-        counts, held = [], []
-        for text in values:
-            segments = self.special.split(text)
-            counts.append(len(segments) - 1)
-            held.append([p for s in segments for p in self.parts(s)] if len(segments) > 1 else self.parts(text))
+        held = [self.parts.of(text) for text in values]
         if len(self.known) > self.max_cached:
             self.known.clear()
         new = set().union(*held).difference(self.known)
         if new:
             self.learn(list(new))
-        look_up = self.known.__getitem__
-        return [n + sum(map(look_up, parts)) for n, parts in zip(counts, held, strict=True)]
+        return [sum(map(self.known.__getitem__, parts)) for parts in held]
 
 
 def counting(path: str, max_cached: int) -> Callable:
