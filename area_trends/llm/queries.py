@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from area_trends.llm.language_id import language_id
 from area_trends.llm.pieces import piece_digests
 from area_trends.llm.token_counts import token_counts
 from area_trends.llm.token_files import token_files
@@ -24,6 +25,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    return language_id(documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents in ORC files, described from what was written."""
     return token_files(documents(spark, sf_dir), BYTE_BPE)
@@ -36,6 +42,7 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_language_id": op2_language_id,
     "op9_token_files": op9_token_files,
     "op10_piece_coding": op10_piece_coding,
 }
