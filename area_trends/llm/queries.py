@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from area_trends.llm.decontaminate import contamination
 from area_trends.llm.language_id import language_id
 from area_trends.llm.pieces import piece_digests
 from area_trends.llm.token_counts import token_counts
@@ -30,6 +31,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents share with the benchmark."""
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents in ORC files, described from what was written."""
     return token_files(documents(spark, sf_dir), BYTE_BPE)
@@ -43,6 +49,7 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
+    "op7_decontamination": op7_decontamination,
     "op9_token_files": op9_token_files,
     "op10_piece_coding": op10_piece_coding,
 }
