@@ -1,0 +1,110 @@
+"""The Jaccard join against all pairs, and its bounds."""
+
+import re
+
+import numpy as np
+import pytest
+from area_trends.llm import jaccard_join as jj
+from area_trends.llm import queries
+from area_trends.llm.graph import components
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text, size):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = WORD.findall(lower)
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1)))
+
+
+def brute(rows, size=3, percent=90):
+    sets = [(i, shingles(t, size)) for i, t in rows]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, (_, a) in enumerate(sets):
+        for y, (_, b) in enumerate(sets[:x]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                parent[find(x)] = find(y)
+    low = {}
+    for x, (i, _) in enumerate(sets):
+        low[find(x)] = min(low.get(find(x), i), i)
+    return sorted((i, len(s), low[find(x)]) for x, (i, s) in enumerate(sets))
+
+
+def got(df):
+    return sorted((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
+
+
+def test_query(spark, sf):
+    rows = queries.documents(spark, sf).select("doc_id", "text").collect()
+    expected = brute(rows)
+    assert got(queries.op5_jaccard_join(spark, sf)) == expected
+    assert any(i != c for i, _, c in expected)
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_edited_copies(spark, size, percent):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for n in (1, 2, 3, 5, 9, 12, 14, 25, 60, 200, 700):
+        base = list(rng.choice(vocabulary, n))
+        for edits in (0, 0, 1, 2, 3, 6, 12, 25):
+            text = list(base)
+            for at in rng.integers(0, n, min(edits, n)):
+                text[at] = str(rng.choice(vocabulary))
+            rows.append((len(rows) * 3 + 1, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jj.jaccard_components(docs, size, percent)) == brute(rows, size, percent)
+
+
+def test_chain_and_star_of_near_copies(spark):
+    base = [f"a{i}" for i in range(120)]
+    rows = [(1000, " ".join(base))]
+    for k in range(40):
+        text = list(base)
+        text[(3 * k) % 120] = f"x{k}"
+        rows.append((k, " ".join(text)))
+    shift = [" ".join(f"c{i}" for i in range(k * 4, k * 4 + 150)) for k in range(12)]
+    rows += [(2000 - k, t) for k, t in enumerate(shift)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(jj.jaccard_components(docs)) == brute(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(9, 400), st.integers(0, 40), st.integers(0, 40), st.integers(0, 2**32))
+def test_linked_sets_share_a_key(n, less, more, seed):
+    rng = np.random.default_rng(seed)
+    pool = np.unique(rng.integers(0, 2**63, n + more, dtype=np.uint64))
+    a, b = np.sort(pool[:n]), np.sort(pool[min(less, n - 1) :])
+    shared = len(np.intersect1d(a, b))
+    distance = len(a) + len(b) - 2 * shared
+    assert jj.sketch_distance(jj.parity_sketch(a), jj.parity_sketch(b)) <= distance
+    bands = jj.Bands(90)
+    if 100 * shared >= 90 * (distance + shared) and distance:
+        assert len(np.intersect1d(jj.all_keys(a, bands), jj.all_keys(b, bands)))
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(50)] + [(100, 101), (103, 101), (7, 60)]
+    found = components(spark.createDataFrame(chain, "a long, b long")).collect()
+    assert {r.node: r.component for r in found} == {**dict.fromkeys([*range(51), 60], 0), **dict.fromkeys((100, 101, 103), 100)}
+
+
+def test_rows(spark):
+    rows = [(1, None), (2, ""), (3, "  \n"), (4, "A b"), (5, "a B "), (5, "a b"), (6, "a"), (7, "z " * 50), (8, "Z " * 60)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, node int, keys string")
+    assert got(jj.jaccard_components(docs)) == brute(rows)
+    kept = jj.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7]
+    assert jj.jaccard_components(docs.limit(0)).count() == 0
