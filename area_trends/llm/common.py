@@ -21,12 +21,16 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select("doc_id", text_of(docs).alias("text"), *extra)
 
 
-def worker_cache(name: str, make: Callable):
-    """A value that lives as long as the Python worker, so later tasks in it can reuse it."""
+def worker_cache(name: str, make: Callable, version: str = ""):
+    """A value that lives as long as the Python worker, so later tasks in it can reuse it.
+
+    Only the latest version of a name is held.
+    """
     held = sys.modules.setdefault("corpus_worker_cache", SimpleNamespace(values={})).values
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    if name not in held or held[name][0] != version:
+        held.pop(name, None)
+        held[name] = (version, make())
+    return held[name][1]
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from area_trends.llm.decontaminate import contamination
 from area_trends.llm.jaccard_join import jaccard_components
 from area_trends.llm.language_id import language_id
+from area_trends.llm.lm_score import lm_scores
 from area_trends.llm.pieces import piece_digests
 from area_trends.llm.token_counts import token_counts
 from area_trends.llm.token_files import token_files
@@ -32,6 +33,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of all documents, beside a word unigram base."""
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share nine tenths of their three-word shingles."""
     return jaccard_components(documents(spark, sf_dir))
@@ -55,6 +61,7 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
+    "op4_lm_score": op4_lm_score,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_decontamination": op7_decontamination,
     "op9_token_files": op9_token_files,
