@@ -23,45 +23,114 @@ STRIPE_BYTES = 16 * 1024 * 1024
 ROWS_PER_INDEX = 1000
 
 
+class Growing:
+    """An integer array that grows at its end."""
+
+    def __init__(self):
+        self.held, self.size = np.zeros(1 << 16, np.int32), 0
+
+    def extend(self, values: list[int]) -> None:
+        while self.size + len(values) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+
+class Numbers(dict):
+    """Numbers parts as they are met: a string is a word after a space, bytes stand alone."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str | bytes] = []
+
+    def __missing__(self, part: str | bytes) -> int:
+        self.new.append(part)
+        self[part] = number = len(self)
+        return number
+
+
 class Encoder:
-    """Token ids as the library gives them; parts met before are looked up."""
+    """Token ids as the library gives them; parts met before are looked up.
+
+    Up to about `max_cached` parts are kept, after which the store starts anew. A word
+    closed by a comma or a full stop is looked up without it.
+    """
 
     def __init__(self, path: str, max_cached: int = MAX_CACHED):
         self.library = Tokenizer.from_file(path)
         self.parts = Parts(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
         self.max_cached = max_cached
-
-    def encode(self, values: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        held = [self.parts.of(text) for text in values]
-        if len(self.known) > self.max_cached:
-            self.known.clear()
-        new = list(set().union(*held).difference(self.known))
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            found = self.library.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, found, strict=True))
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in held]
-
-
-def id_lists(encoded: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, encoded)]) // 4
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers = Numbers()
+        self.ids, self.starts, self.sizes = Growing(), Growing(), Growing()
+
+    def keys(self, text: str) -> list[str | bytes]:
+        if self.parts.odd_space.search(text) or self.parts.cut.search(text):
+            return [p.encode() for p in self.parts.of(text)]
+        first, *rest = text.split(" ")
+        return [first.encode(), *rest]
+
+    def learn(self) -> None:
+        """Finds the ids of newly numbered parts."""
+        numbers, alone, closed = self.numbers, [], []
+        first = self.starts.size
+        for part in numbers.new:  # grows by the words that closed ones are made of
+            word = part[:-1]
+            if isinstance(part, str) and part[-1:] in (",", ".") and word.isalpha() and max(word) < "\u0250":
+                closed.append((numbers[part], numbers[word], numbers[part[-1].encode()]))
+            else:
+                alone.append(part)
+        self.starts.extend([0] * len(numbers.new))
+        self.sizes.extend([0] * len(numbers.new))
+        for i in range(0, len(alone), 10_000):
+            some = alone[i : i + 10_000]
+            written = [p.decode() if isinstance(p, bytes) else " " + p for p in some]
+            for part, found in zip(some, self.library.encode_batch_fast(written, add_special_tokens=False), strict=True):
+                self.put(numbers[part], found.ids)
+        for number, word, mark in closed:
+            self.put(number, [*self.of(word), *self.of(mark)])
+        assert self.starts.size == len(numbers) == first + len(numbers.new)
+        numbers.new = []
+
+    def put(self, number: int, ids: list[int]) -> None:
+        self.starts.held[number], self.sizes.held[number] = self.ids.size, len(ids)
+        self.ids.extend(ids)
+
+    def of(self, number: int) -> list[int]:
+        start = self.starts.held[number]
+        return self.ids.held[start : start + self.sizes.held[number]].tolist()
+
+    def encode(self, values: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by `end_id`, and how many each text has."""
+        if len(self.numbers) > self.max_cached:
+            self.clear()
+        split = [self.keys(text) for text in values]
+        look_up = self.numbers.__getitem__
+        found = [np.fromiter(map(look_up, keys), np.int64, len(keys)) for keys in split]
+        self.learn()
+        ends = np.cumsum([len(f) + 1 for f in found]) - 1
+        parts = np.concatenate([x for f in found for x in (f, [0])]).astype(np.int64)
+        sizes = self.sizes.held[parts].astype(np.int64)
+        sizes[ends] = 1
+        before = np.cumsum(sizes) - sizes
+        out = self.ids.held[np.repeat(self.starts.held[parts] - before, sizes) + np.arange(sizes.sum())]
+        out[before[ends]] = end_id
+        return out, np.diff(np.r_[0, before[ends] + 1])
 
 
 def encoding(path: str, end_id: int, max_cached: int) -> Callable:
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         encoder = worker_cache(f"token files {path}", lambda: Encoder(path, max_cached))
         shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                ids = [e + end for e in encoder.encode(part.column("text").to_pylist())]
-                starts = start + np.cumsum([0, *[len(e) // 4 for e in ids]])
-                start = int(starts[-1])
-                columns = [part.column("doc_id"), np.full(len(ids), shard, np.int32), starts[:-1], id_lists(ids)]
+                ids, sizes = encoder.encode(part.column("text").to_pylist(), end_id)
+                ends = np.r_[0, np.cumsum(sizes)]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                columns = [part.column("doc_id"), np.full(len(sizes), shard, np.int32), start + ends[:-1], lists]
+                start += int(ends[-1])
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c) for c in columns],
                     ["doc_id", "shard", "shard_start", "ids"],
