@@ -35,3 +35,58 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.drop("old")
         if after.where(F.col("old") != F.col("component")).isEmpty():
             return labels
+
+
+class Verifier:
+    """Tells which candidate pairs are linked; no pair is looked at twice."""
+
+    def __init__(self):
+        self.seen: DataFrame | None = None
+
+    def check(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones (a, b) of distinct pairs."""
+        raise NotImplementedError
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of those pairs that were not seen before."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.seen is not None:
+            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        self.seen = pairs if self.seen is None else self.seen.union(pairs)
+        return materialise(self.check(pairs), "links")
+
+
+def link_members(members: DataFrame, verifier: Verifier) -> DataFrame:
+    """Links that connect whatever all pairs within the keys (key, node, low) would connect.
+
+    First every member of a key is compared with its smallest one, then, where a key
+    still holds several components, with its best-linked one; only members of different
+    components that share a key are then compared with each other. So a large group of
+    near copies costs a comparison or two per key and member.
+    """
+    first = members.where(F.col("node") != F.col("low")).select(F.col("low").alias("a"), F.col("node").alias("b"))
+    links = verifier.links(first)
+
+    def open_keys() -> DataFrame:
+        named = components(links)
+        held = members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        return materialise(held.join(several.where("x < y").select("key"), "key"), "open_keys")
+
+    held = open_keys()
+    ends = links.select("a").union(links.select("b"))
+    degree = ends.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    best = (
+        held.join(degree, "node", "left")
+        .groupBy("key")
+        .agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "component")).alias("best"))
+        .select("key", F.col("best.node").alias("a"), F.col("best.component").alias("other"))
+    )
+    second = held.join(best, "key").where(F.col("component") != F.col("other")).select("a", F.col("node").alias("b"))
+    links = materialise(links.union(verifier.links(second)), "links")
+    held = open_keys()
+    left = held.select("key", F.col("node").alias("a"), F.col("component").alias("left"))
+    right = held.select("key", F.col("node").alias("b"), F.col("component").alias("right"))
+    rest = left.join(right, "key").where("left < right").select("a", "b")
+    return materialise(links.union(verifier.links(rest)), "links")

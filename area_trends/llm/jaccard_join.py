@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from area_trends.llm.common import slices, texts, worker_cache
-from area_trends.llm.graph import components
+from area_trends.llm.graph import Verifier, components, link_members
 from area_trends.sources.tables import materialise
 
 SLICE_BYTES = 8_000_000
@@ -153,33 +153,32 @@ def list_of(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
-def keying(size: int, percent: int) -> Callable:
+def keying(name: str, make: Callable, keys_of: Callable) -> Callable:
     def run(batches):
-        shingler = worker_cache(f"shingles {size}", lambda: Shingler(size))
-        bands = Bands(percent)
+        maker = worker_cache(name, make)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                sets = list(shingler.sets(part.column("text").to_pylist()))
+                sets = list(maker.sets(part.column("text").to_pylist()))
                 columns = [
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                    list_of([all_keys(s, bands) for s in sets]),
+                    list_of([keys_of(s) for s in sets]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "keys"])
 
     return run
 
 
-def taking_sets(size: int, held) -> Callable:
+def taking_sets(name: str, make: Callable, held) -> Callable:
     def run(batches):
-        shingler = worker_cache(f"shingles {size}", lambda: Shingler(size))
+        maker = worker_cache(name, make)
         wanted = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             slot = batch.column("slot").to_numpy()
             batch = batch.filter(pa.array((wanted[slot >> 3] >> (slot & 7) & 1).astype(bool)))
             for part in slices(batch, "text", SLICE_BYTES):
-                sets = list(shingler.sets(part.column("text").to_pylist()))
+                sets = list(maker.sets(part.column("text").to_pylist()))
                 columns = [
                     part.column("doc_id"),
                     pa.array([node_of(s) for s in sets], pa.int64()),
@@ -203,7 +202,7 @@ def close_sketches(percent: int) -> Callable:
     return run
 
 
-def slot_of(column: str):
+def slot_of(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
 
 
@@ -218,92 +217,47 @@ def slot_filter(ids: DataFrame) -> bytes:
     return words.tobytes()
 
 
-class Verifier:
-    """Tells which candidate pairs reach the similarity; no pair is looked at twice."""
+class SetVerifier(Verifier):
+    """Compares sets: first by the distance of their sketches, then element by element."""
 
     def __init__(self, held: DataFrame, percent: int):
+        super().__init__()
         self.held, self.percent = held, percent
-        self.seen: DataFrame | None = None
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked, out of distinct ones that were not seen before."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        self.seen = pairs if self.seen is None else self.seen.union(pairs)
-        size = F.size("elements").cast("long")
-        named = lambda x, *c: self.held.select(F.col("node").alias(x), *[v.alias(f"{n}_{x}") for n, v in c])
-        short = (("size", size), ("sketch", F.col("sketch")))
+
+    def side(self, name: str, **columns: Column) -> DataFrame:
+        return self.held.select(F.col("node").alias(name), *[v.alias(f"{n}_{name}") for n, v in columns.items()])
+
+    def check(self, pairs: DataFrame) -> DataFrame:
+        short = {"size": F.size("elements").cast("long"), "sketch": F.col("sketch")}
         close = materialise(
-            pairs.join(named("a", *short), "a")
-            .join(named("b", *short), "b")
+            pairs.join(self.side("a", **short), "a")
+            .join(self.side("b", **short), "b")
             .mapInArrow(close_sketches(self.percent), "a long, b long"),
             "close_pairs",
         )
-        whole = (("elements", F.col("elements")),)
+        whole = {"elements": F.col("elements")}
         shared = F.size(F.array_intersect("elements_a", "elements_b"))
         union = F.size("elements_a") + F.size("elements_b") - shared
-        return materialise(
-            close.join(named("a", *whole), "a")
-            .join(named("b", *whole), "b")
+        return (
+            close.join(self.side("a", **whole), "a")
+            .join(self.side("b", **whole), "b")
             .where(100 * shared.cast("long") >= self.percent * union.cast("long"))
-            .select("a", "b"),
-            "links",
+            .select("a", "b")
         )
 
 
-def link_sets(members: DataFrame, verifier: Verifier) -> DataFrame:
-    """Links that connect whatever all pairs within the keys (key, node, low) would connect.
-
-    First every member of a key is compared with its smallest one, then, where a key
-    still holds several components, with its best-linked one; only members of different
-    components that share a key are then compared with each other. So a large group of
-    near copies costs a comparison or two per key and member.
-    """
-    links = verifier.links(members.where(F.col("node") != F.col("low")).select(F.col("low").alias("a"), F.col("node").alias("b")))
-
-    def open_keys() -> DataFrame:
-        named = components(links)
-        held = members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        return materialise(held.join(several.where("x < y").select("key"), "key"), "open_keys")
-
-    held = open_keys()
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    best = (
-        held.join(degree, "node", "left")
-        .groupBy("key")
-        .agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "node", "component")).alias("best"))
-        .select("key", F.col("best.node").alias("a"), F.col("best.component").alias("other"))
-    )
-    second = held.join(best, "key").where(F.col("component") != F.col("other")).select("a", F.col("node").alias("b"))
-    links = materialise(links.union(verifier.links(second)), "links")
-    held = open_keys()
-    left = held.select("key", F.col("node").alias("a"), F.col("component").alias("left"))
-    right = held.select("key", F.col("node").alias("b"), F.col("component").alias("right"))
-    rest = left.join(right, "key").where("left < right").select("a", "b")
-    return materialise(links.union(verifier.links(rest)), "links")
-
-
-def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of each document.
+def set_components(docs: DataFrame, name: str, make: Callable, keys_of: Callable, percent: int) -> DataFrame:
+    """doc_id, n_elements, component_id and n_links of documents joined by sets of hashes.
 
-    Two documents link when their sets of `size`-word shingles share at least `percent`
-    hundredths of their union; component_id is the smallest doc_id reachable by links.
-    n_links counts the links of a document's set to different sets that were verified.
-    Sets are compared by 64-bit hashes of their shingles, equal sets only once.
-    Documents without words (null, empty) link with nothing. Repeated rows are equal
-    sets; other columns are ignored. A set links only within its own and the neighbouring
-    size band, and keys of both are aggregated, so frequent sets combine map-side.
+    `make` gives an object whose `sets` turns texts into sorted distinct hashes, and
+    `keys_of` the join keys of a set: two linked sets must have one in common. Equal sets
+    are compared once. Keys are aggregated, so frequent sets combine map-side.
     """
     rows = texts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = materialise(
-        rows.mapInArrow(
-            keying(size, percent), f"doc_id {kind}, n_shingles long, node long, keys array<long>"
-        ),
-        "shingle_keys",
+        rows.mapInArrow(keying(name, make, keys_of), f"doc_id {kind}, n_elements long, node long, keys array<long>"),
+        "set_keys",
     )
     exploded = keyed.select("node", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
@@ -317,33 +271,51 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
     wanted = docs.sparkSession.sparkContext.broadcast(slot_filter(chosen))
     held = (
         rows.withColumn("slot", slot_of("doc_id"))
-        .mapInArrow(taking_sets(size, wanted), f"doc_id {kind}, node long, sketch binary, elements array<long>")
+        .mapInArrow(
+            taking_sets(name, make, wanted), f"doc_id {kind}, node long, sketch binary, elements array<long>"
+        )
         .join(chosen.select("node", F.col("doc_id").alias("_chosen")), "node")
         .where(F.col("doc_id").eqNullSafe(F.col("_chosen")))
         .dropDuplicates(["node"])
         .select("node", "sketch", "elements")
     )
-    links = link_sets(members, Verifier(materialise(held, "shingle_sets"), percent))
-    named = components(links)
+    links = link_members(members, SetVerifier(materialise(held, "sets"), percent))
     lowest = (
         keyed.groupBy("node")
         .agg(F.min("doc_id").alias("lowest"))
         .where(F.col("node").isNotNull())
-        .join(named, "node", "left")
+        .join(components(links), "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
     lowest = materialise(lowest, "lowest")
     heads = lowest.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
+    ends = links.select("a").union(links.select("b"))
+    counts = ends.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
     of_node = lowest.join(heads, "component").join(counts, "node", "left").select("node", "component_id", "n_links")
     return keyed.join(of_node, "node", "left").select(
         "doc_id",
-        "n_shingles",
+        "n_elements",
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
+def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of each document.
+
+    Two documents link when their sets of `size`-word shingles share at least `percent`
+    hundredths of their union; component_id is the smallest doc_id reachable by links.
+    n_links counts the links of a document's set to different sets that were verified.
+    Sets are compared by 64-bit hashes of their shingles. Documents without words (null,
+    empty) link with nothing. Repeated rows are equal sets; other columns are ignored.
+    """
+    bands = Bands(percent)
+    found = set_components(
+        docs, f"shingles {size}", lambda: Shingler(size), lambda s: all_keys(s, bands), percent
+    )
+    return found.withColumnRenamed("n_elements", "n_shingles")
+
+
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each group of near copies: the one with the smallest doc_id.
 

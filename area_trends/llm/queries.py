@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from area_trends.llm.decontaminate import contamination
 from area_trends.llm.jaccard_join import jaccard_components
 from area_trends.llm.language_id import language_id
+from area_trends.llm.line_dedup import line_dedup
 from area_trends.llm.lm_score import lm_scores
 from area_trends.llm.pieces import piece_digests
+from area_trends.llm.spot_signatures import fingerprints
 from area_trends.llm.token_counts import token_counts
 from area_trends.llm.token_files import token_files
 
@@ -33,6 +35,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat an earlier one."""
+    return line_dedup(documents(spark, sf_dir))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code lengths of all documents, beside a word unigram base."""
     return lm_scores(documents(spark, sf_dir))
@@ -48,6 +55,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, their edited texts, and how alike they are."""
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents in ORC files, described from what was written."""
     return token_files(documents(spark, sf_dir), BYTE_BPE)
@@ -61,9 +73,11 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op4_lm_score": op4_lm_score,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_decontamination": op7_decontamination,
+    "op8_fingerprints": op8_fingerprints,
     "op9_token_files": op9_token_files,
     "op10_piece_coding": op10_piece_coding,
 }
