@@ -9,15 +9,24 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.001
 
 
+JOIN_TYPES = ("inner", "left", "left_semi", "left_anti")
+
+
 def table_bytes(df: DataFrame) -> int:
-    """Measured size of a lookup: text at its length, other columns at 8 bytes.
+    """Measured size of a lookup: text and binary at their length, nested columns as JSON.
 
-    One distributed aggregation; only two numbers reach the driver.
+    Other columns count 8 bytes. One distributed aggregation; one number reaches the driver.
     """
     size = F.lit(16)
-    for name, kind in df.dtypes:
-        quoted = F.col(f"`{name}`")
-        size = size + (F.coalesce(F.octet_length(quoted), F.lit(0)) + 8 if kind == "string" else 8)
+    for field in df.schema.fields:
+        quoted = F.col(f"`{field.name}`")
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(quoted), F.lit(0)) + 8
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(quoted.alias("v")))), F.lit(0)) + 8
+        else:
+            size = size + 8
     total = df.agg(F.sum(size.cast("long")).alias("bytes")).first()["bytes"]
     return total or 0
 
@@ -28,13 +37,19 @@ def lookup_join(
     on: str,
     how: str = "inner",
     max_bytes: int = MAX_BROADCAST_BYTES,
+    known_bytes: int | None = None,
 ) -> DataFrame:
     """Join facts to a lookup by one key without shuffling the facts if possible.
 
-    The lookup is measured first. Up to `max_bytes` it is broadcast; beyond that
-    `hot_key_join` shuffles both sides and keeps frequent keys apart.
+    Up to `max_bytes` the lookup is broadcast; beyond that `hot_key_join` shuffles both
+    sides and keeps frequent keys apart. Both give the same rows for every supported
+    type. A caller that knows a bound of the lookup's size gives it as `known_bytes`;
+    else the lookup is measured, by a job that runs while the plan is built.
     """
-    if table_bytes(lookup) <= max_bytes:
+    if how not in JOIN_TYPES:
+        raise ValueError(f"unsupported join type: {how}")
+    size = table_bytes(lookup) if known_bytes is None else known_bytes
+    if size <= max_bytes:
         return facts.join(F.broadcast(lookup), on, how)
     return hot_key_join(facts, lookup, on, how)
 
@@ -45,22 +60,27 @@ def hot_key_join(
     on: str,
     how: str = "inner",
     share: float = HOT_SHARE,
+    max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Shuffle join in which no key may bring more than `share` of the facts to a task.
 
-    Keys above that share are counted exactly. There are at most 1 / share of
-    them, so their lookup rows are broadcast and their facts stay where they are;
-    all other keys go through an ordinary shuffle join. The counts are exact, so
-    both branches agree on which keys are hot when a task is run again. The facts
-    are read three times; materialise them first if they are costly to compute.
+    Keys above that share are counted exactly; there are at most 1 / share of them.
+    Their lookup rows are measured and broadcast, and their facts stay where they are; all
+    other keys go through an ordinary shuffle join. Where the frequent keys have more than
+    `max_bytes` of lookup rows, all keys are shuffled, and adaptive execution splits
+    the frequent ones. The counts are exact, so both branches agree on which keys are hot
+    when a task is run again. The facts are read three times; materialise them first if
+    they are costly to compute.
     """
-    if how not in ("inner", "left_semi"):
+    if how not in JOIN_TYPES:
         raise ValueError(f"unsupported join type: {how}")
     counts = facts.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     hot = counts.where(F.col("_n") > total * F.lit(share)).select(on)
     hot_lookup = lookup.join(F.broadcast(hot), on, "left_semi")
-    hot_rows = facts.join(F.broadcast(hot_lookup), on, how)
+    if table_bytes(hot_lookup) > max_bytes:
+        return facts.join(lookup, on, how)
+    hot_rows = facts.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_lookup), on, how)
     other_rows = facts.join(F.broadcast(hot), on, "left_anti").join(lookup, on, how)
     return hot_rows.unionByName(other_rows)
 

@@ -1,3 +1,4 @@
+import pytest
 from helpers import d, plan_of, rows
 from pyspark.sql import functions as F
 
@@ -36,13 +37,45 @@ def test_small_lookup_is_broadcast_and_large_is_not(spark):
 
 def test_hot_key_join_equals_plain_join(spark):
     facts, lookup = _facts(spark), _lookup(spark)
-    for how in ("inner", "left_semi"):
+    for how in joins.JOIN_TYPES:
         plain = facts.join(lookup, "key", how)
         for share in (0.1, 0.0001, 1.0):
             found = joins.hot_key_join(facts, lookup, "key", how, share)
             assert rows(found, *plain.columns) == rows(plain, *plain.columns), (how, share)
 
 
+def test_lookup_join_is_the_same_at_any_size(spark):
+    facts, lookup = _facts(spark), _lookup(spark)
+    for how in joins.JOIN_TYPES:
+        small = joins.lookup_join(facts, lookup, "key", how)
+        large = joins.lookup_join(facts, lookup, "key", how, max_bytes=0)
+        assert rows(large, *small.columns) == rows(small, *small.columns), how
+    for max_bytes in (0, joins.MAX_BROADCAST_BYTES):
+        with pytest.raises(ValueError, match="unsupported"):
+            joins.lookup_join(facts, lookup, "key", "full", max_bytes)
+
+
+def test_many_hot_rows_are_not_broadcast(spark):
+    facts, lookup = _facts(spark), _lookup(spark)
+    found = joins.hot_key_join(facts, lookup, "key", share=0.1, max_bytes=10)
+    assert "LeftAnti" not in plan_of(found)
+    assert rows(found, "id", "name") == rows(facts.join(lookup, "key"), "id", "name")
+
+
+def test_a_known_size_needs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    found = joins.lookup_join(_facts(spark), _lookup(spark), "key", known_bytes=10_000)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    assert "BroadcastHashJoin" in plan_of(found)
+
+
+def test_nested_and_binary_columns_are_measured(spark):
+    wide = spark.range(10).selectExpr("id", "sequence(1, 20000) AS list", "CAST(repeat('x', 1000) AS BINARY) AS data")
+    assert joins.table_bytes(wide.select("id", "list")) > 10 * 80_000
+    assert joins.table_bytes(wide.select("id", "data")) > 10 * 1000
+
+
 def test_hot_key_join_keeps_all_copies_of_a_code(spark):
     """A code in two clusters gives two rows, in both branches."""
     lookup = _lookup(spark).unionByName(_lookup(spark).withColumn("name", F.lit("again")))
