@@ -13,6 +13,7 @@ from area_trends.llm.language_id import language_id
 from area_trends.llm.line_dedup import line_dedup
 from area_trends.llm.lm_score import lm_scores
 from area_trends.llm.pieces import piece_digests
+from area_trends.llm.pii import personal_data
 from area_trends.llm.spot_signatures import fingerprints
 from area_trends.llm.token_counts import token_counts
 from area_trends.llm.token_files import token_files
@@ -50,6 +51,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, and terms that reveal them."""
+    return personal_data(documents(spark, sf_dir))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What all documents share with the benchmark."""
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_lm_score": op4_lm_score,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_personal_data": op6_personal_data,
     "op7_decontamination": op7_decontamination,
     "op8_fingerprints": op8_fingerprints,
     "op9_token_files": op9_token_files,
