@@ -176,7 +176,7 @@ def fit(rows: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Model | None:
     return train(features, targets, labels)
 
 
-def predicting(held, has_letter) -> Callable:
+def predicting(held, has_letter, keep_text: bool) -> Callable:
     def run(batches):
         model = held.value
         for batch in batches:
@@ -192,7 +192,7 @@ def predicting(held, has_letter) -> Callable:
                     best = np.where(known, scores.max(axis=1), 0.0)
                     label = [model.labels[i] if k else UNKNOWN for i, k in zip(at, known, strict=True)]
                     reject = best < model.threshold
-                names = [n for n in part.schema.names if n != "text"]
+                names = [n for n in part.schema.names if keep_text or n != "text"]
                 columns = [part.column(n) for n in names]
                 columns += [pa.array(label), pa.array(best), pa.array(reject | ~np.array(known, bool))]
                 yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", "rejected"])
@@ -200,8 +200,8 @@ def predicting(held, has_letter) -> Callable:
     return run
 
 
-def predict(docs: DataFrame, model: Model | None, *extra: str) -> DataFrame:
-    """doc_id, further columns of `docs`, lang_pred, score and rejected.
+def predict(docs: DataFrame, model: Model | None, *extra: str, keep_text: bool = False) -> DataFrame:
+    """doc_id, text if wanted, further columns of `docs`, lang_pred, score and rejected.
 
     A text without a letter, or null, is `und` with score 0 and rejected; so is every
     text where there is no model. Others are rejected if their calibrated score lies
@@ -209,10 +209,10 @@ def predict(docs: DataFrame, model: Model | None, *extra: str) -> DataFrame:
     is broadcast; it has BUCKETS rows and at most MAX_LABELS columns.
     """
     rows = texts(docs, *extra)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != "text"]
     held = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(
-        predicting(held, regex.compile(r"\p{L}")),
+        predicting(held, regex.compile(r"\p{L}"), keep_text),
         ", ".join([*kinds, "lang_pred string", "score double", "rejected boolean"]),
     )
 
@@ -222,6 +222,12 @@ def fold(docs: DataFrame, parts: int) -> Column:
     return F.crc32(docs["doc_id"].cast("string").cast("binary")) % parts
 
 
+def learn(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Model | None:
+    """The model of all documents with doc_id and lang that are not held out."""
+    learned = docs.where(docs["doc_id"].isNotNull() & (fold(docs, 3) != 1))
+    return fit(texts(learned, "lang"), rows_per_label)
+
+
 def language_id(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of each document.
 
@@ -229,9 +235,20 @@ def language_id(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> DataFr
     3 is; a null doc_id is neither held out nor learned from); predictions see the text
     alone. Empty tables give no rows.
     """
-    marked = docs.select(
-        "doc_id", "text", "lang", F.coalesce(fold(docs, 3) == 1, F.lit(False)).alias("held_out")
-    )
-    learned = marked.where(~F.col("held_out") & F.col("doc_id").isNotNull())
-    model = fit(texts(learned, "lang"), rows_per_label)
-    return predict(marked, model, "held_out")
+    held_out = F.coalesce(fold(docs, 3) == 1, F.lit(False))
+    marked = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return predict(marked, learn(docs, rows_per_label), "held_out")
+
+
+def keep_identified(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> DataFrame:
+    """The documents that are not rejected, with all their columns as they are.
+
+    Those without a letter, null texts among them, go, and those whose calibrated score
+    lies below the threshold of the model learned from the documents.
+    """
+    model = learn(docs, rows_per_label)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    found = predict(held, model, *[f"c{i}" for i in range(len(others))], keep_text=True).where("NOT rejected")
+    place = {c: f"c{i}" for i, c in enumerate(others)}
+    return found.select(*[F.col(place.get(c, c)).alias(c) for c in docs.columns])

@@ -17,6 +17,7 @@ from area_trends.llm.pii import personal_data
 from area_trends.llm.spot_signatures import fingerprints
 from area_trends.llm.token_counts import token_counts
 from area_trends.llm.token_files import token_files
+from corpus_pipeline import run as pipeline
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -87,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_token_files": op9_token_files,
     "op10_piece_coding": op10_piece_coding,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {}

@@ -1,0 +1,109 @@
+"""The pipeline stage by stage against brute-force versions of what each keeps."""
+
+import __spark_entry__ as entry
+import corpus_pipeline as cp
+import numpy as np
+import public_tokenizers
+import pytest
+from area_trends.llm import queries
+from area_trends.llm.language_id import language_id
+from sentencepiece import SentencePieceProcessor
+from test_decontaminate import WORD as BENCH_WORD
+from test_decontaminate import words as bench_words
+from test_jaccard_join import brute as jaccard_groups
+from test_line_dedup import brute as dedupe_lines
+
+PIECES = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def cut(text, items, size=10):
+    windows = set()
+    for item in items:
+        w = bench_words(item)
+        windows |= {tuple(w[i : i + size]) for i in range(max(len(w) - size, 0) + 1 if w else 0)}
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    spans = [m.span() for m in BENCH_WORD.finditer(low)]
+    w, hit = bench_words(text), set()
+    for n in {len(x) for x in windows}:
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in windows:
+                hit.update(range(i, i + n))
+    drop = set()
+    for i in hit:
+        end = spans[i + 1][0] if i + 1 in hit else spans[i][1]
+        drop.update(range(spans[i][0], end))
+    return "".join(c for i, c in enumerate(text) if i not in drop)
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf, tmp_path_factory):
+    """The rows before the first stage and after each."""
+    docs = queries.documents(spark, sf)
+    out = [docs]
+    for i, (_, stage) in enumerate(cp.STAGES):
+        path = str(tmp_path_factory.mktemp("stages") / str(i))
+        stage(spark, docs, sf).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append(docs)
+    return out
+
+
+def rows(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_columns(stages):
+    for df in stages[:-1]:
+        assert df.dtypes == stages[0].dtypes
+
+
+def test_language(stages):
+    kept = rows(stages[1])
+    rejected = {r.doc_id for r in language_id(stages[0]).collect() if r.rejected}
+    before = rows(stages[0])
+    assert kept == {i: r for i, r in before.items() if i not in rejected}
+    assert len(kept) > 0.95 * len(before)
+
+
+def test_lines(stages):
+    before, after = rows(stages[1]), rows(stages[2])
+    expected = {}
+    for doc_id, _, removed, text in dedupe_lines(sorted((i, r.text) for i, r in before.items())):
+        if not removed or text.strip():
+            expected[doc_id] = text
+    assert {i: r.text for i, r in after.items()} == expected
+    assert all(r.n_chars == len(r.text) for i, r in after.items() if r.text != before[i].text)
+
+
+def test_near_copies(stages):
+    before, after = rows(stages[2]), rows(stages[3])
+    groups = jaccard_groups([(i, r.text) for i, r in before.items()], 5, 80)
+    assert after == {i: before[i] for i, n, head in groups if i == head}
+
+
+def test_benchmark(stages, spark, sf):
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    before, after = rows(stages[3]), rows(stages[4])
+    assert {i: r.text for i, r in after.items()} == {i: cut(r.text, items) for i, r in before.items()}
+    assert any(after[i].text != before[i].text for i in before)
+
+
+def test_pieces(stages):
+    before, after = rows(stages[4]), rows(stages[5])
+    assert before.keys() == after.keys()
+    for i, row in after.items():
+        ids = PIECES.encode(before[i].text, add_bos=True, add_eos=True)
+        assert (row.ids, row.n_tokens, row.text) == (ids, len(ids), PIECES.decode(ids))
+
+
+def test_run_is_all_stages(stages, spark, sf):
+    assert rows(cp.run(spark, sf)) == rows(stages[-1])
+    assert entry.queries()["pipeline"] is cp.run
+
+
+def test_empty_table(spark, sf, tmp_path):
+    docs = queries.documents(spark, sf).limit(0)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.count() == 0
+    assert np.all([name for name, _ in cp.STAGES])
