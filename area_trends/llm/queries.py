@@ -1,4 +1,4 @@
-"""Registered queries of the text operators, and SQL twins where SQL can express them."""
+"""Registered queries of the text operators."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from area_trends.llm.jaccard_join import jaccard_components
 from area_trends.llm.language_id import language_id
 from area_trends.llm.line_dedup import line_dedup
 from area_trends.llm.lm_score import lm_scores
+from area_trends.llm.oracle import ORACLE
 from area_trends.llm.pieces import piece_digests
 from area_trends.llm.pii import personal_data
 from area_trends.llm.spot_signatures import fingerprints
@@ -49,7 +50,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share nine tenths of their three-word shingles."""
-    return jaccard_components(documents(spark, sf_dir))
+    return jaccard_components(documents(spark, sf_dir)).drop("n_links")
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
