@@ -24,9 +24,12 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
 def worker_cache(name: str, make: Callable, version: str = ""):
     """A value that lives as long as the Python worker, so later tasks in it can reuse it.
 
-    Only the latest version of a name is held.
+    Only the latest version of a name is held, and only names of one operator (their first
+    word), so the stages of a pipeline do not add up in a worker.
     """
     held = sys.modules.setdefault("corpus_worker_cache", SimpleNamespace(values={})).values
+    for other in [k for k in held if k.split()[0] != name.split()[0]]:
+        del held[other]
     if name not in held or held[name][0] != version:
         held.pop(name, None)
         held[name] = (version, make())

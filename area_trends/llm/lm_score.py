@@ -16,8 +16,8 @@ from area_trends.llm.context_trees import MAX_NODES, Scorer, Trees, node_key, we
 from area_trends.llm.language_id import fold
 from area_trends.sources.tables import materialise
 
-SLICE_BYTES = 4_000_000
-MAX_CACHED = 1_000_000
+SLICE_BYTES = 1_500_000
+MAX_CACHED = 150_000
 #: words with more than this part of all tokens are broadcast; there are at most so many
 FREQUENT = 400_000
 #: windows that each worker scores once at its start
@@ -52,7 +52,7 @@ def lowered(values: list[str]) -> list[bytes]:
 
 def counting(batches):
     """Rows (kind, key, n, everywhere): words and windows with their counts in learned texts."""
-    words = worker_cache("words", Words)
+    words = worker_cache("lm words", Words)
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
             values = lowered(part.column("text").to_pylist())
@@ -109,8 +109,8 @@ def scoring(version: str, trees, often, frequent) -> Callable:
     """Adds the scores of one block of trees, and with `frequent` words the base's parts."""
 
     def run(batches):
-        scorer = worker_cache("tree scorer", lambda: Scorer(trees.value, often.value), version)
-        words = worker_cache("words", Words)
+        scorer = worker_cache("lm scorer", lambda: Scorer(trees.value, often.value), version)
+        words = worker_cache("lm words", Words)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 values = lowered(part.column("text").to_pylist())

@@ -16,9 +16,9 @@ from sentencepiece import SentencePieceProcessor
 from area_trends.llm.common import slices, texts, worker_cache
 
 SPACE = "▁"
-MAX_CACHED = 1_200_000
-MAX_PAIRS = 2_000_000
-SLICE_BYTES = 8_000_000
+MAX_CACHED = 500_000
+MAX_PAIRS = 500_000
+SLICE_BYTES = 4_000_000
 
 
 def one_mark_per_byte(error):

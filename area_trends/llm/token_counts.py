@@ -48,7 +48,7 @@ class Counter:
 
 def counting(path: str, max_cached: int) -> Callable:
     def run(batches):
-        counter = worker_cache(f"token counts {path}", lambda: Counter(path, max_cached))
+        counter = worker_cache(f"token_counts {path}", lambda: Counter(path, max_cached))
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 counts = counter.count(part.column("text").to_pylist())

@@ -122,7 +122,7 @@ class Encoder:
 
 def encoding(path: str, end_id: int, max_cached: int) -> Callable:
     def run(batches):
-        encoder = worker_cache(f"token files {path}", lambda: Encoder(path, max_cached))
+        encoder = worker_cache(f"token_files {path}", lambda: Encoder(path, max_cached))
         shard, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
