@@ -85,14 +85,10 @@ MEASURE_EXCLUDED_TEXT = {"NDABMI_COD": "Child"}
 # Measures that count without a recorded value.
 VALUE_OPTIONAL = ("Smoking", "Alcohol")
 
-MEDICATION_CATEGORIES = (
-    "antihypertensives",
-    "lipid_lowering",
-    "antiplatelets_secondary",
-    "type_2_diabetes",
-    "anticoagulant_DOAC",
-    "anticoagulant_warfarins",
-)
+# Places of period labels in a chart: shares of the axes, the first label at the top.
+LABEL_X = 0.01
+LABEL_TOP = 0.95
+LABEL_STEP = 0.08
 
 # District codes: Cheshire and Merseyside, and the 33 London boroughs.
 MERSEY_AREA_CODES = {

@@ -29,15 +29,22 @@ def _mentions(text: Column, codes: Sequence[str]) -> Column:
 def match_codes(
     events: DataFrame,
     code_col: str,
-    codes: Sequence[str],
+    codes: Sequence[str] | DataFrame,
     sep: str = ",",
     trim: bool = False,
     out: str = "code",
 ) -> DataFrame:
     """One row per listed code in a joined code column.
 
-    Codes are compared as they stand; `trim` removes blanks around them first.
+    Codes are compared as they stand; `trim` removes blanks around them first. The list
+    may be a table with a column `code`; an empty list gives no rows.
     """
+    if isinstance(codes, DataFrame):
+        split = events.withColumn(out, F.explode(F.split(code_col, sep))).drop(code_col)
+        split = split.withColumn(out, F.trim(out)) if trim else split
+        return lookup_join(split, codes.select(F.col("code").alias(out)).distinct(), out, "left_semi").select(split.columns)
+    if not codes:
+        return events.withColumn(out, F.lit(None).cast("string")).drop(code_col).where(F.lit(False))
     split = events.where(_mentions(F.col(code_col), codes)).withColumn(
         out, F.explode(F.split(code_col, sep))
     )
@@ -232,7 +239,11 @@ def followed_measures(
     value_optional: Sequence[str] = VALUE_OPTIONAL,
     band_at: str = "index",
 ) -> DataFrame:
-    """`measure_records` of records that carry their measure `rf`."""
+    """`measure_records` of records that carry their measure `rf`.
+
+    A person listed twice in `follow` still has one row per measure and day; picking it
+    needs no further shuffle.
+    """
     if band_at not in ("index", "event"):
         raise ValueError(f"unknown band_at: {band_at}")
     rows = labelled.where(F.col("value").isNotNull() | F.col("rf").isin(list(value_optional)))
@@ -243,7 +254,7 @@ def followed_measures(
     band = F.col("age_gp")
     if band_at == "event":
         band = age_band_open(age_years(F.col("event_date"), F.col("dob")))
-    return joined.select(
+    found = joined.select(
         "pid",
         "rf",
         "event_date",
@@ -253,6 +264,7 @@ def followed_measures(
         "sex",
         "ethnicity",
     )
+    return _extreme(found, ("pid", "rf", "event_date"), (), F.min)
 
 
 def measure_counts(records: DataFrame) -> DataFrame:

@@ -23,11 +23,6 @@ def monthly_counts(events: DataFrame, keys: Sequence[str] = ("event_mo",)) -> Da
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
 
-def yearly_counts(events: DataFrame, date: str = "event_date") -> DataFrame:
-    """Rows per calendar year."""
-    return events.groupBy(F.year(date).alias("event_year")).agg(F.count(F.lit(1)).alias("count"))
-
-
 def person_day_counts(events: DataFrame) -> DataFrame:
     """Events per person and day, column `n`.
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.dates import day_literal, month_number
-from ..functions.fixed_values import COUNT_FIRST_MONTH, PERIOD_BREAKS, PERIOD_LABELS
+from ..functions.dates import day_literal, month_from_number, month_number
+from ..functions.fixed_values import COUNT_FIRST_MONTH, LABEL_STEP, LABEL_TOP, LABEL_X, PERIOD_BREAKS, PERIOD_LABELS
 from ..functions.stats import fit_moments, with_fit
 
 PERIOD = "covid_period"
@@ -59,8 +59,20 @@ def chart_series(
     from_month: str | None = COUNT_FIRST_MONTH,
     breaks: tuple[str, str] = PERIOD_BREAKS,
 ) -> DataFrame:
-    """Rolling mean with period: the frame behind the line, scatter and box charts."""
-    return label_periods(rolling_mean(labelled_rates, keys, from_month), breaks)
+    """Rolling mean with period: the frame behind the line, scatter and box charts.
+
+    `first_break` and `second_break` are the dates of the dividing lines; `label_x` and
+    `label_y` place a period's label in its facet, as shares of the axes from below left.
+    """
+    order = F.col("period_order")
+    return label_periods(rolling_mean(labelled_rates, keys, from_month), breaks).withColumns(
+        {
+            "first_break": day_literal(breaks[0]),
+            "second_break": day_literal(breaks[1]),
+            "label_x": F.lit(LABEL_X),
+            "label_y": F.round(F.lit(LABEL_TOP) - F.lit(LABEL_STEP) * (order - 1), 2),
+        }
+    )
 
 
 def month_index(series: DataFrame, keys: Sequence[str] = ("area_label",)) -> DataFrame:
@@ -109,7 +121,7 @@ def trend_line(
         *keys,
         PERIOD,
         "month_index",
-        F.make_date(F.floor(month / 12).cast("int"), month % 12 + 1, F.lit(1)).alias("year_mo"),
+        month_from_number(month).alias("year_mo"),
         fitted.alias("fitted"),
         (fitted - z * F.col("se")).alias("slope_se_band_low"),
         (fitted + z * F.col("se")).alias("slope_se_band_high"),

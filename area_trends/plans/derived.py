@@ -10,7 +10,8 @@ from ..sources.tables import save_csv, scratch_folder
 from . import star
 
 AGE_LABELS = tuple(POPULATION_AGE_BANDS)
-AREAS = tuple(f"NATION_{n}" for n in range(25))
+#: text in place of a number that is missing
+NO_NUMBER = ("!", "NaN", "Infinity", "12d", "-")
 REGIONS = tuple(range(5))
 
 
@@ -33,8 +34,14 @@ def label_counts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _text(n: Column) -> Column:
-    return F.coalesce(F.format_number(n, 0), F.lit("!"))
+def area_names(spark: SparkSession, sf: str) -> list[str]:
+    """Names of the areas in the order of their keys; there are as many as rows in `nation`."""
+    rows = star.table(spark, sf, "nation").select("n_nationkey", "n_name").collect()
+    return [r["n_name"] for r in sorted(rows)]
+
+
+def _text(n: Column, place: int = 0) -> Column:
+    return F.coalesce(F.format_number(n, 0), F.lit(NO_NUMBER[place % len(NO_NUMBER)]))
 
 
 def yearly_files(spark: SparkSession, sf: str) -> list[str]:
@@ -42,8 +49,9 @@ def yearly_files(spark: SparkSession, sf: str) -> list[str]:
     counts = label_counts(spark, sf)
     total = counts.groupBy("year", "area").agg(F.sum("n").alias("n"))
     both = counts.unionByName(total.withColumn("Age", F.lit("All ages")))
-    wide = both.groupBy("year", "Age").pivot("area", list(AREAS)).agg(F.sum("n"))
-    wide = wide.select("year", "Age", *[_text(F.col(a)).alias(a) for a in AREAS])
+    areas = area_names(spark, sf)
+    wide = both.groupBy("year", "Age").pivot("area", areas).agg(F.sum("n"))
+    wide = wide.select("year", "Age", *[_text(F.col(f"`{a}`"), i).alias(a) for i, a in enumerate(areas)])
     path = scratch_folder(spark, "population")
     name = F.format_string("pop_%d.csv", "year")
     wide.withColumn("file", name).drop("year").write.partitionBy("file").option("header", True).csv(path)
@@ -56,7 +64,7 @@ def block_files(spark: SparkSession, sf: str) -> str:
     nation = star.table(spark, sf, "nation").select(
         F.col("n_name").alias("area"), F.col("n_regionkey").alias("region")
     )
-    quoted = [F.concat(F.lit('"'), _text(F.col(f"`{a}`")), F.lit('"')) for a in AGE_LABELS]
+    quoted = [F.concat(F.lit('"'), _text(F.col(f"`{a}`"), i), F.lit('"')) for i, a in enumerate(AGE_LABELS)]
     blank = "," * len(AGE_LABELS)
     names = ",".join(f'"{a}"' for a in AGE_LABELS)
     rows = (
@@ -125,7 +133,9 @@ def area_parts(spark: SparkSession, sf: str) -> list[str]:
 
 def person_csv(spark: SparkSession, sf: str) -> str:
     path = scratch_folder(spark, "persons")
-    save_csv(star.persons(spark, sf).select("pid", "area", "sex", "ethnicity"), path)
+    more = F.when(F.col("pid") % 7 == 0, "\nnext line").otherwise("")
+    note = F.concat(F.lit('said "'), "area", F.lit('", twice'), more)
+    save_csv(star.persons(spark, sf).select("pid", "area", "sex", "ethnicity", note.alias("note")), path)
     return path
 
 

@@ -14,8 +14,7 @@ from ..functions.fixed_values import (
     STROKE_SUBTYPES,
 )
 from . import star
-from .derived import AGE_LABELS, AREAS
-from .queries import MONTHS
+from .derived import AGE_LABELS
 
 
 def _list(values) -> str:
@@ -73,7 +72,11 @@ def _labelled(source: str) -> str:
 def _fits(keys: str, source: str) -> str:
     """Least squares per key and period; the t tail through log-gamma terms."""
     return f"""
-SELECT *, CASE WHEN r2 = 1 THEN 0 WHEN syy = 0 THEN 1 ELSE 1 - CASE WHEN df % 2 = 1
+SELECT *, CASE WHEN r2 = 1 THEN 0 WHEN syy = 0 THEN 1 WHEN r2 * df / (1 - r2) > 25 THEN
+    exp(df / 2 * ln(1 - r2) + lgamma(df / 2 + 0.5) - lgamma(df / 2)) * sqrt(r2 / pi()) / (df / 2)
+    * list_sum(list_transform(range(0, CAST(20 - 40 / ln(1 - r2) AS INTEGER)), lambda k: pow(1 - r2, k)
+        * exp(lgamma(df / 2 + 0.5 + k) - lgamma(df / 2 + 0.5) - lgamma(df / 2 + 1 + k) + lgamma(df / 2 + 1))))
+    ELSE 1 - CASE WHEN df % 2 = 1
     THEN 2 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range(1, (df - 1) // 2 + 1),
         lambda k: 0.5 * exp(lgamma(k) + lgamma(0.5) - lgamma(k + 0.5)) * pow(cos(th), 2 * k - 1))), 0))
     ELSE sin(th) * coalesce(list_sum(list_transform(range(0, df // 2),
@@ -275,14 +278,19 @@ def _with(body: str) -> str:
             needed.add(name)
             text.append(PARTS[name])
     parts = ", ".join(f"{n} AS ({PARTS[n].strip()})" for n in PARTS if n in needed)
-    return f"WITH {parts} {body.strip()}" if parts else body.strip()
+    return f"WITH {parts}{body}" if body.lstrip().startswith(",") else f"WITH {parts} {body.strip()}" if parts else body.strip()
 
 
-def _month_columns(value: str, source: str, key: str, empty: str) -> str:
-    cells = ", ".join(
-        empty.format(f"{value} FILTER (WHERE event_mo = DATE '{m}')") + f' AS "{m}"' for m in MONTHS
-    )
-    return f"SELECT {key}, {cells} FROM {source} GROUP BY {key}"
+def _month_columns(rows: str, key: str, empty: str) -> str:
+    """One column per month from the first to the last of `rows` ({key}, event_mo, value)."""
+    return f"""
+, cell AS ({rows}),
+month AS (SELECT CAST(unnest(generate_series(min(event_mo), max(event_mo), INTERVAL 1 MONTH)) AS DATE) AS event_mo
+          FROM cell),
+grid AS (SELECT k.{key}, m.event_mo, coalesce(c.value, {empty}) AS value
+         FROM (SELECT DISTINCT {key} FROM cell) k CROSS JOIN month m
+         LEFT JOIN cell c ON c.{key} IS NOT DISTINCT FROM k.{key} AND c.event_mo = m.event_mo)
+PIVOT grid ON event_mo USING max(value) GROUP BY {key}"""
 
 
 def _rounded(*names: str) -> str:
@@ -382,13 +390,15 @@ FROM (SELECT rf, count(*) AS total_count FROM measured GROUP BY rf)""",
     "monthly_population": "SELECT * FROM denominator",
     "population_long": "SELECT * FROM people_file",
     "population_summary": "SELECT * FROM people_summary",
-    "csv_sink": "SELECT * FROM people_summary",
+    "csv_sink": "SELECT *, 'a \"b\", ' || area || chr(10) || 'and more' AS note FROM people_summary",
     "block_csv": "SELECT * FROM block",
-    "ages_by_area": "SELECT year, age AS \"Age\", "
-    + ", ".join(f"max(population) FILTER (WHERE area = '{a}') AS \"{a}\"" for a in AREAS)
-    + " FROM block GROUP BY year, age",
+    "ages_by_area": """
+, aged AS (SELECT year, age AS "Age", area, population FROM block)
+PIVOT aged ON area USING max(population) GROUP BY year, "Age\"""",
     "csv_blank_text": """
-SELECT pid, area, coalesce(sex, '') AS sex, coalesce(ethnicity, '') AS ethnicity FROM person""",
+SELECT pid, area, coalesce(sex, '') AS sex, coalesce(ethnicity, '') AS ethnicity,
+       'said "' || area || '", twice' || CASE WHEN pid % 7 = 0 THEN chr(10) || 'next line' ELSE '' END AS note
+FROM person""",
     "multipart_csv": "SELECT * FROM area_small",
     "snapshot_counts": """
 SELECT event_mo, count(*) AS count FROM event WHERE archived_on = 'O' GROUP BY 1""",
@@ -423,13 +433,15 @@ SELECT area, year_mo, {_rounded('age_standardised_rate', 'rolling_avg')}
 FROM ({_series('area', 'rate')})""",
     "period_label": f"""
 SELECT area, year_mo, {_rounded('age_standardised_rate', 'rolling_avg')}, mean_imd, sd_imd, area_label,
-       covid_period, period_order FROM series""",
+       covid_period, period_order, DATE '{star.BREAKS[0]}' AS first_break, DATE '{star.BREAKS[1]}' AS second_break,
+       0.01 AS label_x, round(0.95 - 0.08 * (period_order - 1), 2) AS label_y FROM series""",
     "month_index": """
 SELECT area_label, covid_period, year_mo, CAST(date_diff('month',
        min(year_mo) OVER (PARTITION BY area_label, covid_period), year_mo) AS INTEGER) AS month_index
 FROM series""",
     "trend_coefficients": f"""
-SELECT area_label, covid_period, {_rounded('slope', 'se', 'p_value')}, n_obs FROM fit""",
+SELECT area_label, covid_period, {_rounded('slope', 'se', 'p_value')}, n_obs,
+       round(CASE WHEN p_value > 0 THEN log10(p_value) END, 6) AS log10_p FROM fit""",
     "trend_line": """
 SELECT area_label, covid_period, CAST(k AS INTEGER) AS month_index,
        make_date((m0 + k) // 12, (m0 + k) % 12 + 1, 1) AS year_mo, round(y, 6) AS fitted,
@@ -479,12 +491,13 @@ SELECT measure, area_label, covid_period, {_rounded('slope', 'se', 'p_value')},
       WHERE m.measure = '{_WIDE["medium"]}' AND l.measure = '{_WIDE["low"]}') o
       USING (area, year_mo, mean_imd, area_label)""",
     "area_month_matrix": _month_columns(
-        "sum(n)",
-        "(SELECT lsoa, event_mo, count(*) AS n FROM event JOIN person USING (pid) GROUP BY ALL)",
+        "SELECT lsoa, event_mo, count(*) / 100.0 AS value FROM event JOIN person USING (pid) GROUP BY ALL",
         "lsoa",
-        "coalesce({}, 0) / 100.0",
+        "0.0",
+    ),
+    "area_month_counts": _month_columns(
+        "SELECT area, event_mo, count(*) AS value FROM incident GROUP BY ALL", "area", "NULL"
     ),
-    "area_month_counts": _month_columns("NULLIF(count(*)", "incident", "area", "{}, 0)"),
 }
 
 ORACLE: dict[str, str] = {name: _with(body) for name, body in BODIES.items()}

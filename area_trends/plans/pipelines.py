@@ -38,9 +38,11 @@ def incident_events(
     """First event per key with the person's attributes.
 
     A person's events are all in or all out of the cohort, so the first event is
-    picked before the join: the join moves one row per key, not every event.
+    picked before the join: the join moves one row per key, not every event. A person
+    listed twice in the cohort still has one row per key, that of the smallest attributes;
+    picking it needs no further shuffle.
     """
-    return first_event(events, keys, order).join(cohort, "pid")
+    return first_event(first_event(events, keys, order).join(cohort, "pid"), keys, order)
 
 
 def event_rates(

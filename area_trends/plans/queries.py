@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bands
-from ..functions.dates import months_between_first_days
 from ..functions.fixed_values import EUROPEAN_WEIGHTS, MI_CODES, STROKE_CODES, STROKE_SUBTYPES
 from ..operators import cohort as co
 from ..operators import codelists as cl
@@ -19,8 +19,6 @@ from . import derived, pipelines, star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-MONTHS = months_between_first_days("1995-01-01", "2001-08-01")
-SHIP_MONTHS = months_between_first_days("1995-01-01", "2001-12-01")
 
 
 def query(fn):
@@ -214,7 +212,7 @@ def incident_event(spark, sf):
 
 def _medication(spark, sf):
     """First order line per person and drug category, with the person's area."""
-    lines = star.records(spark, sf, star.drug_categories(spark, sf)).drop("value")
+    lines = star.records(spark, sf, star.drug_categories(spark, sf), first_of="category").drop("value")
     first = ev.first_per_category(lines, "1996-01-01", ("event_date", "event_id", "line"))
     return first.join(star.cohort(spark, sf).select("pid", "area"), "pid")
 
@@ -375,7 +373,7 @@ def population_long(spark, sf):
 
 def _summary(spark, sf):
     long = files.population_long(spark, derived.yearly_files(spark, sf))
-    codes = {area: f"A{n:02d}" for n, area in enumerate(derived.AREAS)}
+    codes = {area: f"A{n:02d}" for n, area in enumerate(derived.area_names(spark, sf))}
     return denominators.population_summary(long, codes)
 
 
@@ -387,10 +385,10 @@ def population_summary(spark, sf):
 @query
 def csv_sink(spark, sf):
     path = tables.scratch_folder(spark, "summary")
-    tables.save_csv(_summary(spark, sf), path)
-    return files.read_csv(
-        spark, path, "year int, age_gp string, area string, area_code string, population double"
-    )
+    note = F.concat(F.lit('a "b", '), "area", F.lit("\nand more"))
+    tables.save_csv(_summary(spark, sf).withColumn("note", note), path)
+    schema = "year int, age_gp string, area string, area_code string, population double, note string"
+    return files.read_csv(spark, path, schema, multi_line=True)
 
 
 @query
@@ -401,14 +399,13 @@ def block_csv(spark, sf):
 @query
 def ages_by_area(spark, sf):
     blocks = files.population_blocks(spark, derived.block_files(spark, sf))
-    return files.ages_by_area(blocks, derived.AREAS)
+    return files.ages_by_area(blocks)
 
 
 @query
 def csv_blank_text(spark, sf):
-    return files.read_csv(
-        spark, derived.person_csv(spark, sf), "pid long, area string, sex string, ethnicity string"
-    )
+    schema = "pid long, area string, sex string, ethnicity string, note string"
+    return files.read_csv(spark, derived.person_csv(spark, sf), schema, multi_line=True)
 
 
 @query
@@ -429,7 +426,7 @@ def snapshot_counts(spark, sf):
 def saved_table(spark, sf):
     path = tables.scratch_folder(spark, "counts")
     counts = rates.monthly_counts(star.events(spark, sf), ("event_mo", "category"))
-    return tables.save_table(counts, "area_trends_monthly_counts", path)
+    return tables.save_table(counts, f"area_trends_monthly_counts_{uuid.uuid4().hex}", path)
 
 
 @query
@@ -541,7 +538,8 @@ def month_index(spark, sf):
 
 @query
 def trend_coefficients(spark, sf):
-    return rounded(trends.trend_coefficients(_series(spark, sf)), "slope", "se", "p_value")
+    table = trends.trend_coefficients(_series(spark, sf)).withColumn("log10_p", F.log10("p_value"))
+    return rounded(table, "slope", "se", "p_value", "log10_p")
 
 
 @query
@@ -614,9 +612,9 @@ def wide_outcomes(spark, sf):
 @query
 def area_month_matrix(spark, sf):
     counts = rates.monthly_counts(star.events(spark, sf), ("pid", "event_mo"))
-    return matrices.area_month_matrix(counts, star.persons(spark, sf).select("pid", "lsoa"), MONTHS)
+    return matrices.area_month_matrix(counts, star.persons(spark, sf).select("pid", "lsoa"))
 
 
 @query
 def area_month_counts(spark, sf):
-    return matrices.area_month_counts(_incident(spark, sf), MONTHS)
+    return matrices.area_month_counts(_incident(spark, sf))

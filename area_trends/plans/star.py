@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import age_band_open, age_years
 from ..functions.fixed_values import BAND_LABELS
+from ..operators.events import first_event
 from ..operators.joins import lookup_join
 
 FIRST_YEAR, LAST_YEAR, PROJECTED_YEAR = 1995, 2000, 2001
@@ -131,11 +132,15 @@ def admissions(
     )
 
 
-def records(spark: SparkSession, sf: str, codes: DataFrame | None = None) -> DataFrame:
+def records(
+    spark: SparkSession, sf: str, codes: DataFrame | None = None, first_of: str | None = None
+) -> DataFrame:
     """One dated, coded record per order line, with a value that is missing at times.
 
     `codes` keeps only the records whose `code` it holds and adds its other
     columns, before the person is looked up: the other lines are not shuffled.
+    `first_of` keeps the first line of each order and value of that column, also before
+    the lookup: an order with very many lines then brings one row per value.
     """
     lines = table(spark, sf, "lineitem").selectExpr(
         "l_orderkey AS event_id",
@@ -147,6 +152,8 @@ def records(spark: SparkSession, sf: str, codes: DataFrame | None = None) -> Dat
     if codes is not None:
         how = "left_semi" if codes.columns == ["code"] else "inner"
         lines = lookup_join(lines, codes, "code", how)
+    if first_of is not None:
+        lines = first_event(lines, ("event_id", first_of), ("event_date", "line"))
     owner = table(spark, sf, "orders").selectExpr("o_orderkey AS event_id", "o_custkey AS pid")
     return lines.join(owner, "event_id")
 

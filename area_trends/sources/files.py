@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +12,17 @@ from ..functions.fixed_values import POPULATION_AGE_BANDS
 from ..operators.codelists import literal_map
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, paths: str | Sequence[str], schema: str | None = None, multi_line: bool = False
+) -> DataFrame:
     """CSV parts with a header; blank text is '' and not null.
 
+    A quote inside quoted text is written twice. `multi_line` also allows line breaks
+    inside quotes; each file is then read by one task, so it suits code lists and exports.
     The header must name the columns of the schema in its order, or Spark raises.
     Without a schema Spark reads the files once more to infer the types.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     if schema is None:
         df = reader.option("inferSchema", True).csv(paths)
     else:
@@ -28,10 +31,15 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str | None
     return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in text})
 
 
-def read_tsv(spark: SparkSession, paths: str | Sequence[str], schema: str) -> DataFrame:
-    """Tab-separated code lists with a header; blanks around text are removed."""
+def read_tsv(
+    spark: SparkSession, paths: str | Sequence[str], schema: str, multi_line: bool = True
+) -> DataFrame:
+    """Tab-separated code lists with a header; blanks around text are removed.
+
+    Quotes and `multi_line` are as in `read_csv`; code lists are small, so it is on.
+    """
     reader = spark.read.schema(schema).option("enforceSchema", False).option("header", True)
-    df = reader.option("sep", "\t").csv(paths)
+    df = reader.option("sep", "\t").option("escape", '"').option("multiLine", multi_line).csv(paths)
     return df.withColumns({name: F.trim(name) for name, kind in df.dtypes if kind == "string"})
 
 
@@ -41,8 +49,17 @@ def year_in_path(path: Column) -> Column:
 
 
 def number_from_text(text: Column) -> Column:
-    """Number with thousands commas; other text is null."""
-    return F.regexp_replace(text, ",", "").try_cast("double")
+    """Number of digits, sign, point and exponent, with thousands commas; other text is null."""
+    plain = F.trim(F.regexp_replace(text, ",", ""))
+    return F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
+
+
+def _fields(line: Column) -> Column:
+    """Fields of a CSV line; quoted ones may hold commas and doubled quotes, blanks are null."""
+    raw = F.regexp_extract_all(line, F.lit(r'(?:^|,)(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1))
+    bare = F.transform(raw, lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$', "")))
+    clean = F.transform(bare, lambda x: F.replace(x, F.lit('""'), F.lit('"')))
+    return F.transform(clean, lambda x: F.when(x != "", x))
 
 
 def population_long(
@@ -53,19 +70,24 @@ def population_long(
     """Yearly files (`Age` and a column per area) as rows (year, age_gp, area, population).
 
     The year is read from the file name and an age label outside `age_bands`
-    gives a null band. Files may hold different areas; each is unpivoted on its
-    own, so columns never have to line up.
+    gives a null band. Files may hold different areas: one scan reads all files, each
+    whole, and takes the column names of a file from its own first line.
     """
-    parts = []
-    for path in paths:
-        wide = spark.read.option("header", True).csv(path)
-        areas = [c for c in wide.columns if c != "Age"]
-        quoted = [f"`{c}`" for c in areas]
-        parts.append(
-            wide.select("Age", *quoted, year_in_path(F.col("_metadata.file_path")).alias("year"))
-            .unpivot(["year", "Age"], quoted, "area", "text")
-        )
-    long = reduce(lambda a, b: a.unionByName(b), parts)
+    files = spark.read.text(list(paths), wholetext=True).select(
+        year_in_path(F.col("_metadata.file_path")).alias("year"),
+        F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"),
+    )
+    lines = files.select(
+        "year",
+        _fields(F.get("lines", F.lit(0))).alias("names"),
+        F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"),
+    )
+    fields = lines.select("year", "names", _fields(F.col("line")).alias("f"))
+    age = F.get("f", F.array_position("names", "Age").cast("int") - 1)
+    cells = fields.select("year", age.alias("Age"), F.explode(F.arrays_zip("names", "f")).alias("cell"))
+    long = cells.where("cell.names != 'Age'").select(
+        "year", "Age", F.col("cell.names").alias("area"), F.col("cell.f").alias("text")
+    )
     return long.select(
         "year",
         F.make_date("year", F.lit(6), F.lit(1)).alias("mid_year"),
@@ -75,13 +97,6 @@ def population_long(
     )
 
 
-def _fields(line: Column) -> Column:
-    """Fields of a CSV line; commas inside quotes do not separate, blanks are null."""
-    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    clean = F.transform(parts, lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$', "")))
-    return F.transform(clean, lambda x: F.when(x != "", x))
-
-
 def population_blocks(spark: SparkSession, paths: str | Sequence[str], trailing: int = 2) -> DataFrame:
     """Export files with one block per year, as rows (file, year, area, age, population).
 
@@ -129,7 +144,12 @@ def population_blocks(spark: SparkSession, paths: str | Sequence[str], trailing:
     )
 
 
-def ages_by_area(long: DataFrame, areas: Sequence[str]) -> DataFrame:
-    """Blocks turned round: one row per year and age, one column per area."""
-    wide = long.groupBy("year", "age").pivot("area", list(areas)).agg(F.max("population"))
+def ages_by_area(long: DataFrame, areas: Sequence[str] | None = None) -> DataFrame:
+    """Blocks turned round: one row per year and age, one column per area.
+
+    Areas that are not given are left out; without a list all areas that occur are
+    found by one aggregation while the plan is built.
+    """
+    names = None if areas is None else list(areas)
+    wide = long.groupBy("year", "age").pivot("area", names).agg(F.max("population"))
     return wide.withColumnRenamed("age", "Age")

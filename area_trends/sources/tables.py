@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_MADE: set[str] = set()
+
+
 def snapshot(df: DataFrame, value: str, column: str = "archived_on", prefix: bool = False) -> DataFrame:
     """Rows of one snapshot; on a partition column only that folder is read."""
     held = F.col(column)
@@ -43,8 +46,8 @@ def save_table(
 
 
 def save_csv(df: DataFrame, path: str) -> None:
-    """Writes CSV parts with a header, replacing older ones."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Writes CSV parts with a header, replacing older ones; quotes inside text are doubled."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 @cache
@@ -52,8 +55,8 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="area_trends_")
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder of `spark.checkpoint.dir`.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in `spark.checkpoint.dir`.
 
     Only a local session may go without the setting; it then uses a local folder.
     """
@@ -62,7 +65,32 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is removed when the driver ends."""
+    folder = f"{shared_folder(spark)}/area_trends-{spark.sparkContext.applicationId}"
+    if folder not in _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _MADE.add(folder)
+    return folder
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the application's scratch folder, which all executors share."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all that was written to scratch space; frames that read it no longer work."""
+    folder = _own_folder(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE.discard(folder)
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

@@ -6,6 +6,7 @@ from area_trends.functions.fixed_values import STROKE_SUBTYPES
 from area_trends.operators import codelists as cl
 from area_trends.operators import events as ev
 from area_trends.operators.compare import reconcile
+from area_trends.plans import pipelines
 
 
 def _cohort(spark, *pids):
@@ -203,3 +204,32 @@ def test_reconcile(spark):
     b = spark.createDataFrame([("Feb", 1), ("Mar", 2)], "event_mo string, count long")
     found = reconcile(a, b, "a", "b")
     assert rows(found, "event_mo", "a_count", "b_count", "diff") == [("Feb", 3, 1, 2)]
+
+
+def test_match_codes_of_a_table_and_of_nothing(spark):
+    df = spark.createDataFrame([(1, "I63,I10, I64,,"), (2, "I10"), (3, None)], "pid long, codes string")
+    table = spark.createDataFrame([("I61", "x"), ("I63", "x"), ("I63", "y"), ("I64", "x")], "code string, type string")
+    assert rows(ev.match_codes(df, "codes", table), "pid", "code") == [(1, "I63")]
+    assert rows(ev.match_codes(df, "codes", table, trim=True), "pid", "code") == [(1, "I63"), (1, "I64")]
+    for none in ((), table.limit(0)):
+        found = ev.match_codes(df, "codes", none)
+        assert found.columns == ["pid", "code"] and found.count() == 0
+
+
+def test_a_person_listed_twice_has_one_row(spark):
+    people = spark.createDataFrame([(1, "Y"), (1, "X"), (2, "X")], "pid long, area string")
+    events = spark.createDataFrame(
+        [(1, 10, d("2020-01-05")), (1, 11, d("2020-01-02")), (2, 12, d("2020-02-01"))],
+        "pid long, event_id long, event_date date",
+    )
+    found = pipelines.incident_events(events, people)
+    assert rows(found, "pid", "event_id", "area") == [(1, 11, "X"), (2, 12, "X")]
+    follow = people.selectExpr(
+        "pid", "date'2020-01-01' AS start_date", "date'2020-12-31' AS end_date", "area AS lsoa", "'F' AS sex",
+        "'w' AS ethnicity", "'18-39' AS age_gp",
+    )
+    labelled = events.selectExpr("pid", "event_date", "'BMI' AS rf", "1.0 AS value")
+    found = ev.followed_measures(labelled, follow)
+    assert [r[:2] for r in rows(found, "pid", "event_date", "lsoa")] == [
+        (1, d("2020-01-02")), (1, d("2020-01-05")), (2, d("2020-02-01"))
+    ]

@@ -4,7 +4,6 @@ import pytest
 from helpers import d, rows
 from pyspark.sql import functions as F
 
-from area_trends.functions.dates import months_between_first_days
 from area_trends.functions.fixed_values import BAND_LABELS, EUROPEAN_WEIGHTS
 from area_trends.operators import matrices, rates
 from area_trends.operators.denominators import (
@@ -145,14 +144,24 @@ def test_population_summary(spark):
 
 
 def test_matrices(spark):
-    months = months_between_first_days("2020-01-01", "2020-02-01")
+    months = [d("2020-01-01"), d("2020-02-01")]
+    limits = ("2020-01-01", "2020-02-01")
     counts = spark.createDataFrame(
         [(1, months[0], 150), (2, months[0], 50), (1, d("2021-01-01"), 9), (3, d("2021-01-01"), 9)],
         "pid long, event_mo date, count long",
     )
     persons = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "pid long, lsoa string")
-    found = matrices.area_month_matrix(counts, persons, months)
+    found = matrices.area_month_matrix(counts, persons, *limits)
     assert rows(found, "lsoa", "`2020-01-01`", "`2020-02-01`") == [("a", 2.0, 0.0), ("b", 0.0, 0.0)]
     events = spark.createDataFrame([("a", months[0]), ("a", months[0]), ("b", months[1])], "area string, event_mo date")
-    found = matrices.area_month_counts(events, months)
+    found = matrices.area_month_counts(events, *limits)
     assert rows(found, "area", "`2020-01-01`", "`2020-02-01`") == [("a", 2, None), ("b", None, 1)]
+
+
+def test_matrices_hold_every_month_that_occurs(spark):
+    events = spark.createDataFrame([("a", d("2019-11-01")), ("b", d("2020-02-01"))], "area string, event_mo date")
+    found = matrices.area_month_counts(events)
+    assert found.columns == ["area", "2019-11-01", "2019-12-01", "2020-01-01", "2020-02-01"]
+    assert rows(found, "area", "`2019-11-01`", "`2020-02-01`") == [("a", 1, None), ("b", None, 1)]
+    assert matrices.area_month_counts(events, last="2019-12-01").columns == ["area", "2019-11-01", "2019-12-01"]
+    assert matrices.area_month_counts(events.limit(0)).columns == ["area"]

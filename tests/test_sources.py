@@ -1,5 +1,9 @@
+import csv
+from pathlib import Path
+
 import pytest
 from helpers import d, plan_of, rows
+from pyspark.sql import functions as F
 
 from area_trends.sources import files, tables
 
@@ -136,6 +140,59 @@ class _Session:
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster():
-    assert "area_trends_" in tables.scratch_folder(_Session("local[2]"), "x")
+    assert "area_trends_" in tables.shared_folder(_Session("local[2]"))
     with pytest.raises(ValueError):
-        tables.scratch_folder(_Session("yarn"), "x")
+        tables.shared_folder(_Session("yarn"))
+
+
+def test_clear_scratch_removes_what_was_written(spark):
+    stored = tables.materialise(spark.range(3), "gone")
+    path = Path(stored.inputFiles()[0].removeprefix("file:").replace("///", "/"))
+    assert path.exists()
+    tables.clear_scratch(spark)
+    assert not path.exists()
+    assert tables.materialise(spark.range(3), "again").count() == 3
+
+
+QUOTED = [(1, 'Stroke "NOS", left'), (2, "two\nlines"), (3, "plain"), (4, ""), (5, '"')]
+
+
+def test_csv_as_other_programs_write_and_read_it(spark, tmp_path):
+    with (tmp_path / "terms.csv").open("w", newline="") as file:
+        csv.writer(file).writerows([("code", "term"), *QUOTED])
+    found = files.read_csv(spark, str(tmp_path / "terms.csv"), "code int, term string", multi_line=True)
+    assert rows(found, "code", "term") == sorted(QUOTED)
+    tables.save_csv(found.coalesce(1), str(tmp_path / "out"))
+    part = next((tmp_path / "out").glob("part-*.csv"))
+    with part.open(newline="") as file:
+        assert sorted(csv.reader(file)) == sorted([["code", "term"], *[[str(c), t] for c, t in QUOTED]])
+
+
+def test_tsv_with_quotes(spark, tmp_path):
+    (tmp_path / "codes.tsv").write_text('code\tterm\nA1\t"a ""b"", c" \nA2\tplain \n')
+    found = files.read_tsv(spark, str(tmp_path / "codes.tsv"), "code string, term string")
+    assert rows(found, "code", "term") == [("A1", 'a "b", c'), ("A2", "plain")]
+
+
+def test_only_numbers_are_numbers(spark):
+    texts = ["1,234", " -5.5 ", "1e3", ".5", "7.", "NaN", "Infinity", "12d", "-", "1.2.3", "", None, "0x1", "1f"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [r["n"] for r in df.select(files.number_from_text(F.col("t")).alias("n")).collect()]
+    assert found == [1234.0, -5.5, 1000.0, 0.5, 7.0] + [None] * 9
+
+
+def test_many_population_files_need_no_job_each(spark, tmp_path):
+    paths = []
+    for year in range(1970, 2020):
+        path = tmp_path / f"pop_{year}.csv"
+        path.write_text(f'Age,A,"B, ""b"""\nAged 40-44,"{year:,}",NaN\n')
+        paths.append(str(path))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    long = files.population_long(spark, paths)
+    # Spark lists more than 32 paths by one job of its own
+    assert len(tracker.getJobIdsForGroup(None)) <= before + 1
+    assert plan_of(long).count("FileScan") == 1
+    assert long.count() == 100
+    assert rows(long.where("area = 'A' AND year > 2017"), "year", "population") == [(2018, 2018.0), (2019, 2019.0)]
+    assert rows(long.where("year = 1970 AND area <> 'A'"), "area", "population") == [('B, "b"', None)]

@@ -123,3 +123,11 @@ def test_many_measures_in_one_job_equal_single_runs(spark):
     b_row = together.where("measure = 'b'").first()
     assert b_row["slope"] == pytest.approx(alone.first()["slope"])
     assert b_row["p_value"] == pytest.approx(alone.first()["p_value"])
+
+
+def test_chart_series_places_labels_and_breaks(spark):
+    months = [d("2019-11-01"), d("2020-04-01"), d("2022-08-01")]
+    labelled = spark.createDataFrame([("a", m, 1.0) for m in months], "area string, year_mo date, age_standardised_rate double")
+    found = trends.chart_series(labelled, ("area",), "2019-01-01", ("2020-03-01", "2022-05-01"))
+    assert rows(found, "year_mo", "label_x", "label_y") == [(months[0], 0.01, 0.95), (months[1], 0.01, 0.87), (months[2], 0.01, 0.79)]
+    assert set(rows(found, "first_break", "second_break")) == {(d("2020-03-01"), d("2022-05-01"))}
