@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from area_trends.llm.common import slices, texts, worker_cache
 from area_trends.llm.jaccard_join import mix, set_components
 
-SLICE_BYTES = 8_000_000
-MAX_CACHED = 1_000_000
+SLICE_BYTES = 2_000_000
+MAX_CACHED = 150_000
 CHAIN = 2
 #: Common words of four languages; each starts a chain
 ANCHORS = (
