@@ -20,37 +20,42 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", split)
 
 
-def segment(length: Column, index: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of a segment; sizes differ by one at most, longer ones last."""
-    size, longer = F.floor(length / parts), length % parts
-    first_longer = parts - longer
-    start = size * index + F.greatest(F.lit(index) - first_longer, F.lit(0))
-    return start, size + (F.lit(index) >= first_longer).cast("long")
-
-
-def segment_keys(line: Column, threshold: int = THRESHOLD) -> Column:
-    """Hashes by which lines within `threshold` edits meet.
-
-    A line of some length is cut into threshold + 1 segments, so one of them is left whole
-    in any line within the threshold. Each line stands for its own segments, and probes
-    the segments of lines that are up to `threshold` characters shorter: with substrings
-    of the segment's size around its place, no further off than the edits before and after
-    it allow. The key holds the shorter length, the segment's number and the substring;
-    a line's own segments are among its probes for its own length.
+def probes(threshold: int) -> list[tuple[int, int, int]]:
+    """(characters shorter, segment number, shift) of each substring that a line probes."""
+    return [
+        (shorter, index, shift)
+        for shorter in range(threshold + 1)
+        for index in range(threshold + 1)
+        for shift in range(
+            max(-index, shorter - (threshold - index)), min(index, shorter + (threshold - index)) + 1
+        )
+    ]
+
+
+def segment_keys(line: Column, length: Column, threshold: int = THRESHOLD) -> Column:
+    """Hashes by which lines of a length (in characters) meet lines within `threshold` edits.
+
+    A line is cut into threshold + 1 segments whose sizes differ by one at most, longer
+    ones last, so one of them is left whole in any line within the threshold. Each line
+    stands for its own segments, and probes the segments of lines that are up to
+    `threshold` characters shorter: with substrings of the segment's size around its
+    place, no further off than the edits before and after it allow. The key holds the
+    shorter length, the segment's number and the substring; a line's own segments are
+    among its probes for its own length.
     """
-    length = F.char_length(line).cast("long")
-    keys = []
-    for shorter in range(threshold + 1):
-        for index in range(threshold + 1):
-            start, size = segment(length - shorter, index, threshold + 1)
-            left = max(-index, shorter - (threshold - index))
-            right = min(index, shorter + (threshold - index))
-            for offset in range(left, right + 1):
-                place = start + offset
-                part = F.substring(line, (place + 1).cast("int"), size.cast("int"))
-                key = F.xxhash64(part, length - shorter, F.lit(index))
-                keys.append(F.when((place >= 0) & (place + size <= length), key))
-    return F.array_compact(F.array(*keys))
+    parts = threshold + 1
+    places = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("sit", p, strict=True)]) for p in probes(threshold)])
+
+    def key(probe: Column) -> Column:
+        index, cut = probe["i"], length - probe["s"]
+        first_longer = parts - cut % parts
+        size = F.floor(cut / parts).cast("int")
+        place = size * index + F.greatest(index - first_longer, F.lit(0)) + probe["t"]
+        size = size + (index >= first_longer).cast("int")
+        inside = (place >= 0) & (place + size <= length)
+        return F.when(inside, F.xxhash64(F.substring(line, place + 1, size), cut, index))
+
+    return F.array_compact(F.transform(places, key))
 
 
 def let(value: Column, use) -> Column:
@@ -71,7 +76,8 @@ def edits_within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     band = 2 * threshold + 1
     mask, top = (1 << band) - 1, 1 << (band - 1)
 
-    def moved(state: Column, zero: Column, plus: Column, minus: Column) -> Column:
+    def moved(state: Column, zero: Column) -> Column:
+        plus, minus, edits = (state["band"][name] for name in ("plus", "minus", "edits"))
         up = minus.bitwiseOR(F.lit(mask) - zero.bitwiseOR(plus))
         down, next_ = zero.bitwiseAND(plus), F.shiftrightunsigned(zero, 1)
         past = state["at"] - (F.size(state["chars"]) - threshold)  # columns since the band met the last row
@@ -79,45 +85,75 @@ def edits_within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
         on_diagonal = F.when(zero.bitwiseAND(top) == 0, 1).otherwise(0)
         on_row = F.when(up.bitwiseAND(row) != 0, 1).when(down.bitwiseAND(row) != 0, -1).otherwise(0)
         return F.struct(
-            state["chars"].alias("chars"),
-            (state["at"] + 1).alias("at"),
             down.bitwiseOR(F.lit(mask) - next_.bitwiseOR(up)).alias("plus"),
             next_.bitwiseAND(up).alias("minus"),
-            (state["edits"] + F.when(past < 0, on_diagonal).otherwise(on_row)).alias("edits"),
+            (edits + F.when(past < 0, on_diagonal).otherwise(on_row)).alias("edits"),
         )
 
     def step(state: Column, char: Column) -> Column:
-        plus, minus = state["plus"], state["minus"]
+        plus, minus = state["band"]["plus"], state["band"]["minus"]
         match = F.lit(0)
         for k in range(band):
             same = F.get(state["chars"], state["at"] + (k - threshold)) == char
             match = match.bitwiseOR(F.when(same, 1 << k).otherwise(0))
         zero = lambda m: (m.bitwiseAND(plus) + plus).bitwiseXOR(plus).bitwiseOR(m).bitwiseOR(minus).bitwiseAND(mask)
-        return let(match, lambda m: let(zero(m), lambda z: moved(state, z, plus, minus)))
+        # once over, the last row can win back no more than the threshold
+        over = state["band"]["edits"] > 2 * threshold
+        next_ = let(match, lambda m: let(zero(m), lambda z: moved(state, z)))
+        return F.struct(
+            state["chars"].alias("chars"),
+            (state["at"] + 1).alias("at"),
+            F.when(over, state["band"]).otherwise(next_).alias("band"),
+        )
 
     begin = F.struct(
         characters(longer).alias("chars"),
         F.lit(0).alias("at"),
-        F.lit(mask - ((1 << threshold) - 1)).alias("plus"),
-        F.lit(0).alias("minus"),
-        F.lit(threshold).alias("edits"),
+        F.struct(
+            F.lit(mask - ((1 << threshold) - 1)).alias("plus"),
+            F.lit(0).alias("minus"),
+            F.lit(threshold).alias("edits"),
+        ).alias("band"),
     )
-    return F.aggregate(characters(shorter), begin, step, lambda state: state["edits"])
+    return F.aggregate(characters(shorter), begin, step, lambda state: state["band"]["edits"])
+
+
+def letter_counts(line: Column) -> Column:
+    """How often each letter of the Latin alphabet occurs in a line, in either case."""
+    low, size = F.lower(line), F.char_length(F.lower(line))
+    return F.array(*[size - F.char_length(F.replace(low, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz"])
 
 
 class LineVerifier(Verifier):
-    """Compares lines (node, line) by their banded edit distance."""
+    """Compares lines (node, line) by their banded edit distance.
+
+    An edit changes the counts of two letters by one at most, so lines whose counts are
+    further apart are not compared character by character.
+    """
 
     def __init__(self, lines: DataFrame, threshold: int):
         super().__init__()
-        self.lines, self.threshold = lines, threshold
+        counted = lines.withColumn("length", F.char_length("line")).withColumn("counts", letter_counts(F.col("line")))
+        self.lines, self.threshold = materialise(counted, "lines"), threshold
 
     def check(self, pairs: DataFrame) -> DataFrame:
-        side = lambda name: self.lines.select(F.col("node").alias(name), F.col("line").alias(f"line_{name}"))
-        apart = F.abs(F.char_length("line_a") - F.char_length("line_b"))
+        def side(name: str, *columns: str) -> DataFrame:
+            return self.lines.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+        apart = F.abs(F.col("length_a") - F.col("length_b"))
+        letters = F.aggregate(
+            F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x
+        )
+        like = materialise(
+            pairs.join(side("a", "length", "counts"), "a")
+            .join(side("b", "length", "counts"), "b")
+            .where((apart <= self.threshold) & (letters <= 2 * self.threshold))
+            .select("a", "b"),
+            "like_pairs",
+        )
         edits = edits_within(F.col("line_a"), F.col("line_b"), self.threshold)
-        near = F.when(apart <= self.threshold, edits <= self.threshold).otherwise(False)
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
+        both = like.join(side("a", "line"), "a").join(side("b", "line"), "b")
+        return both.where(edits <= self.threshold).select("a", "b")
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -131,10 +167,10 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     if threshold >= min_chars:
         raise ValueError("lines must be longer than the threshold")
     named = docs.where(F.col("doc_id").isNotNull())
-    lines = lines_of(named).where(F.char_length("line") >= min_chars).withColumn("node", F.xxhash64("line"))
-    keyed = materialise(
-        lines.select("doc_id", "line_no", "node", segment_keys(F.col("line"), threshold).alias("keys")), "line_keys"
-    )
+    lines = lines_of(named).withColumn("length", F.char_length("line")).where(F.col("length") >= min_chars)
+    lines = lines.withColumn("node", F.xxhash64("line"))
+    keys = segment_keys(F.col("line"), F.col("length"), threshold)
+    keyed = materialise(lines.select("doc_id", "line_no", "node", keys.alias("keys")), "line_keys")
     exploded = keyed.select("node", F.explode("keys").alias("key"))
     often = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     met = materialise(exploded.join(often, "key", "left_semi").distinct(), "met_lines")
@@ -142,7 +178,7 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     members = materialise(met.join(low.select("key", "low"), "key"), "key_members")
     wanted = materialise(members.select("node").distinct(), "wanted_lines")
     held = lookup_join(lines.select("node", "line"), wanted, "node", "left_semi").dropDuplicates(["node"])
-    links = link_members(members, LineVerifier(materialise(held, "lines"), threshold))
+    links = link_members(members, LineVerifier(held, threshold))
 
     at = keyed.select("doc_id", "line_no", "node")
     in_group = F.coalesce("component", "node").alias("group")
