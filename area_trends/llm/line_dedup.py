@@ -32,8 +32,16 @@ def probes(threshold: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def segment_keys(line: Column, length: Column, threshold: int = THRESHOLD) -> Column:
-    """Hashes by which lines of a length (in characters) meet lines within `threshold` edits.
+def segment(length: Column, shorter: int, index: int, parts: int) -> tuple[Column, Column]:
+    """Start (from 0) and size of a segment of a line that is so many characters shorter."""
+    cut = length - shorter
+    size, first_longer = F.call_function("div", cut, F.lit(parts)).cast("int"), parts - cut % parts
+    start = size * index + F.greatest(F.lit(index) - first_longer, F.lit(0))
+    return start, size + (F.lit(index) >= first_longer).cast("int")
+
+
+def with_segment_keys(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Adds `keys` to lines (line, length): hashes by which lines within `threshold` edits meet.
 
     A line is cut into threshold + 1 segments whose sizes differ by one at most, longer
     ones last, so one of them is left whole in any line within the threshold. Each line
@@ -44,18 +52,19 @@ def segment_keys(line: Column, length: Column, threshold: int = THRESHOLD) -> Co
     among its probes for its own length.
     """
     parts = threshold + 1
+    cuts = [segment(F.col("length"), s, i, parts) for s in range(parts) for i in range(parts)]
     places = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("sit", p, strict=True)]) for p in probes(threshold)])
 
     def key(probe: Column) -> Column:
-        index, cut = probe["i"], length - probe["s"]
-        first_longer = parts - cut % parts
-        size = F.floor(cut / parts).cast("int")
-        place = size * index + F.greatest(index - first_longer, F.lit(0)) + probe["t"]
-        size = size + (index >= first_longer).cast("int")
-        inside = (place >= 0) & (place + size <= length)
-        return F.when(inside, F.xxhash64(F.substring(line, place + 1, size), cut, index))
+        number = probe["s"] * parts + probe["i"]
+        place, size = F.get("_starts", number) + probe["t"], F.get("_sizes", number)
+        inside = (place >= 0) & (place + size <= F.col("length"))
+        part = F.substring("line", place + 1, size)
+        return F.when(inside, F.xxhash64(part, F.col("length") - probe["s"], probe["i"]))
 
-    return F.array_compact(F.transform(places, key))
+    found = lines.withColumn("_starts", F.array(*[start for start, _ in cuts]))
+    found = found.withColumn("_sizes", F.array(*[size for _, size in cuts]))
+    return found.withColumn("keys", F.array_compact(F.transform(places, key))).drop("_starts", "_sizes")
 
 
 def let(value: Column, use) -> Column:
@@ -169,8 +178,8 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     named = docs.where(F.col("doc_id").isNotNull())
     lines = lines_of(named).withColumn("length", F.char_length("line")).where(F.col("length") >= min_chars)
     lines = lines.withColumn("node", F.xxhash64("line"))
-    keys = segment_keys(F.col("line"), F.col("length"), threshold)
-    keyed = materialise(lines.select("doc_id", "line_no", "node", keys.alias("keys")), "line_keys")
+    keyed = with_segment_keys(lines, threshold).select("doc_id", "line_no", "node", "keys")
+    keyed = materialise(keyed, "line_keys")
     exploded = keyed.select("node", F.explode("keys").alias("key"))
     often = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     met = materialise(exploded.join(often, "key", "left_semi").distinct(), "met_lines")
