@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from area_trends.llm.common import slices, texts, worker_cache
 from area_trends.llm.graph import Verifier, components, link_members
+from area_trends.operators.joins import lookup_join
 from area_trends.sources.tables import materialise
 
-SLICE_BYTES = 8_000_000
-MAX_CACHED = 1_000_000
+SLICE_BYTES = 2_000_000
+MAX_CACHED = 150_000
 #: partitions tried for sets with many thin parts; the last one emits every part
 PARTITIONS = 6
 #: bits of the filter that tells scanning tasks which documents to take sets from
@@ -324,5 +325,5 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     are the same group; all columns stay as they are.
     """
     found = jaccard_components(docs, size, percent).where("doc_id != component_id AND n_shingles > 0")
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = materialise(found.select("doc_id").distinct(), "near_copies")
+    return lookup_join(docs, gone, "doc_id", "left_anti")
