@@ -21,6 +21,8 @@ MAX_CACHED = 150_000
 PARTITIONS = 6
 #: bits of the filter that tells scanning tasks which documents to take sets from
 FILTER_BITS = 1 << 23
+#: bits of the filter of keys that several rows share
+KEY_FILTER_BITS = 1 << 26
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -174,10 +176,8 @@ def keying(name: str, make: Callable, keys_of: Callable) -> Callable:
 def taking_sets(name: str, make: Callable, held) -> Callable:
     def run(batches):
         maker = worker_cache(name, make)
-        wanted = np.frombuffer(held.value, np.uint8)
         for batch in batches:
-            slot = batch.column("slot").to_numpy()
-            batch = batch.filter(pa.array((wanted[slot >> 3] >> (slot & 7) & 1).astype(bool)))
+            batch = batch.filter(pa.array(marked(held.value, batch.column("slot").to_numpy())))
             for part in slices(batch, "text", SLICE_BYTES):
                 sets = list(maker.sets(part.column("text").to_pylist()))
                 columns = [
@@ -203,19 +203,33 @@ def close_sketches(percent: int) -> Callable:
     return run
 
 
-def slot_of(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
+def slot_filter(slots: DataFrame, bits: int) -> bytes:
+    """A filter of a fixed number of bits, those of all rows (slot) set."""
+    place = F.expr("shiftleft(1L, cast(slot & 31 as int))")
+    words = slots.groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(place).alias("bits")).toArrow()
+    out = np.zeros(bits // 32, "<u4")
+    out[words.column("word").to_numpy().astype(np.int64)] = words.column("bits").to_numpy().astype("<u4")
+    return out.tobytes()
 
 
-def slot_filter(ids: DataFrame) -> bytes:
-    """A filter of FILTER_BITS bits with the slots of all ids set; its size is fixed."""
-    word = F.shiftright(F.col("slot"), 5)
-    bit = F.expr("shiftleft(1L, slot & 31)")
-    rows = ids.select(slot_of("doc_id").alias("slot")).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    words = np.zeros(FILTER_BITS // 32, "<u4")
-    for row in rows.toLocalIterator():
-        words[row["word"]] = row["bits"]
-    return words.tobytes()
+def marked(held, slot: np.ndarray) -> np.ndarray:
+    return (np.frombuffer(held, np.uint8)[slot >> 3] >> (slot & 7) & 1).astype(bool)
+
+
+def keeping_keys(held) -> Callable:
+    """Rows (node, key) of the keys that a filter lets pass."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            keys = lists.flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            kept = np.flatnonzero(marked(held.value, keys & (KEY_FILTER_BITS - 1)))
+            owner = np.repeat(np.arange(batch.num_rows), sizes)[kept]
+            columns = [batch.column("node").take(pa.array(owner)), pa.array(keys[kept])]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "key"])
+
+    return run
 
 
 class SetVerifier(Verifier):
@@ -252,7 +266,8 @@ def set_components(docs: DataFrame, name: str, make: Callable, keys_of: Callable
 
     `make` gives an object whose `sets` turns texts into sorted distinct hashes, and
     `keys_of` the join keys of a set: two linked sets must have one in common. Equal sets
-    are compared once. Keys are aggregated, so frequent sets combine map-side.
+    are compared once. Keys are counted with map-side combine; a filter of fixed size then
+    keeps keys of single rows out of the join. Where it is full, the join sees all keys.
     """
     rows = texts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -260,18 +275,25 @@ def set_components(docs: DataFrame, name: str, make: Callable, keys_of: Callable
         rows.mapInArrow(keying(name, make, keys_of), f"doc_id {kind}, n_elements long, node long, keys array<long>"),
         "set_keys",
     )
-    exploded = keyed.select("node", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = materialise(shared.where("low < high").select("key", "low"), "shared_keys")
-    members = materialise(exploded.join(shared, "key").distinct(), "key_members")
+    spark = docs.sparkSession
+    often = keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    often = materialise(often.where("n > 1").select("key"), "shared_keys")
+    held = often.select(F.col("key").bitwiseAND(KEY_FILTER_BITS - 1).alias("slot"))
+    some = keyed.select("node", "keys").mapInArrow(
+        keeping_keys(spark.sparkContext.broadcast(slot_filter(held, KEY_FILTER_BITS))), "node long, key long"
+    )
+    met = materialise(some.join(often, "key", "left_semi").distinct(), "met_keys")
+    low = met.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    members = materialise(met.join(low.select("key", "low"), "key"), "key_members")
 
     nodes = members.select("node").distinct()
     chosen = materialise(
         keyed.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "chosen"
     )
-    wanted = docs.sparkSession.sparkContext.broadcast(slot_filter(chosen))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot")
+    wanted = spark.sparkContext.broadcast(slot_filter(chosen.select(slot), FILTER_BITS))
     held = (
-        rows.withColumn("slot", slot_of("doc_id"))
+        rows.select("*", slot)
         .mapInArrow(
             taking_sets(name, make, wanted), f"doc_id {kind}, node long, sketch binary, elements array<long>"
         )
