@@ -14,8 +14,8 @@ from area_trends.sources.tables import materialise
 DEPTH = 5
 EDGE = 255  # never occurs in UTF-8: stands before and after each text
 HALF = math.log(0.5)
-MAX_NODES = 5_000_000  # of one block
-#: slots of the table by which frequent windows are found
+MAX_NODES = 2_500_000  # of one block
+#: slots of the table by which learned windows are found
 SLOT_BITS = 22
 
 
@@ -40,13 +40,13 @@ def log_sum(a: Column, b: Column) -> Column:
 
 
 def weigh(windows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The weighted context trees of byte windows (window, n): depth, context, bit, share, one.
+    """The weighted context trees of byte windows (window, n): depth, context, key, share, odds.
 
     A window is `depth` context bytes and the byte after them, as one number. Each byte
     is eight binary decisions; `bit` (1 to 255) names a decision by the bits before it,
-    and each has a tree whose nodes are contexts of 0 to `depth` bytes. `one` is the
-    estimate of a one at the node, and `share` the weight of the node's own estimate
-    against what the longer contexts say, after all counts were seen.
+    and each has a tree whose nodes are contexts of 0 to `depth` bytes. `odds` is the
+    logarithm of the odds of a one by the node's own counts, and `share` the weight of the node's own estimate
+    against what the longer contexts say, after all counts were seen. `key` is `node_key`.
     """
     byte, context = F.col("window").bitwiseAND(255), F.shiftright("window", 8)
     steps = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step")
@@ -71,8 +71,15 @@ def weigh(windows: DataFrame, depth: int = DEPTH) -> DataFrame:
                 .withColumn("share", F.exp(F.col("own") - F.col("weighted")))
             )
         nodes = materialise(nodes.select("context", "bit", "n", "ones", "weighted", "share"), "context_nodes")
-        estimate = (F.col("ones") + 0.5) / (F.col("n") + 1)
-        rows = nodes.select(F.lit(level).alias("depth"), "context", "bit", "share", estimate.alias("one"))
+        odds = F.log((F.col("ones") + 0.5) / (F.col("n") - F.col("ones") + 0.5))
+        marked = F.shiftleft(F.col("context").bitwiseOR(F.lit(1 << (8 * level))), 8)
+        rows = nodes.select(
+            F.lit(level).alias("depth"),
+            "context",
+            marked.bitwiseOR(F.col("bit").cast("long")).alias("key"),
+            F.col("share").cast("float").alias("share"),
+            odds.cast("float").alias("odds"),
+        )
         found = rows if found is None else found.union(rows)
     return found
 
@@ -89,7 +96,7 @@ class Trees:
 
     keys: np.ndarray
     share: np.ndarray
-    one: np.ndarray
+    odds: np.ndarray
     low: int = 0
     high: int = 0xFFFF
     depth: int = DEPTH
@@ -111,22 +118,22 @@ class Trees:
                 unseen = open_[~known]
                 chance[unseen] += stay[unseen] * 0.5
                 open_, at = open_[known], at[known]
-                estimate = np.where(one[open_] == 1, self.one[at], 1 - self.one[at])
+                estimate = 1 / (1 + np.exp(np.where(one[open_] == 1, -1.0, 1.0) * self.odds[at]))
                 chance[open_] += stay[open_] * self.share[at] * estimate
-                stay[open_] *= 1 - self.share[at]
+                stay[open_] *= 1 - self.share[at].astype(np.float64)
             total += np.log10(chance)
         return total
 
 
 class Scorer:
-    """Scores windows with a block of trees; frequent windows are scored once and kept."""
+    """Scores windows with a block of trees; those that were learned from are looked up."""
 
-    def __init__(self, trees: Trees, frequent: np.ndarray):
+    def __init__(self, trees: Trees, windows: np.ndarray, logs: np.ndarray):
         self.trees = trees
-        self.frequent = np.r_[frequent, np.uint64(2**64 - 1)]
-        self.known = np.r_[trees.log10(frequent), 0.0]
-        self.slots = np.full(1 << SLOT_BITS, len(frequent), np.int32)
-        self.slots[self.slot(frequent)[::-1]] = np.arange(len(frequent), dtype=np.int32)[::-1]
+        self.windows = np.r_[windows, np.uint64(2**64 - 1)]
+        self.logs = np.r_[logs, 0.0]
+        self.slots = np.full(1 << SLOT_BITS, len(windows), np.int32)
+        self.slots[self.slot(windows)] = np.arange(len(windows), dtype=np.int32)
 
     @staticmethod
     def slot(windows: np.ndarray) -> np.ndarray:
@@ -134,14 +141,23 @@ class Scorer:
 
     def log10(self, windows: np.ndarray) -> np.ndarray:
         """As `Trees.log10`, and 0 where another block answers."""
+        if (self.trees.low, self.trees.high) == (0, 0xFFFF):
+            return self.own(windows)
+        suffix = (windows >> np.uint64(8)) & np.uint64(0xFFFF)
+        mine = np.flatnonzero((suffix >= self.trees.low) & (suffix <= self.trees.high))
+        out = np.zeros(len(windows))
+        out[mine] = self.own(windows[mine])
+        return out
+
+    def own(self, windows: np.ndarray) -> np.ndarray:
         at = self.slots[self.slot(windows)]
-        out = self.known[at]
-        other = np.flatnonzero(self.frequent[at] != windows)
-        distinct, place = np.unique(windows[other], return_inverse=True)
-        out[other] = self.trees.log10(distinct)[place]
-        if (self.trees.low, self.trees.high) != (0, 0xFFFF):
-            suffix = (windows >> np.uint64(8)) & np.uint64(0xFFFF)
-            out[(suffix < self.trees.low) | (suffix > self.trees.high)] = 0.0
+        out = self.logs[at]
+        other = np.flatnonzero(self.windows[at] != windows)
+        place = np.searchsorted(self.windows, windows[other])
+        out[other] = self.logs[place]
+        new = self.windows[place] != windows[other]
+        distinct, place = np.unique(windows[other[new]], return_inverse=True)
+        out[other[new]] = self.trees.log10(distinct)[place]
         return out
 
 

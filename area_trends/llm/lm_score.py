@@ -12,16 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from area_trends.llm.common import slices, texts, worker_cache
-from area_trends.llm.context_trees import MAX_NODES, Scorer, Trees, node_key, weigh, windows_of
+from area_trends.llm.context_trees import MAX_NODES, Scorer, Trees, weigh, windows_of
 from area_trends.llm.language_id import fold
 from area_trends.sources.tables import materialise
 
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 4_000_000
 MAX_CACHED = 150_000
 #: words with more than this part of all tokens are broadcast; there are at most so many
 FREQUENT = 400_000
-#: windows that each worker scores once at its start
-FREQUENT_WINDOWS = 200_000
 WORD, WINDOW = 0, 1
 #: the token after the last word of each text: no word has this number
 END = 0
@@ -88,11 +86,30 @@ def tree_blocks(nodes: DataFrame, max_nodes: int) -> list[tuple[int, int]]:
 def load_trees(nodes: DataFrame, low: int, high: int) -> Trees:
     """One block of nodes as arrays."""
     chosen = nodes.where((F.col("depth") < 2) | F.col("context").bitwiseAND(0xFFFF).between(low, high))
-    table = chosen.select("depth", "context", "bit", "share", "one").toArrow()
-    depth, context, bit, share, one = (column.to_numpy() for column in table.columns)
-    keys = node_key(depth, context, bit)
+    keys, share, odds = (c.to_numpy() for c in chosen.select("key", "share", "odds").toArrow().columns)
     order = np.argsort(keys)
-    return Trees(keys[order], share[order].astype(np.float32), one[order], low, high)
+    return Trees(keys[order].view(np.uint64), share[order], odds[order], low, high)
+
+
+def scoring_windows(version: str, trees) -> Callable:
+    def run(batches):
+        held = worker_cache("lm trees", lambda: trees.value, version)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 100_000):
+                part = batch.slice(start, 100_000)
+                logs = held.log10(part.column("key").to_numpy().view(np.uint64))
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(logs)], ["key", "log"])
+
+    return run
+
+
+def learned_windows(windows: DataFrame, version: str, trees, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of one block that were learned from, in order, and their log10 probabilities."""
+    chosen = windows.where(F.shiftright("key", 8).bitwiseAND(0xFFFF).between(low, high)).select("key")
+    table = chosen.mapInArrow(scoring_windows(version, trees), "key long, log double").toArrow()
+    keys, logs = (c.to_numpy() for c in table.columns)
+    order = np.argsort(keys)
+    return keys[order].view(np.uint64), logs[order]
 
 
 def rare_tokens(numbers: list[np.ndarray], hit: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
@@ -105,19 +122,19 @@ def rare_tokens(numbers: list[np.ndarray], hit: np.ndarray, ends: np.ndarray) ->
     return [pa.array(x, pa.list_(pa.int64())) for x in (some, times)]
 
 
-def scoring(version: str, trees, often, frequent) -> Callable:
+def scoring(version: str, trees, learned, frequent) -> Callable:
     """Adds the scores of one block of trees, and with `frequent` words the base's parts."""
 
     def run(batches):
-        scorer = worker_cache("lm scorer", lambda: Scorer(trees.value, often.value), version)
+        scorer = worker_cache("lm scorer", lambda: Scorer(trees.value, *learned.value), version)
         words = worker_cache("lm words", Words)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 values = lowered(part.column("text").to_pylist())
                 windows, sizes = windows_of(values)
                 found = np.add.reduceat(scorer.log10(windows), np.cumsum(sizes) - sizes)
-                columns = {n: part.column(n) for n in part.schema.names}
-                columns["score"] = pa.array(part.column("score").to_numpy() + found)
+                columns = {n: part.column(n) for n in part.schema.names if n != "text"}
+                columns["score"] = pa.array(found)
                 if frequent is not None:
                     keys, logs = frequent.value
                     numbers = words.tokens(values)
@@ -127,7 +144,6 @@ def scoring(version: str, trees, often, frequent) -> Callable:
                     at = np.searchsorted(keys, flat)
                     hit = keys[at] == flat
                     value = np.where(hit, logs[at], 0.0)
-                    del columns["text"]
                     columns["n_bytes"] = pa.array(sizes - 1)
                     columns["n_tokens"] = pa.array(np.diff(np.r_[0, ends]))
                     columns["known"] = pa.array(np.bincount(owner, value > 0, len(numbers)).astype(np.int64))
@@ -149,7 +165,7 @@ def lm_scores(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     counts. Null is read as the empty text. Words are told apart by 64-bit hashes.
     Repeated rows are counted and scored one by one, other columns are ignored. The trees
     are broadcast in blocks of about `max_nodes` nodes, by the two last context bytes;
-    the texts are gone through once per block.
+    the texts are gone through once per block, from one numbered copy if there are several.
     """
     spark = docs.sparkSession
     held = F.coalesce(fold(docs, 7) == 2, F.lit(False))
@@ -166,8 +182,6 @@ def lm_scores(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     windows = counts.where(F.col("kind") == WINDOW)
     words = counts.where(F.col("kind") == WORD)
     nodes = materialise(weigh(windows.select(F.col("key").alias("window"), "n")), "context_trees")
-    often = windows.orderBy(F.col("n").desc(), "key").limit(FREQUENT_WINDOWS).select("key").toArrow()
-    often = spark.sparkContext.broadcast(often.column("key").to_numpy().astype(np.uint64))
     n, tokens, distinct = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("everywhere"), F.lit(0)), F.count_if(F.col("n") > 0)
     ).first()
@@ -178,19 +192,30 @@ def lm_scores(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
         (np.r_[table.column("key").to_numpy(), last], np.r_[np.log10(table.column("n").to_numpy() + 1.0), 0.0])
     )
 
-    scored = rows.select("doc_id", "held_out", "text").withColumn("score", F.lit(0.0))
-    schema = f"doc_id {kind}, held_out boolean, text string, score double"
-    after = schema.replace("text string, ", "") + (
-        ", n_bytes long, n_tokens long, known long, total double, rare array<long>, times array<long>"
-    )
     blocks = tree_blocks(nodes, max_nodes)
+    numbered = rows.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("row"))
+    if len(blocks) > 1:
+        numbered = materialise(numbered, "numbered_texts")
+    parts = None
     for low, high in blocks:
+        version = uuid.uuid4().hex
         trees = spark.sparkContext.broadcast(load_trees(nodes, low, high))
+        learned = spark.sparkContext.broadcast(learned_windows(windows, version, trees, low, high))
         if high < 0xFFFF:
-            scored = materialise(scored.mapInArrow(scoring(uuid.uuid4().hex, trees, often, None), schema), "scored")
+            some = numbered.select("row", "text").mapInArrow(
+                scoring(version, trees, learned, None), "row long, score double"
+            )
+            parts = materialise(some, "score_parts") if parts is None else parts.union(materialise(some, "score_parts"))
         else:
-            scored = scored.mapInArrow(scoring(uuid.uuid4().hex, trees, often, frequent), after)
-    scored = materialise(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
+            scored = numbered.mapInArrow(
+                scoring(version, trees, learned, frequent),
+                f"doc_id {kind}, held_out boolean, row long, score double, n_bytes long, n_tokens long, "
+                "known long, total double, rare array<long>, times array<long>",
+            )
+    scored = materialise(scored, "scores")
+    if parts is not None:
+        other = parts.groupBy("row").agg(F.sum("score").alias("other"))
+        scored = scored.join(other, "row").withColumn("score", F.col("score") + F.col("other"))
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("pair"))
     rest = (
         pairs.select("row", F.col("pair.rare").alias("key"), F.col("pair.times").alias("times"))

@@ -74,7 +74,7 @@ def test_windows():
     assert sizes.tolist() == [3, 1, 2]
 
 
-@pytest.mark.parametrize("max_nodes", [5_000_000, 300])
+@pytest.mark.parametrize("max_nodes", [2_500_000, 300])
 def test_scores(spark, max_nodes):
     rows = [(i, f"The cat {i % 5} sat on\tTHE mat é{i % 3}") for i in range(40)]
     rows += [(100, None), (101, ""), (102, "  "), (103, "Zebra zebra 漢字"), (103, "Zebra zebra 漢字"), (None, "the nowhere")]
@@ -92,7 +92,7 @@ def test_scores(spark, max_nodes):
         assert row.held_out == (doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2)
         assert (row.n_tokens, row.n_known, row.train_tokens) == (len(words), sum(w in counts for w in words), n)
         assert row.base_score == pytest.approx(base, rel=1e-9)
-        assert row.score == pytest.approx(model.score(lower(text).encode()), rel=1e-6)
+        assert row.score == pytest.approx(model.score(lower(text).encode()), rel=1e-5)
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
 
 
