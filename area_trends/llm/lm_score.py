@@ -181,7 +181,7 @@ def lm_scores(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     )
     windows = counts.where(F.col("kind") == WINDOW)
     words = counts.where(F.col("kind") == WORD)
-    nodes = materialise(weigh(windows.select(F.col("key").alias("window"), "n")), "context_trees")
+    nodes = weigh(windows.select(F.col("key").alias("window"), "n"))
     n, tokens, distinct = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("everywhere"), F.lit(0)), F.count_if(F.col("n") > 0)
     ).first()
