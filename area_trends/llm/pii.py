@@ -24,6 +24,8 @@ PATTERNS = {
 TERMS = r"\p{L}{3,}"
 REACH = 100
 MIN_CONTEXTS = 3
+#: standard errors by which a share of few documents is taken lower (Wilson's bound)
+ERRORS = 1.96
 GENERALISE_AT = 0.75
 REMOVE_AT = 0.95
 
@@ -105,6 +107,14 @@ def context_sides(text: Column, span: Column, reach: int) -> Column:
     return F.array(side(left, span["start"] - F.char_length(left)), side(right, span["end"]))
 
 
+def outside(found: Column) -> Column:
+    """Found words that no base span overlaps: start, end, term."""
+    free = F.filter(found, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    return F.transform(
+        free, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("term"))
+    )
+
+
 def term_occurrences(found: DataFrame) -> DataFrame:
     """Terms near protected values: row, pair, entity, term, start, end, context."""
     near = found.select("row", "base", F.explode("contexts").alias("near")).select("row", "base", "near.*")
@@ -130,7 +140,7 @@ def term_occurrences(found: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, occurrences: DataFrame, min_contexts: int, generalise_at: float) -> DataFrame:
-    """pair, disclosure: how much of what there is to know of a value a term near it tells.
+    """entity, term, disclosure: how much of what there is to know of a value a term near it tells.
 
     Each occurrence of a term in the corpus is an event; it is near a value or not. The
     disclosure is the pointwise mutual information of term and value over the information
@@ -158,11 +168,67 @@ def disclosures(docs: DataFrame, occurrences: DataFrame, min_contexts: int, gene
     return (
         kept.join(values, "entity")
         .join(counted.where(F.col("term").isNotNull()), "term")
-        .select("pair", F.when(information > 0, mutual / information).otherwise(0.0).alias("disclosure"))
+        .select("entity", "term", F.when(information > 0, mutual / information).otherwise(0.0).alias("disclosure"))
         .where(F.col("disclosure") >= generalise_at)
     )
 
 
+def least_share(hits: Column, tries: Column) -> Column:
+    """The lower end of Wilson's interval of a share: 0.21 for one of one, 0.34 for two of two."""
+    square, share = ERRORS**2, hits / tries
+    spread = ERRORS * F.sqrt(share * (1 - share) / tries + square / (4 * tries * tries))
+    return (share + square / (2 * tries) - spread) / (1 + square / tries)
+
+
+def document_disclosures(docs: DataFrame, found: DataFrame, holders: DataFrame, generalise_at: float) -> DataFrame:
+    """copy, term, disclosure: what a term anywhere in a text tells of the values that the text holds.
+
+    As `disclosures`, over different texts: the information that holding the term gives of
+    holding the value. There is no least count; the share of the term's texts that hold the
+    value is taken at its lower bound instead, so a term met once or twice has to be rarer.
+    Values of the same texts are judged as one. Terms of so many texts that they
+    could reach `generalise_at` with no value of a text are left out before they are
+    paired with its values; that changes no result.
+    """
+    copies = materialise(found.groupBy("copy").agg(F.count(F.lit(1)).alias("times")), "text_copies")
+    total = float(max(copies.count(), 1))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text_of(docs)), F.lit(TERMS), F.lit(0)))
+    rows = docs.select(F.xxhash64(text_of(docs)).alias("copy"), words.alias("words"))
+    rows = lookup_join(rows, copies.where("times > 1"), "copy", "left")
+    share = 1 / F.coalesce("times", F.lit(1))
+    counted = rows.select(share.alias("share"), F.explode("words").alias("term")).groupBy("term")
+    counted = materialise(counted.agg(F.round(F.sum("share")).alias("with_term")), "term_texts")
+
+    marks = F.bit_xor(F.xxhash64("copy"))
+    values = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("with_value"), marks.alias("marks"))
+    groups = lookup_join(holders, materialise(values, "value_counts"), "entity").select("copy", "with_value", F.xxhash64("marks", "with_value").alias("values"))
+    groups = materialise(groups.distinct(), "value_texts")
+    most = lambda with_value: total ** (1 - generalise_at) * with_value**generalise_at
+    held = groups.groupBy("copy").agg(F.collect_list(F.struct("values", "with_value")).alias("held"))
+    first = found.where(F.size("base") > 0).groupBy("copy").agg(F.min("row").alias("row")).select("row")
+    terms = lookup_join(found.select("row", "copy", "words"), first, "row", "left_semi")
+    terms = terms.select("copy", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    terms = materialise(terms, "value_text_terms")
+    highest = groups.agg(F.coalesce(F.max("with_value"), F.lit(0))).first()[0]
+    rare = counted.where(F.col("with_term") <= most(float(highest)) * 1.001)
+    able = F.filter("held", lambda h: F.col("with_term") <= most(h["with_value"]) * 1.001)
+    met = lookup_join(terms, rare, "term").join(held, "copy")
+    met = met.select("copy", "term", "with_term", F.explode(able).alias("held"))
+    met = materialise(met.select("copy", "term", "with_term", "held.*"), "met_terms")
+    pairs = met.groupBy("values", "term").agg(
+        F.count(F.lit(1)).alias("together"),
+        F.first("with_value").alias("with_value"),
+        F.first("with_term").alias("with_term"),
+    )
+    information = F.log2(F.lit(total) / F.col("with_value"))
+    mutual = F.log2(least_share(F.col("together"), F.col("with_term")) * F.lit(total) / F.col("with_value"))
+    told = (
+        pairs.select("values", "term", F.when(information > 0, mutual / information).otherwise(0.0).alias("disclosure"))
+        .where(F.col("disclosure") >= generalise_at)
+    )
+    return met.select("copy", "values", "term").join(told, ["values", "term"]).select("copy", "term", "disclosure")
+
+
 def private_spans(
     docs: DataFrame,
     reach: int = REACH,
@@ -173,7 +239,7 @@ def private_spans(
     """doc_id, base and terms of each document, and its text if wanted.
 
     `base` holds the pattern spans (start, kind number, end, value), `terms` those of the
-    terms that reveal a value near them (start, kind, end, disclosure), both in order.
+    terms that reveal a value of the document (start, kind, end, disclosure), both in order.
     """
     text = text_of(docs)
     rows = docs.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
@@ -184,18 +250,29 @@ def private_spans(
         ),
     )
     found = rows.withColumn("contexts", contexts).withColumn("row", F.monotonically_increasing_id())
+    found = found.withColumn("copy", F.xxhash64("text"))
+    found = found.withColumn("words", F.when(F.size("base") > 0, outside(located(F.col("text"), TERMS))))
     found = materialise(found if keep_text else found.drop("text"), "private_spans")
     occurrences = materialise(term_occurrences(found), "near_terms")
-    reveal = materialise(disclosures(docs, occurrences, min_contexts, generalise_at), "disclosures")
-    told = lookup_join(occurrences.select("pair", "row", "start", "end"), reveal, "pair")
-    span = F.struct("start", F.lit(TERM).alias("kind"), "end", "disclosure")
-    terms = (
-        told.groupBy("row", "start", "end")
-        .agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    holders = found.select("copy", F.explode("contexts").alias("near"))
+    holders = materialise(holders.select("copy", F.xxhash64("near.kind", "near.value").alias("entity")).distinct(), "holders")
+    near = materialise(disclosures(docs, occurrences, min_contexts, generalise_at), "disclosures")
+    near = lookup_join(holders, near, "entity").select("copy", "term", "disclosure")
+    told = near.union(document_disclosures(docs, found, holders, generalise_at))
+    told = told.groupBy("copy", "term").agg(F.max("disclosure").alias("disclosure")).groupBy("copy")
+    told = told.agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    places = F.transform(
+        "words",
+        lambda w: F.struct(
+            w["start"].alias("start"),
+            F.lit(TERM).alias("kind"),
+            w["end"].alias("end"),
+            F.try_element_at(F.col("told"), w["term"]).alias("disclosure"),
+        ),
     )
-    return found.drop("contexts").join(terms, "row", "left").drop("row")
+    terms = F.when(F.col("told").isNotNull(), F.filter(places, lambda s: s["disclosure"].isNotNull()))
+    held = lookup_join(found.drop("contexts"), materialise(told, "told_terms"), "copy", "left")
+    return held.withColumn("terms", terms).drop("words", "told", "row", "copy")
 
 
 def listed(spans: Column) -> Column:
@@ -219,8 +296,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Base kinds are found by pattern in whole texts (null: empty) and checked: address
     parts up to 255, card numbers of 12 to 19 digits by Luhn, phones of 9 to 15 digits.
-    A term is a word of at least three letters within REACH characters of a value, on its
-    line, whose disclosure of the value reaches GENERALISE_AT. Repeated rows are read one
+    A term is a word of at least three letters whose disclosure of a value reaches
+    GENERALISE_AT, by its places within REACH characters of the value, on its line
+    (`disclosures`), or by the documents that hold both (`document_disclosures`). All its
+    places in a document that holds the value are listed. Repeated rows are read one
     by one, their copies of a context count once; other columns are ignored.
     """
     found = private_spans(docs)

@@ -127,3 +127,20 @@ def test_terms_that_reveal(spark):
 def test_native(spark, sf):
     plan = queries.op6_personal_data(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_terms_far_from_values(spark):
+    """A value met in two texts, the name on another line or far off, and once more in the text."""
+    far = " ".join(["some words between that tell nothing"] * 5)
+    rows = [(0, f"written by Zebulon\n{far}\nzeb@corp.example {far}"), (1, f"mail to zeb@corp.example, {far} said Zebulon. So Zebulon")]
+    rows += [(10 + i, f"{far} written by someone, said mail {i}") for i in range(400)]
+    rows += [(900 + i, f"{far} another text without any address {i}") for i in range(400)]
+    rows += [(2000, f"Quixote wrote it\n{far}\nfrom q@corp.example")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert all(not any(p.startswith("term") for p in row[-1].split(",")) for row in brute(rows))
+    places = lambda i: [f"term:{m.start()}:{m.end()}" for m in re.finditer("Zebulon", rows[i][1])]
+    assert [p for p in found[0].spans.split(",") if p.startswith("term")] == places(0)
+    assert [p for p in found[1].spans.split(",") if p.startswith("term")] == places(1) and found[1].n_term == 2
+    assert "term:0:7" in found[2000].spans.split(",")  # a value met once
+    assert all(not found[i].n_term for i in range(10, 410))
