@@ -39,7 +39,9 @@ class Spots:
     """Signature sets of texts: hashes of each anchor and the content words after it.
 
     Words are in lower case and end at ASCII punctuation and spaces. The start of a text
-    is an anchor too, with as many content words as there are. A text of common words
+    is an anchor too, with as many content words as there are. Content words that no
+    chain holds start a chain of their own (the last ones, of what is left), so texts
+    without anchors, such as lists or other languages, enter whole. A text of common words
     only has all of them as its one signature, a text without words itself; only the
     empty text has none.
     """
@@ -77,8 +79,13 @@ class Spots:
         before = np.cumsum(~common)[anchor]  # content words before each anchor
         whole = before + self.chain <= len(content)
         anchor, before = anchor[whole], before[whole]
-        found = np.r_[np.uint64(1), words[anchor]]
-        first = np.r_[0, before]
+        begin = np.r_[0, before]
+        held = np.zeros(len(content), bool)
+        for k in range(self.chain):
+            held[np.minimum(begin + k, len(content) - 1)] = True
+        alone = np.flatnonzero(~held)
+        found = np.r_[np.uint64(1), words[anchor], np.full(len(alone), 2, np.uint64)]
+        first = np.r_[begin, alone]
         for k in range(self.chain):
             place = np.minimum(first + k, len(content) - 1)
             found = mix(found * np.uint64(0x9E3779B97F4A7C15) + content[place])

@@ -51,6 +51,16 @@ def test_signatures():
     assert ss.likeness(np.arange(4), np.arange(10), 0.5) == 0.0 and ss.likeness(np.arange(4), np.arange(5), 0.8) == 0.8
 
 
+def test_texts_without_anchors():
+    """Every word counts where no chain after a common word holds it."""
+    lists = ["kat | mos | pel | rin | sul | tev", "kat | mos | pel | rin | sul | xxx", "kat | mos | other | words | here | now"]
+    lists += ["кот сидит у окна дома", "кот сидит у двери дома", "the kat mos pel rin", "the kat mos pel sul"]
+    sets = list(ss.Spots().sets(lists))
+    assert len({s.tobytes() for s in sets}) == len(sets)
+    assert 0.3 < ss.likeness(sets[0], sets[1]) < 1 and ss.likeness(sets[0], sets[2]) < 0.2
+    assert 0 < ss.likeness(sets[3], sets[4]) < 1
+
+
 def test_near_components(spark):
     rng = np.random.default_rng(1)
     rows = []
