@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable, Iterator
 from types import SimpleNamespace
@@ -9,6 +10,9 @@ from types import SimpleNamespace
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from area_trends.sources.tables import materialise
 
 
 def text_of(docs: DataFrame, text: str = "text") -> Column:
@@ -48,3 +52,27 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
         held += size or 0
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def text_parts(data: bytes, separators: re.Pattern[bytes], size: int) -> Iterator[bytes]:
+    """Cuts UTF-8 at separators into parts of about `size` bytes, so that no word is cut."""
+    at = 0
+    while at < len(data):
+        near = separators.search(data, at + size)
+        end = near.start() if near else len(data)
+        yield data[at:end]
+        at = end
+
+
+def number_rows(rows: DataFrame, *order: Column, name: str = "position") -> DataFrame:
+    """Adds the row's position (1, 2, ...) in an order over all rows.
+
+    Rows are sorted by ranges and written; a row's position is its place in its range plus
+    the sizes of the ranges before, one small row each. Equal rows are numbered as they lie.
+    """
+    placed = materialise(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1
+    return placed.join(F.broadcast(before), "_range").select(*rows.columns, place.alias(name))

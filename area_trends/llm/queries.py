@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from area_trends.llm.decontaminate import contamination
+from area_trends.llm.exact_dedup import exact_dedup
 from area_trends.llm.jaccard_join import jaccard_components
 from area_trends.llm.language_id import language_id
+from area_trends.llm.lexical_search import lexical_search
 from area_trends.llm.line_dedup import line_dedup
 from area_trends.llm.lm_score import lm_scores
 from area_trends.llm.oracle import ORACLE
 from area_trends.llm.pieces import piece_digests
 from area_trends.llm.pii import personal_data
+from area_trends.llm.resampling import resample
 from area_trends.llm.spot_signatures import fingerprints
 from area_trends.llm.token_counts import token_counts
 from area_trends.llm.token_files import token_files
@@ -78,6 +81,25 @@ def op10_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir), PIECES)
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed towards the benchmark texts, and the sample drawn."""
+    return resample(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each benchmark item."""
+    return lexical_search(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose texts differ in blanks and line ends at most."""
+    return exact_dedup(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_language_id": op2_language_id,
@@ -89,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_token_files": op9_token_files,
     "op10_piece_coding": op10_piece_coding,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_dedup": op13_exact_dedup,
     "pipeline": pipeline,
 }
 
