@@ -96,13 +96,15 @@ def person_months(
     follow: DataFrame,
     strata: Sequence[str] = ("sex", "ethnicity", "lsoa"),
     bands=OPEN_BANDS,
+    skip: str | None = None,
 ) -> DataFrame:
     """Persons under follow-up per year, month, age band and stratum.
 
     A person counts on start_date, start_date + 1 month, ... up to end_date, in
     the band of the age on that day. Instead of one row per person and month, a
     person yields +1 where a band is entered and -1 where it is left (at most two
-    rows per band); a running sum per stratum restores the monthly counts.
+    rows per band); a running sum per stratum restores the monthly counts. `skip` names a
+    column with the number of first months that do not count.
     """
     start, end, dob = F.col("start_date"), F.col("end_date"), F.col("dob")
     last = month_number(end) - month_number(start)
@@ -110,6 +112,7 @@ def person_months(
         *strata,
         "start_date",
         "dob",
+        (F.lit(0) if skip is None else F.col(skip)).alias("skip"),
         month_number(start).alias("first"),
         F.when(F.add_months(start, last) <= end, last + 1).otherwise(last).alias("months"),
     ).where(F.col("months") > 0)
@@ -117,11 +120,11 @@ def person_months(
     # Month in which each band is entered; without a date of birth the last band
     # holds throughout.
     labels = [label for label, _ in bands]
-    entered = {"enter_0": F.lit(0)}
+    entered = {"enter_0": F.col("skip")}
     for i, (_, upper) in enumerate(bands[:-1], 1):
         birthday = F.date_add(dob, math.ceil(upper * DAYS_PER_YEAR))
         reached = F.coalesce(_months_until(start, birthday), F.lit(0))
-        entered[f"enter_{i}"] = F.least(reached, F.col("months"))
+        entered[f"enter_{i}"] = F.least(F.greatest(reached, F.col("skip")), F.col("months"))
     runs = spans.select(*strata, "first", "months", *[c.alias(n) for n, c in entered.items()])
     edges = [F.col(n) for n in entered] + [F.col("months")]
     runs = runs.select(

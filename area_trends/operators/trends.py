@@ -15,6 +15,9 @@ from pyspark.sql import Window as W
 from ..functions.dates import day_literal, month_from_number, month_number
 from ..functions.fixed_values import COUNT_FIRST_MONTH, LABEL_STEP, LABEL_TOP, LABEL_X, PERIOD_BREAKS, PERIOD_LABELS
 from ..functions.stats import fit_moments, with_fit
+from ..sources.tables import materialise
+from .joins import lookup_join
+from .quantiles import exact_quantiles
 
 PERIOD = "covid_period"
 
@@ -178,23 +181,29 @@ def box_stats(
     value: str = "age_standardised_rate",
     reach: float = 1.5,
 ) -> DataFrame:
-    """Quartiles, whiskers (extreme values within `reach` IQR) and outlier count per period."""
-    stats = series.groupBy(*keys, PERIOD).agg(
-        F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        F.collect_list(value).alias("v"),  # at most one value per month
-    )
+    """Quartiles, whiskers (extreme values within `reach` IQR) and outlier count per period.
+
+    Groups may be of any size: quartiles are found by counting, whiskers and outliers are
+    aggregated beside them. The values are stored first, as they are gone through several times.
+    """
+    group = [*keys, PERIOD]
+    values = materialise(series.select(*group, F.col(f"`{value}`").cast("double").alias("x")), "box_values")
     q1, median, q3 = (F.col("q")[i] for i in range(3))
-    low, high = q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)
-    stats = stats.withColumn("w", F.filter("v", lambda x: (x >= low) & (x <= high)))
-    return stats.select(
-        *keys,
-        PERIOD,
+    stats = exact_quantiles(values, group, "x").select(
+        F.struct(*group).alias("_group"),
         q1.alias("q1"),
         median.alias("median"),
         q3.alias("q3"),
-        F.array_min("w").alias("whisker_low"),
-        F.array_max("w").alias("whisker_high"),
-        (F.size("v") - F.size("w")).cast("long").alias("n_outliers"),
+        (q1 - reach * (q3 - q1)).alias("low"),
+        (q3 + reach * (q3 - q1)).alias("high"),
+    )
+    held = lookup_join(values.withColumn("_group", F.struct(*group)), stats, "_group", "left")
+    inside = (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))
+    return held.groupBy(*group).agg(
+        *[F.max(c).alias(c) for c in ("q1", "median", "q3")],
+        F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
+        F.count_if(~inside).alias("n_outliers"),
     )
 
 

@@ -158,3 +158,48 @@ def event_archive(spark: SparkSession, sf: str) -> str:
     path = scratch_folder(spark, "archive")
     star.events(spark, sf).write.partitionBy("archived_on").parquet(path)
     return path
+
+
+SNAPSHOTS = ("1996-06-30", "1998-06-30", "2000-06-30")
+
+
+def dated_archive(spark: SparkSession, sf: str) -> str:
+    """Events up to three dates, a folder each; later ones lack some events and change others."""
+    path = scratch_folder(spark, "dated")
+    days = ", ".join(f"'{d}'" for d in SNAPSHOTS)
+    (
+        star.events(spark, sf)
+        .drop("archived_on")
+        .selectExpr("*", f"explode(array({days})) AS archived_on")
+        .where("event_date <= CAST(archived_on AS DATE)")
+        .where(f"NOT (event_id % 19 = 0 AND archived_on = '{SNAPSHOTS[2]}')")
+        .withColumn(
+            "category", F.expr(f"IF(event_id % 31 = 0 AND archived_on >= '{SNAPSHOTS[2]}', 'changed', category)")
+        )
+        .write.partitionBy("archived_on")
+        .parquet(path)
+    )
+    return path
+
+
+def faulty_csv(spark: SparkSession, sf: str) -> str:
+    """Persons in five files, of which some lines are blank or do not fit (pid, balance, day, segment)."""
+    path = scratch_folder(spark, "faulty")
+    line = """CASE WHEN c_custkey % 11 = 0 THEN c_custkey || ',1.5'
+        WHEN c_custkey % 13 = 0 THEN c_custkey || ',1.5,1996-01-01,"a, ""b"" c",more'
+        WHEN c_custkey % 17 = 0 THEN c_custkey || ',abc,1996-13-01,x'
+        WHEN c_custkey % 19 = 0 THEN c_custkey || ',1.5,1996-01-01,"open'
+        WHEN c_custkey % 23 = 0 THEN ''
+        ELSE c_custkey || ',' || c_custkey % 100 || '.5,' || IF(c_custkey % 29 = 0, '', '1996-01-01')
+             || ',"a ""' || c_mktsegment || '"", b"' END"""
+    lines = star.table(spark, sf, "customer").selectExpr("c_custkey % 5 AS part", "c_custkey AS place", f"{line} AS line")
+    heads = lines.select("part").distinct().selectExpr("part", "CAST(-1 AS BIGINT) AS place", "'pid,balance,day,segment' AS line")
+    (
+        lines.unionByName(heads)
+        .repartition("part")
+        .sortWithinPartitions("part", "place")
+        .select("part", "line")
+        .write.partitionBy("part")
+        .text(path)
+    )
+    return path

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from ..functions.dates import months_between_first_days
 from ..functions.fixed_values import (
     BAND_LABELS,
     EUROPEAN_WEIGHTS,
@@ -14,7 +15,7 @@ from ..functions.fixed_values import (
     STROKE_SUBTYPES,
 )
 from . import star
-from .derived import AGE_LABELS
+from .derived import AGE_LABELS, SNAPSHOTS
 
 
 def _list(values) -> str:
@@ -169,6 +170,46 @@ WHERE (year(end_date) - year(start_date)) * 12 + month(end_date) - month(start_d
       + CASE WHEN day(end_date) = day(start_date)
                OR (end_date = last_day(end_date) AND start_date = last_day(start_date)) THEN 0
              ELSE (day(end_date) - day(start_date)) / 31.0 END >= 1""",
+    "spell": f"""
+SELECT pid, start_date, least(coalesce(end_date, DATE '{star.STUDY_END}'), DATE '{star.STUDY_END}') AS end_date FROM (
+  SELECT o_custkey AS pid, CAST(o_orderdate AS DATE) - CAST(o_orderkey * 37 % 200 AS INTEGER) AS start_date,
+         CASE WHEN o_orderkey % 50 <> 0
+              THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey * 53 % 120 - 5 AS INTEGER) END AS end_date FROM orders)""",
+    # every day followed, then runs of days
+    "island": """
+SELECT pid, min(d) AS start_date, max(d) AS end_date FROM (
+  SELECT pid, d, d - CAST(row_number() OVER (PARTITION BY pid ORDER BY d) AS INTEGER) AS g FROM (
+    SELECT DISTINCT pid, CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS d FROM spell))
+GROUP BY pid, g""",
+    "snapshot": f"""
+SELECT e.* EXCLUDE (archived_on, category), s.day AS archived_on,
+       CASE WHEN event_id % 31 = 0 AND s.day >= '{SNAPSHOTS[2]}' THEN 'changed' ELSE category END AS category
+FROM event e JOIN (SELECT unnest([{_list(SNAPSHOTS)}]) AS day) s ON e.event_date <= CAST(s.day AS DATE)
+WHERE NOT (event_id % 19 = 0 AND s.day = '{SNAPSHOTS[2]}')""",
+    "source_day": f"""
+SELECT DISTINCT pid, event_mo, event_date, source FROM (
+  SELECT pid, event_mo, event_date, 'admission' AS source FROM windowed WHERE category = '1-URGENT'
+  UNION ALL SELECT pid, event_mo, event_date, CASE line WHEN 1 THEN 'registry' ELSE 'gp' END FROM record WHERE line IN (1, 2))""",
+    "agreement": """
+SELECT pid, event_mo, CAST(sum(DISTINCT CASE source WHEN 'admission' THEN 1 WHEN 'registry' THEN 2 ELSE 4 END) AS INTEGER) AS sources,
+       bool_or(source = 'admission') AS in_admission, bool_or(source = 'registry') AS in_registry, bool_or(source = 'gp') AS in_gp,
+       any_value(ar) AS days_admission_registry, any_value(ag) AS days_admission_gp, any_value(rg) AS days_registry_gp
+FROM source_day LEFT JOIN (
+  SELECT a.pid, a.event_mo, CAST(min(abs(a.event_date - b.event_date)) FILTER (WHERE a.source = 'admission' AND b.source = 'registry') AS INTEGER) AS ar,
+         CAST(min(abs(a.event_date - b.event_date)) FILTER (WHERE a.source = 'admission' AND b.source = 'gp') AS INTEGER) AS ag,
+         CAST(min(abs(a.event_date - b.event_date)) FILTER (WHERE a.source = 'registry' AND b.source = 'gp') AS INTEGER) AS rg
+  FROM source_day a JOIN source_day b USING (pid, event_mo) GROUP BY a.pid, a.event_mo) USING (pid, event_mo)
+GROUP BY pid, event_mo""",
+    "faulty": """
+SELECT part, pid, row_number() OVER (PARTITION BY part ORDER BY pid) + 1 AS line_no, line, kind FROM (
+  SELECT c_custkey % 5 AS part, c_custkey AS pid,
+    CASE WHEN c_custkey % 11 = 0 THEN c_custkey || ',1.5'
+         WHEN c_custkey % 13 = 0 THEN c_custkey || ',1.5,1996-01-01,"a, ""b"" c",more'
+         WHEN c_custkey % 17 = 0 THEN c_custkey || ',abc,1996-13-01,x'
+         WHEN c_custkey % 19 = 0 THEN c_custkey || ',1.5,1996-01-01,"open' END AS line,
+    CASE WHEN c_custkey % 11 = 0 THEN 'missing fields' WHEN c_custkey % 13 = 0 THEN 'extra fields'
+         WHEN c_custkey % 17 = 0 THEN 'wrong type: balance, day' WHEN c_custkey % 19 = 0 THEN 'open quote'
+         WHEN c_custkey % 23 = 0 THEN 'blank' ELSE 'good' END AS kind FROM customer)""",
     "code": """
 SELECT p_partkey AS code, p_brand AS cluster, p_name AS description FROM part""",
     "measure_code": f"""
@@ -281,16 +322,13 @@ def _with(body: str) -> str:
     return f"WITH {parts}{body}" if body.lstrip().startswith(",") else f"WITH {parts} {body.strip()}" if parts else body.strip()
 
 
-def _month_columns(rows: str, key: str, empty: str) -> str:
-    """One column per month from the first to the last of `rows` ({key}, event_mo, value)."""
-    return f"""
-, cell AS ({rows}),
-month AS (SELECT CAST(unnest(generate_series(min(event_mo), max(event_mo), INTERVAL 1 MONTH)) AS DATE) AS event_mo
-          FROM cell),
-grid AS (SELECT k.{key}, m.event_mo, coalesce(c.value, {empty}) AS value
-         FROM (SELECT DISTINCT {key} FROM cell) k CROSS JOIN month m
-         LEFT JOIN cell c ON c.{key} IS NOT DISTINCT FROM k.{key} AND c.event_mo = m.event_mo)
-PIVOT grid ON event_mo USING max(value) GROUP BY {key}"""
+def _month_columns(rows: str, key: str, empty: str, first: str, last: str) -> str:
+    """One column per month from `first` to `last` of rows ({key}, event_mo, value)."""
+    cells = ", ".join(
+        f"coalesce(max(value) FILTER (WHERE event_mo = DATE '{m}'), {empty}) AS \"{m}\""
+        for m in months_between_first_days(first, last)
+    )
+    return f"SELECT {key}, {cells} FROM ({rows}) GROUP BY {key}"
 
 
 def _rounded(*names: str) -> str:
@@ -300,6 +338,52 @@ def _rounded(*names: str) -> str:
 _WIDE = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM", "low": "5-LOW"}
 
 BODIES = {
+    "spell_union": "SELECT * FROM island",
+    "events_in_spells": """
+SELECT r.pid, event_id, line, event_date, start_date, end_date
+FROM record r JOIN island i ON r.pid = i.pid AND r.event_date BETWEEN i.start_date AND i.end_date""",
+    "spell_person_months": f"""
+SELECT CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month,
+       {_band(_age('d', 'dob'))} AS age_gp, sex, ethnicity, lsoa, count(*) AS count
+FROM (SELECT pid, min(d) AS d FROM (
+        SELECT pid, end_date, CAST(start_date + to_months(CAST(k AS INTEGER)) AS DATE) AS d
+        FROM island, (SELECT unnest(range(0, 200)) AS k))
+      WHERE d <= end_date GROUP BY pid, year(d), month(d)) JOIN person USING (pid) GROUP BY ALL""",
+    "prefix_match": """
+SELECT event_id, e.code, l.code AS listed, subtype FROM (
+  SELECT event_id, 'I' || (event_id % 7 + 60) || substring(CAST(event_id * 7 % 1000 AS VARCHAR), 1, event_id % 4) AS code FROM event) e
+JOIN (SELECT substring('I' || (p_partkey % 9 + 58) || (p_partkey * 3 % 10) || (p_partkey * 7 % 10), 1, 3 + p_partkey // 9 % 3) AS code,
+             min(p_brand) AS subtype FROM part GROUP BY 1) l ON starts_with(e.code, l.code)
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY length(l.code) DESC) = 1""",
+    "person_agreement": "SELECT * FROM agreement",
+    "agreement_by_month": """
+SELECT event_mo, count(*) FILTER (in_admission AND in_registry) AS n_both,
+       count(*) FILTER (in_admission AND NOT in_registry) AS n_only_admission,
+       count(*) FILTER (in_registry AND NOT in_admission) AS n_only_registry,
+       count(*) FILTER (days_admission_registry = 0) AS n_same_day, count(*) FILTER (days_admission_registry <= 7) AS n_near
+FROM agreement WHERE in_admission OR in_registry GROUP BY event_mo""",
+    "checked_rows": """
+SELECT pid, (pid % 100) + 0.5::DOUBLE AS balance, CASE WHEN pid % 29 <> 0 THEN DATE '1996-01-01' END AS day,
+       'a "' || c_mktsegment || '", b' AS segment FROM faulty JOIN customer ON pid = c_custkey WHERE kind = 'good'""",
+    "rejected_rows": "SELECT part, line_no, line, kind AS reason FROM faulty WHERE kind NOT IN ('good', 'blank')",
+    "checked_totals": """
+SELECT part, count(*) + 1 AS lines, CAST(1 AS BIGINT) AS header, count(*) FILTER (kind = 'blank') AS blank,
+       count(*) FILTER (kind = 'good') AS good, count(*) FILTER (kind NOT IN ('good', 'blank')) AS rejected
+FROM faulty GROUP BY part""",
+    "snapshot_as_of": f"""
+SELECT event_id, pid, event_date, category, archived_on FROM snapshot WHERE archived_on = '{SNAPSHOTS[1]}'""",
+    "snapshot_difference": f"""
+SELECT coalesce(a.event_id, b.event_id) AS event_id,
+       CASE WHEN a.event_id IS NULL THEN 'added' WHEN b.event_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM (SELECT * FROM snapshot WHERE archived_on = '{SNAPSHOTS[1]}') a
+FULL JOIN (SELECT * FROM snapshot WHERE archived_on = '{SNAPSHOTS[2]}') b ON a.event_id = b.event_id
+WHERE a.event_id IS NULL OR b.event_id IS NULL OR (a.pid, a.event_date, a.category) IS DISTINCT FROM (b.pid, b.event_date, b.category)""",
+    "published_counts": "SELECT event_mo, category, count(*) AS count FROM event GROUP BY 1, 2",
+    "price_quantiles": """
+SELECT l_returnflag, n, round(q[1], 6) AS q05, round(q[2], 6) AS q25, round(q[3], 6) AS q50, round(q[4], 6) AS q75,
+       round(q[5], 6) AS q95
+FROM (SELECT l_returnflag, count(*) AS n, quantile_cont(l_extendedprice, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q
+      FROM lineitem GROUP BY l_returnflag)""",
     "age_band_open": f"""
 SELECT {_band(_age('event_date', 'dob'))} AS age_gp, count(*) AS n_events
 FROM event JOIN person USING (pid) GROUP BY 1""",
@@ -392,9 +476,9 @@ FROM (SELECT rf, count(*) AS total_count FROM measured GROUP BY rf)""",
     "population_summary": "SELECT * FROM people_summary",
     "csv_sink": "SELECT *, 'a \"b\", ' || area || chr(10) || 'and more' AS note FROM people_summary",
     "block_csv": "SELECT * FROM block",
-    "ages_by_area": """
-, aged AS (SELECT year, age AS "Age", area, population FROM block)
-PIVOT aged ON area USING max(population) GROUP BY year, "Age\"""",
+    "ages_by_area": "SELECT year, age AS \"Age\", "
+    + ", ".join(f"max(population) FILTER (WHERE area = 'NATION_{i}') AS \"NATION_{i}\"" for i in range(25))
+    + " FROM block GROUP BY year, age",
     "csv_blank_text": """
 SELECT pid, area, coalesce(sex, '') AS sex, coalesce(ethnicity, '') AS ethnicity,
        'said "' || area || '", twice' || CASE WHEN pid % 7 = 0 THEN chr(10) || 'next line' ELSE '' END AS note
@@ -494,9 +578,11 @@ SELECT measure, area_label, covid_period, {_rounded('slope', 'se', 'p_value')},
         "SELECT lsoa, event_mo, count(*) / 100.0 AS value FROM event JOIN person USING (pid) GROUP BY ALL",
         "lsoa",
         "0.0",
+        "1995-01-01",
+        "2001-08-01",
     ),
     "area_month_counts": _month_columns(
-        "SELECT area, event_mo, count(*) AS value FROM incident GROUP BY ALL", "area", "NULL"
+        "SELECT area, event_mo, count(*) AS value FROM incident GROUP BY ALL", "area", "NULL", "1995-02-01", "2001-06-01"
     ),
 }
 

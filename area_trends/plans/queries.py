@@ -12,9 +12,9 @@ from ..functions import bands
 from ..functions.fixed_values import EUROPEAN_WEIGHTS, MI_CODES, STROKE_CODES, STROKE_SUBTYPES
 from ..operators import cohort as co
 from ..operators import codelists as cl
-from ..operators import compare, denominators, matrices, rates, trends
+from ..operators import compare, denominators, matrices, prefixes, quantiles, rates, spells, trends
 from ..operators import events as ev
-from ..sources import files, tables
+from ..sources import files, lines, snapshots, tables, versions
 from . import derived, pipelines, star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,26 @@ def person_months(spark, sf):
     return co.person_months(_follow(spark, sf))
 
 
+# ---- several spells per person
+
+
+@query
+def spell_union(spark, sf):
+    return spells.union_spells(star.spells(spark, sf), study_end=star.STUDY_END)
+
+
+@query
+def events_in_spells(spark, sf):
+    records = star.records(spark, sf).select("pid", "event_id", "line", "event_date")
+    return spells.events_in_spells(records, star.spells(spark, sf), study_end=star.STUDY_END)
+
+
+@query
+def spell_person_months(spark, sf):
+    persons = star.persons_without_area(spark, sf)
+    return spells.spell_person_months(star.spells(spark, sf), persons, study_end=star.STUDY_END)
+
+
 # ---- code lists
 
 
@@ -169,6 +189,11 @@ def tsv_codelist(spark, sf):
     return cl.subtype_codes(codes)
 
 
+@query
+def prefix_match(spark, sf):
+    return prefixes.match_prefixes(star.long_codes(spark, sf), cl.subtype_codes(star.short_codes(spark, sf)))
+
+
 # ---- events
 
 
@@ -277,6 +302,26 @@ def reconcile_monthly(spark, sf):
     return compare.reconcile(admitted, registered, "admission", "registry")
 
 
+def _agreement(spark, sf):
+    records = star.records(spark, sf)
+    sources = {
+        "admission": star.events(spark, sf, star.AFTER, star.BEFORE).where("category = '1-URGENT'"),
+        "registry": records.where("line = 1"),
+        "gp": records.where("line = 2"),
+    }
+    return compare.person_agreement(sources)
+
+
+@query
+def person_agreement(spark, sf):
+    return _agreement(spark, sf)
+
+
+@query
+def agreement_by_month(spark, sf):
+    return compare.agreement_by_month(_agreement(spark, sf), "admission", "registry")
+
+
 @query
 def latest_per_year(spark, sf):
     events = star.events(spark, sf).select("pid", "event_date", "event_id")
@@ -402,6 +447,29 @@ def ages_by_area(spark, sf):
     return files.ages_by_area(blocks)
 
 
+def _checked(spark, sf):
+    schema = "pid long, balance double, day date, segment string"
+    return lines.read_checked(spark, derived.faulty_csv(spark, sf), schema)
+
+
+PART = F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part")
+
+
+@query
+def checked_rows(spark, sf):
+    return _checked(spark, sf).good
+
+
+@query
+def rejected_rows(spark, sf):
+    return _checked(spark, sf).rejected.select(PART, "line_no", "line", "reason")
+
+
+@query
+def checked_totals(spark, sf):
+    return _checked(spark, sf).totals.select(PART, "lines", "header", "blank", "good", "rejected")
+
+
 @query
 def csv_blank_text(spark, sf):
     schema = "pid long, area string, sex string, ethnicity string, note string"
@@ -422,6 +490,31 @@ def snapshot_counts(spark, sf):
     return rates.monthly_counts(tables.snapshot(archive, "O"))
 
 
+AS_OF, LATER = "1999-12-31", "2001-01-01"
+
+
+@query
+def snapshot_as_of(spark, sf):
+    return snapshots.snapshot_as_of(spark, derived.dated_archive(spark, sf), AS_OF).select(
+        "event_id", "pid", "event_date", "category", F.col("archived_on").cast("string").alias("archived_on")
+    )
+
+
+@query
+def snapshot_difference(spark, sf):
+    path = derived.dated_archive(spark, sf)
+    old, new = (snapshots.snapshot_as_of(spark, path, day) for day in (AS_OF, LATER))
+    return snapshots.snapshot_difference(old, new, ("event_id",), ("pid", "event_date", "category"))
+
+
+@query
+def published_counts(spark, sf):
+    path = tables.scratch_folder(spark, "published")
+    versions.publish_table(rates.monthly_counts(star.events(spark, sf, before=star.INDEX_DATE), ("event_mo", "category")), path)
+    versions.publish_table(rates.monthly_counts(star.events(spark, sf), ("event_mo", "category")), path)
+    return versions.published_table(spark, path)
+
+
 @query
 def saved_table(spark, sf):
     path = tables.scratch_folder(spark, "counts")
@@ -572,6 +665,16 @@ def box_stats(spark, sf):
     return rounded(stats, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
+@query
+def price_quantiles(spark, sf):
+    """Groups of which each is too large to be sorted in one piece."""
+    shares = (0.05, 0.25, 0.5, 0.75, 0.95)
+    lines = star.table(spark, sf, "lineitem")
+    found = quantiles.exact_quantiles(lines, ("l_returnflag",), "l_extendedprice", shares)
+    named = [F.col("q")[i].alias(f"q{int(s * 100):02d}") for i, s in enumerate(shares)]
+    return rounded(found.select("l_returnflag", "n", *named), "q05", "q25", "q50", "q75", "q95")
+
+
 def _rates_by_measure(spark, sf):
     return pipelines.event_rates(
         _incident_by_priority(spark, sf),
@@ -617,4 +720,5 @@ def area_month_matrix(spark, sf):
 
 @query
 def area_month_counts(spark, sf):
-    return matrices.area_month_counts(_incident(spark, sf))
+    # all incident events lie strictly between star.AFTER and star.BEFORE
+    return matrices.area_month_counts(_incident(spark, sf), "1995-02-01", "2001-06-01")

@@ -207,3 +207,31 @@ def population_history(spark: SparkSession, sf: str) -> DataFrame:
     )
     stacked = f"stack({len(BAND_LABELS)}, {cells}) AS (age_gp, population)"
     return counted.selectExpr("area", "year", stacked)
+
+
+def spells(spark: SparkSession, sf: str) -> DataFrame:
+    """A spell of follow-up around each order: they overlap, nest and touch; some have no end, some no day."""
+    return table(spark, sf, "orders").selectExpr(
+        "o_custkey AS pid",
+        "date_sub(CAST(o_orderdate AS DATE), CAST(o_orderkey * 37 % 200 AS INT)) AS start_date",
+        "IF(o_orderkey % 50 <> 0, date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey * 53 % 120 - 5 AS INT)), NULL) "
+        "AS end_date",
+    )
+
+
+def long_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with a code of 3 to 6 characters."""
+    return events(spark, sf).selectExpr(
+        "event_id",
+        "'I' || (event_id % 7 + 60) || substring(CAST(event_id * 7 % 1000 AS STRING), 1, CAST(event_id % 4 AS INT)) "
+        "AS code",
+    )
+
+
+def short_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """A code list with codes of 3, 4 and 5 characters, some of which begin with others."""
+    return table(spark, sf, "part").selectExpr(
+        "substring('I' || (p_partkey % 9 + 58) || (p_partkey * 3 % 10) || (p_partkey * 7 % 10), 1, "
+        "CAST(3 + p_partkey DIV 9 % 3 AS INT)) AS code",
+        "p_brand AS subtype",
+    )

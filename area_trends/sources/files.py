@@ -10,6 +10,9 @@ from pyspark.sql import Window as W
 
 from ..functions.fixed_values import POPULATION_AGE_BANDS
 from ..operators.codelists import literal_map
+from ..operators.joins import lookup_join
+from .lines import carried_in, csv_fields, file_lines, split_key
+from .tables import materialise
 
 
 def read_csv(
@@ -54,14 +57,6 @@ def number_from_text(text: Column) -> Column:
     return F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
 
 
-def _fields(line: Column) -> Column:
-    """Fields of a CSV line; quoted ones may hold commas and doubled quotes, blanks are null."""
-    raw = F.regexp_extract_all(line, F.lit(r'(?:^|,)(\s*"(?:[^"]|"")*"\s*|[^,]*)'), F.lit(1))
-    bare = F.transform(raw, lambda x: F.trim(F.regexp_replace(x, r'^\s*"|"\s*$', "")))
-    clean = F.transform(bare, lambda x: F.replace(x, F.lit('""'), F.lit('"')))
-    return F.transform(clean, lambda x: F.when(x != "", x))
-
-
 def population_long(
     spark: SparkSession,
     paths: Sequence[str],
@@ -79,10 +74,10 @@ def population_long(
     )
     lines = files.select(
         "year",
-        _fields(F.get("lines", F.lit(0))).alias("names"),
+        csv_fields(F.get("lines", F.lit(0))).alias("names"),
         F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"),
     )
-    fields = lines.select("year", "names", _fields(F.col("line")).alias("f"))
+    fields = lines.select("year", "names", csv_fields(F.col("line")).alias("f"))
     age = F.get("f", F.array_position("names", "Age").cast("int") - 1)
     cells = fields.select("year", age.alias("Age"), F.explode(F.arrays_zip("names", "f")).alias("cell"))
     long = cells.where("cell.names != 'Age'").select(
@@ -97,6 +92,41 @@ def population_long(
     )
 
 
+def _block_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """file, f (fields), seq (1, 2, ... over a file's lines with text), mark and block.
+
+    The title does not count. Two passes over splits: the first counts the lines and marks of
+    each, a prefix scan of these few rows gives what comes before it, and the second numbers
+    the lines within their split from there on.
+    """
+    lines = file_lines(spark, paths).withColumn("f", csv_fields(F.col("line"))).drop("line")
+    held = F.exists("f", lambda x: x.isNotNull())
+    mark = F.coalesce(F.col("f")[0].contains("Date"), F.lit(False))
+    title = F.min_by(F.struct(held.cast("int").alias("lines"), mark.cast("int").alias("marks")), "at")
+    first = F.col("start") == 0
+    splits = lines.groupBy("file", "start").agg(
+        F.sum(held.cast("int")).alias("lines"), F.sum(mark.cast("int")).alias("marks"), title.alias("title")
+    )
+    for name in ("lines", "marks"):
+        splits = splits.withColumn(name, F.col(name) - F.when(first, F.col(f"title.{name}")).otherwise(0))
+    scanned = carried_in(splits, "lines", "marks").select(split_key(), "before_lines", "before_marks")
+
+    here = W.partitionBy("file", "start").orderBy("at")
+    body = lines.withColumns({"held": held, "mark": mark, "place": F.row_number().over(here)})
+    body = body.where(F.col("held") & ~((F.col("start") == 0) & (F.col("place") == 1)))
+    body = body.withColumns(
+        {"n": F.row_number().over(here), "marks": F.sum(F.col("mark").cast("int")).over(here)}
+    )
+    found = lookup_join(body.withColumn("split", F.struct("file", "start")), scanned, "split")
+    return found.select(
+        "file",
+        "f",
+        "mark",
+        (F.col("n") + F.col("before_lines")).alias("seq"),
+        (F.col("marks") + F.col("before_marks")).alias("block"),
+    )
+
+
 def population_blocks(spark: SparkSession, paths: str | Sequence[str], trailing: int = 2) -> DataFrame:
     """Export files with one block per year, as rows (file, year, area, age, population).
 
@@ -104,36 +134,21 @@ def population_blocks(spark: SparkSession, paths: str | Sequence[str], trailing:
     opens a block and holds the year in its second field. Blank lines do not
     count; the second line of a block names the columns, the lines after it hold
     one area each, and all blocks but a file's last end in `trailing` other lines.
-    Files are read whole, as their lines depend on their order: an export is one
-    small file, and many exports run in parallel.
+
+    Files are read as splits, however large one is. Lines are numbered by a prefix scan over the
+    splits; a block's year and column names, one row per block, are then carried to its lines by a
+    lookup, wherever they lie.
     """
-    lines = spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n"))
-    )
-    rows = lines.where(F.col("pos") > 0).select("file", "pos", _fields(F.col("col")).alias("f"))
-    rows = rows.where(F.exists("f", lambda x: x.isNotNull()))
-    mark = F.coalesce(F.col("f")[0].contains("Date"), F.lit(False))
-    order = W.partitionBy("file").orderBy("pos")
-    rows = rows.withColumns(
-        {
-            "block": F.sum(mark.cast("int")).over(order),
-            "year": F.last(F.when(mark, F.get("f", F.lit(1))), ignorenulls=True).over(order),
-            "last_block": F.sum(mark.cast("int")).over(W.partitionBy("file")),
-        }
-    ).where((F.col("block") > 0) & ~mark)
-    block = W.partitionBy("file", "block")
-    rows = rows.withColumns(
-        {
-            "n": F.row_number().over(block.orderBy("pos")),
-            "n_lines": F.count(F.lit(1)).over(block),
-        }
-    )
-    rows = rows.withColumn("ages", F.max(F.when(F.col("n") == 2, F.col("f"))).over(block))
-    body = (F.col("n") > 2) & (
-        (F.col("block") == F.col("last_block")) | (F.col("n") <= F.col("n_lines") - trailing)
-    )
-    cells = rows.where(body).select(
-        "file",
+    lines = materialise(_block_lines(spark, paths), "block_lines").withColumn("key", F.struct("file", "block"))
+    marks = lines.where("mark").select("key", "file", "block", "seq", F.get("f", F.lit(1)).alias("year"))
+    after = F.lead("seq").over(W.partitionBy("file").orderBy("block"))
+    marks = materialise(marks.withColumn("until", after).drop("file", "block").withColumnRenamed("seq", "opened"), "blocks")
+    inside = lookup_join(lines.where("block > 0 AND NOT mark").drop("file", "block", "mark"), marks, "key")
+    inside = inside.withColumn("n", F.col("seq") - F.col("opened"))
+    names = inside.where("n = 2").select("key", F.col("f").alias("ages"))
+    body = inside.where((F.col("n") > 2) & F.coalesce(F.col("until") - F.col("seq") > trailing, F.lit(True)))
+    cells = lookup_join(body, names, "key").select(
+        F.col("key.file").alias("file"),
         F.col("year").try_cast("int").alias("year"),
         F.col("f")[0].alias("area"),
         F.explode(F.slice(F.arrays_zip("ages", "f"), 2, F.greatest(F.size("ages") - 1, F.lit(0)))).alias("c"),

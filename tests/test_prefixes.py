@@ -1,0 +1,81 @@
+"""Longest-prefix code match against trying every beginning."""
+
+import pytest
+from helpers import rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from area_trends.operators import prefixes as px
+
+LIST = [("I63", "stroke"), ("I639", "other"), ("I6391", "own"), ("G45", "tia"), ("", "any")]
+CODES = ["I6391", "I639", "I63", "I6399", "I6312", "I64", "G4", "G45", "", None, "i63", " I63", "I63912345"]
+
+
+def longest(code, listed):
+    if code is None:
+        return None
+    return max((c for c in listed if code.startswith(c)), key=len, default=None)
+
+
+@pytest.mark.parametrize("with_empty", [True, False])
+def test_longest_listed_code_wins(spark, with_empty):
+    listed = dict(LIST if with_empty else LIST[:-1])
+    codes = spark.createDataFrame(list(listed.items()), "code string, subtype string")
+    events = spark.createDataFrame([(i, c) for i, c in enumerate(CODES * 2)], "event_id int, code string")
+    expected = [(i, c, longest(c, listed)) for i, c in enumerate(CODES * 2)]
+    full = [(*e, listed.get(e[2])) for e in expected]
+    found = px.match_prefixes(events, codes)
+    assert found.columns == ["code", "event_id", "listed", "subtype"]
+    names = ("event_id", "code", "listed", "subtype")
+    assert rows(found, *names) == rows(spark.createDataFrame([f for f in full if f[2] is not None], "event_id int, code string, listed string, subtype string"), *names)
+    left = px.match_prefixes(events, codes, how="left")
+    assert rows(left, *names) == rows(spark.createDataFrame(full, "event_id int, code string, listed string, subtype string"), *names)
+
+
+@settings(max_examples=15, deadline=None)
+@given(
+    st.lists(st.text(st.sampled_from("I6é"), min_size=1, max_size=4), max_size=8, unique=True),
+    st.lists(st.text(st.sampled_from("I6é"), max_size=6), max_size=12),
+)
+def test_any_codes(spark, listed, used):
+    codes = spark.createDataFrame([(c, c.lower()) for c in listed], "code string, subtype string")
+    events = spark.createDataFrame(list(enumerate(used)), "event_id int, code string")
+    found = px.match_prefixes(events, codes).select("event_id", "listed", "subtype")
+    expected = [(i, m, m.lower()) for i, c in enumerate(used) if (m := longest(c, listed)) is not None]
+    assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_large_list_and_a_frequent_code(spark):
+    """100,000 listed codes of 3, 4 and 5 characters; a third of the events carry one code."""
+    codes = spark.range(100_000).select(
+        F.left(F.format_string("%05d", F.col("id")), F.lit(3) + (F.col("id") % 3).cast("int")).alias("code")
+    )
+    codes = codes.groupBy("code").agg(F.concat(F.lit("s"), F.min("code")).alias("subtype"))
+    events = spark.range(90_000).select(
+        F.col("id").alias("event_id"),
+        F.when(F.col("id") % 3 == 0, "00000x").otherwise(F.format_string("%06d", F.col("id") * 7 % 1_000_000)).alias("code"),
+    )
+    listed = {r["code"] for r in codes.collect()}
+    found = px.match_prefixes(events, codes).collect()
+    assert len(found) == sum(longest_known(r["code"], listed) is not None for r in events.collect())
+    assert all(r["listed"] == longest_known(r["code"], listed) and r["subtype"] == "s" + r["listed"] for r in found)
+
+
+def longest_known(code, listed):
+    return next((code[:n] for n in (5, 4, 3) if code[:n] in listed), None)
+
+
+def test_joined_codes(spark):
+    codes = spark.createDataFrame(LIST[:4], "code string, subtype string")
+    events = spark.createDataFrame([(1, "I6312, G459"), (2, "X1"), (3, None)], "event_id int, dx string")
+    found = px.match_code_lists(events, "dx", codes)
+    assert rows(found, "event_id", "code", "listed", "subtype") == [(1, "G459", "G45", "tia"), (1, "I6312", "I63", "stroke")]
+
+
+def test_empty_lists(spark):
+    codes = spark.createDataFrame([], "code string, subtype string")
+    events = spark.createDataFrame([(1, "I63")], "event_id int, code string")
+    assert px.match_prefixes(events, codes).count() == 0
+    assert rows(px.match_prefixes(events, codes, how="left"), "event_id", "listed") == [(1, None)]
+    assert px.match_prefixes(events.limit(0), codes).count() == 0

@@ -1,0 +1,81 @@
+"""Exact quantiles against sorting."""
+
+import math
+
+import numpy as np
+import pytest
+from helpers import plan_of
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from area_trends.operators import quantiles as qt
+from area_trends.operators import trends
+
+SHARES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
+
+
+def check(found, groups):
+    found = {r["g"]: r for r in found.collect()}
+    assert found.keys() == {g for g, v in groups.items() if len(v)}
+    for g, r in found.items():
+        v = np.sort(np.array(groups[g]))
+        assert r["n"] == len(v)
+        for share, q in zip(SHARES, r["q"], strict=True):
+            at = share * (len(v) - 1)
+            a, b = v[math.floor(at)], v[math.ceil(at)]
+            assert q == pytest.approx(a if a == b else a + (b - a) * (at - math.floor(at)), rel=1e-12)
+
+
+@pytest.mark.parametrize(("small", "buckets"), [(1, 2), (3, 4), (10_000, 1024)])
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.floats(-1e300, 1e300) | st.sampled_from([0.0, -0.0, 1.0, 5e-324, math.nan, None])), max_size=30))
+def test_small_groups(spark, small, buckets, values):
+    df = spark.createDataFrame(values, "g string, x double")
+    groups = {}
+    for g, x in values:
+        groups.setdefault(g, [])
+        if x is not None and not math.isnan(x):
+            groups[g].append(x)
+    check(qt.exact_quantiles(df, ("g",), "x", SHARES, small, buckets), groups)
+
+
+def test_ties_ends_and_infinite_values(spark):
+    values = [("a", 1.0)] * 500 + [("a", 2.0)] * 3 + [("b", -math.inf), ("b", 1.0), ("b", math.inf), ("c", 7.0)]
+    df = spark.createDataFrame(values, "g string, x double")
+    found = {r["g"]: r["q"] for r in qt.exact_quantiles(df, ("g",), "x", (0.0, 0.5, 1.0), 1, 2).collect()}
+    assert found == {"a": [1.0, 1.0, 2.0], "b": [-math.inf, 1.0, math.inf], "c": [7.0] * 3}
+
+
+def test_no_groups_and_no_keys(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(101)], "x double")
+    assert qt.exact_quantiles(df, (), "x", (0.5, 0.75), 5, 8).first()["q"] == [50.0, 75.0]
+    assert qt.exact_quantiles(df.limit(0), (), "x").count() == 0
+
+
+def test_one_group_of_ten_million_values(spark):
+    """Two in three values in one group; rounds count in ranges, and no list of values is made."""
+    n = 10_000_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("area_label"),
+        F.lit("p").alias("covid_period"),
+        (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7.0).alias("age_standardised_rate"),
+    )
+    found = {r["area_label"]: r for r in trends.box_stats(df).collect()}
+    direct = df.groupBy("area_label").agg(
+        F.percentile("age_standardised_rate", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
+    )
+    for row in direct.collect():
+        box = found.pop(row["area_label"])
+        assert [box["q1"], box["median"], box["q3"]] == pytest.approx(row["q"], rel=1e-12)
+        assert box["n_outliers"] == 0 and box["whisker_low"] < 1 and box["whisker_high"] > 142_000
+    assert not found
+
+
+def test_box_of_skewed_values(spark):
+    values = [1.0, 2.0, 3.0, 4.0, 100.0, None]
+    df = spark.createDataFrame([("a", "p", v) for v in values] + [("b", "p", None)], "area_label string, covid_period string, age_standardised_rate double")
+    found = trends.box_stats(df)
+    assert "collect_list(age" not in plan_of(found) and "percentile" not in plan_of(found)
+    rows = {r["area_label"]: tuple(r)[2:] for r in found.collect()}
+    assert rows == {"a": (2.0, 3.0, 4.0, 1.0, 4.0, 1), "b": (None, None, None, None, None, 0)}
