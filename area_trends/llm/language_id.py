@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,13 @@ SLICE_BYTES = 4_000_000
 MAX_LABELS = 1000
 #: most labelled rows of one language that training reads
 ROWS_PER_LABEL = 500
+#: share of a label's learned rows that may be rejected
+REJECT_SHARE = 0.001
+#: how far, in nats, the n-grams of a text may be rarer than those of the least familiar learned rows
+MARGIN = 2.0
+#: how fast the score falls where n-grams get rarer than that
+STEEP = 4.0
+LETTER = regex.compile(r"\p{L}")
 
 #: bytes of a lower-case text: letters and bytes above ASCII stay, all else is a space
 KEPT = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -55,24 +62,32 @@ def subword_buckets(values: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 
 @dataclass
 class Model:
-    """Labels, the summed-up weight of each bucket per label, and the calibration."""
+    """Labels, the summed-up weight of each bucket per label, and the calibration.
+
+    `familiar` is the log share of each bucket in the learned rows. `least_score` and
+    `least_familiar` are, per label, what the rows learned from hardly ever fall below.
+    """
 
     labels: list[str]
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
-    threshold: float
+    familiar: np.ndarray
+    least_score: np.ndarray
+    least_familiar: np.ndarray
 
-    def scores(self, values: list[str]) -> np.ndarray:
-        """Calibrated probabilities, one row per text."""
+    def scores(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated probabilities, one row per text, and how familiar its n-grams are on average."""
         found, starts = subword_buckets(values)
         total = np.zeros((len(values), len(self.labels)))
-        size = np.zeros(len(values))
+        known, size = np.zeros(len(values)), np.zeros(len(values))
         for buckets in found:
             total += np.add.reduceat(self.weights[buckets], starts, axis=0)
+            known += np.add.reduceat(self.familiar[buckets], starts)
             size += np.add.reduceat(buckets != BUCKETS, starts, dtype=np.int64)
-        logits = (total / np.maximum(size, 1)[:, None] + self.bias) / self.temperature
-        return softmax(logits)
+        size = np.maximum(size, 1)
+        logits = (total / size[:, None] + self.bias) / self.temperature
+        return softmax(logits), known / size
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
@@ -87,14 +102,13 @@ def train(
     dimension: int = 16,
     epochs: int = 12,
     rate: float = 0.5,
-    reject_share: float = 0.001,
     seed: int = 7,
 ) -> Model:
     """Fits embeddings and softmax by stochastic gradient descent over bucket counts.
 
     Every fifth row is kept from the descent for calibration: the temperature with the
-    least log loss on them, and the score below which `reject_share` of them lies, at
-    most one half, as the threshold of rejection.
+    least log loss on them. A row's own label stands for (n + 1) / (n + 2) of it, n being the rows
+    kept, and the other labels for the rest, so that rows without an error do not make the model certain.
     """
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.1, (BUCKETS, dimension))
@@ -119,13 +133,38 @@ def train(
             step += 1
     table = np.vstack([embedding @ weights, np.zeros((1, len(labels)))]).astype(np.float32)
     logits = np.array([(table[i] * s).sum(0) + bias for i, s in (means[r] for r in held)])
-    chosen = targets[held]
-    options = 2.0 ** np.arange(-3, 4, 0.25)
-    loss = [-np.log(softmax(logits / t)[np.arange(len(held)), chosen] + 1e-12).mean() for t in options]
-    temperature = float(options[int(np.argmin(loss))])
-    best = softmax(logits / temperature).max(axis=1)
-    threshold = min(0.5, float(np.quantile(best, reject_share)))
-    return Model(labels, table, bias, temperature, threshold)
+    others = max(len(labels) - 1, 1)
+    wanted = np.full((len(held), len(labels)), 1 / (len(held) + 2) / others)
+    wanted[np.arange(len(held)), targets[held]] = (len(held) + 1) / (len(held) + 2)
+    options = 2.0 ** np.arange(-10, 7, 0.25)
+    loss = [-(wanted * np.log(softmax(logits / t) + 1e-300)).sum(axis=1).mean() for t in options]
+    best = int(np.argmin(loss))
+    if len(labels) > 1 and best in (0, len(options) - 1):
+        raise ValueError("the temperature lies at the edge of what was tried")
+    counts = np.zeros(BUCKETS)
+    for buckets, n in features:
+        counts[buckets] += n
+    familiar = np.append(np.log((counts + 0.5) / (counts.sum() + 0.5 * BUCKETS)), 0.0)
+    none = np.full(len(labels), -np.inf)
+    return Model(labels, table, bias, float(options[best]), familiar, none, none)
+
+
+def calibrate(model: Model, rows: DataFrame) -> Model:
+    """Sets the limits of rejection from all learned rows (text, lang), scored in one pass.
+
+    A label's least score is the one below which `REJECT_SHARE` of its rows lies, at most one
+    half; its least familiarity likewise, less `MARGIN`: n-grams e^MARGIN times rarer than in the
+    least familiar rows. Two numbers for each label reach the driver.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    scored = rows.select("text", "lang").mapInArrow(
+        predicting(held, LETTER, False), "lang string, lang_pred string, score double, familiar double, rejected boolean"
+    )
+    share = lambda name: F.percentile_approx(name, REJECT_SHARE, 100_000).alias(name)
+    limits = scored.where(F.col("lang_pred") != UNKNOWN).groupBy("lang").agg(share("score"), share("familiar")).collect()
+    found = {r["lang"]: (min(r["score"], 0.5), r["familiar"] - MARGIN) for r in limits}
+    least = np.array([found.get(label, (0.5, -np.inf)) for label in model.labels])
+    return replace(model, least_score=least[:, 0], least_familiar=least[:, 1])
 
 
 def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +186,7 @@ def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(rows: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Model | None:
     """Trains on labelled rows (text, lang); None where there are none.
 
-    At most `rows_per_label` rows of each label are read, chosen by a hash of id and
+    Rejection is calibrated on all of these rows, training reads a sample. At most `rows_per_label` rows of each label are read, chosen by a hash of id and
     text; each comes to the driver as counts of at most BUCKETS buckets. More than
     MAX_LABELS labels are refused.
     """
@@ -173,7 +212,7 @@ def fit(rows: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Model | None:
     labels = sorted({r["lang"] for r in found})
     features = [(np.array(r["buckets"], np.int32), np.array(r["counts"], float)) for r in found]
     targets = np.array([labels.index(r["lang"]) for r in found])
-    return train(features, targets, labels)
+    return calibrate(train(features, targets, labels), labelled)
 
 
 def predicting(held, has_letter, keep_text: bool) -> Callable:
@@ -184,36 +223,40 @@ def predicting(held, has_letter, keep_text: bool) -> Callable:
                 values = part.column("text").to_pylist()
                 known = [model is not None and has_letter.search(v) is not None for v in values]
                 if model is None:
-                    best, label = np.zeros(len(values)), [UNKNOWN] * len(values)
-                    reject = np.ones(len(values), bool)
+                    best, familiar = np.zeros(len(values)), np.zeros(len(values))
+                    label, reject = [UNKNOWN] * len(values), np.ones(len(values), bool)
                 else:
-                    scores = model.scores(values)
+                    scores, familiar = model.scores(values)
                     at = scores.argmax(axis=1)
-                    best = np.where(known, scores.max(axis=1), 0.0)
+                    reject = (scores.max(axis=1) < model.least_score[at]) | (familiar < model.least_familiar[at])
+                    above = np.minimum(familiar - model.least_familiar[at], 100.0)
+                    best = np.where(known, scores.max(axis=1) / (1 + np.exp(np.minimum(-STEEP * above, 700.0))), 0.0)
                     label = [model.labels[i] if k else UNKNOWN for i, k in zip(at, known, strict=True)]
-                    reject = best < model.threshold
                 names = [n for n in part.schema.names if keep_text or n != "text"]
                 columns = [part.column(n) for n in names]
-                columns += [pa.array(label), pa.array(best), pa.array(reject | ~np.array(known, bool))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", "rejected"])
+                columns += [pa.array(label), pa.array(best), pa.array(familiar)]
+                columns += [pa.array(reject | ~np.array(known, bool))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score", "familiar", "rejected"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model | None, *extra: str, keep_text: bool = False) -> DataFrame:
-    """doc_id, text if wanted, further columns of `docs`, lang_pred, score and rejected.
+    """doc_id, text if wanted, further columns of `docs`, lang_pred, score, familiar and rejected.
 
     A text without a letter, or null, is `und` with score 0 and rejected; so is every
-    text where there is no model. Others are rejected if their calibrated score lies
-    below the model's threshold; lang_pred then still names the best label. The model
+    text where there is no model. Others are rejected if the probability of the best label, or
+    the mean familiarity of their n-grams, lies below what the label's learned rows reach; lang_pred then
+    still names that label. score is the probability, lowered towards 0 where the n-grams are
+    unfamiliar, as in scripts and languages that were not learned. The model
     is broadcast; it has BUCKETS rows and at most MAX_LABELS columns.
     """
     rows = texts(docs, *extra)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep_text or f.name != "text"]
     held = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(
-        predicting(held, regex.compile(r"\p{L}"), keep_text),
-        ", ".join([*kinds, "lang_pred string", "score double", "rejected boolean"]),
+        predicting(held, LETTER, keep_text),
+        ", ".join([*kinds, "lang_pred string", "score double", "familiar double", "rejected boolean"]),
     )
 
 
@@ -229,7 +272,7 @@ def learn(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Model | None
 
 
 def language_id(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and rejected of each document.
+    """doc_id, held_out, lang_pred, score, familiar and rejected of each document.
 
     Learns from the text and non-null lang of documents that are not held out (fold 1 of
     3 is; a null doc_id is neither held out nor learned from); predictions see the text
@@ -243,8 +286,8 @@ def language_id(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> DataFr
 def keep_identified(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> DataFrame:
     """The documents that are not rejected, with all their columns as they are.
 
-    Those without a letter, null texts among them, go, and those whose calibrated score
-    lies below the threshold of the model learned from the documents.
+    Those without a letter, null texts among them, go, and those that are rejected by the
+    model learned from the documents.
     """
     model = learn(docs, rows_per_label)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]

@@ -54,3 +54,39 @@ def test_buckets_stay_within_words():
     for order in range(len(a)):
         assert np.array_equal(a[order][7:10], one[order])
         assert a[order][6] == li.BUCKETS or order == 0
+
+
+UNLEARNED = [
+    "asdf qwer zxcv",
+    "xkqj vwzzt qqpfh zxxw jkvbq wqzx",
+    "Съешь ещё этих мягких французских булок да выпей чаю, и потом иди домой спать",
+    "我们今天去公园散步然后回家吃饭",
+    "Zażółć gęślą jaźń, wszystkie ptaki śpiewają w lesie o poranku",
+    "Όλα τα πουλιά τραγουδούν στο δάσος το πρωί",
+]
+
+
+def test_rejects_letter_junk_and_unlearned_languages(spark, sf):
+    """Junk goes, however sure the softmax is; rows of the held-out fold stay, junk or not they are of its languages."""
+    docs = queries.documents(spark, sf).select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(UNLEARNED)], docs.schema)
+    found = li.language_id(docs.unionByName(junk)).collect()
+    strange = [r for r in found if r.doc_id >= 10_000_000]
+    assert len(strange) == len(UNLEARNED) and all(r.rejected and r.score < 0.5 for r in strange)
+    own = [r for r in found if r.doc_id < 10_000_000 and r.held_out and r.lang_pred != "und"]
+    assert sum(r.rejected for r in own) <= 0.01 * len(own)
+    kept = li.keep_identified(docs.unionByName(junk))
+    assert kept.where("doc_id >= 10000000").count() == 0
+
+
+def test_limits_come_from_all_learned_rows(spark):
+    rows = [(f"the of and that with it was {'very ' * (i % 7)}", "en") for i in range(400)]
+    rows += [(f"der die das und nicht ein {'sehr ' * (i % 5)}", "de") for i in range(400)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = li.fit(docs, rows_per_label=40)
+    probability, familiar = model.scores([r[0] for r in rows])
+    for k, label in enumerate(model.labels):
+        here = np.array([r[1] == label for r in rows])
+        assert model.least_familiar[k] <= familiar[here].min() - li.MARGIN + 1e-9
+        assert model.least_score[k] <= 0.5
+    assert 2.0**-10 < model.temperature < 2.0**6.75
