@@ -20,8 +20,8 @@ BUCKETS = 10_000
 LEAST_WORDS = 20
 PERCENT = 5
 SEED = 42
-PART_BYTES = 1_000_000
-SLICE_BYTES = 4_000_000
+PART_BYTES = 200_000
+SLICE_BYTES = 1_000_000
 
 #: words of a text whose letters A-Z are in lower case
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
