@@ -22,6 +22,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERMS = r"\p{L}{3,}"
+#: matches that are placed together
+PIECE = 256
 REACH = 100
 MIN_CONTEXTS = 3
 #: standard errors by which a share of few documents is taken lower (Wilson's bound)
@@ -58,21 +60,53 @@ def holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def running(values: Column, begin: Column, step) -> Column:
+    """step(at, value): the running state before and after each value, as a list that grows one by one."""
+    none = F.array().cast("array<struct<from:int,to:int>>")
+
+    def add(state: Column, value: Column) -> Column:
+        to = step(state["at"], value)
+        both = F.struct(state["at"].alias("from"), to.alias("to"))
+        return F.struct(to.alias("at"), F.concat(state["out"], F.array(both)).alias("out"))
+
+    return F.aggregate(values, F.struct(begin.alias("at"), none.alias("out")), add, lambda s: s["out"])
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern, leftmost and without overlap: start, end (code points), value."""
+    """Matches of a pattern, leftmost and without overlap: start, end (code points), value.
+
+    Matches are placed in pieces of `PIECE`, from the piece's own offset, so the work grows
+    with their number and not with its square.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pieces = F.zip_with(between, found, lambda b, v: F.struct(F.char_length(b).alias("gap"), v.alias("value")))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-
-    def place(state: Column, piece: Column) -> Column:
-        start = state["at"] + piece["gap"]
-        end = start + F.char_length(piece["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), piece["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+    matches = F.zip_with(
+        between,
+        found,
+        lambda b, v: F.struct(F.char_length(b).alias("gap"), F.char_length(v).alias("size"), v.alias("value")),
+    )
+    width = lambda m: m["gap"] + m["size"]
+
+    def place(listed: Column) -> Column:
+        number = F.sequence(F.lit(0), F.floor((F.size(listed) - 1) / PIECE).cast("int"))
+        pieces = F.transform(number, lambda i: F.slice(listed, i * PIECE + 1, F.lit(PIECE)))
+        sizes = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda n, m: n + width(m)))
+        begins = running(sizes, F.lit(0), lambda at, n: at + n)
+
+        def within(piece: Column, offset: Column) -> Column:
+            ends = running(piece, offset["from"], lambda at, m: at + width(m))
+            return F.zip_with(
+                piece,
+                ends,
+                lambda m, e: F.struct(
+                    (e["to"] - m["size"]).alias("start"), e["to"].alias("end"), m["value"].alias("value")
+                ),
+            )
+
+        return F.flatten(F.zip_with(pieces, begins, within))
 
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pieces, begin, place, lambda s: s["out"])).otherwise(none)
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.when(text.rlike(pattern), F.get(F.transform(F.array(matches), place), F.lit(0))).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:

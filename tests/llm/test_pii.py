@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import regex
@@ -37,7 +39,8 @@ def base(text):
     return sorted(out)
 
 
-def brute(rows, reach=100, contexts=3, at=0.75):
+def near_terms(rows, reach=100, contexts=3, at=0.75):
+    """Base spans of each row, the pairs (kind, value, term) that tell by their places, and the places of all pairs."""
     together, seen = Counter(), defaultdict(set)
     found, places, words = [], [], Counter()
     for row, (_, text) in enumerate(rows):
@@ -80,10 +83,56 @@ def brute(rows, reach=100, contexts=3, at=0.75):
                 told_by = math.log2(n * total / (words[pair[2]] * near)) / math.log2(total / near)
                 if told_by >= at - 1e-12:
                     told.add(pair)
+    return found, told, places
+
+
+def brute(rows, **options):
+    """The first way alone."""
+    found, told, places = near_terms(rows, **options)
     terms = defaultdict(set)
     for row, pair, a, b in places:
         if pair in told:
             terms[row].add((a, 4, b))
+    yield from listed(rows, found, terms)
+
+
+def least_share(hits, tries):
+    square, share = 1.96**2, hits / tries
+    spread = 1.96 * math.sqrt(share * (1 - share) / tries + square / (4 * tries * tries))
+    return (share + square / (2 * tries) - spread) / (1 + square / tries)
+
+
+def brute_both(rows, at=0.75):
+    """Both ways: by the places near a value, and by the different texts that hold both."""
+    found, told, _ = near_terms(rows, at=at)
+    texts = {text or "" for _, text in rows}
+    outside = {}
+    for text in texts:
+        spans = base(text)
+        words = [(m.group().lower(), *m.span()) for m in regex.finditer(r"\p{L}{3,}", text)]
+        outside[text] = [w for w in words if not any(s < w[2] and w[1] < e for s, _, e, _ in spans)]
+    holders, with_term = defaultdict(set), Counter()
+    for text in texts:
+        with_term.update(set(regex.findall(r"\p{L}{3,}", text.lower())))
+        for _, kind, _, value in base(text):
+            holders[kind, value].add(text)
+    revealing = defaultdict(set)  # terms of each text
+    for (kind, value), held in holders.items():
+        together = Counter(t for text in held for t in {w[0] for w in outside[text]})
+        for term, n in together.items():
+            known = math.log2(len(texts) / len(held))
+            by_texts = math.log2(least_share(n, with_term[term]) * len(texts) / len(held)) / known if known else 0
+            if by_texts >= at or (kind, value, term) in told:
+                for text in held:
+                    revealing[text].add(term)
+    terms = {
+        row: {(a, 4, b) for word, a, b in outside[text or ""] if word in revealing[text or ""]} if found[row] else set()
+        for row, (_, text) in enumerate(rows)
+    }
+    yield from listed(rows, found, terms)
+
+
+def listed(rows, found, terms):
     for row, (doc_id, _) in enumerate(rows):
         spans = [(a, k, b) for a, k, b, _ in found[row]]
         text = lambda s: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in s)
@@ -144,3 +193,39 @@ def test_terms_far_from_values(spark):
     assert [p for p in found[1].spans.split(",") if p.startswith("term")] == places(1) and found[1].n_term == 2
     assert "term:0:7" in found[2000].spans.split(",")  # a value met once
     assert all(not found[i].n_term for i in range(10, 410))
+
+
+def test_both_ways_against_brute_force(spark):
+    """Values in one, two and many texts, with names that go with them, others that do not, and copies."""
+    rng = random.Random(5)
+    common = [f"w{''.join(rng.choices('abcdefg', k=4))}" for _ in range(60)]
+    rows = []
+    for i in range(900):
+        text = " ".join(rng.choices(common, k=rng.randint(3, 25)))
+        if i % 9 == 0:
+            value = rng.choice([f"p{i % 40}@corp.example", f"10.0.0.{i % 30}", "shared@corp.example"])
+            name = f"Name{chr(97 + i % 20)}{chr(97 + i % 7)}"
+            text = rng.choice([f"{name} {text}\n{value}", f"{text} {value} {name}", f"{text} {value}", f"{name}\n{text} {value} {name}"])
+        rows.append((i, text))
+        if i % 45 == 0:
+            rows.append((5000 + i, text))
+    rows += [(9000, None), (9001, ""), (9002, "one@corp.example"), (9003, "one@corp.example two@corp.example")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found, expected = sorted(map(tuple, pii.personal_data(docs).collect())), sorted(brute_both(rows))
+    assert found == expected
+    assert found != sorted(brute(rows))
+    assert sum(r[5] for r in found) > 20
+
+
+def test_places_of_many_matches(spark):
+    """Matches are placed piece by piece: around the bounds of pieces, and in a text of a megabyte."""
+    for n in (0, 1, pii.PIECE - 1, pii.PIECE, pii.PIECE + 1, 3 * pii.PIECE, 5000):
+        text = "".join(f"{'é' * (i % 3)} wörd{'x' * (i % 5)}" for i in range(n))
+        found = spark.createDataFrame([(text,)], "text string").select(pii.located(pii.F.col("text"), pii.TERMS).alias("x"))
+        expected = [(m.start(), m.end(), m.group()) for m in regex.finditer(r"\p{L}{3,}", text)]
+        assert [tuple(s) for s in found.first()["x"]] == expected
+    words = " ".join(random.Random(1).choices(["alpha", "beta", "gamma", "delta\n"], k=170_000))
+    long = spark.createDataFrame([(1, f"a@b.cd {words}"), (2, "x")], "doc_id long, text string")
+    start = time.monotonic()
+    assert {r.doc_id: r.n_email for r in pii.personal_data(long).collect()} == {1: 1, 2: 0}
+    assert len(words) > 950_000 and time.monotonic() - start < 60
