@@ -19,6 +19,7 @@ from ..functions.dates import day_from_text, day_literal, in_open_range, month_s
 from ..functions.fixed_values import VALUE_OPTIONAL
 from .codelists import literal_map
 from .joins import lookup_join, person_join
+from .spells import spell_join
 
 
 def _mentions(text: Column, codes: Sequence[str]) -> Column:
@@ -220,17 +221,19 @@ def measure_records(
     follow: DataFrame,
     value_optional: Sequence[str] = VALUE_OPTIONAL,
     band_at: str = "index",
+    spells: bool = False,
 ) -> DataFrame:
     """One row per person, measure and day inside the person's follow-up.
 
     `records` holds pid, event_date, code, value; `codes` holds code, rf; `follow`
-    one row per person with start_date, end_date, lsoa, sex, ethnicity, age_gp.
+    one row per person with start_date, end_date, lsoa, sex, ethnicity, age_gp, or with
+    `spells` any number of spells per person, also ones that overlap.
     A record without value counts only for `value_optional` measures. The band is
     the cohort's own (`index`) or that of the age on the day (`event`).
     """
     rows = records.select("pid", "event_date", "code", "value")
     labelled = lookup_join(rows, codes.select("code", "rf"), "code")
-    return followed_measures(labelled, follow, value_optional, band_at)
+    return followed_measures(labelled, follow, value_optional, band_at, spells)
 
 
 def followed_measures(
@@ -238,19 +241,24 @@ def followed_measures(
     follow: DataFrame,
     value_optional: Sequence[str] = VALUE_OPTIONAL,
     band_at: str = "index",
+    spells: bool = False,
 ) -> DataFrame:
     """`measure_records` of records that carry their measure `rf`.
 
-    A person listed twice in `follow` still has one row per measure and day; picking it
-    needs no further shuffle.
+    A person listed twice in `follow` still has one row per measure and day, that of the smallest
+    attributes among the spells that hold the day; picking it needs no further shuffle. With
+    `spells` records meet only the spells of their own time (`spell_join`).
     """
     if band_at not in ("index", "event"):
         raise ValueError(f"unknown band_at: {band_at}")
     rows = labelled.where(F.col("value").isNotNull() | F.col("rf").isin(list(value_optional)))
     rows = rows.select("pid", "rf", "event_date").distinct()
-    joined = rows.join(follow, "pid").where(
-        F.col("event_date").between(F.col("start_date"), F.col("end_date"))
-    )
+    if spells:
+        joined = spell_join(rows, follow)
+    else:
+        joined = rows.join(follow, "pid").where(
+            F.col("event_date").between(F.col("start_date"), F.col("end_date"))
+        )
     band = F.col("age_gp")
     if band_at == "event":
         band = age_band_open(age_years(F.col("event_date"), F.col("dob")))

@@ -464,6 +464,18 @@ SELECT pid, area, cause, description, event_date, event_mo FROM cardiac_death"""
     "measure_records": """
 SELECT pid, rf, event_date, test_mo, lsoa, age_gp, sex, ethnicity FROM measured""",
     "measure_records_event_band": "SELECT pid, rf, event_date, band_then AS age_gp FROM measured",
+    "measure_records_spells": f"""
+SELECT pid, rf, event_date, test_mo, lsoa, min(age_gp) AS age_gp, sex, ethnicity FROM (
+  SELECT r.pid, c.rf, r.event_date, r.event_mo AS test_mo, p.lsoa, p.sex, p.ethnicity,
+         {_band(_age('s.start_date', 'p.dob'))} AS age_gp
+  FROM record r JOIN measure_code c ON r.code = c.code JOIN person p ON r.pid = p.pid JOIN (
+    SELECT o_custkey AS pid, CAST(o_orderdate AS DATE) - CAST(o_orderkey * 37 % 200 AS INTEGER) AS start_date,
+           CAST(o_orderdate AS DATE) + CAST(o_orderkey * 53 % 120 - 5 AS INTEGER) AS end_date
+    FROM orders WHERE o_orderkey % 50 <> 0) s ON s.pid = r.pid AND r.event_date BETWEEN s.start_date AND s.end_date
+  WHERE r.value IS NOT NULL OR c.rf IN ('Smoking', 'Alcohol')) GROUP BY ALL""",
+    "population_rejected": """
+SELECT CAST(year AS INTEGER) AS year, label AS age, 'no number: ' || string_agg(area, ', ' ORDER BY n_nationkey) AS reason
+FROM yearly JOIN nation ON area = n_name WHERE n IS NULL GROUP BY ALL""",
     "measure_counts": """
 SELECT pid, rf, test_mo, lsoa, count(*) AS count FROM measured GROUP BY ALL""",
     "measure_trend": "SELECT test_mo, rf, count(*) AS total_count FROM measured GROUP BY ALL",

@@ -378,6 +378,16 @@ def measure_records_event_band(spark, sf):
     return _measures(spark, sf, "event").select("pid", "rf", "event_date", "age_gp")
 
 
+@query
+def measure_records_spells(spark, sf):
+    """Measures inside any of a person's spells, which overlap and nest."""
+    age = bands.age_years(F.col("start_date"), F.col("dob"))
+    held = star.spells(spark, sf).join(star.persons_without_area(spark, sf), "pid")
+    follow = held.withColumn("age_gp", bands.age_band_open(age)).where("end_date IS NOT NULL")
+    labelled = star.records(spark, sf, _codelist(spark, sf).select("code", "rf"))
+    return ev.followed_measures(labelled, follow, spells=True)
+
+
 @query
 def measure_counts(spark, sf):
     return ev.measure_counts(_measures(spark, sf))
@@ -416,6 +426,13 @@ def population_long(spark, sf):
     return files.population_long(spark, derived.yearly_files(spark, sf))
 
 
+@query
+def population_rejected(spark, sf):
+    found = files.population_checked(spark, derived.yearly_files(spark, sf)).rejected
+    age = F.regexp_extract("line", "^([^,]*),", 1)
+    return found.select(files.year_in_path(F.col("file")).alias("year"), age.alias("age"), "reason")
+
+
 def _summary(spark, sf):
     long = files.population_long(spark, derived.yearly_files(spark, sf))
     codes = {area: f"A{n:02d}" for n, area in enumerate(derived.area_names(spark, sf))}

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from ..functions.fixed_values import POPULATION_AGE_BANDS
 from ..operators.codelists import literal_map
 from ..operators.joins import lookup_join
-from .lines import carried_in, csv_fields, file_lines, split_key
+from .lines import Checked, carried_in, csv_fields, file_lines, number_lines, split_key
 from .tables import materialise
 
 
@@ -92,6 +92,55 @@ def population_long(
     )
 
 
+def population_checked(
+    spark: SparkSession,
+    paths: Sequence[str],
+    age_bands: Mapping[str, str] = POPULATION_AGE_BANDS,
+) -> Checked:
+    """`population_long` of the lines that are whole, with the others beside them.
+
+    A file's first line names its columns, one of them `Age`; otherwise all its lines are rejected for their
+    `header`. Lines are rejected for `missing fields`, `extra fields`, or `no number: <areas>` where a
+    cell that is not blank is none. Files are read as splits, and may be of any size.
+    """
+    lines = materialise(file_lines(spark, list(paths)), "population_lines")
+    lines = number_lines(lines).withColumn("f", csv_fields(F.col("line")))
+    lines = materialise(lines.drop("start", "at"), "population_fields")
+    heads = lines.where("line_no = 1").select("file", F.col("f").alias("names"))
+    body = lookup_join(lines, heads, "file")
+    cells = F.filter(F.arrays_zip("names", "f"), lambda c: ~c["names"].eqNullSafe(F.lit("Age")))
+    wrong = F.filter(cells, lambda c: c["f"].isNotNull() & number_from_text(c["f"]).isNull())
+    body = body.withColumn(
+        "reason",
+        F.when(~F.coalesce(F.array_contains("names", "Age"), F.lit(False)), "header")
+        .when(F.col("line_no") == 1, None)
+        .when(~F.exists("f", lambda x: x.isNotNull()), None)
+        .when(F.size("f") < F.size("names"), "missing fields")
+        .when(F.size("f") > F.size("names"), "extra fields")
+        .when(F.size(wrong) > 0, F.concat(F.lit("no number: "), F.array_join(F.transform(wrong, lambda c: c["names"]), ", "))),
+    )
+    fits = F.col("reason").isNull()
+    head, blank = F.col("line_no") == 1, ~F.exists("f", lambda x: x.isNotNull())
+    rejected = body.where(~fits).select("file", "line_no", "line", "reason")
+    totals = body.groupBy("file").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.count_if(fits & head).alias("header"),
+        F.count_if(fits & ~head & blank).alias("blank"),
+        F.count_if(fits & ~head & ~blank).alias("good"),
+        F.count_if(~fits).alias("rejected"),
+    )
+    age = F.get("f", F.array_position("names", "Age").cast("int") - 1)
+    whole = body.where(fits & ~head & ~blank).select(year_in_path(F.col("file")).alias("year"), age.alias("Age"), F.explode(cells).alias("c"))
+    good = whole.select(
+        "year",
+        F.make_date("year", F.lit(6), F.lit(1)).alias("mid_year"),
+        literal_map(age_bands, F.col("Age")).alias("age_gp"),
+        F.col("c.names").alias("area"),
+        number_from_text(F.col("c.f")).alias("population"),
+    )
+    return Checked(good, rejected, totals)
+
+
 def _block_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """file, f (fields), seq (1, 2, ... over a file's lines with text), mark and block.
 

@@ -149,3 +149,35 @@ def test_no_files(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     found = lines.read_checked(spark, str(tmp_path), SCHEMA)
     assert found.good.count() == found.rejected.count() == found.totals.count() == 0
+
+
+@pytest.mark.parametrize("size", [25, 100_000])
+def test_population_lines_that_do_not_fit(spark, tmp_path, size):
+    (tmp_path / "pop_2001.csv").write_text(
+        'Age,A,"B, c"\nAged 40-44,"1,000",2\n\nAged 45-49,x,NaN\nAged 50-54,1\nAged 55-59,1,2,3\nAged 60-64,,5\n'
+    )
+    (tmp_path / "pop_2002.csv").write_text("A,B\n1,2\n")
+    (tmp_path / "pop_2003.csv").write_text('A,Age\n7,Aged 40-44\n')
+    with split_bytes(spark, size):
+        found = files.population_checked(spark, [str(p) for p in sorted(tmp_path.glob("*.csv"))])
+        good = rows(found.good, "year", "age_gp", "area", "population")
+        rejected = {(r["file"][-8:], r["line_no"], r["reason"]) for r in found.rejected.collect()}
+        totals = {r["file"][-8:]: tuple(r)[1:] for r in found.totals.collect()}
+    assert good == sorted(
+        [
+            (2001, "40-59", "A", 1000.0),
+            (2001, "40-59", "B, c", 2.0),
+            (2001, "60-79", "A", None),
+            (2001, "60-79", "B, c", 5.0),
+            (2003, "40-59", "A", 7.0),
+        ],
+        key=lambda r: tuple((v is None, str(v)) for v in r),
+    )
+    assert rejected == {
+        ("2001.csv", 4, "no number: A, B, c"),
+        ("2001.csv", 5, "missing fields"),
+        ("2001.csv", 6, "extra fields"),
+        ("2002.csv", 1, "header"),
+        ("2002.csv", 2, "header"),
+    }
+    assert totals == {"2001.csv": (7, 1, 1, 2, 3), "2002.csv": (2, 0, 0, 0, 2), "2003.csv": (2, 1, 0, 1, 0)}

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from area_trends.operators import events as ev
 from area_trends.operators import spells as sp
 
 DAY = dt.timedelta(days=1)
@@ -149,6 +150,27 @@ def test_join_is_an_equality(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "_bin" in plan
 
 
+def test_measures_inside_any_spell(spark):
+    """A record that several spells hold is one row, with the smallest attributes; one between spells is none."""
+    follow = spark.createDataFrame(
+        [
+            (1, d("2020-01-01"), d("2020-03-01"), "E2", "M", "x", "18-39"),
+            (1, d("2020-02-01"), d("2020-02-10"), "E1", "M", "x", "18-39"),
+            (1, d("2021-01-01"), d("2021-03-01"), "E3", "M", "x", "40-59"),
+        ],
+        "pid int, start_date date, end_date date, lsoa string, sex string, ethnicity string, age_gp string",
+    )
+    days = ["2020-01-05", "2020-02-05", "2020-02-05", "2020-06-01", "2021-03-01", "2021-03-02"]
+    records = spark.createDataFrame([(1, d(x), "BMI", 1.0) for x in days], "pid int, event_date date, rf string, value double")
+    for option in (True, False):
+        found = ev.followed_measures(records, follow, spells=option)
+        assert rows(found, "event_date", "lsoa", "age_gp") == [
+            (d("2020-01-05"), "E2", "18-39"),
+            (d("2020-02-05"), "E1", "18-39"),
+            (d("2021-03-01"), "E3", "40-59"),
+        ]
+
+
 @pytest.mark.parametrize("name", ["spell_union", "events_in_spells", "spell_person_months"])
 def test_queries_are_registered(name):
     from area_trends.plans.oracle import ORACLE
