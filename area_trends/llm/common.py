@@ -76,3 +76,19 @@ def number_rows(rows: DataFrame, *order: Column, name: str = "position") -> Data
     before = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
     place = F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1
     return placed.join(F.broadcast(before), "_range").select(*rows.columns, place.alias(name))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of their own, `_row`, written once; columns are c0, c1, ... in their order."""
+    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    return materialise(held.withColumn("_row", F.monotonically_increasing_id()), "documents")
+
+
+def place_of(docs: DataFrame, name: str) -> str:
+    """The name that `numbered` gives a column."""
+    return f"c{docs.columns.index(name)}"
+
+
+def restored(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`numbered` rows with the columns of the documents."""
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from area_trends.llm.common import text_of
+from area_trends.llm.common import numbered, place_of, restored, text_of
 from area_trends.sources.tables import materialise
 
 LEAST_BYTES = 256
@@ -101,11 +101,9 @@ def exact_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def drop_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents that stay, with all their columns; which ones, says `exact_dedup`."""
-    numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    numbered = materialise(numbered.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    read = [F.col(f"c{docs.columns.index(c)}").alias(c) for c in ("doc_id", "text")]
+    held = numbered(docs)
+    read = [F.col(place_of(docs, c)).alias(c) for c in ("doc_id", "text")]
     width = verified_width(docs, width)
-    rows = materialise(recipes(numbered.select("_row", *read), width, "_row"), "recipes")
+    rows = materialise(recipes(held.select("_row", *read), width, "_row"), "recipes")
     kept = grouped(rows).where("kept").select("_row")
-    found = numbered.join(kept, "_row", "left_semi")
-    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return restored(docs, held.join(kept, "_row", "left_semi"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -10,15 +12,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from area_trends.llm.common import slices, texts, worker_cache
+from area_trends.llm.common import numbered, place_of, restored, slices, texts, worker_cache
 from area_trends.llm.graph import Verifier, components, link_members
 from area_trends.operators.joins import lookup_join
 from area_trends.sources.tables import materialise
 
 SLICE_BYTES = 2_000_000
 MAX_CACHED = 150_000
-#: partitions tried for sets with many thin parts; the last one emits every part
-PARTITIONS = 6
 #: bits of the filter that tells scanning tasks which documents to take sets from
 FILTER_BITS = 1 << 23
 #: bits of the filter of keys that several rows share
@@ -84,33 +84,45 @@ class Bands:
         return (self.starts[group + 1] - 1) * (100 - self.percent) // self.percent
 
 
-def thin_allowed(bound: int) -> int:
-    return 1 + bound // 50
+@cache
+def spare_share(percent: int) -> float:
+    """How many spare parts there are for each element in which linked sets may differ.
+
+    The least share for which a set, also the smallest of its group, hardly ever has more empty parts than
+    spare ones: 0.02 at 90 hundredths, 0.2 at 80. Fewer parts hold more elements each, and so
+    give fewer keys that say more.
+    """
+
+    def suffices(share: float) -> bool:
+        for least in (50, 200, 1000, 5000):
+            bound = least * (100 / percent) * (100 - percent) / percent
+            parts = 2 + bound * (1 + share)
+            empty = parts * exp(-least / parts)
+            if empty + 2 * sqrt(empty) > 1 + bound * share:
+                return False
+        return True
+
+    return next((n / 100 for n in (2, *range(5, 500, 5)) if suffices(n / 100)), 5.0)
 
 
-def part_keys(elements: np.ndarray, group: int, bound: int) -> np.ndarray:
+def part_keys(elements: np.ndarray, group: int, bound: int, percent: int) -> np.ndarray:
     """Join keys of a set in one group, so that two linked sets have one in common.
 
     The elements are dealt to bound + 1 + spare parts, so at least spare + 1 parts of two
-    linked sets hold no difference. A part's key is the XOR of its elements. Thin parts,
-    of less than two elements, say little and give no key; a set with more than `spare`
-    of them also emits its keys under another deal, the last of which emits all parts.
+    linked sets hold no difference. A part's key is the XOR of its elements. A set may leave
+    out up to `spare` parts, as one that holds no difference is left: thin ones of less than two
+    elements, which say little, or if these are too many the empty ones, or if these are too many none.
     """
-    spare = thin_allowed(bound)
+    spare = 1 + int(bound * spare_share(percent))
     parts = bound + 1 + spare
-    out = []
-    for deal in range(PARTITIONS):
-        spread = mix(elements + np.uint64(0xD1B54A32D192ED03 * (deal + 1) % 2**64))
-        part = ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        held = np.zeros(parts, np.uint64)
-        np.bitwise_xor.at(held, part, spread)
-        thin = np.bincount(part, minlength=parts) < 2
-        salt = np.arange(parts, dtype=np.uint64) + np.uint64((group << 40) + (deal << 32))
-        keys = mix(held ^ mix(salt + np.uint64(0x632BE59BD9B4E019)))
-        out.append(keys if deal + 1 == PARTITIONS else keys[~thin])
-        if thin.sum() <= spare:
-            break
-    return np.concatenate(out)
+    spread = mix(elements + np.uint64(0xD1B54A32D192ED03))
+    part = ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    held = np.zeros(parts, np.uint64)
+    np.bitwise_xor.at(held, part, spread)
+    size = np.bincount(part, minlength=parts)
+    least = next((n for n in (2, 1) if (size < n).sum() <= spare), 0)
+    salt = np.arange(parts, dtype=np.uint64) + np.uint64(group << 40)
+    return mix(held ^ mix(salt + np.uint64(0x632BE59BD9B4E019)))[size >= least]
 
 
 def all_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
@@ -118,7 +130,7 @@ def all_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
         return np.empty(0, np.uint64)
     band = bands.band(len(elements))
     groups = [(g, bands.bound(g)) for g in (band, band - 1) if g >= 0]
-    return np.concatenate([np.empty(0, np.uint64), *[part_keys(elements, g, b) for g, b in groups if b > 0]])
+    return np.concatenate([np.empty(0, np.uint64), *[part_keys(elements, g, b, bands.percent) for g, b in groups if b > 0]])
 
 
 def parity_sketch(elements: np.ndarray) -> bytes:
@@ -342,10 +354,18 @@ def jaccard_components(docs: DataFrame, size: int = 3, percent: int = 90) -> Dat
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents with one of each group of near copies: the one with the smallest doc_id.
 
-    Groups are the components of `jaccard_components`. Documents without words, or
-    without doc_id, stay. Rows that repeat a kept doc_id stay too, if their texts
-    are the same group; all columns stay as they are.
+    Groups are the components of `jaccard_components`; they are made of rows, which are numbered
+    first, so of rows that repeat a doc_id or have none one stays too. A null doc_id comes last.
+    Documents without words stay; all columns stay as they are.
     """
-    found = jaccard_components(docs, size, percent).where("doc_id != component_id AND n_shingles > 0")
-    gone = materialise(found.select("doc_id").distinct(), "near_copies")
-    return lookup_join(docs, gone, "doc_id", "left_anti")
+    rows = numbered(docs)
+    read = [F.col(place_of(docs, name)) for name in ("doc_id", "text")]
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), read[1].alias("text")), size, percent)
+    found = found.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", read[0].alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    grouped = materialise(found.join(ids, "_row"), "near_groups")
+    first = grouped.groupBy("component_id").agg(F.min(order)["_row"].alias("first"), F.count(F.lit(1)).alias("n"))
+    several = materialise(first.where("n > 1").drop("n"), "near_copies")
+    gone = materialise(lookup_join(grouped, several, "component_id").where("_row != first").select("_row"), "gone")
+    return restored(docs, lookup_join(rows, gone, "_row", "left_anti"))

@@ -81,19 +81,43 @@ def test_chain_and_star_of_near_copies(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.integers(9, 400), st.integers(0, 40), st.integers(0, 40), st.integers(0, 2**32))
-def test_linked_sets_share_a_key(n, less, more, seed):
+@given(st.integers(3, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 2**32), st.sampled_from([50, 80, 90]))
+def test_linked_sets_share_a_key(n, less, more, seed, percent):
     rng = np.random.default_rng(seed)
     pool = np.unique(rng.integers(0, 2**63, n + more, dtype=np.uint64))
     a, b = np.sort(pool[:n]), np.sort(pool[min(less, n - 1) :])
     shared = len(np.intersect1d(a, b))
     distance = len(a) + len(b) - 2 * shared
     assert jj.sketch_distance(jj.parity_sketch(a), jj.parity_sketch(b)) <= distance
-    bands = jj.Bands(90)
-    if 100 * shared >= 90 * (distance + shared) and distance:
+    bands = jj.Bands(percent)
+    if 100 * shared >= percent * (distance + shared) and distance:
         assert len(np.intersect1d(jj.all_keys(a, bands), jj.all_keys(b, bands)))
 
 
+@pytest.mark.parametrize(("percent", "most"), [(80, 0.8), (90, 0.3)])
+def test_keys_for_each_shingle(percent, most):
+    """Sets of 400 and more emit less than a key for each element, of parts that are hardly ever empty."""
+    rng = np.random.default_rng(3)
+    bands = jj.Bands(percent)
+    for n in (400, 450, 500, 600, 800, 1200, 2000, 5000):
+        keys = [len(jj.all_keys(np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)), bands)) / n for _ in range(5)]
+        assert max(keys) < most
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_candidates_are_few(percent):
+    """Unlike sets that share a passage of a seventh of their elements meet in a small part of the pairs."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(0, 2**63, 45, dtype=np.uint64)
+    bands = jj.Bands(percent)
+    keys = [
+        set(jj.all_keys(np.unique(np.append(passage, rng.integers(0, 2**63, 270, dtype=np.uint64))), bands).tolist())
+        for _ in range(120)
+    ]
+    met = sum(bool(a & b) for i, a in enumerate(keys) for b in keys[:i])
+    assert met < (0.02 if percent == 90 else 0.9) * 120 * 119 / 2
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (103, 101), (7, 60)]
     found = components(spark.createDataFrame(chain, "a long, b long")).collect()
@@ -107,4 +131,11 @@ def test_rows(spark):
     kept = jj.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7]
+    again = spark.createDataFrame(
+        [(None, "p q r"), (9, "P Q r"), (9, "p q r"), (9, "s t"), (None, "u v"), (None, "u V"), (None, None), (None, None)],
+        "doc_id long, text string",
+    )
+    kept = [(r.doc_id, (r.text or "").lower()) for r in jj.keep_one_of_each(again).collect()]
+    assert sorted(kept, key=str) == sorted([(9, "p q r"), (9, "s t"), (None, "u v"), (None, ""), (None, "")], key=str)
+    assert jj.keep_one_of_each(docs.limit(0)).count() == 0
     assert jj.jaccard_components(docs.limit(0)).count() == 0
