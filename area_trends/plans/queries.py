@@ -469,7 +469,8 @@ def _checked(spark, sf):
     return lines.read_checked(spark, derived.faulty_csv(spark, sf), schema)
 
 
-PART = F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part")
+def _part():
+    return F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part")
 
 
 @query
@@ -479,12 +480,12 @@ def checked_rows(spark, sf):
 
 @query
 def rejected_rows(spark, sf):
-    return _checked(spark, sf).rejected.select(PART, "line_no", "line", "reason")
+    return _checked(spark, sf).rejected.select(_part(), "line_no", "line", "reason")
 
 
 @query
 def checked_totals(spark, sf):
-    return _checked(spark, sf).totals.select(PART, "lines", "header", "blank", "good", "rejected")
+    return _checked(spark, sf).totals.select(_part(), "lines", "header", "blank", "good", "rejected")
 
 
 @query
