@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from ..functions.fixed_values import POPULATION_AGE_BANDS
 from ..operators.codelists import literal_map
 from ..operators.joins import lookup_join
-from .lines import Checked, carried_in, csv_fields, file_lines, number_lines, split_key
+from .lines import Checked, carried_in, csv_fields, file_lines, number_lines
 from .tables import materialise
 
 
@@ -158,7 +158,7 @@ def _block_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
     for name in ("lines", "marks"):
         splits = splits.withColumn(name, F.col(name) - F.when(first, F.col(f"title.{name}")).otherwise(0))
-    scanned = carried_in(splits, "lines", "marks").select(split_key(), "before_lines", "before_marks")
+    scanned = carried_in(splits, "lines", "marks").select("file", "start", "before_lines", "before_marks")
 
     here = W.partitionBy("file", "start").orderBy("at")
     body = lines.withColumns({"held": held, "mark": mark, "place": F.row_number().over(here)})
@@ -166,8 +166,8 @@ def _block_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     body = body.withColumns(
         {"n": F.row_number().over(here), "marks": F.sum(F.col("mark").cast("int")).over(here)}
     )
-    found = lookup_join(body.withColumn("split", F.struct("file", "start")), scanned, "split")
-    return found.select(
+    # the lines lie by split already
+    return body.join(scanned, ["file", "start"]).select(
         "file",
         "f",
         "mark",
@@ -185,19 +185,19 @@ def population_blocks(spark: SparkSession, paths: str | Sequence[str], trailing:
     one area each, and all blocks but a file's last end in `trailing` other lines.
 
     Files are read as splits, however large one is. Lines are numbered by a prefix scan over the
-    splits; a block's year and column names, one row per block, are then carried to its lines by a
-    lookup, wherever they lie.
+    splits; a block's year and column names, one row per block, are then joined to its lines,
+    wherever they lie.
     """
-    lines = materialise(_block_lines(spark, paths), "block_lines").withColumn("key", F.struct("file", "block"))
-    marks = lines.where("mark").select("key", "file", "block", "seq", F.get("f", F.lit(1)).alias("year"))
+    lines = materialise(_block_lines(spark, paths), "block_lines")
     after = F.lead("seq").over(W.partitionBy("file").orderBy("block"))
-    marks = materialise(marks.withColumn("until", after).drop("file", "block").withColumnRenamed("seq", "opened"), "blocks")
-    inside = lookup_join(lines.where("block > 0 AND NOT mark").drop("file", "block", "mark"), marks, "key")
-    inside = inside.withColumn("n", F.col("seq") - F.col("opened"))
-    names = inside.where("n = 2").select("key", F.col("f").alias("ages"))
-    body = inside.where((F.col("n") > 2) & F.coalesce(F.col("until") - F.col("seq") > trailing, F.lit(True)))
-    cells = lookup_join(body, names, "key").select(
-        F.col("key.file").alias("file"),
+    marks = lines.where("mark").select("file", "block", "seq", F.get("f", F.lit(1)).alias("year"), after.alias("until"))
+    heads = marks.withColumn("seq", F.col("seq") + 2).withColumnRenamed("seq", "named")
+    names = lines.where("NOT mark").select("file", "block", F.col("seq").alias("named"), F.col("f").alias("ages"))
+    heads = heads.join(names, ["file", "block", "named"])
+    body = lines.where("NOT mark").join(heads, ["file", "block"]).where(F.col("seq") > F.col("named"))
+    body = body.where(F.coalesce(F.col("until") - F.col("seq") > trailing, F.lit(True)))
+    cells = body.select(
+        "file",
         F.col("year").try_cast("int").alias("year"),
         F.col("f")[0].alias("area"),
         F.explode(F.slice(F.arrays_zip("ages", "f"), 2, F.greatest(F.size("ages") - 1, F.lit(0)))).alias("c"),
