@@ -105,7 +105,7 @@ class Encoder:
         for end, size in self.matches.iter(text):
             if size > 1:
                 options[end + 1 - size].append(size)
-        failed = 0
+        failed = bytearray(len(text) // 8 + 1)  # a bit for each position
         found: list[str] = []
         left = [len(o) for o in options]  # options still to be tried, the longest last
         at = 0
@@ -115,7 +115,8 @@ class Encoder:
                 left[at] -= 1
                 size = options[at][left[at]]
                 token = text[at : at + size]
-                if not (failed >> (at + size)) & 1 and (size == 1 or self.is_whole(token)):
+                end = at + size
+                if not failed[end >> 3] >> (end & 7) & 1 and (size == 1 or self.is_whole(token)):
                     if not found or self.stand_together(found[-1], token):
                         step = size
                         break
@@ -125,7 +126,7 @@ class Encoder:
                 if at < len(text):
                     left[at] = len(options[at])
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 at -= len(found.pop())
         return found
 
