@@ -40,6 +40,11 @@ def worker_cache(name: str, make: Callable, version: str = ""):
     return held[name][1]
 
 
+def forget_caches(name: str) -> None:
+    """Drops what operators of another first word have left in the Python worker."""
+    worker_cache(name, lambda: None)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds at most `max_bytes` of a text column, or one row."""
     ends = batch.column(column).cast(pa.large_string())

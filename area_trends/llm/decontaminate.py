@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from area_trends.llm.common import slices, text_of, texts
+from area_trends.llm.common import forget_caches, slices, text_of, texts
 from area_trends.llm.fm_index import FMIndex
 from area_trends.sources.tables import materialise
 
 WINDOW = 10
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 2_500_000
 #: most bytes of windows that are searched, and broadcast, at a time
 BLOCK_BYTES = 32_000_000
 
@@ -95,6 +95,7 @@ def runs(marks: np.ndarray) -> list[tuple[int, int]]:
 
 def marking(held) -> Callable:
     def run(batches):
+        forget_caches("decontaminate")
         phrases = Phrases(held.value)
         for batch in batches:
             for part in slices(batch, "text", SHARD_BYTES):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from area_trends.llm.common import slices, texts
+from area_trends.llm.common import forget_caches, slices, texts
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15
@@ -168,6 +168,7 @@ def calibrate(model: Model, rows: DataFrame) -> Model:
 
 
 def bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_caches("language_id")
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
             found, starts = subword_buckets(part.column("text").to_pylist())
@@ -217,6 +218,7 @@ def fit(rows: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Model | None:
 
 def predicting(held, has_letter, keep_text: bool) -> Callable:
     def run(batches):
+        forget_caches("language_id")
         model = held.value
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
