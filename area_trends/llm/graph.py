@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from area_trends.sources.tables import materialise
@@ -47,6 +47,14 @@ class Verifier:
         """The linked ones (a, b) of distinct pairs."""
         raise NotImplementedError
 
+    def features(self) -> DataFrame:
+        """node and `features`: something of a small, fixed size to tell most unlike pairs by."""
+        raise NotImplementedError
+
+    def may_link(self, a: Column, b: Column) -> Column:
+        """Whether the features of two nodes allow a link; true for every linked pair."""
+        raise NotImplementedError
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of those pairs that were not seen before."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -62,8 +70,9 @@ def link_members(members: DataFrame, verifier: Verifier) -> DataFrame:
 
     First every member of a key is compared with its smallest one, then, where a key
     still holds several components, with its best-linked one; only members of different
-    components that share a key are then compared with each other. So a large group of
-    near copies costs a comparison or two per key and member.
+    components that share a key are then compared with each other, as far as their
+    features allow a link. So a large group of near copies costs a comparison or two per key and
+    member, and members that are unlike each other are told apart inside the join.
     """
     first = members.where(F.col("node") != F.col("low")).select(F.col("low").alias("a"), F.col("node").alias("b"))
     links = verifier.links(first)
@@ -85,8 +94,12 @@ def link_members(members: DataFrame, verifier: Verifier) -> DataFrame:
     )
     second = held.join(best, "key").where(F.col("component") != F.col("other")).select("a", F.col("node").alias("b"))
     links = materialise(links.union(verifier.links(second)), "links")
-    held = open_keys()
-    left = held.select("key", F.col("node").alias("a"), F.col("component").alias("left"))
-    right = held.select("key", F.col("node").alias("b"), F.col("component").alias("right"))
-    rest = left.join(right, "key").where("left < right").select("a", "b")
+    held = materialise(open_keys().join(verifier.features(), "node"), "open_features")
+    left, right = (
+        held.select("key", F.col("node").alias(n), F.col("component").alias(side), F.col("features").alias(f"of_{n}"))
+        for n, side in (("a", "left"), ("b", "right"))
+    )
+    # part of the join's condition, so pairs that cannot link are never rows
+    able = verifier.may_link(F.col("of_a"), F.col("of_b"))
+    rest = left.join(right, "key").where((F.col("left") < F.col("right")) & able).select("a", "b")
     return materialise(links.union(verifier.links(rest)), "links")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 from math import exp, sqrt
 
 import numpy as np
@@ -21,6 +21,8 @@ SLICE_BYTES = 2_000_000
 MAX_CACHED = 150_000
 #: bits of the filter that tells scanning tasks which documents to take sets from
 FILTER_BITS = 1 << 23
+#: bits of the sketches that pairs within a key are told apart by
+SHORT_BITS = 1024
 #: bits of the filter of keys that several rows share
 KEY_FILTER_BITS = 1 << 26
 
@@ -144,6 +146,12 @@ def parity_sketch(elements: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
+def short_sketch(elements: np.ndarray) -> np.ndarray:
+    """A parity sketch of `SHORT_BITS` bits for sets of any size, as numbers of 64 bits."""
+    at = (mix(elements + np.uint64(0xA0761D6478BD642F)) & np.uint64(SHORT_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SHORT_BITS) & 1).astype(np.uint8)).view(np.uint64)
+
+
 def sketch_distance(a: bytes, b: bytes) -> int:
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     while len(x) != len(y):
@@ -196,9 +204,10 @@ def taking_sets(name: str, make: Callable, held) -> Callable:
                     part.column("doc_id"),
                     pa.array([node_of(s) for s in sets], pa.int64()),
                     pa.array([parity_sketch(s) for s in sets], pa.binary()),
+                    list_of([short_sketch(s) for s in sets]),
                     list_of(sets),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "sketch", "elements"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "sketch", "short", "elements"])
 
     return run
 
@@ -254,6 +263,17 @@ class SetVerifier(Verifier):
     def side(self, name: str, **columns: Column) -> DataFrame:
         return self.held.select(F.col("node").alias(name), *[v.alias(f"{n}_{name}") for n, v in columns.items()])
 
+    def features(self) -> DataFrame:
+        size = F.size("elements").cast("long").alias("size")
+        return self.held.select("node", F.struct(size, F.col("short").alias("bits")).alias("features"))
+
+    def may_link(self, a: Column, b: Column) -> Column:
+        """Bits in which short sketches differ are at most the elements in which linked sets do."""
+        low, high = F.least(a["size"], b["size"]), F.greatest(a["size"], b["size"])
+        bits = [F.bit_count(F.get(a["bits"], F.lit(i)).bitwiseXOR(F.get(b["bits"], F.lit(i)))) for i in range(SHORT_BITS // 64)]
+        apart = reduce(lambda x, y: x + y, bits)
+        return (100 * low >= self.percent * high) & (apart * self.percent <= low * (100 - self.percent))
+
     def check(self, pairs: DataFrame) -> DataFrame:
         short = {"size": F.size("elements").cast("long"), "sketch": F.col("sketch")}
         close = materialise(
@@ -307,12 +327,13 @@ def set_components(docs: DataFrame, name: str, make: Callable, keys_of: Callable
     held = (
         rows.select("*", slot)
         .mapInArrow(
-            taking_sets(name, make, wanted), f"doc_id {kind}, node long, sketch binary, elements array<long>"
+            taking_sets(name, make, wanted),
+            f"doc_id {kind}, node long, sketch binary, short array<long>, elements array<long>",
         )
         .join(chosen.select("node", F.col("doc_id").alias("_chosen")), "node")
         .where(F.col("doc_id").eqNullSafe(F.col("_chosen")))
         .dropDuplicates(["node"])
-        .select("node", "sketch", "elements")
+        .select("node", "sketch", "short", "elements")
     )
     links = link_members(members, SetVerifier(materialise(held, "sets"), percent))
     lowest = (

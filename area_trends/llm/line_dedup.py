@@ -145,18 +145,28 @@ class LineVerifier(Verifier):
         counted = lines.withColumn("length", F.char_length("line")).withColumn("counts", letter_counts(F.col("line")))
         self.lines, self.threshold = materialise(counted, "lines"), threshold
 
+    def features(self) -> DataFrame:
+        return self.lines.select("node", F.struct("length", "counts").alias("features"))
+
+    def may_link(self, a: Column, b: Column) -> Column:
+        apart = F.abs(a["length"] - b["length"])
+        differ = F.zip_with(a["counts"], b["counts"], lambda x, y: F.abs(x - y))
+        letters = F.aggregate(differ, F.lit(0), lambda total, x: total + x)
+        return (apart <= self.threshold) & (letters <= 2 * self.threshold)
+
     def check(self, pairs: DataFrame) -> DataFrame:
         def side(name: str, *columns: str) -> DataFrame:
             return self.lines.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-        apart = F.abs(F.col("length_a") - F.col("length_b"))
-        letters = F.aggregate(
-            F.zip_with("counts_a", "counts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x
-        )
         like = materialise(
             pairs.join(side("a", "length", "counts"), "a")
             .join(side("b", "length", "counts"), "b")
-            .where((apart <= self.threshold) & (letters <= 2 * self.threshold))
+            .where(
+                self.may_link(
+                    F.struct(F.col("length_a").alias("length"), F.col("counts_a").alias("counts")),
+                    F.struct(F.col("length_b").alias("length"), F.col("counts_b").alias("counts")),
+                )
+            )
             .select("a", "b"),
             "like_pairs",
         )
@@ -202,8 +212,20 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     )
 
 
-def line_mark(line_no: Column, node: Column) -> Column:
-    return F.xxhash64(line_no.cast("int"), node)
+def without_marked(lines: Column, marks: Column) -> Column:
+    """Lines without those that a mark (line_no, node) names by place and hash: the runs between them."""
+    held = lambda m: (m["line_no"] < F.size(lines)) & (F.xxhash64(F.get(lines, m["line_no"])) == m["node"])
+    own = F.filter(marks, held)
+    places = F.array_sort(F.transform(own, lambda m: m["line_no"]))
+    bounds = F.concat(F.array(F.lit(-1)), places, F.array(F.size(lines)))
+
+    def runs(at: Column) -> Column:
+        number = F.sequence(F.lit(0), F.size(at) - 2)
+        return F.flatten(
+            F.transform(number, lambda i: F.slice(lines, F.get(at, i) + 2, F.get(at, i + 1) - F.get(at, i) - 1))
+        )
+
+    return let(bounds, runs)
 
 
 def without_repeated_lines(
@@ -215,12 +237,11 @@ def without_repeated_lines(
     a doc_id count as the same place: a line first met there stays in all of them.
     """
     gone = repeated_lines(docs, threshold, min_chars)
-    marks = gone.select(F.col("doc_id").alias("_id"), line_mark(F.col("line_no"), F.col("node")).alias("mark"))
+    marks = gone.select(F.col("doc_id").alias("_id"), F.struct("line_no", "node").alias("mark"))
     marks = materialise(marks.groupBy("_id").agg(F.collect_set("mark").alias("_marks")), "removed_lines")
     held = lookup_join(docs.withColumn("_id", F.col("doc_id")), marks, "_id", "left").drop("_id")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("_marks", line_mark(i, F.xxhash64(line))))
-    kept = F.when(F.col("_marks").isNull(), lines).otherwise(kept)
+    kept = F.when(F.col("_marks").isNull(), lines).otherwise(let(lines, lambda x: without_marked(x, F.col("_marks"))))
     return (
         held.withColumn("_kept", kept)
         .withColumns(

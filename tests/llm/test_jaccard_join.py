@@ -89,6 +89,10 @@ def test_linked_sets_share_a_key(n, less, more, seed, percent):
     shared = len(np.intersect1d(a, b))
     distance = len(a) + len(b) - 2 * shared
     assert jj.sketch_distance(jj.parity_sketch(a), jj.parity_sketch(b)) <= distance
+    short = np.bitwise_count(jj.short_sketch(a) ^ jj.short_sketch(b)).sum()
+    assert short <= distance
+    if 100 * shared >= percent * (distance + shared):
+        assert short * percent <= min(len(a), len(b)) * (100 - percent)
     bands = jj.Bands(percent)
     if 100 * shared >= percent * (distance + shared) and distance:
         assert len(np.intersect1d(jj.all_keys(a, bands), jj.all_keys(b, bands)))

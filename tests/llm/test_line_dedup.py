@@ -1,6 +1,7 @@
 """Line deduplication against all pairs of lines."""
 
 import random
+import time
 
 import pytest
 from area_trends.llm import line_dedup as ld
@@ -127,3 +128,26 @@ def test_repeated_and_missing_ids(spark):
 def test_native(spark, sf):
     plan = queries.op3_line_dedup(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_many_removed_lines_of_one_text(spark):
+    """Lines are cut by their places, in a pass over the text however many go."""
+    n = 30_000
+    lines = [f"line number {i}" for i in range(n)]
+    gone = list(range(0, n, 3)) + [n - 1]
+    docs = spark.createDataFrame([("\n".join(lines), gone)], "text string, at array<int>")
+    split = F.split("text", "\n", -1)
+    marks = F.transform("at", lambda i: F.struct(i.alias("line_no"), F.xxhash64(F.get(split, i)).alias("node")))
+    marked = docs.select(split.alias("lines"), marks.alias("marks"))
+    start = time.monotonic()
+    kept = marked.select(ld.without_marked(F.col("lines"), F.col("marks")).alias("x")).first()["x"]
+    assert time.monotonic() - start < 30
+    out = set(gone)
+    assert kept == [x for i, x in enumerate(lines) if i not in out]
+    for held in ([], [0], [2], [0, 1, 2], [5], [1, 7]):
+        some = spark.createDataFrame([(["a", "b", "c"], held)], "lines array<string>, at array<int>").select(
+            "lines",
+            F.transform("at", lambda i: F.struct(i.alias("line_no"), F.xxhash64(F.get("lines", i)).alias("node"))).alias("marks"),
+        )
+        found = some.select(ld.without_marked(F.col("lines"), F.col("marks")).alias("x")).first()["x"]
+        assert found == [x for i, x in enumerate("abc") if i not in held]
