@@ -14,7 +14,7 @@ from area_trends.llm.decontaminate import remove_contamination
 from area_trends.llm.jaccard_join import keep_one_of_each
 from area_trends.llm.language_id import keep_identified
 from area_trends.llm.line_dedup import drop_repeated_lines
-from area_trends.llm.pieces import piece_ids
+from area_trends.llm.pieces import MAX_CACHED, piece_ids
 from area_trends.sources.tables import materialise
 
 
@@ -40,7 +40,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the piece ids and the text decoded from them."""
-    found = piece_ids(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    # a smaller store than by itself: the executors' memory has served four stages before
+    found = piece_ids(docs, public_tokenizers.path("piece_bpe_32k.model"), max_cached=MAX_CACHED // 2)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
