@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 
 _MADE: set[str] = set()
+_PATHS: list[str] = []
 
 
 def snapshot(df: DataFrame, value: str, column: str = "archived_on", prefix: bool = False) -> DataFrame:
@@ -82,7 +83,23 @@ def _own_folder(spark: SparkSession) -> str:
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new path in the application's scratch folder, which all executors share."""
-    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
+def scratch_paths() -> list[str]:
+    """The paths in scratch space that were given out and not dropped, oldest first."""
+    return list(_PATHS)
+
+
+def drop_scratch(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Removes some of what was written to scratch space; frames that read it no longer work."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if name in _PATHS:
+            _PATHS.remove(name)
 
 
 def clear_scratch(spark: SparkSession) -> None:
@@ -91,6 +108,7 @@ def clear_scratch(spark: SparkSession) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     _MADE.discard(folder)
+    _PATHS[:] = [p for p in _PATHS if not p.startswith(f"{folder}/")]
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:

@@ -154,6 +154,17 @@ def test_clear_scratch_removes_what_was_written(spark):
     assert tables.materialise(spark.range(3), "again").count() == 3
 
 
+def test_drop_scratch_removes_some(spark):
+    before = tables.scratch_paths()
+    gone, kept = tables.materialise(spark.range(3), "gone"), tables.materialise(spark.range(4), "kept")
+    first, second = [p for p in tables.scratch_paths() if p not in before]
+    tables.drop_scratch(spark, [first])
+    assert tables.scratch_paths() == [*before, second] and kept.count() == 4
+    assert "gone" in first and not spark.read.parquet(second).isEmpty()
+    with pytest.raises(Exception, match="(?i)not exist|no such file|not found"):
+        gone.collect()
+
+
 QUOTED = [(1, 'Stroke "NOS", left'), (2, "two\nlines"), (3, "plain"), (4, ""), (5, '"')]
 
 
