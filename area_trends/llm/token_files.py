@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from area_trends.llm.bpe import Parts
+from area_trends.llm import bpe
 from area_trends.llm.common import slices, texts, worker_cache
 from area_trends.sources.tables import materialise, scratch_folder
 
-MAX_CACHED = 1_200_000
-SLICE_BYTES = 8_000_000
+MAX_CACHED = 1_000_000
+SLICE_BYTES = 1_000_000
 STRIPE_BYTES = 16 * 1024 * 1024
 ROWS_PER_INDEX = 1000
+#: bytes as the characters that stand for them in the vocabulary
+SHOWN = {byte: char for char, byte in bpe.printable_bytes().items()}
 
 
 class Growing:
@@ -29,7 +33,7 @@ class Growing:
     def __init__(self):
         self.held, self.size = np.zeros(1 << 16, np.int32), 0
 
-    def extend(self, values: list[int]) -> None:
+    def extend(self, values: list[int] | np.ndarray) -> None:
         while self.size + len(values) > len(self.held):
             self.held = np.concatenate([self.held, np.zeros_like(self.held)])
         self.held[self.size : self.size + len(values)] = values
@@ -53,12 +57,14 @@ class Encoder:
     """Token ids as the library gives them; parts met before are looked up.
 
     Up to about `max_cached` parts are kept, after which the store starts anew. A word
-    closed by a comma or a full stop is looked up without it.
+    closed by a comma or a full stop is looked up without it. A space and a word of Latin letters
+    are one pre-token, which goes to the library's model directly.
     """
 
     def __init__(self, path: str, max_cached: int = MAX_CACHED):
         self.library = Tokenizer.from_file(path)
-        self.parts = Parts(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.parts = bpe.Parts(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.spaces = re.compile(r" \s")  # which odd spaces begin with or follow, and faster to find
         self.max_cached = max_cached
         self.clear()
 
@@ -67,18 +73,23 @@ class Encoder:
         self.ids, self.starts, self.sizes = Growing(), Growing(), Growing()
 
     def keys(self, text: str) -> list[str | bytes]:
-        if self.parts.odd_space.search(text) or self.parts.cut.search(text):
+        odd = self.spaces.search(text) and self.parts.odd_space.search(text)
+        if odd or self.parts.cut.search(text):
             return [p.encode() for p in self.parts.of(text)]
-        first, *rest = text.split(" ")
-        return [first.encode(), *rest]
+        found = text.split(" ")
+        found[0] = found[0].encode()
+        return found
 
     def learn(self) -> None:
         """Finds the ids of newly numbered parts."""
-        numbers, alone, closed = self.numbers, [], []
+        numbers, alone, closed, words = self.numbers, [], [], []
         first = self.starts.size
         for part in numbers.new:  # grows by the words that closed ones are made of
-            word = part[:-1]
-            if isinstance(part, str) and part[-1:] in (",", ".") and word.isalpha() and max(word) < "\u0250":
+            if isinstance(part, bytes):
+                alone.append(part)
+            elif part.isalpha() and (part.isascii() or max(part) < "\u0250"):
+                words.append(part)
+            elif part[-1:] in (",", ".") and (word := part[:-1]).isalpha() and (word.isascii() or max(word) < "\u0250"):
                 closed.append((numbers[part], numbers[word], numbers[part[-1].encode()]))
             else:
                 alone.append(part)
@@ -89,18 +100,36 @@ class Encoder:
             written = [p.decode() if isinstance(p, bytes) else " " + p for p in some]
             for part, found in zip(some, self.library.encode_batch_fast(written, add_special_tokens=False), strict=True):
                 self.put(numbers[part], found.ids)
-        for number, word, mark in closed:
-            self.put(number, [*self.of(word), *self.of(mark)])
+        self.put_words(words)
+        self.put_closed(np.array(closed, np.int64).reshape(-1, 3))
         assert self.starts.size == len(numbers) == first + len(numbers.new)
         numbers.new = []
 
+    def put_words(self, words: list[str]) -> None:
+        """The ids of words that are one pre-token with the space before them."""
+        model, space = self.library.model, SHOWN[32]
+        shown = [space + (w if w.isascii() else w.encode().decode("latin-1").translate(SHOWN)) for w in words]
+        found = [[token.id for token in model.tokenize(w)] for w in shown]
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        size = np.fromiter(map(len, found), np.int32, len(found))
+        self.sizes.held[number] = size
+        self.starts.held[number] = self.ids.size + np.cumsum(size) - size
+        self.ids.extend(list(chain.from_iterable(found)))
+
     def put(self, number: int, ids: list[int]) -> None:
         self.starts.held[number], self.sizes.held[number] = self.ids.size, len(ids)
         self.ids.extend(ids)
 
-    def of(self, number: int) -> list[int]:
-        start = self.starts.held[number]
-        return self.ids.held[start : start + self.sizes.held[number]].tolist()
+    def put_closed(self, closed: np.ndarray) -> None:
+        """The ids of closed words (number, word, mark): those of the word, then those of the mark."""
+        both = closed[:, 1:].ravel()
+        sizes = self.sizes.held[both].astype(np.int64)
+        ends = np.cumsum(sizes)
+        found = self.ids.held[np.repeat(self.starts.held[both] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        size = sizes.reshape(-1, 2).sum(axis=1)
+        self.sizes.held[closed[:, 0]] = size
+        self.starts.held[closed[:, 0]] = self.ids.size + np.cumsum(size) - size
+        self.ids.extend(found)
 
     def encode(self, values: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by `end_id`, and how many each text has."""
@@ -108,10 +137,10 @@ class Encoder:
             self.clear()
         split = [self.keys(text) for text in values]
         look_up = self.numbers.__getitem__
-        found = [np.fromiter(map(look_up, keys), np.int64, len(keys)) for keys in split]
+        found = [np.fromiter(map(look_up, keys), np.int32, len(keys)) for keys in split]
         self.learn()
         ends = np.cumsum([len(f) + 1 for f in found]) - 1
-        parts = np.concatenate([x for f in found for x in (f, [0])]).astype(np.int64)
+        parts = np.concatenate([x for f in found for x in (f, np.zeros(1, np.int32))])
         sizes = self.sizes.held[parts].astype(np.int64)
         sizes[ends] = 1
         before = np.cumsum(sizes) - sizes

@@ -49,3 +49,31 @@ def test_repeated_null_and_empty(spark):
     assert [r.doc_id for r in found] == [None, 1, 2, 2, 2]
     assert [r.start for r in found] == [0, 2, 3, 5, 7]
     assert token_files.token_files(docs.limit(0), PATH).count() == 0
+
+
+def scanned(df):
+    """Rows that the scan of a small read returned, after stripes and row groups were skipped."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_few_ids_skip_row_groups(spark, tmp_path):
+    """Ranges of doc_id leave one row group to read; an id that is not there is ruled out by its Bloom filter."""
+    rows = [(2 * i, f"word {i}") for i in range(20_000)]
+    path = str(tmp_path / "ids")
+    token_files.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH, shards=2)
+    some = token_files.read_ids(spark, path, [2 * 7777])
+    assert some.count() == 1 and 0 < scanned(some) <= token_files.ROWS_PER_INDEX
+    far = token_files.read_ids(spark, path, [2 * 5, 2 * 19_990])
+    assert far.count() == 2 and scanned(far) <= 2 * token_files.ROWS_PER_INDEX
+    absent = [token_files.read_ids(spark, path, [2 * i + 1]) for i in (1000, 4321, 9000, 15_555)]
+    assert sorted(map(scanned, absent))[:3] == [0, 0, 0]
+    assert scanned(token_files.read_ids(spark, path)) == 20_000
+
+
+def test_words_that_go_to_the_model(spark):
+    words = ["straße", "naïve", "Ĳssel", "ǅ", "ª", "don't", "áb", "x1", "été,", "Ω", "ﬁn", "ŉ", "a" * 3000, "œ.", "don’t"]
+    rows = [(i, f"{w} {w}  {w} {w}{w}\n{w}, {w}.") for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, token_files.token_files(docs, PATH).collect())) == list(expected(rows))
