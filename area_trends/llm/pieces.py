@@ -6,10 +6,13 @@ import codecs
 import hashlib
 import re
 from collections.abc import Callable
+from itertools import pairwise
+from operator import add
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 
@@ -17,8 +20,8 @@ from area_trends.llm.common import slices, texts, worker_cache
 
 SPACE = "▁"
 MAX_CACHED = 500_000
-MAX_PAIRS = 500_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
+NO_SCORE = float("-inf")
 
 
 def one_mark_per_byte(error):
@@ -39,14 +42,32 @@ class Vocabulary:
         self.ids = {held.id_to_piece(i): i for i in plain}
         self.scores = {held.id_to_piece(i): held.get_score(i) for i in plain}
         self.bytes = {int(held.id_to_piece(i)[3:5], 16): i for i in size if held.is_byte(i)}
-        self.shown = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()}
-        self.shown |= {i: bytes([b]) for b, i in self.bytes.items()}
-        self.shown |= {i: " ⁇ ".encode() for i in size if held.is_unknown(i)}
-        self.shown |= {i: b"" for i in size if held.is_control(i)}
+        shown = {i: p.replace(SPACE, " ").encode() for p, i in self.ids.items()}
+        shown |= {i: bytes([b]) for b, i in self.bytes.items()}
+        shown |= {i: " ⁇ ".encode() for i in size if held.is_unknown(i)}
+        #: the bytes of each id; none of the control ids
+        self.shown = pa.array([shown.get(i, b"") for i in size], pa.binary())
         self.spaced = {i for p, i in self.ids.items() if p.startswith(SPACE)}
         self.controls = {i for i in size if held.is_control(i)}
+        #: characters that stand side by side in a piece
+        self.neighbours = {a + b for p in self.ids for a, b in pairwise(p)}
         #: no piece goes from a letter into a space, so words can be encoded alone
-        self.words_apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
+        self.words_apart = not any(pair[0] != SPACE == pair[1] for pair in self.neighbours)
+
+
+class Remembered(dict):
+    """Values of a function that were asked for; beyond `most`, if given, it starts anew."""
+
+    def __init__(self, find: Callable, most: int | None = None):
+        super().__init__()
+        self.find, self.most = find, most
+
+    def __missing__(self, key):
+        found = self.find(key)
+        if self.most and len(self) >= self.most:
+            self.clear()
+        self[key] = found
+        return found
 
 
 class Encoder:
@@ -63,109 +84,131 @@ class Encoder:
         self.vocabulary = Vocabulary(path)
         self.matches = ahocorasick.Automaton()
         for piece in self.vocabulary.ids:
-            self.matches.add_word(piece, len(piece))
+            if len(piece) > 1:
+                self.matches.add_word(piece, len(piece))
         self.matches.make_automaton()
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.max_cached = max_cached
-
-    def merge(self, text: str) -> list[str]:
-        """Merges the characters of a short text: best score first, from the left."""
-        scores, symbols = self.vocabulary.scores, list(text)
-        while len(symbols) > 1:
-            joined = [scores.get(a + b) for a, b in zip(symbols, symbols[1:], strict=False)]
-            best = max((s for s in joined if s is not None), default=None)
-            if best is None:
-                break
+        self.spaced = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        #: ids of words without the space before them, and of runs within words
+        self.known = Remembered(self.word_ids, max_cached)
+        self.inner = Remembered(self.run_ids, max_cached)
+        #: whether a token's own characters merge to it
+        self.whole = Remembered(lambda token: self.merge(token) == [token])
+        #: whether two neighbours stay as they are when merged anew
+        self.together = Remembered(self.stand, max_cached)
+        #: the longest shorter token that a token begins with
+        self.shorter = Remembered(self.next_shorter)
+
+    def stand(self, pair: tuple[str, str]) -> bool:
+        left, right = pair
+        return self.merge(left + right, len(left)) == [left, right]
+
+    def next_shorter(self, token: str) -> str:
+        sizes = range(len(token) - 1, 0, -1)
+        return next((token[:k] for k in sizes if k == 1 or token[:k] in self.vocabulary.ids), "")
+
+    def merge(self, text: str, limit: int = 0) -> list[str]:
+        """Merges the characters of a short text: best score first, from the left.
+
+        Stops at the first merge across `limit`, if that is the number of characters of a
+        part in front; its result is then not a list that begins with that part.
+        """
+        score, symbols = self.vocabulary.scores.get, list(text)
+        joined = [score(a + b, NO_SCORE) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while joined and (best := max(joined)) != NO_SCORE:
             at = joined.index(best)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            symbols[at] += symbols.pop(at + 1)
+            del joined[at]
+            if limit and (start := sum(map(len, symbols[:at]))) < limit < start + len(symbols[at]):
+                break
+            if at:
+                joined[at - 1] = score(symbols[at - 1] + symbols[at], NO_SCORE)
+            if at < len(joined):
+                joined[at] = score(symbols[at] + symbols[at + 1], NO_SCORE)
         return symbols
 
-    def is_whole(self, token: str) -> bool:
-        """Whether a token's own characters merge to it."""
-        found = self.whole.get(token)
-        if found is None:
-            found = self.whole[token] = self.merge(token) == [token]
-        return found
-
-    def stand_together(self, left: str, right: str) -> bool:
-        """Whether two neighbours stay as they are when merged anew."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merge(left + right) == [left, right]
-        return found
-
     def tokens(self, text: str) -> list[str]:
-        """The tokens of a text; characters outside the vocabulary stand alone."""
-        options = [[1] for _ in text]
-        for end, size in self.matches.iter(text):
-            if size > 1:
-                options[end + 1 - size].append(size)
+        """The tokens of a text that is not empty; characters outside the vocabulary stand alone."""
+        longest = [1] * len(text)
+        for end, size in self.matches.iter(text):  # of those that begin alike the longest comes last
+            longest[end + 1 - size] = size
         failed = bytearray(len(text) // 8 + 1)  # a bit for each position
-        found: list[str] = []
-        left = [len(o) for o in options]  # options still to be tried, the longest last
-        at = 0
+        found, at, last = [], 0, ""
+        whole, together, shorter = self.whole, self.together, self.shorter
+        token = text[: longest[0]]
         while at < len(text):
-            step = 0
-            while left[at]:
-                left[at] -= 1
-                size = options[at][left[at]]
-                token = text[at : at + size]
-                end = at + size
-                if not failed[end >> 3] >> (end & 7) & 1 and (size == 1 or self.is_whole(token)):
-                    if not found or self.stand_together(found[-1], token):
-                        step = size
-                        break
-            if step:
+            while token:
+                end = at + len(token)
+                if not failed[end >> 3] >> (end & 7) & 1 and whole[token] and (not last or together[last, token]):
+                    break
+                token = shorter[token]
+            if token:
                 found.append(token)
-                at += step
+                last, at = token, end
                 if at < len(text):
-                    left[at] = len(options[at])
+                    token = text[at : at + longest[at]]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(found.pop())
+                token = shorter[found.pop()]
+                at -= len(last)
+                last = found[-1] if found else ""
         return found
 
-    def ids(self, text: str) -> list[int]:
-        held = self.vocabulary
-        out: list[int] = []
-        for token in self.tokens(text):
+    def word_ids(self, word: str) -> bytes:
+        """The ids of a word and the visible space before it, as little-endian unsigned 32-bit integers."""
+        first, *rest = self.runs(SPACE + word)
+        if not rest:
+            return self.run_ids(first)
+        return b"".join([self.known[first[1:]], *map(self.inner.__getitem__, rest)])
+
+    def runs(self, text: str) -> list[str]:
+        """The text cut between characters that stand side by side in no piece."""
+        inside = self.vocabulary.neighbours
+        ends = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in inside]
+        return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)] if ends else [text]
+
+    def run_ids(self, run: str) -> bytes:
+        held, out = self.vocabulary, []
+        for token in self.tokens(run):
             if token in held.ids:
                 out.append(held.ids[token])
             else:
                 out.extend(held.bytes[b] for b in token.encode())
-        return out
+        return np.array(out, "<u4").tobytes()
 
-    def parts(self, text: str) -> list[str]:
-        """The text with visible spaces and one before it, cut where no token can cross."""
+    def words(self, text: str) -> list[str]:
+        """The text cut where no token can cross; a visible space goes before each part."""
         if not text:
             return []
         if not self.vocabulary.words_apart:
-            return [SPACE + text.replace(" ", SPACE)]
+            return [text.replace(" ", SPACE)]
         if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-            return self.words.findall(SPACE + text.replace(" ", SPACE))
-        return [SPACE + p for p in text.split(" ")]
+            return [p[1:] for p in self.spaced.findall(SPACE + text.replace(" ", SPACE))]
+        return text.split(" ")
 
     def encode(self, values: list[str]) -> list[bytes]:
         """Ids with begin and end, as little-endian unsigned 32-bit integers."""
-        held = [self.parts(text) for text in values]
-        if len(self.known) > self.max_cached:
-            self.known.clear()
-        for part in set().union(*held).difference(self.known):
-            self.known[part] = np.array(self.ids(part), "<u4").tobytes()
+        look_up = self.known.__getitem__
         begin, end = (np.array([i], "<u4").tobytes() for i in (self.vocabulary.begin, self.vocabulary.end))
-        return [begin + b"".join(map(self.known.__getitem__, parts)) + end for parts in held]
+        return [begin + b"".join(map(look_up, self.words(text))) + end for text in values]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the space put before a text goes, byte pieces become characters."""
+        return self.decode_all([np.array(ids, "<u4").tobytes()])[0]
+
+    def decode_all(self, encoded: list[bytes]) -> list[str]:
+        """The texts of ids as `encode` gives them."""
         held = self.vocabulary
-        text = b"".join(map(held.shown.__getitem__, ids)).decode("utf-8", "one_mark_per_byte")
-        first = next((i for i in ids if i not in held.controls), None)
-        return text[1:] if first in held.spaced else text
+        ids = np.frombuffer(b"".join(encoded), "<u4")
+        shown = held.shown.take(pa.array(ids))
+        data = shown.buffers()[2].to_pybytes() if shown.buffers()[2] else b""
+        places = np.r_[0, np.cumsum(pc.binary_length(shown).to_numpy(), dtype=np.int64)]
+        ends = np.cumsum([0, *map(len, encoded)]) // 4
+        found = []
+        for a, b in pairwise(ends.tolist()):
+            text = data[places[a] : places[b]].decode("utf-8", "one_mark_per_byte")
+            first = next((i for i in ids[a:b] if i not in held.controls), None)
+            found.append(text[1:] if first in held.spaced else text)
+        return found
 
 
 def coding(path: str, max_cached: int, whole: bool) -> Callable:
@@ -176,7 +219,7 @@ def coding(path: str, max_cached: int, whole: bool) -> Callable:
             for part in slices(batch, "text", SLICE_BYTES):
                 rows = part.column("text").to_pylist()
                 encoded = encoder.encode(rows)
-                decoded = [encoder.decode(np.frombuffer(e, "<u4").tolist()) for e in encoded]
+                decoded = encoder.decode_all(encoded)
                 columns = [part.column(n) for n in part.schema.names if n != "text"]
                 names = [n for n in part.schema.names if n != "text"]
                 if whole:

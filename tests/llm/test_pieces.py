@@ -67,3 +67,22 @@ def test_query(spark, sf):
         decoded = LIBRARY.decode(ids)
         digest = hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[row.doc_id] == (row.doc_id, len(ids), digest, hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_runs_are_searched_once(monkeypatch):
+    asked = []
+    tokens = Encoder.tokens
+    monkeypatch.setattr(Encoder, "tokens", lambda self, text: asked.append(text) or tokens(self, text))
+    text = "zebra, zebra. zebra\nzebra (zebra) zebra"
+    encoder = Encoder(PATH)
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == expected(text)
+    assert len(asked) == len(set(asked)) and asked.count("▁zebra") == 1
+    assert not any(c in t for t in asked for c in "\n" if len(t) > 1)
+
+
+def test_stores_are_bounded():
+    encoder = Encoder(PATH, max_cached=50)
+    for i in range(300):
+        text = f"w{i * 7919}x, q{i}r. {i}\n(zebra{i})"
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == expected(text)
+    assert max(map(len, (encoder.known, encoder.inner, encoder.together))) <= 50
