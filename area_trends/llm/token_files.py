@@ -27,6 +27,15 @@ ROWS_PER_INDEX = 1000
 SHOWN = {byte: char for char, byte in bpe.printable_bytes().items()}
 
 
+def latin(part: str) -> bool:
+    """Whether a part is letters of the Latin alphabets only, and so one pre-token."""
+    return part.isalpha() and (part.isascii() or max(part) < "\u0250")
+
+
+def unclosed(part: str) -> str:
+    return part[:-1] if part[-1:] in (",", ".") else part
+
+
 class Growing:
     """An integer array that grows at its end."""
 
@@ -57,8 +66,9 @@ class Encoder:
     """Token ids as the library gives them; parts met before are looked up.
 
     Up to about `max_cached` parts are kept, after which the store starts anew. A word
-    closed by a comma or a full stop is looked up without it. A space and a word of Latin letters
-    are one pre-token, which goes to the library's model directly.
+    closed by a comma or a full stop is looked up without it, and what stands around a line
+    end by itself. A word of Latin letters with the space before it, if there is one, is one
+    pre-token, which goes to the library's model directly.
     """
 
     def __init__(self, path: str, max_cached: int = MAX_CACHED):
@@ -82,53 +92,57 @@ class Encoder:
 
     def learn(self) -> None:
         """Finds the ids of newly numbered parts."""
-        numbers, alone, closed, words = self.numbers, [], [], []
+        numbers, alone, words, closed, lines = self.numbers, [], [], [], []
         first = self.starts.size
-        for part in numbers.new:  # grows by the words that closed ones are made of
+        for number, part in enumerate(numbers.new, first):  # grows by what parts are made of
             if isinstance(part, bytes):
-                alone.append(part)
-            elif part.isalpha() and (part.isascii() or max(part) < "\u0250"):
-                words.append(part)
-            elif part[-1:] in (",", ".") and (word := part[:-1]).isalpha() and (word.isascii() or max(word) < "\u0250"):
-                closed.append((numbers[part], numbers[word], numbers[part[-1].encode()]))
+                if latin(shown := part.decode()) and shown not in self.parts.special:
+                    words.append((number, shown))
+                else:
+                    alone.append((number, shown))
+            elif latin(part):
+                words.append((number, " " + part))
+            elif latin(word := unclosed(part)):
+                closed.append((number, numbers[word], numbers[part[-1].encode()]))
+            elif part.count("\n") == 1 and all(map(latin, (unclosed((halves := part.split("\n"))[0]), halves[1]))):
+                lines.append((number, numbers[halves[0]], numbers[b"\n"], numbers[halves[1].encode()]))
             else:
-                alone.append(part)
+                alone.append((number, " " + part))
         self.starts.extend([0] * len(numbers.new))
         self.sizes.extend([0] * len(numbers.new))
         for i in range(0, len(alone), 10_000):
             some = alone[i : i + 10_000]
-            written = [p.decode() if isinstance(p, bytes) else " " + p for p in some]
-            for part, found in zip(some, self.library.encode_batch_fast(written, add_special_tokens=False), strict=True):
-                self.put(numbers[part], found.ids)
+            found = self.library.encode_batch_fast([p for _, p in some], add_special_tokens=False)
+            self.put([n for n, _ in some], [f.ids for f in found])
         self.put_words(words)
-        self.put_closed(np.array(closed, np.int64).reshape(-1, 3))
+        self.put_joined(np.array(closed, np.int64).reshape(-1, 3))
+        self.put_joined(np.array(lines, np.int64).reshape(-1, 4))
         assert self.starts.size == len(numbers) == first + len(numbers.new)
         numbers.new = []
 
-    def put_words(self, words: list[str]) -> None:
-        """The ids of words that are one pre-token with the space before them."""
-        model, space = self.library.model, SHOWN[32]
-        shown = [space + (w if w.isascii() else w.encode().decode("latin-1").translate(SHOWN)) for w in words]
-        found = [[token.id for token in model.tokenize(w)] for w in shown]
-        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+    def put_words(self, words: list[tuple[int, str]]) -> None:
+        """The ids of words that are one pre-token with the space before them, if there is one."""
+        tokenize = self.library.model.tokenize
+        for i in range(0, len(words), 10_000):
+            some = words[i : i + 10_000]
+            shown = "\n".join(w for _, w in some).encode().decode("latin-1").translate(SHOWN).split(SHOWN[10])
+            self.put([n for n, _ in some], [[token.id for token in tokenize(w)] for w in shown])
+
+    def put(self, numbers: list[int], found: list[list[int]]) -> None:
         size = np.fromiter(map(len, found), np.int32, len(found))
-        self.sizes.held[number] = size
-        self.starts.held[number] = self.ids.size + np.cumsum(size) - size
+        self.sizes.held[numbers] = size
+        self.starts.held[numbers] = self.ids.size + np.cumsum(size) - size
         self.ids.extend(list(chain.from_iterable(found)))
 
-    def put(self, number: int, ids: list[int]) -> None:
-        self.starts.held[number], self.sizes.held[number] = self.ids.size, len(ids)
-        self.ids.extend(ids)
-
-    def put_closed(self, closed: np.ndarray) -> None:
-        """The ids of closed words (number, word, mark): those of the word, then those of the mark."""
-        both = closed[:, 1:].ravel()
-        sizes = self.sizes.held[both].astype(np.int64)
+    def put_joined(self, joined: np.ndarray) -> None:
+        """The ids of parts (number, others in order) that are made of others: theirs, one after another."""
+        others = joined[:, 1:].ravel()
+        sizes = self.sizes.held[others].astype(np.int64)
         ends = np.cumsum(sizes)
-        found = self.ids.held[np.repeat(self.starts.held[both] - (ends - sizes), sizes) + np.arange(sizes.sum())]
-        size = sizes.reshape(-1, 2).sum(axis=1)
-        self.sizes.held[closed[:, 0]] = size
-        self.starts.held[closed[:, 0]] = self.ids.size + np.cumsum(size) - size
+        found = self.ids.held[np.repeat(self.starts.held[others] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        size = sizes.reshape(-1, joined.shape[1] - 1).sum(axis=1)
+        self.sizes.held[joined[:, 0]] = size
+        self.starts.held[joined[:, 0]] = self.ids.size + np.cumsum(size) - size
         self.ids.extend(found)
 
     def encode(self, values: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:

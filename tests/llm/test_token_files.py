@@ -77,3 +77,20 @@ def test_words_that_go_to_the_model(spark):
     rows = [(i, f"{w} {w}  {w} {w}{w}\n{w}, {w}.") for i, w in enumerate(words)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, token_files.token_files(docs, PATH).collect())) == list(expected(rows))
+
+
+def test_line_ends_cut_parts(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    texts = [
+        "zebra", "zebra zebra.\nZebra zebra,\nélan zebra\nZebra. x", "zebra.\n", "\nzebra a\n\nb. c.\n d e \nf",
+        "a.\nit's a...\nb a-\nc a.\n漢 a.,\nb ª\nº <|endoftext|>zebra\nzebra", "", "\n", " \n", " a\nb",
+    ]
+    ids, sizes = encoder.encode(texts, 0)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w]
+    assert sizes.tolist() == [len(w) for w in want]
+    known = len(encoder.numbers)
+    encoder.encode(["x zebra.\nZebra zebra,\nZebra"], 0)
+    fresh = set(list(encoder.numbers)[known:])
+    assert fresh == {b"x", "zebra,\nZebra"}  # the lines are made of parts met before
