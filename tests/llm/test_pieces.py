@@ -4,9 +4,10 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from area_trends.llm import queries
-from area_trends.llm.pieces import Encoder, piece_digests, piece_ids
+from area_trends.llm.pieces import Encoder, coding, piece_digests, piece_ids
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
@@ -86,3 +87,11 @@ def test_stores_are_bounded():
         text = f"w{i * 7919}x, q{i}r. {i}\n(zebra{i})"
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == expected(text)
     assert max(map(len, (encoder.known, encoder.inner, encoder.together))) <= 50
+
+
+def test_a_task_codes_little_at_a_time():
+    rows = [(i, "zebra " * 50_000) for i in range(10)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])
+    parts = list(coding(PATH, 100, True)(iter([batch])))
+    assert max(sum(map(len, p.column("decoded").to_pylist())) for p in parts) <= 1_000_000
+    assert [(r["doc_id"], r["decoded"]) for p in parts for r in p.to_pylist()] == rows
