@@ -53,18 +53,20 @@ def with_segment_keys(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     """
     parts = threshold + 1
     cuts = [segment(F.col("length"), s, i, parts) for s in range(parts) for i in range(parts)]
-    places = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip("sit", p, strict=True)]) for p in probes(threshold)])
+    names = [(f"_start{n}", f"_size{n}") for n in range(len(cuts))]
 
-    def key(probe: Column) -> Column:
-        number = probe["s"] * parts + probe["i"]
-        place, size = F.get("_starts", number) + probe["t"], F.get("_sizes", number)
-        inside = (place >= 0) & (place + size <= F.col("length"))
-        part = F.substring("line", place + 1, size)
-        return F.when(inside, F.xxhash64(part, F.col("length") - probe["s"], probe["i"]))
+    def key(shorter: int, index: int, shift: int) -> Column:
+        start, size = (F.col(name) for name in names[shorter * parts + index])
+        inside = (start + shift >= 0) & (start + shift + size <= F.col("length"))
+        part = F.substring("line", start + (shift + 1), size)
+        return F.when(inside, F.xxhash64(part, F.col("length") - shorter, F.lit(index)))
 
-    found = lines.withColumn("_starts", F.array(*[start for start, _ in cuts]))
-    found = found.withColumn("_sizes", F.array(*[size for _, size in cuts]))
-    return found.withColumn("keys", F.array_compact(F.transform(places, key))).drop("_starts", "_sizes")
+    found = lines.withColumns({n: x for pair in zip(names, cuts, strict=True) for n, x in zip(*pair, strict=True)})
+    found = found.withColumn("keys", F.array(*[key(*probe) for probe in probes(threshold)]))
+    # in lines of two segments' sum and more, all substrings lie inside
+    whole = F.col("length") >= threshold + parts
+    found = found.withColumn("keys", F.when(whole, F.col("keys")).otherwise(F.array_compact("keys")))
+    return found.drop(*[n for pair in names for n in pair])
 
 
 def let(value: Column, use) -> Column:
@@ -72,12 +74,41 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def common_start(a: Column, b: Column) -> Column:
+    """How many characters two texts begin with alike (65,535 at most), by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(15, -1, -1)])
+    alike = lambda n, step: F.substring(a, n + 1, step) == F.substring(b, n + 1, step)
+    return F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(alike(n, step), step).otherwise(0))
+
+
+def reversed_rest(pair: Column, least: int) -> Column:
+    """A pair (a, b) without their common start, backwards; at least so many characters stay."""
+    a, b = pair["a"], pair["b"]
+    shorter = F.least(F.char_length(a), F.char_length(b))
+    rest = lambda text, n: F.reverse(F.substring(text, n + 1, F.char_length(text)))
+    return let(
+        F.greatest(F.least(common_start(a, b), shorter - least), F.lit(0)),
+        lambda n: F.struct(rest(a, n).alias("a"), rest(b, n).alias("b")),
+    )
+
+
 def edits_within(a: Column, b: Column, threshold: int = THRESHOLD) -> Column:
     """The edit distance of two texts if it is at most `threshold`, else a larger number.
 
+    What both begin and end with alike is cut off first, which leaves the distance as it is.
+    The lengths must not differ by more than the threshold and exceed it.
+    """
+    cut = lambda pair: reversed_rest(pair, threshold + 1)
+    banded = lambda pair: banded_edits(pair["a"], pair["b"], threshold)
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return let(both, lambda pair: let(cut(pair), lambda rest: let(cut(rest), banded)))
+
+
+def banded_edits(a: Column, b: Column, threshold: int) -> Column:
+    """As `edits_within`, of texts as they are.
+
     Works on the diagonal band of 2 * threshold + 1 cells as bits of one number: for each
-    character of the shorter text the whole band moves on by a few bit operations. The
-    lengths must not differ by more than the threshold and exceed it.
+    character of the shorter text the whole band moves on by a few bit operations.
     """
     a_longer = F.char_length(a) >= F.char_length(b)
     longer, shorter = F.when(a_longer, a).otherwise(b), F.when(a_longer, b).otherwise(a)
@@ -191,10 +222,8 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     keyed = with_segment_keys(lines, threshold).select("doc_id", "line_no", "node", "keys")
     keyed = materialise(keyed, "line_keys")
     exploded = keyed.select("node", F.explode("keys").alias("key"))
-    often = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    met = materialise(exploded.join(often, "key", "left_semi").distinct(), "met_lines")
-    low = met.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = materialise(met.join(low.select("key", "low"), "key"), "key_members")
+    low = exploded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    members = materialise(exploded.join(low.select("key", "low"), "key").distinct(), "key_members")
     wanted = materialise(members.select("node").distinct(), "wanted_lines")
     held = lookup_join(lines.select("node", "line"), wanted, "node", "left_semi").dropDuplicates(["node"])
     links = link_members(members, LineVerifier(held, threshold))

@@ -151,3 +151,18 @@ def test_many_removed_lines_of_one_text(spark):
         )
         found = some.select(ld.without_marked(F.col("lines"), F.col("marks")).alias("x")).first()["x"]
         assert found == [x for i, x in enumerate("abc") if i not in held]
+
+
+def test_alike_ends_are_not_compared_one_by_one(spark):
+    """Long lines that differ in the middle, in their ends, or by a repeated character."""
+    pairs = [("a" * n, "a" * m) for n in (3, 4, 9) for m in (3, 4, 5, 9) if abs(n - m) <= 2]
+    pairs += [("xyaaa", "aaaxy"), ("abcabc", "abcabcab"), ("éabab", "ababé"), ("aab", "baa"), ("abcdé", "abxcdé")]
+    found = spark.createDataFrame(pairs, "a string, b string").select("a", "b", ld.edits_within(F.col("a"), F.col("b")))
+    for a, b, d in found.collect():
+        assert min(d, 3) == min(distance(a, b), 3)
+    line = F.concat(F.repeat(F.lit("lorem ipsum é "), 600), F.col("id").cast("string"), F.repeat(F.lit(" dolor sit"), 600))
+    other = F.replace(line, F.col("id").cast("string"), F.concat(F.col("id").cast("string"), F.lit("x")))
+    long = spark.range(1000, 1400).select(line.alias("a"), other.alias("b"))
+    start = time.monotonic()
+    assert {r[0] for r in long.select(ld.edits_within(F.col("a"), F.col("b"))).collect()} == {1}
+    assert time.monotonic() - start < 15
