@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
-from itertools import chain
+from collections.abc import Callable, Iterable
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +20,23 @@ from area_trends.llm.common import slices, texts, worker_cache
 from area_trends.sources.tables import materialise, scratch_folder
 
 MAX_CACHED = 1_000_000
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 3_000_000
 STRIPE_BYTES = 16 * 1024 * 1024
 ROWS_PER_INDEX = 1000
 #: bytes as the characters that stand for them in the vocabulary
 SHOWN = {byte: char for char, byte in bpe.printable_bytes().items()}
 
 
-def latin(part: str) -> bool:
-    """Whether a part is letters of the Latin alphabets only, and so one pre-token."""
-    return part.isalpha() and (part.isascii() or max(part) < "\u0250")
+#: letters of the Latin alphabets: a run of them is one pre-token
+LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: a word, a word closed by a comma or a full stop, and two words around a line end
+WORD, CLOSED, LINES = f"^[{LATIN}]+$", f"^[{LATIN}]+[,.]$", f"^[{LATIN}]+[,.]?\n[{LATIN}]+$"
 
 
-def unclosed(part: str) -> str:
-    return part[:-1] if part[-1:] in (",", ".") else part
+def matching(parts: list[str], pattern: str) -> tuple[list[str], list[str]]:
+    """The parts that a pattern matches, and the others."""
+    hit = pa.compute.match_substring_regex(pa.array(parts, pa.large_string()), pattern).to_numpy(zero_copy_only=False)
+    return list(compress(parts, hit)), list(compress(parts, ~hit))
 
 
 class Growing:
@@ -49,19 +52,6 @@ class Growing:
         self.size += len(values)
 
 
-class Numbers(dict):
-    """Numbers parts as they are met: a string is a word after a space, bytes stand alone."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str | bytes] = []
-
-    def __missing__(self, part: str | bytes) -> int:
-        self.new.append(part)
-        self[part] = number = len(self)
-        return number
-
-
 class Encoder:
     """Token ids as the library gives them; parts met before are looked up.
 
@@ -79,82 +69,116 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers = Numbers()
+        self.numbers: dict[str | bytes, int] = {}
         self.ids, self.starts, self.sizes = Growing(), Growing(), Growing()
 
-    def keys(self, text: str) -> list[str | bytes]:
-        odd = self.spaces.search(text) and self.parts.odd_space.search(text)
-        if odd or self.parts.cut.search(text):
-            return [p.encode() for p in self.parts.of(text)]
-        found = text.split(" ")
-        found[0] = found[0].encode()
-        return found
-
-    def learn(self) -> None:
-        """Finds the ids of newly numbered parts."""
-        numbers, alone, words, closed, lines = self.numbers, [], [], [], []
-        first = self.starts.size
-        for number, part in enumerate(numbers.new, first):  # grows by what parts are made of
-            if isinstance(part, bytes):
-                if latin(shown := part.decode()) and shown not in self.parts.special:
-                    words.append((number, shown))
-                else:
-                    alone.append((number, shown))
-            elif latin(part):
-                words.append((number, " " + part))
-            elif latin(word := unclosed(part)):
-                closed.append((number, numbers[word], numbers[part[-1].encode()]))
-            elif part.count("\n") == 1 and all(map(latin, (unclosed((halves := part.split("\n"))[0]), halves[1]))):
-                lines.append((number, numbers[halves[0]], numbers[b"\n"], numbers[halves[1].encode()]))
+    def split(self, values: list[str]) -> tuple[list[list[bytes]], pa.Array]:
+        """Of each text the parts that stand alone, and the list of words after a space that follow them."""
+        alone, rest = [], []
+        for text in values:
+            odd = self.spaces.search(text) and self.parts.odd_space.search(text)
+            if odd or self.parts.cut.search(text):
+                alone.append([p.encode() for p in self.parts.of(text)])
+                rest.append(None)
             else:
-                alone.append((number, " " + part))
-        self.starts.extend([0] * len(numbers.new))
-        self.sizes.extend([0] * len(numbers.new))
-        for i in range(0, len(alone), 10_000):
-            some = alone[i : i + 10_000]
-            found = self.library.encode_batch_fast([p for _, p in some], add_special_tokens=False)
-            self.put([n for n, _ in some], [f.ids for f in found])
-        self.put_words(words)
-        self.put_joined(np.array(closed, np.int64).reshape(-1, 3))
-        self.put_joined(np.array(lines, np.int64).reshape(-1, 4))
-        assert self.starts.size == len(numbers) == first + len(numbers.new)
-        numbers.new = []
-
-    def put_words(self, words: list[tuple[int, str]]) -> None:
+                first, space, after = text.partition(" ")
+                alone.append([first.encode()])
+                rest.append(after if space else None)
+        return alone, pa.compute.split_pattern(pa.array(rest, pa.large_string()), " ")
+
+    def add(self, parts: list[str | bytes]) -> tuple[np.ndarray, list[str | bytes]]:
+        """The numbers of distinct parts, and those parts among them that had none before."""
+        number = np.fromiter(map(self.numbers.get, parts, repeat(-1)), np.int32, len(parts))
+        at = np.flatnonzero(number < 0)
+        new = list(map(parts.__getitem__, at.tolist()))
+        number[at] = np.arange(len(self.numbers), len(self.numbers) + len(new))
+        self.numbers.update(zip(new, number[at].tolist(), strict=True))
+        self.starts.extend(np.zeros(len(new), np.int32))
+        self.sizes.extend(np.zeros(len(new), np.int32))
+        return number, new
+
+    def added(self, parts: Iterable[str | bytes]) -> list[str | bytes]:
+        """The different parts that had no number before; they have one now."""
+        return self.add(list(dict.fromkeys(parts)))[1]
+
+    def number(self, parts: list[str | bytes]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, parts), np.int32, len(parts))
+
+    def learn(self, alone: Iterable[bytes], words: list[str]) -> np.ndarray:
+        """Numbers parts and finds the ids of the new ones; a string is a word after a space, bytes stand alone.
+
+        Returns the numbers of the words, which are distinct.
+        """
+        number_of_words, new = self.add(words)
+        latin, rest = matching(new, WORD)
+        closed, rest = matching(rest, CLOSED)
+        lines, rest = matching(rest, LINES)
+        latin += self.added([c[:-1] for c in closed])
+        halves = [line.split("\n") for line in lines]
+        joined = matching(self.added([a for a, _ in halves]), CLOSED)
+        latin += joined[1] + self.added([c[:-1] for c in joined[0]])
+        closed += joined[0]
+        ends = [c[-1].encode() for c in closed]
+        single = self.added(chain(alone, ends, [b"\n"] if lines else [], [b.encode() for _, b in halves]))
+        plain, other = matching([p.decode() for p in single], WORD)
+        plain, special = [p for p in plain if p not in self.parts.special], [p for p in plain if p in self.parts.special]
+        self.put_words(self.number(latin), [" " + w for w in latin])
+        self.put_words(self.number([p.encode() for p in plain]), plain)
+        other += special
+        number = np.r_[self.number([p.encode() for p in other]), self.number(rest)]
+        other += [" " + p for p in rest]
+        for i in range(0, len(other), 10_000):
+            found = self.library.encode_batch_fast(other[i : i + 10_000], add_special_tokens=False)
+            self.put(number[i : i + 10_000], [f.ids for f in found])
+        self.put_joined(self.number(closed), [self.number([c[:-1] for c in closed]), self.number(ends)])
+        if lines:
+            end = np.full(len(lines), self.numbers[b"\n"], np.int32)
+            before, after = (self.number(list(x)) for x in ([a for a, _ in halves], [b.encode() for _, b in halves]))
+            self.put_joined(self.number(lines), [before, end, after])
+        assert self.starts.size == self.sizes.size == len(self.numbers)
+        return number_of_words
+
+    def put_words(self, numbers: np.ndarray, words: list[str]) -> None:
         """The ids of words that are one pre-token with the space before them, if there is one."""
         tokenize = self.library.model.tokenize
         for i in range(0, len(words), 10_000):
-            some = words[i : i + 10_000]
-            shown = "\n".join(w for _, w in some).encode().decode("latin-1").translate(SHOWN).split(SHOWN[10])
-            self.put([n for n, _ in some], [[token.id for token in tokenize(w)] for w in shown])
+            shown = "\n".join(words[i : i + 10_000]).encode().decode("latin-1").translate(SHOWN).split(SHOWN[10])
+            self.put(numbers[i : i + 10_000], [[token.id for token in tokenize(w)] for w in shown])
 
-    def put(self, numbers: list[int], found: list[list[int]]) -> None:
+    def put(self, numbers: np.ndarray, found: list[list[int]]) -> None:
         size = np.fromiter(map(len, found), np.int32, len(found))
         self.sizes.held[numbers] = size
         self.starts.held[numbers] = self.ids.size + np.cumsum(size) - size
         self.ids.extend(list(chain.from_iterable(found)))
 
-    def put_joined(self, joined: np.ndarray) -> None:
-        """The ids of parts (number, others in order) that are made of others: theirs, one after another."""
-        others = joined[:, 1:].ravel()
+    def put_joined(self, numbers: np.ndarray, parts: list[np.ndarray]) -> None:
+        """The ids of parts that are made of others: theirs, one after another."""
+        others = np.column_stack(parts).ravel()
         sizes = self.sizes.held[others].astype(np.int64)
         ends = np.cumsum(sizes)
         found = self.ids.held[np.repeat(self.starts.held[others] - (ends - sizes), sizes) + np.arange(sizes.sum())]
-        size = sizes.reshape(-1, joined.shape[1] - 1).sum(axis=1)
-        self.sizes.held[joined[:, 0]] = size
-        self.starts.held[joined[:, 0]] = self.ids.size + np.cumsum(size) - size
+        size = sizes.reshape(-1, len(parts)).sum(axis=1)
+        self.sizes.held[numbers] = size
+        self.starts.held[numbers] = self.ids.size + np.cumsum(size) - size
         self.ids.extend(found)
 
     def encode(self, values: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by `end_id`, and how many each text has."""
         if len(self.numbers) > self.max_cached:
             self.clear()
-        split = [self.keys(text) for text in values]
-        look_up = self.numbers.__getitem__
-        found = [np.fromiter(map(look_up, keys), np.int32, len(keys)) for keys in split]
-        self.learn()
-        ends = np.cumsum([len(f) + 1 for f in found]) - 1
-        parts = np.concatenate([x for f in found for x in (f, np.zeros(1, np.int32))])
+        alone, after = self.split(values)
+        words = after.flatten().dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = self.learn(chain.from_iterable(alone), known)
+        n_alone = np.fromiter(map(len, alone), np.int64, len(alone))
+        n_words = pa.compute.fill_null(pa.compute.list_value_length(after), 0).to_numpy().astype(np.int64)
+        ends = np.cumsum(n_alone + n_words + 1) - 1
+        parts = np.empty(int((n_alone + n_words + 1).sum()), np.int32)
+        is_word = np.repeat(np.tile([False, True, False], len(values)), np.c_[n_alone, n_words, np.ones_like(n_alone)].ravel())
+        parts[is_word] = number[words.indices.to_numpy()]
+        is_word[ends] = True
+        parts[~is_word] = self.number(list(chain.from_iterable(alone)))
+        parts[ends] = 0
         sizes = self.sizes.held[parts].astype(np.int64)
         sizes[ends] = 1
         before = np.cumsum(sizes) - sizes

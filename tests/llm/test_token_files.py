@@ -94,3 +94,20 @@ def test_line_ends_cut_parts(monkeypatch):
     encoder.encode(["x zebra.\nZebra zebra,\nZebra"], 0)
     fresh = set(list(encoder.numbers)[known:])
     assert fresh == {b"x", "zebra,\nZebra"}  # the lines are made of parts met before
+
+
+def test_repeated_words_are_looked_up_once(monkeypatch):
+    """Texts that share their words cost a look-up for each different word of a slice."""
+    rng = np.random.default_rng(5)
+    words = ["a", "the", "été", "end.", "end,", "line\nnext", "stop.\nnext", "x1", "", "漢字", "(odd)", "don't", "\t", "'s"]
+    values = [" ".join(rng.choice(words, n)) for n in rng.integers(0, 40, 300)]
+    values += ["", " ", "  ", "a", " a", "a ", "\n", "a  b", "a \t b", "<|endoftext|> a", "a <|endoftext|>b", "<|endoftext|>", "é\nb", "a.\nb c"]
+    encoder, seen = token_files.Encoder(PATH), []
+    learn = token_files.Encoder.learn
+    monkeypatch.setattr(token_files.Encoder, "learn", lambda self, alone, some: seen.append(len(some)) or learn(self, alone, some))
+    for some in (values, values[::-1], values[-1:], []):
+        if some:
+            ids, sizes = encoder.encode(some, 0)
+            expected = [[*LIBRARY.encode(v, add_special_tokens=False).ids, 0] for v in some]
+            assert ids.tolist() == [n for x in expected for n in x] and sizes.tolist() == list(map(len, expected))
+    assert seen[0] < 60
