@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 from collections.abc import Callable, Iterator
@@ -29,11 +30,16 @@ def worker_cache(name: str, make: Callable, version: str = ""):
     """A value that lives as long as the Python worker, so later tasks in it can reuse it.
 
     Only the latest version of a name is held, and only names of one operator (their first
-    word), so the stages of a pipeline do not add up in a worker.
+    word), so the stages of a pipeline do not add up in a worker. The memory of dropped values goes
+    back to the system.
     """
     held = sys.modules.setdefault("corpus_worker_cache", SimpleNamespace(values={})).values
-    for other in [k for k in held if k.split()[0] != name.split()[0]]:
-        del held[other]
+    if others := [k for k in held if k.split()[0] != name.split()[0]]:
+        for other in others:
+            del held[other]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        pa.system_memory_pool().release_unused()  # what numpy and the interpreter have freed
     if name not in held or held[name][0] != version:
         held.pop(name, None)
         held[name] = (version, make())

@@ -17,7 +17,7 @@ from area_trends.llm.common import forget_caches, slices, texts
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 500_000
 MAX_LABELS = 1000
 #: most labelled rows of one language that training reads
 ROWS_PER_LABEL = 500

@@ -1,8 +1,11 @@
 """Language identification: held-out accuracy, rejection and edge cases."""
 
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from area_trends.llm import language_id as li
 from area_trends.llm import queries
 
@@ -90,3 +93,18 @@ def test_limits_come_from_all_learned_rows(spark):
         assert model.least_familiar[k] <= familiar[here].min() - li.MARGIN + 1e-9
         assert model.least_score[k] <= 0.5
     assert 2.0**-10 < model.temperature < 2.0**6.75
+
+
+def test_memory_of_prediction():
+    """A batch is worked on in small slices, so a worker holds little beside its texts."""
+    width = li.BUCKETS + 1
+    model = li.Model(
+        list("abcd"), np.zeros((width, 4), np.float32), np.zeros(4), 1.0, np.zeros(width), np.zeros(4), np.zeros(4)
+    )
+    values = pa.array(["some words of one text " * 200] * 2000)
+    batch = pa.RecordBatch.from_arrays([values], ["text"])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in li.predicting(SimpleNamespace(value=model), li.LETTER, False)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 2000 and peak < 60_000_000
