@@ -117,13 +117,20 @@ def marking(held) -> Callable:
     return run
 
 
-def find_phrases(rows: DataFrame, windows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_phrases(
+    rows: DataFrame,
+    windows: DataFrame,
+    block_bytes: int = BLOCK_BYTES,
+    then: Callable | None = None,
+    then_schema: str = "",
+) -> DataFrame:
     """Adds n_words, phrases (ids found) and hits (runs of words in an occurrence) to rows.
 
     `rows` holds text without null, and none of these names. The phrases are searched in
     blocks of about `block_bytes`, dealt by their hash; each block is broadcast and the
     texts are gone through once per block. What a task holds is an index of
-    `SHARD_BYTES` of text, or of one longer text.
+    `SHARD_BYTES` of text, or of one longer text. `then` maps the batches of the last block
+    on, to `then_schema`, in the same Python worker, so a task needs one.
     """
     distinct = materialise(windows.select("phrase_id", "phrase").distinct(), "phrases")
     total = distinct.agg(F.sum(F.octet_length("phrase") + 64)).first()[0] or 0
@@ -139,12 +146,19 @@ def find_phrases(rows: DataFrame, windows: DataFrame, block_bytes: int = BLOCK_B
     for block in range(blocks):
         chosen = distinct.where(F.pmod("phrase_id", F.lit(blocks)) == block).collect()
         held = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in chosen])
-        found = found.mapInArrow(marking(held), schema)
         if block + 1 < blocks:
-            found = materialise(found, "phrase_hits")
+            found = materialise(found.mapInArrow(marking(held), schema), "phrase_hits")
+        elif then is None:
+            found = found.mapInArrow(marking(held), schema)
+        else:
+            found = found.mapInArrow(followed(marking(held), then), then_schema)
     return found
 
 
+def followed(first: Callable, then: Callable) -> Callable:
+    return lambda batches: then(first(batches))
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -192,7 +206,7 @@ def cut_spans(batches):
                     at = words[span["last"]][1]
                 text = "".join([*kept, text[at:]])
             values.append(text)
-        names = [n for n in batch.schema.names if n not in ("_text", "hits")]
+        names = [n for n in batch.schema.names if n not in ("_text", "hits", "text", "n_words", "phrases")]
         columns = [batch.column(n) for n in names] + [pa.array(values, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, [*names, "_text"])
 
@@ -207,10 +221,9 @@ def remove_contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW)
     held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     text = f"c{docs.columns.index('text')}"
     rows = held.withColumns({"text": F.coalesce(text, F.lit("")), "_text": F.col(text)}).drop(text)
-    found = find_phrases(rows, item_windows(items, size)).drop("text", "n_words", "phrases")
-    names = [f for f in found.schema if f.name not in ("_text", "hits")]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names)
-    cut = found.mapInArrow(cut_spans, ", ".join([*[s for s in [schema] if s], "_text string"]))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_text", "text")]
+    schema = ", ".join([*kinds, "_text string"])
+    cut = find_phrases(rows, item_windows(items, size), then=cut_spans, then_schema=schema)
     out = []
     for i, name in enumerate(docs.columns):
         value = F.col("_text") if name == "text" else F.col(f"c{i}")

@@ -12,12 +12,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from area_trends.llm.common import numbered, place_of, restored, slices, texts, worker_cache
+from area_trends.llm.common import forget_caches, numbered, place_of, restored, slices, texts, worker_cache
 from area_trends.llm.graph import Verifier, components, link_members
 from area_trends.operators.joins import lookup_join
 from area_trends.sources.tables import materialise
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+#: rows of keys that are filtered at once
+SLICE_ROWS = 500
 MAX_CACHED = 150_000
 #: bits of the filter that tells scanning tasks which documents to take sets from
 FILTER_BITS = 1 << 23
@@ -241,14 +243,17 @@ def keeping_keys(held) -> Callable:
     """Rows (node, key) of the keys that a filter lets pass."""
 
     def run(batches):
+        forget_caches("key_filter")
         for batch in batches:
-            lists = batch.column("keys")
-            keys = lists.flatten().to_numpy()
-            sizes = np.diff(lists.offsets.to_numpy())
-            kept = np.flatnonzero(marked(held.value, keys & (KEY_FILTER_BITS - 1)))
-            owner = np.repeat(np.arange(batch.num_rows), sizes)[kept]
-            columns = [batch.column("node").take(pa.array(owner)), pa.array(keys[kept])]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "key"])
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                lists = part.column("keys")
+                keys = lists.flatten().to_numpy()
+                sizes = np.diff(lists.offsets.to_numpy())
+                kept = np.flatnonzero(marked(held.value, keys & (KEY_FILTER_BITS - 1)))
+                owner = np.repeat(np.arange(part.num_rows), sizes)[kept]
+                columns = [part.column("node").take(pa.array(owner)), pa.array(keys[kept])]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "key"])
 
     return run
 

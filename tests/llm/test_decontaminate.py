@@ -89,3 +89,12 @@ def test_removal(spark):
         (1, "Zero  five", "k", 10), (2, None, "k", 3), (3, "", "k", 0), (4, "one two threefour", "k", 17),
         (5, "", "k", 0), (None, "é ", "k", 2),
     }
+
+
+def test_one_worker_for_each_task(spark):
+    """Marking and cutting are one Python step: two in a task would be two workers, each with its memory."""
+    docs = spark.createDataFrame([(1, "a b c", 5), (2, None, 0)], "doc_id long, text string, n_chars long")
+    items = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    cut = dc.remove_contamination(docs, items)
+    assert cut._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [tuple(r) for r in cut.orderBy("doc_id").collect()] == [(1, "a  c", 4), (2, None, 0)]

@@ -1,8 +1,11 @@
 """The Jaccard join against all pairs, and its bounds."""
 
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from area_trends.llm import jaccard_join as jj
 from area_trends.llm import queries
@@ -143,3 +146,16 @@ def test_rows(spark):
     assert sorted(kept, key=str) == sorted([(9, "p q r"), (9, "s t"), (None, "u v"), (None, ""), (None, "")], key=str)
     assert jj.keep_one_of_each(docs.limit(0)).count() == 0
     assert jj.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_memory_of_key_filter():
+    """Keys are filtered a few rows at a time, whatever a batch holds."""
+    n = 3000
+    keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 300, pa.int32()), pa.array(np.arange(n * 300)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), keys], ["node", "keys"])
+    held = SimpleNamespace(value=b"\xff" * (jj.KEY_FILTER_BITS // 8))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in jj.keeping_keys(held)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n * 300 and peak < 10_000_000
