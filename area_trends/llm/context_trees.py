@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from area_trends.sources.tables import materialise
@@ -14,151 +16,225 @@ from area_trends.sources.tables import materialise
 DEPTH = 5
 EDGE = 255  # never occurs in UTF-8: stands before and after each text
 HALF = math.log(0.5)
-MAX_NODES = 2_500_000  # of one block
-#: slots of the table by which learned windows are found
+#: the nodes of contexts of so many bytes and more are made in tasks, by the last of these bytes
+CUT = 3
+#: windows that a task weighs at once; more, where that many end in the same CUT context bytes
+WEIGHED = 400_000
+#: slots of the table by which frequent windows are found
 SLOT_BITS = 22
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """log of the gamma function for x >= 1/2: Stirling's series after eight steps up."""
-    up, product = x + 8, F.lit(1.0)
+    up, product = x + 8, 1.0
     for k in range(8):
         product = product * (x + k)
-    series = (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi)
-    series = series + 1 / (12 * up) - 1 / (360 * up * up * up) + 1 / (1260 * up * up * up * up * up)
-    return series - F.log(product)
+    series = (up - 0.5) * np.log(up) - up + 0.5 * math.log(2 * math.pi)
+    series = series + 1 / (12 * up) - 1 / (360 * up**3) + 1 / (1260 * up**5)
+    return series - np.log(product)
 
 
-def log_kt(zeros: Column, ones: Column) -> Column:
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov block probability of so many zeros and ones."""
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def log_sum(a: Column, b: Column) -> Column:
-    """log(exp(a) + exp(b))"""
-    return F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
+def shortened(keys, length: int):
+    """The keys of the nodes (numbers or a column) whose contexts are the last `length` bytes."""
+    whole = ((1 << (8 * length)) - 1) << 8 | 255
+    return keys & whole if isinstance(keys, np.ndarray) else keys.bitwiseAND(whole)
 
 
-def weigh(windows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The weighted context trees of byte windows (window, n): depth, context, key, share, odds.
+@dataclass
+class Nodes:
+    """Tree nodes with contexts of one length, in key order; a key is the context, then the decision.
 
-    A window is `depth` context bytes and the byte after them, as one number. Each byte
-    is eight binary decisions; `bit` (1 to 255) names a decision by the bits before it,
-    and each has a tree whose nodes are contexts of 0 to `depth` bytes. `odds` is the
-    logarithm of the odds of a one by the node's own counts, and `share` the weight of the node's own estimate
-    against what the longer contexts say, after all counts were seen. `key` is `node_key`.
+    A byte is eight binary decisions; one is named by the bits before it after a leading one bit (1 to
+    255), and each has a tree whose nodes are contexts. `weighted` is the log of the
+    weighted probability of the node's decisions, `share` the weight of its own estimate against what
+    the longer contexts say. A node without counts says one half and leaves the others as they are.
     """
-    byte, context = F.col("window").bitwiseAND(255), F.shiftright("window", 8)
-    steps = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step")
-    split = windows.select(context.alias("context"), byte.alias("byte"), "n", steps)
-    bit = F.expr("cast(shiftleft(1, step) | shiftright(byte, 8 - step) as int)")
-    one = F.expr("shiftright(byte, 7 - step) & 1")
-    nodes = (
-        split.select("context", bit.alias("bit"), F.when(one == 1, F.col("n")).otherwise(0).alias("ones"), "n")
-        .groupBy("context", "bit")
-        .agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
-        .withColumn("weighted", log_kt(F.col("n") - F.col("ones"), F.col("ones")))
-        .withColumn("share", F.lit(1.0))
-    )
-    found = None
-    for level in range(depth, -1, -1):
-        if level < depth:
-            nodes = (
-                nodes.groupBy(F.col("context").bitwiseAND((1 << (8 * level)) - 1).alias("context"), "bit")
-                .agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
-                .withColumn("own", HALF + log_kt(F.col("n") - F.col("ones"), F.col("ones")))
-                .withColumn("weighted", log_sum(F.col("own"), HALF + F.col("below")))
-                .withColumn("share", F.exp(F.col("own") - F.col("weighted")))
-            )
-        nodes = materialise(nodes.select("context", "bit", "n", "ones", "weighted", "share"), "context_nodes")
-        odds = F.log((F.col("ones") + 0.5) / (F.col("n") - F.col("ones") + 0.5))
-        marked = F.shiftleft(F.col("context").bitwiseOR(F.lit(1 << (8 * level))), 8)
-        rows = nodes.select(
-            F.lit(level).alias("depth"),
-            "context",
-            marked.bitwiseOR(F.col("bit").cast("long")).alias("key"),
-            F.col("share").cast("float").alias("share"),
-            odds.cast("float").alias("odds"),
-        )
-        found = rows if found is None else found.union(rows)
-    return found
-
-
-def node_key(depth: np.ndarray | int, context: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """One number for a node: the context, a one bit that marks its length, the decision."""
-    mark = np.uint64(1) << (np.uint64(8) * np.asarray(depth).astype(np.uint64))
-    return ((context.astype(np.uint64) | mark) << np.uint64(8)) | bit.astype(np.uint64)
+
+    keys: np.ndarray
+    n: np.ndarray
+    ones: np.ndarray
+    weighted: np.ndarray
+    share: np.ndarray
+
+    @classmethod
+    def longest(cls, keys: np.ndarray, n: np.ndarray, ones: np.ndarray) -> Nodes:
+        return cls(keys, n, ones, log_kt(n - ones, ones), np.ones(len(keys), np.float32))
+
+    @classmethod
+    def inner(cls, keys: np.ndarray, n: np.ndarray, ones: np.ndarray, below: np.ndarray) -> Nodes:
+        """Nodes of which `below` is the sum of `weighted` over the contexts one byte longer."""
+        own = HALF + log_kt(n - ones, ones)
+        weighted = np.logaddexp(own, HALF + below)
+        return cls(keys, n, ones, weighted, np.exp(own - weighted).astype(np.float32))
+
+    def parents(self, length: int) -> tuple[Nodes, np.ndarray]:
+        """The nodes of contexts of `length` bytes, one less than here, and where each node's is."""
+        keys, place = np.unique(shortened(self.keys, length), return_inverse=True)
+        sums = (np.bincount(place, x, len(keys)) for x in (self.n, self.ones, self.weighted))
+        return Nodes.inner(keys, *sums), place
+
+    def chances(self, chance: np.ndarray | float, stay: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        """The chance of a one by these and all shorter contexts, and the weight left to longer ones.
+
+        Both are given as the shorter contexts of each node leave them.
+        """
+        odds = np.log((self.ones + 0.5) / (self.n - self.ones + 0.5)).astype(np.float32)
+        share = self.share.astype(np.float64)
+        return chance + stay * share / (1 + np.exp(-odds.astype(np.float64))), stay * (1 - share)
+
+
+@dataclass
+class Decisions:
+    """One of the eight decisions of windows: the nodes of CUT to DEPTH bytes, longest first.
+
+    `place` holds where the nodes of each length but the shortest have their parents, `leaf` the
+    node of each window, and `one` what it decided.
+    """
+
+    levels: list[Nodes]
+    place: list[np.ndarray]
+    leaf: np.ndarray
+    one: np.ndarray
+
+    @classmethod
+    def of(cls, windows: np.ndarray, n: np.ndarray, step: int) -> Decisions:
+        byte = windows & 255
+        one = ((byte >> (7 - step)) & 1).astype(bool)
+        keys, leaf = np.unique((windows & ~255) | (1 << step) | (byte >> (8 - step)), return_inverse=True)
+        ones = np.bincount(leaf, np.where(one, n, 0), len(keys))
+        levels, place = [Nodes.longest(keys, np.bincount(leaf, n, len(keys)), ones)], []
+        for length in range(DEPTH - 1, CUT - 1, -1):
+            nodes, at = levels[-1].parents(length)
+            levels.append(nodes)
+            place.append(at)
+        return cls(levels, place, leaf, one)
+
+    def log10(self, roots: Roots) -> np.ndarray:
+        """log10 of the probability of what each window decided."""
+        chance, stay = roots.of(self.levels[-1].keys)
+        chance, stay = self.levels[-1].chances(chance, stay)
+        for nodes, at in zip(self.levels[-2::-1], self.place[::-1], strict=True):
+            chance, stay = nodes.chances(chance[at], stay[at])
+        chance = chance[self.leaf]
+        return np.log10(np.where(self.one, chance, 1 - chance))
 
 
 @dataclass
-class Trees:
-    """A block of nodes in key order, and the range of last two context bytes it answers for."""
+class Roots:
+    """What the contexts of less than CUT bytes say: `Nodes.chances` by the keys of the longest."""
 
     keys: np.ndarray
-    share: np.ndarray
-    odds: np.ndarray
-    low: int = 0
-    high: int = 0xFFFF
-    depth: int = DEPTH
-
-    def log10(self, windows: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each window's last byte after the bytes before it."""
-        context, byte = windows >> np.uint64(8), (windows & np.uint64(255)).astype(np.int64)
-        total = np.zeros(len(windows))
+    chance: np.ndarray
+    stay: np.ndarray
+
+    @classmethod
+    def weigh(cls, nodes: Nodes) -> Roots:
+        """From the nodes of CUT - 1 bytes."""
+        levels, place = [nodes], []
+        for length in range(CUT - 2, -1, -1):
+            shorter, at = levels[-1].parents(length)
+            levels.append(shorter)
+            place.append(at)
+        chance, stay = levels[-1].chances(0.0, 1.0)
+        for longer, at in zip(levels[-2::-1], place[::-1], strict=True):
+            chance, stay = longer.chances(chance[at], stay[at])
+        return cls(nodes.keys, chance, stay)
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, shortened(keys, CUT - 1))
+        return self.chance[at], self.stay[at]
+
+
+def whole_groups(batches) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns (suffix, window, n, ...) of sorted batches, cut where the suffix changes."""
+    held, rows, enough = [], 0, WEIGHED
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        rows += batch.num_rows
+        if rows < enough:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        if cut:
+            yield tuple(c[:cut] for c in columns)
+        held, rows = [[c[cut:].copy() for c in columns]], rows - cut
+        enough = max(WEIGHED, 2 * rows)
+    if rows:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def upper_nodes(batches):
+    """Rows (key, n, ones, weighted): the nodes of CUT bytes of each group of windows."""
+    for _, windows, n, _ in whole_groups(batches):
         for step in range(8):
-            bit = (1 << step) | (byte >> (8 - step))
-            one = (byte >> (7 - step)) & 1
-            chance, stay = np.zeros(len(windows)), np.ones(len(windows))
-            open_ = np.arange(len(windows))
-            for level in range(self.depth + 1):
-                mask = np.uint64((1 << (8 * level)) - 1)
-                key = node_key(level, context[open_] & mask, bit[open_])
-                at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-                known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
-                unseen = open_[~known]
-                chance[unseen] += stay[unseen] * 0.5
-                open_, at = open_[known], at[known]
-                estimate = 1 / (1 + np.exp(np.where(one[open_] == 1, -1.0, 1.0) * self.odds[at]))
-                chance[open_] += stay[open_] * self.share[at] * estimate
-                stay[open_] *= 1 - self.share[at].astype(np.float64)
-            total += np.log10(chance)
-        return total
+            top = Decisions.of(windows, n, step).levels[-1]
+            columns = [pa.array(c) for c in (top.keys, top.n, top.ones, top.weighted)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "ones", "weighted"])
+
+
+def window_logs(roots) -> Callable:
+    """Rows (window, everywhere, log): the windows with log10 of the probability of their last byte."""
+
+    def run(batches):
+        for _, windows, n, everywhere in whole_groups(batches):
+            logs = sum(Decisions.of(windows, n, step).log10(roots.value) for step in range(8))
+            columns = [pa.array(c) for c in (windows, everywhere, logs)]
+            yield pa.RecordBatch.from_arrays(columns, ["window", "everywhere", "log"])
+
+    return run
+
+
+def weigh(windows: DataFrame) -> DataFrame:
+    """window, everywhere and log of byte windows (window, n, everywhere), which differ.
+
+    A window is DEPTH context bytes and the byte after them, as one number. The trees hold
+    n of each (0: not learned from); `log` is log10 of the probability of the last byte after the
+    others. Windows are dealt out by the last CUT context bytes, so the nodes of as many bytes and
+    more lie in one task. Those of fewer (at most 256 ** (CUT - 1) contexts) are sums over tasks and
+    go over the driver.
+    """
+    suffix = F.shiftright("window", 8).bitwiseAND((1 << (8 * CUT)) - 1)
+    dealt = windows.select(suffix.alias("suffix"), "window", "n", "everywhere")
+    dealt = dealt.repartition("suffix").sortWithinPartitions("suffix")
+    nodes = (
+        dealt.mapInArrow(upper_nodes, "key long, n double, ones double, weighted double")
+        .groupBy(shortened(F.col("key"), CUT - 1).alias("key"))
+        .agg(F.sum("n"), F.sum("ones"), F.sum("weighted"))
+        .toArrow()
+        .sort_by("key")
+    )
+    roots = Roots.weigh(Nodes.inner(*(c.to_numpy() for c in nodes.columns)))
+    logs = window_logs(windows.sparkSession.sparkContext.broadcast(roots))
+    return materialise(dealt.mapInArrow(logs, "window long, everywhere long, log double"), "window_logs")
 
 
 class Scorer:
-    """Scores windows with a block of trees; those that were learned from are looked up."""
+    """Looks windows up in a part of them; `order` puts those first that others may hide."""
 
-    def __init__(self, trees: Trees, windows: np.ndarray, logs: np.ndarray):
-        self.trees = trees
+    def __init__(self, windows: np.ndarray, logs: np.ndarray, order: np.ndarray):
         self.windows = np.r_[windows, np.uint64(2**64 - 1)]
         self.logs = np.r_[logs, 0.0]
         self.slots = np.full(1 << SLOT_BITS, len(windows), np.int32)
-        self.slots[self.slot(windows)] = np.arange(len(windows), dtype=np.int32)
+        self.slots[self.slot(windows[order])] = order
 
     @staticmethod
     def slot(windows: np.ndarray) -> np.ndarray:
         return (windows * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
-    def log10(self, windows: np.ndarray) -> np.ndarray:
-        """As `Trees.log10`, and 0 where another block answers."""
-        if (self.trees.low, self.trees.high) == (0, 0xFFFF):
-            return self.own(windows)
-        suffix = (windows >> np.uint64(8)) & np.uint64(0xFFFF)
-        mine = np.flatnonzero((suffix >= self.trees.low) & (suffix <= self.trees.high))
-        out = np.zeros(len(windows))
-        out[mine] = self.own(windows[mine])
-        return out
-
-    def own(self, windows: np.ndarray) -> np.ndarray:
+    def log10(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The logs, 0 where a window is not in the part, and the places of these."""
         at = self.slots[self.slot(windows)]
         out = self.logs[at]
         other = np.flatnonzero(self.windows[at] != windows)
         place = np.searchsorted(self.windows, windows[other])
-        out[other] = self.logs[place]
-        new = self.windows[place] != windows[other]
-        distinct, place = np.unique(windows[other[new]], return_inverse=True)
-        out[other[new]] = self.trees.log10(distinct)[place]
-        return out
+        missing = self.windows[place] != windows[other]
+        out[other] = np.where(missing, 0.0, self.logs[place])
+        return out, other[missing]
 
 
 def windows_of(values: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from area_trends.llm.common import slices, texts, worker_cache
-from area_trends.llm.context_trees import MAX_NODES, Scorer, Trees, weigh, windows_of
+from area_trends.llm.context_trees import Scorer, weigh, windows_of
 from area_trends.llm.language_id import fold
 from area_trends.sources.tables import materialise
 
-SLICE_BYTES = 4_000_000
+#: counting a slice takes about 55 times its memory, scoring one about 80 times
+COUNTED_BYTES = 2_000_000
+SCORED_BYTES = 1_000_000
+#: windows that are broadcast, the most frequent ones; other windows are joined
+MAX_NODES = 1_000_000
 MAX_CACHED = 150_000
 #: words with more than this part of all tokens are broadcast; there are at most so many
 FREQUENT = 400_000
@@ -49,10 +53,10 @@ def lowered(values: list[str]) -> list[bytes]:
 
 
 def counting(batches):
-    """Rows (kind, key, n, everywhere): words and windows with their counts in learned texts."""
+    """Rows (kind, key, n, everywhere): words and windows with their counts in learned and in all texts."""
     words = worker_cache("lm words", Words)
     for batch in batches:
-        for part in slices(batch, "text", SLICE_BYTES):
+        for part in slices(batch, "text", COUNTED_BYTES):
             values = lowered(part.column("text").to_pylist())
             learned = np.array(part.column("learned").to_pylist(), bool)
             numbers = words.tokens(values)
@@ -60,56 +64,32 @@ def counting(batches):
             weight = np.repeat(learned, [len(n) for n in numbers])
             everywhere = np.bincount(place, minlength=len(keys))
             counted = np.bincount(place, weights=weight, minlength=len(keys)).astype(np.int64)
-            windows, _ = windows_of([v for v, known in zip(values, learned, strict=True) if known])
-            found, times = np.unique(windows, return_counts=True)
+            windows, sizes = windows_of(values)
+            marked, seen = np.unique(windows << np.uint64(1) | np.repeat(learned, sizes), return_counts=True)
+            found = marked >> np.uint64(1)
+            first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+            times, seen = (np.add.reduceat(c, first) for c in (np.where(marked & np.uint64(1), seen, 0), seen))
+            found = found[first]
             kind = np.repeat(np.array([WORD, WINDOW], np.int8), [len(keys), len(found)])
-            columns = [kind, np.r_[keys, found.astype(np.int64)], np.r_[counted, times], np.r_[everywhere, times]]
+            columns = [kind, np.r_[keys, found.astype(np.int64)], np.r_[counted, times], np.r_[everywhere, seen]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "n", "everywhere"])
 
 
-def tree_blocks(nodes: DataFrame, max_nodes: int) -> list[tuple[int, int]]:
-    """Ranges of the last two context bytes with about `max_nodes` nodes at most each.
+def least_frequent(sizes: Iterable[tuple[int, int]], most: int) -> int:
+    """The smallest size of which, with all larger ones, there are at most `most`; sizes come with their numbers."""
+    least, held = np.iinfo(np.int32).max, 0
+    for size, count in sorted(sizes, reverse=True):
+        held += count
+        if held > most:
+            break
+        least = size
+    return int(least)
 
-    There are at most 65,536 such contexts; nodes of shorter contexts belong to all.
-    """
-    suffix = F.col("context").bitwiseAND(0xFFFF).cast("int")
-    sizes = nodes.where("depth >= 2").groupBy(suffix.alias("suffix")).count().collect()
-    starts, held = [0], 0
-    for row in sorted(sizes):
-        if held and held + row["count"] > max_nodes:
-            starts.append(row["suffix"])
-            held = 0
-        held += row["count"]
-    return [(a, b - 1) for a, b in zip(starts, [*starts[1:], 1 << 16], strict=True)]
-
-
-def load_trees(nodes: DataFrame, low: int, high: int) -> Trees:
-    """One block of nodes as arrays."""
-    chosen = nodes.where((F.col("depth") < 2) | F.col("context").bitwiseAND(0xFFFF).between(low, high))
-    keys, share, odds = (c.to_numpy() for c in chosen.select("key", "share", "odds").toArrow().columns)
-    order = np.argsort(keys)
-    return Trees(keys[order].view(np.uint64), share[order], odds[order], low, high)
-
-
-def scoring_windows(version: str, trees) -> Callable:
-    def run(batches):
-        held = worker_cache("lm trees", lambda: trees.value, version)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 100_000):
-                part = batch.slice(start, 100_000)
-                logs = held.log10(part.column("key").to_numpy().view(np.uint64))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(logs)], ["key", "log"])
 
-    return run
-
-
-def learned_windows(windows: DataFrame, version: str, trees, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of one block that were learned from, in order, and their log10 probabilities."""
-    chosen = windows.where(F.shiftright("key", 8).bitwiseAND(0xFFFF).between(low, high)).select("key")
-    table = chosen.mapInArrow(scoring_windows(version, trees), "key long, log double").toArrow()
-    keys, logs = (c.to_numpy() for c in table.columns)
-    order = np.argsort(keys)
-    return keys[order].view(np.uint64), logs[order]
+def listed(values: np.ndarray, at: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The values at sorted places, as a list for each text; a text's places end before its end."""
+    offsets = np.r_[0, np.searchsorted(at, ends)].astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, values[at].astype(np.int64))
 
 
 def rare_tokens(numbers: list[np.ndarray], hit: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
@@ -122,33 +102,34 @@ def rare_tokens(numbers: list[np.ndarray], hit: np.ndarray, ends: np.ndarray) ->
     return [pa.array(x, pa.list_(pa.int64())) for x in (some, times)]
 
 
-def scoring(version: str, trees, learned, frequent) -> Callable:
-    """Adds the scores of one block of trees, and with `frequent` words the base's parts."""
+def scoring(version: str, model, frequent) -> Callable:
+    """Adds the score of the broadcast windows, the base's parts of frequent words, and what is still to be joined."""
 
     def run(batches):
-        scorer = worker_cache("lm scorer", lambda: Scorer(trees.value, *learned.value), version)
+        scorer = worker_cache("lm scorer", lambda: Scorer(*model.value), version)
         words = worker_cache("lm words", Words)
+        keys, logs = frequent.value
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", SCORED_BYTES):
                 values = lowered(part.column("text").to_pylist())
-                windows, sizes = windows_of(values)
-                found = np.add.reduceat(scorer.log10(windows), np.cumsum(sizes) - sizes)
                 columns = {n: part.column(n) for n in part.schema.names if n != "text"}
-                columns["score"] = pa.array(found)
-                if frequent is not None:
-                    keys, logs = frequent.value
-                    numbers = words.tokens(values)
-                    ends = np.cumsum([len(n) for n in numbers])
-                    owner = np.repeat(np.arange(len(numbers)), np.diff(np.r_[0, ends]))
-                    flat = np.concatenate(numbers)
-                    at = np.searchsorted(keys, flat)
-                    hit = keys[at] == flat
-                    value = np.where(hit, logs[at], 0.0)
-                    columns["n_bytes"] = pa.array(sizes - 1)
-                    columns["n_tokens"] = pa.array(np.diff(np.r_[0, ends]))
-                    columns["known"] = pa.array(np.bincount(owner, value > 0, len(numbers)).astype(np.int64))
-                    columns["total"] = pa.array(np.bincount(owner, value, len(numbers)))
-                    columns["rare"], columns["times"] = rare_tokens(numbers, hit, ends)
+                windows, sizes = windows_of(values)
+                ends = np.cumsum(sizes)
+                found, missing = scorer.log10(windows)
+                columns["score"] = pa.array(np.add.reduceat(found, ends - sizes))
+                columns["rare_windows"] = listed(windows, missing, ends)
+                numbers = words.tokens(values)
+                ends = np.cumsum([len(n) for n in numbers])
+                owner = np.repeat(np.arange(len(numbers)), np.diff(np.r_[0, ends]))
+                flat = np.concatenate(numbers)
+                at = np.searchsorted(keys, flat)
+                hit = keys[at] == flat
+                value = np.where(hit, logs[at], 0.0)
+                columns["n_bytes"] = pa.array(sizes - 1)
+                columns["n_tokens"] = pa.array(np.diff(np.r_[0, ends]))
+                columns["known"] = pa.array(np.bincount(owner, value > 0, len(numbers)).astype(np.int64))
+                columns["total"] = pa.array(np.bincount(owner, value, len(numbers)))
+                columns["rare"], columns["times"] = rare_tokens(numbers, hit, ends)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
@@ -163,9 +144,10 @@ def lm_scores(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     the text's bytes and its end under context-tree weighting; bits_per_byte is its code
     length over n_bytes + 1. base_score is that of its words and end under smoothed
     counts. Null is read as the empty text. Words are told apart by 64-bit hashes.
-    Repeated rows are counted and scored one by one, other columns are ignored. The trees
-    are broadcast in blocks of about `max_nodes` nodes, by the two last context bytes;
-    the texts are gone through once per block, from one numbered copy if there are several.
+    Repeated rows are counted and scored one by one, other columns are ignored. Each different
+    window (a byte after its context) is scored once. At most `max_nodes` of them, the most
+    frequent ones, are broadcast; the other ones in a text are joined, so the texts are gone through
+    once to learn and once to score.
     """
     spark = docs.sparkSession
     held = F.coalesce(fold(docs, 7) == 2, F.lit(False))
@@ -181,7 +163,15 @@ def lm_scores(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     )
     windows = counts.where(F.col("kind") == WINDOW)
     words = counts.where(F.col("kind") == WORD)
-    nodes = weigh(windows.select(F.col("key").alias("window"), "n"))
+    logs = weigh(windows.select(F.col("key").alias("window"), "n", "everywhere"))
+    # to the nearest tenth: some hundred sizes at most
+    logs = logs.withColumn("size", F.floor(F.log2("everywhere") * 8).cast("int"))
+    least = least_frequent(logs.groupBy("size").count().collect(), max_nodes)
+    table = logs.where(F.col("size") >= least).select("window", "log", "size").toArrow().sort_by("window")
+    model = [c.to_numpy() for c in table.columns]
+    model = spark.sparkContext.broadcast(
+        (model[0].view(np.uint64), model[1], np.argsort(model[2], kind="stable").astype(np.int32))
+    )
     n, tokens, distinct = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("everywhere"), F.lit(0)), F.count_if(F.col("n") > 0)
     ).first()
@@ -192,42 +182,33 @@ def lm_scores(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
         (np.r_[table.column("key").to_numpy(), last], np.r_[np.log10(table.column("n").to_numpy() + 1.0), 0.0])
     )
 
-    blocks = tree_blocks(nodes, max_nodes)
-    numbered = rows.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("row"))
-    if len(blocks) > 1:
-        numbered = materialise(numbered, "numbered_texts")
-    parts = None
-    for low, high in blocks:
-        version = uuid.uuid4().hex
-        trees = spark.sparkContext.broadcast(load_trees(nodes, low, high))
-        learned = spark.sparkContext.broadcast(learned_windows(windows, version, trees, low, high))
-        if high < 0xFFFF:
-            some = numbered.select("row", "text").mapInArrow(
-                scoring(version, trees, learned, None), "row long, score double"
-            )
-            parts = materialise(some, "score_parts") if parts is None else parts.union(materialise(some, "score_parts"))
-        else:
-            scored = numbered.mapInArrow(
-                scoring(version, trees, learned, frequent),
-                f"doc_id {kind}, held_out boolean, row long, score double, n_bytes long, n_tokens long, "
-                "known long, total double, rare array<long>, times array<long>",
-            )
-    scored = materialise(scored, "scores")
-    if parts is not None:
-        other = parts.groupBy("row").agg(F.sum("score").alias("other"))
-        scored = scored.join(other, "row").withColumn("score", F.col("score") + F.col("other"))
+    scored = materialise(
+        rows.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
+            scoring(uuid.uuid4().hex, model, frequent),
+            f"doc_id {kind}, held_out boolean, row long, score double, rare_windows array<long>, n_bytes long, "
+            "n_tokens long, known long, total double, rare array<long>, times array<long>",
+        ),
+        "scores",
+    )
     pairs = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("pair"))
-    rest = (
+    rare_words = (
         pairs.select("row", F.col("pair.rare").alias("key"), F.col("pair.times").alias("times"))
         .join(words.where(~is_frequent & (F.col("n") > 0)).select("key", "n"), "key")
+        .select("row", "times", (F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("base"), F.lit(0.0).alias("log"))
+    )
+    rare_windows = (
+        scored.select("row", F.explode("rare_windows").alias("window"))
+        .join(logs.where(F.col("size") < least).select("window", "log"), "window")
+        .select("row", F.lit(0).cast("long").alias("times"), F.lit(0.0).alias("base"), "log")
+    )
+    rest = (
+        rare_words.union(rare_windows)
         .groupBy("row")
-        .agg(
-            F.sum("times").alias("more"),
-            F.sum(F.col("times") * F.log10(F.col("n") + F.lit(1.0))).alias("rest"),
-        )
+        .agg(F.sum("times").alias("more"), F.sum("base").alias("rest"), F.sum("log").alias("unusual"))
     )
+    score = F.col("score") + F.coalesce("unusual", F.lit(0.0))
     share = F.lit(float(np.log10(n + distinct + 1.0)))
-    bits = -F.col("score") * float(np.log2(10)) / (F.col("n_bytes") + 1)
+    bits = -score * float(np.log2(10)) / (F.col("n_bytes") + 1)
     return scored.join(rest, "row", "left").select(
         "doc_id",
         "held_out",
@@ -235,7 +216,7 @@ def lm_scores(docs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("total") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * share).alias("base_score"),
-        "score",
+        score.alias("score"),
         "n_bytes",
         bits.alias("bits_per_byte"),
     )

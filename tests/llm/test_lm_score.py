@@ -2,10 +2,14 @@
 
 import math
 import re
+import tracemalloc
+import uuid
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from area_trends.llm import context_trees as ct
 from area_trends.llm import lm_score, queries
@@ -106,6 +110,45 @@ def test_rare_words_are_joined(spark, monkeypatch):
         assert x[:5] == y[:5] and x.base_score == pytest.approx(y.base_score)
 
 
+def test_what_is_broadcast_is_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, bytes(rng.integers(97, 123, 40).tolist()).decode()) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(lm_score.lm_scores(docs).collect())
+    held, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: held.append(value) or send(value))
+    parts = sorted(lm_score.lm_scores(docs, 400).collect())
+    assert [r.score for r in parts] == pytest.approx([r.score for r in whole], rel=1e-9)
+    assert max(len(column) for value in held if isinstance(value, tuple) for column in value) <= 400
+    assert len(held) == 3  # roots, windows, words: the texts are scored in one pass
+
+
+def test_memory_of_a_slice():
+    rng = np.random.default_rng(6)
+    windows, numbers = np.unique(rng.integers(0, 1 << 48, 200_000, np.uint64)), np.array([np.iinfo(np.int64).max])
+    model = SimpleNamespace(value=(windows, np.zeros(len(windows)), np.arange(len(windows), dtype=np.int32)))
+    words = SimpleNamespace(value=(numbers, np.zeros(1)))
+    texts = ["".join(chr(c) for c in rng.integers(97, 123, 50_000)) for _ in range(160)]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(160)), "text": texts})
+    score = lm_score.scoring(uuid.uuid4().hex, model, words)
+    next(score([batch.slice(0, 1)]))
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in score([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 160 and peak < 150e6
+
+
+def test_groups_are_whole(monkeypatch):
+    monkeypatch.setattr(ct, "WEIGHED", 5)
+    suffix = np.sort(np.random.default_rng(7).integers(0, 12, 100))
+    rows = pa.RecordBatch.from_arrays([pa.array(suffix), pa.array(np.arange(100))], ["suffix", "window"])
+    found = list(ct.whole_groups(rows.slice(i, 3) for i in range(0, 100, 3)))
+    assert np.concatenate([window for _, window in found]).tolist() == list(range(100))
+    assert all(a[0][-1] < b[0][0] for a, b in zip(found, found[1:], strict=False)) and len(found) > 3
+    assert list(ct.whole_groups([])) == []
+
+
 def test_probabilities_add_up():
     rng = np.random.default_rng(3)
     model = Direct([bytes(rng.integers(97, 100, 30).tolist()) for _ in range(4)], 2)
