@@ -253,3 +253,16 @@ def windows_of(values: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.
     for k in range(1, depth + 1):
         inside[last - k] = False
     return code[inside[: len(code)]], sizes
+
+
+def window_parts(values: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As `windows_of`, but a single text of more than `most` bytes comes in parts of so many."""
+    if len(values) != 1 or len(values[0]) <= most:
+        yield windows_of(values)
+        return
+    text = values[0]
+    for start in range(0, len(text), most):
+        before = min(start, DEPTH)
+        windows, _ = windows_of([text[start - before : start + most]])
+        windows = windows[before : None if start + most >= len(text) else -1]
+        yield windows, np.array([len(windows)])

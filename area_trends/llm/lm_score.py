@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -11,8 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from area_trends.llm.common import slices, texts, worker_cache
-from area_trends.llm.context_trees import Scorer, weigh, windows_of
+from area_trends.llm.common import forget_caches, slices, text_parts, texts, worker_cache
+from area_trends.llm.context_trees import Scorer, weigh, window_parts
 from area_trends.llm.language_id import fold
 from area_trends.sources.tables import materialise
 
@@ -21,58 +22,58 @@ COUNTED_BYTES = 2_000_000
 SCORED_BYTES = 1_000_000
 #: windows that are broadcast, the most frequent ones; other windows are joined
 MAX_NODES = 1_000_000
-MAX_CACHED = 150_000
 #: words with more than this part of all tokens are broadcast; there are at most so many
 FREQUENT = 400_000
 WORD, WINDOW = 0, 1
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: the token after the last word of each text: no word has this number
 END = 0
 
 
-class Words:
-    """Numbers words by 64-bit hashes: A-Z in lower case, between ASCII white space."""
+def words_of(text: bytes) -> np.ndarray:
+    """The words between ASCII white space, as 64-bit hashes."""
+    words = text.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def tokens(self, values: list[bytes]) -> list[np.ndarray]:
-        """The numbers of the words of each text, and END."""
-        split = [v.split() for v in values]
-        if len(self.known) > MAX_CACHED:
-            self.known.clear()
-        for word in set().union(*split).difference(self.known):
-            self.known[word] = xxhash.xxh3_64_intdigest(word)
-        look_up = self.known.__getitem__
-        return [
-            np.r_[np.fromiter(map(look_up, words), np.uint64, len(words)).view(np.int64), END] for words in split
-        ]
+def tokens(values: list[bytes]) -> list[np.ndarray]:
+    """The words of each text and END; a long text is gone through in parts."""
+    return [
+        np.r_[words_of(v), END]
+        if len(v) <= COUNTED_BYTES
+        else np.r_[*map(words_of, text_parts(v, SPACE, COUNTED_BYTES)), END]
+        for v in values
+    ]
 
 
 def lowered(values: list[str]) -> list[bytes]:
     return [v.encode("utf-8", "replace").lower() for v in values]
 
 
+def counts_of(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    kinds = np.full(len(columns[0]), kind, np.int8)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (kinds, *columns)], ["kind", "key", "n", "everywhere"])
+
+
 def counting(batches):
     """Rows (kind, key, n, everywhere): words and windows with their counts in learned and in all texts."""
-    words = worker_cache("lm words", Words)
+    forget_caches("lm")
     for batch in batches:
         for part in slices(batch, "text", COUNTED_BYTES):
             values = lowered(part.column("text").to_pylist())
             learned = np.array(part.column("learned").to_pylist(), bool)
-            numbers = words.tokens(values)
+            numbers = tokens(values)
             keys, place = np.unique(np.concatenate(numbers), return_inverse=True)
             weight = np.repeat(learned, [len(n) for n in numbers])
             everywhere = np.bincount(place, minlength=len(keys))
             counted = np.bincount(place, weights=weight, minlength=len(keys)).astype(np.int64)
-            windows, sizes = windows_of(values)
-            marked, seen = np.unique(windows << np.uint64(1) | np.repeat(learned, sizes), return_counts=True)
-            found = marked >> np.uint64(1)
-            first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-            times, seen = (np.add.reduceat(c, first) for c in (np.where(marked & np.uint64(1), seen, 0), seen))
-            found = found[first]
-            kind = np.repeat(np.array([WORD, WINDOW], np.int8), [len(keys), len(found)])
-            columns = [kind, np.r_[keys, found.astype(np.int64)], np.r_[counted, times], np.r_[everywhere, seen]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "n", "everywhere"])
+            yield counts_of(WORD, keys, counted, everywhere)
+            for windows, sizes in window_parts(values, COUNTED_BYTES):
+                marked, seen = np.unique(windows << np.uint64(1) | np.repeat(learned, sizes), return_counts=True)
+                found = marked >> np.uint64(1)
+                first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+                times, seen = (np.add.reduceat(c, first) for c in (np.where(marked & np.uint64(1), seen, 0), seen))
+                yield counts_of(WINDOW, found[first].astype(np.int64), times, seen)
 
 
 def least_frequent(sizes: Iterable[tuple[int, int]], most: int) -> int:
@@ -86,12 +87,6 @@ def least_frequent(sizes: Iterable[tuple[int, int]], most: int) -> int:
     return int(least)
 
 
-def listed(values: np.ndarray, at: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The values at sorted places, as a list for each text; a text's places end before its end."""
-    offsets = np.r_[0, np.searchsorted(at, ends)].astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, values[at].astype(np.int64))
-
-
 def rare_tokens(numbers: list[np.ndarray], hit: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
     """The tokens of each text that are not marked, once each, and their numbers."""
     some, times = [], []
@@ -107,25 +102,29 @@ def scoring(version: str, model, frequent) -> Callable:
 
     def run(batches):
         scorer = worker_cache("lm scorer", lambda: Scorer(*model.value), version)
-        words = worker_cache("lm words", Words)
         keys, logs = frequent.value
         for batch in batches:
             for part in slices(batch, "text", SCORED_BYTES):
                 values = lowered(part.column("text").to_pylist())
                 columns = {n: part.column(n) for n in part.schema.names if n != "text"}
-                windows, sizes = windows_of(values)
-                ends = np.cumsum(sizes)
-                found, missing = scorer.log10(windows)
-                columns["score"] = pa.array(np.add.reduceat(found, ends - sizes))
-                columns["rare_windows"] = listed(windows, missing, ends)
-                numbers = words.tokens(values)
+                score, rare, held = np.zeros(len(values)), [], np.zeros(len(values), np.int64)
+                for windows, sizes in window_parts(values, SCORED_BYTES):
+                    ends = np.cumsum(sizes)
+                    found, missing = scorer.log10(windows)
+                    score += np.add.reduceat(found, ends - sizes)
+                    rare.append(windows[missing].astype(np.int64))
+                    held += np.diff(np.searchsorted(missing, np.r_[0, ends]))
+                columns["score"] = pa.array(score)
+                offsets = np.r_[0, np.cumsum(held)].astype(np.int32)
+                columns["rare_windows"] = pa.ListArray.from_arrays(offsets, np.concatenate(rare))
+                numbers = tokens(values)
                 ends = np.cumsum([len(n) for n in numbers])
                 owner = np.repeat(np.arange(len(numbers)), np.diff(np.r_[0, ends]))
                 flat = np.concatenate(numbers)
                 at = np.searchsorted(keys, flat)
                 hit = keys[at] == flat
                 value = np.where(hit, logs[at], 0.0)
-                columns["n_bytes"] = pa.array(sizes - 1)
+                columns["n_bytes"] = pa.array([len(v) for v in values], pa.int64())
                 columns["n_tokens"] = pa.array(np.diff(np.r_[0, ends]))
                 columns["known"] = pa.array(np.bincount(owner, value > 0, len(numbers)).astype(np.int64))
                 columns["total"] = pa.array(np.bincount(owner, value, len(numbers)))

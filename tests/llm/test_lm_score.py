@@ -139,6 +139,44 @@ def test_memory_of_a_slice():
     assert rows == 160 and peak < 150e6
 
 
+def gathered(batches):
+    found = Counter()
+    for batch in batches:
+        for kind, key, n, everywhere in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found[kind, key, "n"] += n
+            found[kind, key, "everywhere"] += everywhere
+    return found
+
+
+def test_long_texts_come_in_parts(monkeypatch):
+    values = ["", "short", "A longer text, é\t漢字 漢字 of words " * 5, "without_any_white_space" * 9, "x" * 60, "y" * 61]
+    columns = {"row": list(range(6)), "text": values, "learned": [True, False, True, True, False, True]}
+    batch = pa.RecordBatch.from_pydict(columns)
+    windows = np.unique(ct.windows_of(lm_score.lowered(values))[0])
+    logs, half = -np.arange(1.0, len(windows) + 1), np.arange(len(windows)) % 2 == 0
+    model = (windows[half], logs[half], np.arange(half.sum(), dtype=np.int32))
+    args = SimpleNamespace(value=model), SimpleNamespace(value=(np.array([np.iinfo(np.int64).max]), np.zeros(1)))
+    counts = gathered(lm_score.counting([batch]))
+    whole = [r for b in lm_score.scoring(uuid.uuid4().hex, *args)([batch]) for r in b.to_pylist()]
+    for size in (7, 60):
+        monkeypatch.setattr(lm_score, "COUNTED_BYTES", size)
+        monkeypatch.setattr(lm_score, "SCORED_BYTES", size)
+        assert gathered(lm_score.counting([batch])) == counts
+        found = [r for b in lm_score.scoring(uuid.uuid4().hex, *args)([batch]) for r in b.to_pylist()]
+        assert found == whole
+
+
+def test_memory_of_a_long_text():
+    rng = np.random.default_rng(8)
+    text = bytes(rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), 12_000_000)).decode()
+    batch = pa.RecordBatch.from_pydict({"text": [text], "learned": [True]})
+    tracemalloc.start()
+    assert sum(1 for _ in lm_score.counting([batch])) == 7
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+
+
 def test_groups_are_whole(monkeypatch):
     monkeypatch.setattr(ct, "WEIGHED", 5)
     suffix = np.sort(np.random.default_rng(7).integers(0, 12, 100))
