@@ -14,20 +14,23 @@ PART_BYTES = 1_000_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 BETWEEN = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
-#: columns of an index row beside the doc_ids, and their Spark types
+#: columns of an index row beside the doc_ids, and their Spark types; what has a value per term, block
+#: or posting is one value in bytes, as the JVM would hold every element of an array several times over
 COLUMNS = {
     "lengths": "array<int>",
-    "terms": "array<binary>",
-    "df": "array<int>",
-    "first": "array<int>",
-    "gap_bytes": "array<smallint>",
-    "tf_bytes": "array<smallint>",
-    "front": "array<int>",
-    "front_tf": "array<int>",
-    "front_length": "array<int>",
+    "terms": "binary",
+    "df": "binary",
+    "first": "binary",
+    "gap_bytes": "binary",
+    "tf_bytes": "binary",
+    "front": "binary",
+    "front_tf": "binary",
+    "front_length": "binary",
     "gaps": "binary",
     "tfs": "binary",
 }
+#: stands between the terms of a row; no term holds it
+SPACE = b" "
 
 
 def words_of(text: bytes) -> Iterator[list[bytes]]:
@@ -36,6 +39,19 @@ def words_of(text: bytes) -> Iterator[list[bytes]]:
         yield WORD.findall(part.lower())
 
 
+def to_bytes(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 up, in as many bytes each (1, 2, 4 or 8) as the largest needs; the first byte says how many."""
+    most = int(values.max(initial=0))
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def from_bytes(data) -> np.ndarray:
+    """The numbers of `to_bytes`."""
+    held = memoryview(data)
+    return np.frombuffer(held[1:], f"<u{held[0]}").astype(np.int64)
+
+
 def packed(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Bytes a value (1, 2 or 4) of each block, and the values in so many bytes."""
     most = np.maximum.reduceat(values, starts) if len(starts) else values
@@ -52,7 +68,8 @@ def fronts(block: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
     """
     order = np.lexsort((length, -tf, block))
     step = int(length.max(initial=0)) + 1
-    level = length[order] + (block.max(initial=0) - block[order]) * step
+    level = (block.max(initial=0) - block[order]).astype(np.int64) * step
+    level += length[order]
     below = np.minimum.accumulate(level)
     return order[np.append(True, level[1:] < below[:-1])[: len(order)]]
 
@@ -66,25 +83,34 @@ def build(texts: list[bytes]) -> tuple[list[int], dict]:
         for words in words_of(text):
             for word in set(words).difference(number):
                 number[word] = len(number)
-            found.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+            found.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         if sum(map(len, found)):
             held.append(place)
             ids.append(np.concatenate(found))
     lengths = np.array([len(x) for x in ids], np.int64)
     docs = max(len(held), 1)
-    keys = np.concatenate([np.zeros(0, np.int64), *ids]) * docs + np.repeat(np.arange(len(held)), lengths)
-    keys, tf = np.unique(keys, return_counts=True)
-    term, doc = np.divmod(keys, docs)
-    df = np.bincount(term, minlength=len(number))
-    at = np.arange(len(keys)) - np.repeat(np.cumsum(df) - df, df)
-    opens = at % BLOCK == 0
+    keys = np.concatenate([np.zeros(0, np.int32), *ids], dtype=np.int64)
+    ids.clear()  # arrays of the shard's size go as soon as they are used
+    keys *= docs
+    keys += np.repeat(np.arange(len(held), dtype=np.int32), lengths)
+    keys.sort()
+    places = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    tf = np.diff(places, append=len(keys)).astype(np.int32)
+    keys = keys[places]
+    del places
+    df = np.bincount(keys // docs, minlength=len(number))
+    keys %= docs
+    doc = keys.astype(np.int32)
+    del keys
+    opens = spread(df) % BLOCK == 0
     starts = np.flatnonzero(opens)
-    block = np.cumsum(opens) - 1
-    sizes = np.diff(np.append(starts, len(keys)))
-    gaps = np.where(opens, 0, np.diff(doc, prepend=0))
-    best = fronts(block, tf, lengths[doc])
+    sizes = np.diff(np.append(starts, len(doc)))
+    gaps = np.where(opens, np.int32(0), np.diff(doc, prepend=np.int32(0)))
     gap_bytes, packed_gaps = packed(gaps, starts, sizes)
+    del gaps
     tf_bytes, packed_tfs = packed(tf, starts, sizes)
+    block = np.cumsum(opens, dtype=np.int32) - np.int32(1)
+    best = fronts(block, tf, lengths.astype(np.int32)[doc])
     return held, {
         "lengths": lengths,
         "terms": list(number),

@@ -12,13 +12,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from area_trends.llm.common import slices, text_of
-from area_trends.llm.lexical_index import COLUMNS, Shard, build, words_of
+from area_trends.llm.lexical_index import COLUMNS, SPACE, Shard, build, from_bytes, to_bytes, words_of
 from area_trends.sources.tables import materialise
 
 SHARD_BYTES = 8_000_000
 #: most terms of items that are broadcast, and searched, at a time; an item is never split
 BLOCK_TERMS = 500_000
 BEST = 10
+#: writer options for an index: a row group holds one shard, so that writers and readers hold one at a time;
+#: otherwise a group's size is looked at after 100 rows only, and a reader opens all shards of a group at once
+ONE_BY_ONE = {
+    "parquet.block.size": "1",
+    "parquet.page.size.row.check.min": "1",
+    "parquet.enable.dictionary": "false",
+}
+
+
+def in_bytes(column) -> bytes:
+    """A column of `build` as one value: bytes as they are, terms side by side, numbers by `to_bytes`."""
+    if isinstance(column, bytes):
+        return column
+    return SPACE.join(column) if isinstance(column, list) else to_bytes(column)
+
+
+def terms_of(column: pa.Array) -> pa.ListArray:
+    """The terms of each index row."""
+    return pc.split_pattern(column, SPACE.decode())
 
 
 def indexing(shard_bytes: int) -> Callable:
@@ -33,10 +52,9 @@ def indexing(shard_bytes: int) -> Callable:
                 arrays = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
                 for name, kind in COLUMNS.items():
                     if kind == "binary":
-                        arrays.append(pa.array([columns[name]], pa.binary()))
+                        arrays.append(pa.array([in_bytes(columns.pop(name))], pa.binary()))
                         continue
-                    inner = {"array<int>": pa.int32(), "array<smallint>": pa.int16(), "array<binary>": pa.binary()}[kind]
-                    values = pa.array(columns[name], inner)
+                    values = pa.array(columns.pop(name), pa.int32())
                     arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_ids", *COLUMNS])
 
@@ -48,7 +66,7 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
     A row holds the doc_ids in ascending order (null last), the documents' lengths, the terms with their
     numbers of documents, and the postings in blocks of up to 128, with each block's
-    first document and bounds. It can be saved and searched many times.
+    first document and bounds. It can be saved, best with `ONE_BY_ONE`, and searched many times.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = ", ".join(f"{name} {of}" for name, of in COLUMNS.items())
@@ -72,10 +90,10 @@ def known_terms(held) -> Callable:
     def run(batches):
         wanted = pa.array(held.value, pa.binary())
         for batch in batches:
-            for terms, df in zip(batch.column("terms"), batch.column("df"), strict=True):
+            for terms, df in zip(terms_of(batch.column("terms")), batch.column("df"), strict=True):
                 place = pc.index_in(terms.values, value_set=wanted)
                 found = pc.is_valid(place)
-                columns = [terms.values.filter(found), df.values.filter(found).cast(pa.int64())]
+                columns = [terms.values.filter(found), pa.array(from_bytes(df.as_buffer())).filter(found)]
                 yield pa.RecordBatch.from_arrays(columns, ["term", "df"])
 
     return run
@@ -89,8 +107,10 @@ def document_counts(index: DataFrame, terms: list[bytes]) -> DataFrame:
 
 
 def plain(scalar: pa.Scalar, name: str):
-    if COLUMNS[name] == "binary":
+    if name in ("gaps", "tfs"):
         return scalar.as_buffer()
+    if COLUMNS[name] == "binary":
+        return from_bytes(scalar.as_buffer())
     return scalar.values.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
@@ -107,7 +127,8 @@ def searching(held, n_docs: int, n_terms: int, best: int) -> Callable:
             kind = batch.schema.field("doc_ids").type.value_type
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                here = pc.index_in(wanted, value_set=row["terms"].values).to_numpy(zero_copy_only=False)
+                here = pc.index_in(wanted, value_set=terms_of(batch.column("terms").slice(i, 1)).values)
+                here = here.to_numpy(zero_copy_only=False)
                 here = np.where(np.isnan(here), -1, here).astype(np.int64) if here.dtype.kind == "f" else here
                 shard = Shard({c: plain(row[c], c) for c in COLUMNS if c != "terms"}, penalty)
                 ids = row["doc_ids"].values
@@ -187,5 +208,5 @@ def lexical_search(
     Texts are read once and not shuffled. Null and empty texts hold no term and are never found;
     without documents or items there are no rows; other columns are ignored.
     """
-    index = materialise(build_index(docs, shard_bytes), "lexical_index")
+    index = materialise(build_index(docs, shard_bytes), "lexical_index", ONE_BY_ONE)
     return search(index, items, best, block_terms)

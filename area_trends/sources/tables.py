@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import cache
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,11 +112,11 @@ def clear_scratch(spark: SparkSession) -> None:
     _PATHS[:] = [p for p in _PATHS if not p.startswith(f"{folder}/")]
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes the rows to shared scratch space and reads them back.
+def materialise(df: DataFrame, name: str = "table", options: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
+    """Writes the rows to shared scratch space, with these options of the Parquet writer, and reads them back.
 
     Cuts the lineage of a result used several times; lost executors do not lose it.
     """
     path = scratch_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

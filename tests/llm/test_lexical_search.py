@@ -5,9 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from area_trends.llm import lexical_search as ls
-from area_trends.llm.lexical_index import Shard, build
+from area_trends.llm.lexical_index import SPACE, Shard, build, from_bytes, to_bytes
+from area_trends.sources.tables import scratch_paths
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -78,6 +80,42 @@ def test_text_ids_and_saved_index(spark, tmp_path):
     assert [(r[0], r[2], r[3]) for r in table(found.collect())] == [(r[0], r[2], r[3]) for r in firsts]
 
 
+VARIED = [(i, " ".join(f"w{(i * 31 + j * 7) % 5_000}" for j in range(40))) for i in range(1_500)]
+
+
+def test_only_values_per_document_are_arrays(spark):
+    """What a shard has per term, block or posting passes through the JVM as bytes, not element by element."""
+    docs = spark.createDataFrame(VARIED, "doc_id long, text string").coalesce(1)
+    rows = ls.build_index(docs, 100_000).collect()
+    assert len(rows) > 2
+    for row in rows:
+        terms = bytes(row["terms"]).split(SPACE)
+        assert len(terms) > 2 * len(row["doc_ids"]) and len(set(terms)) == len(terms)
+        assert {len(v) for v in row if isinstance(v, list)} == {len(row["doc_ids"])}
+        df = from_bytes(row["df"])
+        assert len(df) == len(terms) and df.sum() == 40 * len(row["doc_ids"])
+
+
+def test_one_shard_at_a_time_is_written_and_read(spark):
+    docs = spark.createDataFrame(VARIED, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "w1 w2 w4999"), (2, "w700")], "item_id int, text string")
+    before = set(scratch_paths())
+    found = ls.lexical_search(docs, items, shard_bytes=100_000)
+    (path,) = [p for p in scratch_paths() if p not in before and "/lexical_index-" in p]
+    index = pq.ParquetDataset(path.removeprefix("file:"))
+    groups = [group.num_rows for part in index.fragments for group in part.row_groups]
+    assert len(groups) > 2 and set(groups) == {1}
+    assert table(found.collect()) == table(brute(VARIED, [(1, "w1 w2 w4999"), (2, "w700")]))
+
+
+@pytest.mark.parametrize("most", [0, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32])
+def test_numbers_in_bytes(most):
+    for values in ([], [most], [0, most, 1]):
+        data = to_bytes(np.array(values, np.int64))
+        assert from_bytes(data).tolist() == values
+        assert len(data) == 1 + len(values) * (1 if not values or most < 256 else 2 if most < 65_536 else 4 if most < 2**32 else 8)
+
+
 def opened(texts, penalty=lambda x: 200 + x):
     held, columns = build([t.encode() for t in texts])
     row = {k: v if k in ("gaps", "tfs", "terms") else np.asarray(v, np.int64) for k, v in columns.items()}
